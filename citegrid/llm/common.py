@@ -51,3 +51,11 @@ def partitions(spark: SparkSession) -> int:
 def total_bytes(df: DataFrame, col: str) -> int:
     """Bytes of a text column over all rows (one scan, one number)."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(col)).cast("long")), F.lit(0))).first()[0])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -10,8 +10,8 @@ A window can only match if enough of the item's word runs are left in it (each e
 below that count are not embedded. This loses no match, and leaves to the tables the windows that look alike.
 
 The items are a stated query set: they are read in blocks of bounded size, each block is sent to the tasks, and every
-document is scanned in place, without a shuffle. PLACES and TABLES follow from RECALL and the measured chance that a
-sampled place agrees at the largest allowed distance.
+document is scanned in place, without a shuffle. The number of tables follows from RECALL and the chance that a sampled
+place agrees at the largest allowed distance.
 
 Edge cases: a null text or item has no words and matches nothing; items shorter than RUN words match exactly; repeated
 items with different ids match each; repeated documents match each; empty tables give no rows; further columns are
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil, floor, log
 
 import numpy as np
@@ -33,11 +34,15 @@ from pyspark.sql import functions as F
 from .text_kernels import mix
 
 SIMILARITY, RUN = 0.8, 3
-#: Target recall of the tables, places a table samples, and the chance that a place agrees at the largest distance.
+#: Target recall, places a table samples, and the chance that a place agrees at the largest distance.
 RECALL, PLACES, AGREE = 0.99, 2, 0.3
-TABLES = ceil(log(1 - RECALL) / log(1 - AGREE**PLACES))
+#: Walks, and tables that sample each of them: together enough tables for the target.
+WALKS = 8
+SAMPLINGS = ceil(log(1 - RECALL) / log(1 - AGREE**PLACES) / WALKS)
 #: Items sent to the tasks at once: this many rows or bytes, whichever comes first.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
+#: Windows embedded, and words of documents looked at, at once.
+WINDOWS, GROUP_WORDS = 8192, 1 << 20
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -50,6 +55,45 @@ def allowed(n: int) -> int:
     return floor((1 - SIMILARITY) * n + 1e-9)
 
 
+def _run_hashes(a: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each run of q words; runs with a word that no item has are 0."""
+    m = len(a) - q + 1
+    if m <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out, known = np.zeros(m, dtype=np.uint64), np.ones(m, dtype=bool)
+    for j in range(q):
+        part = a[j : j + m]
+        known &= part > 0
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + part.astype(np.uint64) + np.uint64(1))
+    return np.where(known, out, np.uint64(0))
+
+
+def needed(n: int) -> int:
+    """Runs of an item of n words that allowed(n) edits leave at least."""
+    q = min(RUN, n)
+    return max(1, n - q + 1 - q * allowed(n))
+
+
+def keys_of(windows: np.ndarray) -> np.ndarray:
+    """(tables, windows) keys of windows of one size: CGK walks over their words, and the sampled places hashed."""
+    count, n = windows.shape
+    padded = np.concatenate([windows, np.full((count, 1), -1)], axis=1)
+    rows, random = np.arange(count), np.random.default_rng(n)
+    # Places late in a walk have drifted further; the first 1.5 n steps cover most of an item.
+    places = [[set(random.choice(max(PLACES, n + n // 2), PLACES, replace=False).tolist()) for _ in range(SAMPLINGS)] for _ in range(WALKS)]
+    out = np.zeros((WALKS * SAMPLINGS, count), dtype=np.uint64)
+    for w in range(WALKS):
+        at = np.zeros(count, dtype=np.int64)
+        for j in range(max(max(p) for p in places[w]) + 1):
+            now = padded[rows, np.minimum(at, n)].astype(np.uint64)
+            for t in range(SAMPLINGS):
+                if j in places[w][t]:
+                    key = out[w * SAMPLINGS + t]
+                    key[:] = mix(key * np.uint64(0x9E3779B97F4A7C15) + now)
+            at += (mix(now * np.uint64(0xD6E8FEB86659FD93) + np.uint64((w << 32) + j)) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
 class Items:
     """A block of items: word numbers, the runs that a match must keep, and the LSH tables by size."""
 
@@ -57,95 +101,79 @@ class Items:
         lists = [(i, words_of(t)) for i, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in lists for w in ws}), 1)}
         self.items = [(i, np.array([self.vocabulary[w] for w in ws], dtype=np.int64)) for i, ws in lists if ws]
-        runs = {min(RUN, len(a)) for _, a in self.items}
-        self.runs = {q: np.unique(np.concatenate([self._runs(a, q) for _, a in self.items if min(RUN, len(a)) == q])) for q in runs}
         self.sizes: dict[int, list[int]] = {}
         for k, (_, a) in enumerate(self.items):
             self.sizes.setdefault(len(a), []).append(k)
+        #: For each run length: the hashes of runs in order, and the items of each (one row a pair).
+        self.runs = {}
+        for q in {min(RUN, n) for n in self.sizes}:
+            parts = [(np.unique(_run_hashes(a, q)), k) for k, (_, a) in enumerate(self.items) if min(RUN, len(a)) == q]
+            hashes, owner = np.concatenate([h for h, _ in parts]), np.repeat([k for _, k in parts], [len(h) for h, _ in parts])
+            order = np.argsort(hashes, kind="stable")
+            self.runs[q] = hashes[order], owner[order]
+        self.need = np.array([needed(len(a)) for _, a in self.items], dtype=np.int64)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for n, members in self.sizes.items():
-            keys = self._keys(np.stack([self.items[k][1] for k in members]))
-            tables: list[dict[int, list[int]]] = []
-            for row in keys:
-                table: dict[int, list[int]] = {}
-                for k, key in zip(members, row.tolist(), strict=True):
+            self.tables[n] = [{} for _ in range(WALKS * SAMPLINGS)]
+            for table, row in zip(self.tables[n], keys_of(np.stack([self.items[k][1] for k in members])).tolist(), strict=True):
+                for k, key in zip(members, row, strict=True):
                     table.setdefault(key, []).append(k)
-                tables.append(table)
-            self.tables[n] = tables
-
-    @staticmethod
-    def _runs(a: np.ndarray, q: int) -> np.ndarray:
-        """A hash of each run of q words; runs with a word that no item has are 0."""
-        m = len(a) - q + 1
-        if m <= 0:
-            return np.empty(0, dtype=np.uint64)
-        out, known = np.zeros(m, dtype=np.uint64), np.ones(m, dtype=bool)
-        for j in range(q):
-            part = a[j : j + m]
-            known &= part > 0
-            out = mix(out * np.uint64(0x9FB21C651E98DF25) + part.astype(np.uint64) + np.uint64(1))
-        return np.where(known, out, np.uint64(0))
-
-    @staticmethod
-    def needed(n: int) -> int:
-        """Runs of an item of n words that allowed(n) edits leave at least."""
-        q = min(RUN, n)
-        return max(1, n - q + 1 - q * allowed(n))
-
-    def _keys(self, windows: np.ndarray) -> np.ndarray:
-        """(TABLES, windows) keys of windows (all of one size): CGK walks, and the sampled places hashed."""
-        count, n = windows.shape
-        padded = np.concatenate([windows, np.full((count, 1), -1)], axis=1)
-        rows = np.arange(count)
-        out = np.empty((TABLES, count), dtype=np.int64)
-        random = np.random.default_rng(n)
-        for t in range(TABLES):
-            # Places late in the walk have drifted further; sampling the first 1.5 n steps covers most of the item.
-            places = np.sort(random.choice(max(PLACES, n + n // 2), PLACES, replace=False))
-            at, key, wanted = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.uint64), set(places.tolist())
-            for j in range(int(places[-1]) + 1):
-                now = padded[rows, np.minimum(at, n)]
-                if j in wanted:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + now.astype(np.uint64))
-                at += (mix(now.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((t << 32) + j)) >> np.uint64(63)).astype(np.int64)
-            out[t] = key.view(np.int64)
+
+    def windows(self, numbers: np.ndarray, bounds: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """By size, (document, start) of the windows that keep enough runs of some item of that size."""
+        doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out: dict[int, set[tuple[int, int]]] = {}
+        for q, (hashes, owner) in self.runs.items():
+            found = _run_hashes(numbers, q)
+            low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            spot = np.flatnonzero((high > low) & (found != 0))
+            spot = spot[doc_of[spot] == doc_of[spot + q - 1]]
+            many = high[spot] - low[spot]
+            place = np.repeat(spot, many)
+            item = owner[np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[spot], many)]
+            pair = doc_of[place] * len(self.items) + item
+            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+            keep = count[inverse] >= self.need[item]
+            pair, place, item = pair[keep], place[keep], item[keep]
+            order = np.lexsort((place, pair))
+            pair, place, item = pair[order], place[order], item[order]
+            # n words may be spread over n + allowed(n) words of the document: `need` runs within that reach.
+            for i in range(len(pair)):
+                n = len(self.items[item[i]][1])
+                j, reach = i + self.need[item[i]] - 1, n + allowed(n) - q
+                if j < len(pair) and pair[j] == pair[i] and place[j] - place[i] <= reach:
+                    d = int(doc_of[place[i]])
+                    first = max(int(bounds[d]), int(place[j]) - reach)
+                    out.setdefault(n, set()).update((d, s) for s in range(first, int(place[i]) + 1))
         return out
 
-    def matches(self, numbers: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item id, edits, n, start, end) of the best run of the document for each item that it matches."""
-        found = []
-        hits = {q: np.concatenate([[0], np.cumsum(np.isin(self._runs(numbers, q), runs))]) for q, runs in self.runs.items()}
-        top = {q: int(h[-1]) for q, h in hits.items()}
-        for n, members in self.sizes.items():
-            q, need, slack = min(RUN, n), self.needed(n), allowed(n)
-            if top[q] < need:
-                continue
-            h = hits[q]
-            last = len(h) - 1
-            lo = np.arange(last)
-            # n words may be spread over n + slack words of the document.
-            starts = np.flatnonzero(h[np.minimum(lo + n + slack - q + 1, last)] - h[lo] >= need)
-            if not len(starts):
-                continue
-            padded = np.concatenate([numbers, np.full(n, -1)])
-            candidates: dict[int, list[int]] = {}
-            for i in range(0, len(starts), 4096):
-                part = starts[i : i + 4096]
-                keys = self._keys(padded[part[:, None] + np.arange(n)[None, :]])
-                for table, row in zip(self.tables[n], keys, strict=True):
-                    for s, key in zip(part.tolist(), row.tolist(), strict=True):
+    def matches(self, texts: list[list[int]]) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item id, edits, n, start, end) of the best run of each text for each item that it matches."""
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        numbers = np.fromiter(chain.from_iterable(texts), dtype=np.int64, count=int(bounds[-1]))
+        candidates: dict[tuple[int, int], set[int]] = {}
+        for n, spots in self.windows(numbers, bounds).items():
+            rows = np.array(sorted(spots), dtype=np.int64)
+            for i in range(0, len(rows), WINDOWS):
+                doc, start = rows[i : i + WINDOWS].T
+                at = start[:, None] + np.arange(n)[None, :]
+                inside = at < bounds[doc + 1][:, None]
+                keys = keys_of(np.where(inside, numbers[np.minimum(at, len(numbers) - 1)], -1))
+                for table, row in zip(self.tables[n], keys.tolist(), strict=True):
+                    for d, s, key in zip(doc.tolist(), start.tolist(), row, strict=True):
                         for k in table.get(key, ()):
-                            candidates.setdefault(k, []).append(s)
-            for k, spots in candidates.items():
-                item_id, item = self.items[k]
-                best = None
-                for lo_, hi in _regions(sorted(set(spots)), n + 2 * slack):
-                    a, b = max(0, lo_ - slack), min(len(numbers), hi + n + slack)
-                    edits, end, start = best_run(item, numbers[a:b])
-                    if edits <= slack and (best is None or (edits, a + start) < best[:2]):
-                        best = edits, a + start, a + end
-                if best:
-                    found.append((item_id, best[0], n, best[1], best[2]))
+                            candidates.setdefault((d, k), set()).add(s)
+        found = []
+        for (d, k), spots in candidates.items():
+            (item_id, item), best = self.items[k], None
+            slack = allowed(len(item))
+            for low, high in _regions(sorted(spots), len(item) + 2 * slack):
+                a, b = max(int(bounds[d]), low - slack), min(int(bounds[d + 1]), high + len(item) + slack)
+                edits, end, start = best_run(item, numbers[a:b])
+                if edits <= slack and (best is None or (edits, a + start) < best[:2]):
+                    best = edits, a + start, a + end
+            if best:
+                found.append((d, item_id, best[0], len(item), best[1] - int(bounds[d]), best[2] - int(bounds[d])))
         return found
 
 
@@ -215,11 +243,14 @@ def _scan(sent, tag: str):
         items = _BUILT[tag]
         number = items.vocabulary.get
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                numbers = np.fromiter((number(w, 0) for w in words), dtype=np.int64, count=len(words))
-                rows += [(i, *m) for m in items.matches(numbers)]
+            rows, ids, texts, size = [], batch.column(0).to_pylist(), [], 0
+            for i, text in enumerate(batch.column(1).to_pylist(), 1):
+                texts.append([number(w, 0) for w in words_of(text)])
+                size += len(texts[-1])
+                if size >= GROUP_WORDS or i == len(ids):
+                    first = i - len(texts)
+                    rows += [(ids[first + m[0]], *m[1:]) for m in items.matches(texts)]
+                    texts, size = [], 0
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 

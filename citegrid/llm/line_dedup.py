@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: A line goes if more than this share of its host's pages holds it, and at least so many pages.
 RATIO, MIN_PAGES = 0.1, 5
@@ -50,18 +50,19 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     are never shuffled.
     """
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    hosts = found.groupBy("host").agg(F.collect_list("line").alias("_boiler")).withColumnRenamed("host", "_host")
+    own, boiler, kept = (fresh(docs, n) for n in ("_host", "_boiler", "_kept"))
+    hosts = found.groupBy(F.col("host").alias(own)).agg(F.collect_list("line").alias(boiler))
     if found.count() <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     host = F.coalesce(F.concat(F.lit("h:"), F.col(host_col).cast("string")), F.lit("null"))
     lines = _lines(F.col(text_col))
-    kept = F.when(F.col("_boiler").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_boiler"), _key(x)), F.lit(False)))
+    left = F.when(F.col(boiler).isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(boiler), _key(x)), F.lit(False)))
     )
-    joined = docs.withColumn("_host", host).join(hosts, "_host", "left").withColumn("_kept", kept)
-    text = F.when(F.size("_kept") == F.size(lines), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    made = F.struct(text.alias("text"), F.size(lines).alias("n_lines"), (F.size(lines) - F.size("_kept")).alias("n_dropped"))
-    return joined.withColumn("_line_dedup", made).drop("_host", "_boiler", "_kept")
+    joined = docs.withColumn(own, host).join(hosts, own, "left").withColumn(kept, left)
+    text = F.when(F.size(kept) == F.size(lines), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    made = F.struct(text.alias("text"), F.size(lines).alias("n_lines"), (F.size(lines) - F.size(kept)).alias("n_dropped"))
+    return joined.select(*docs.columns, made.alias("_line_dedup"))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import fresh, written
 
 #: Labelled rows that training reads at most; terms of the learned lexicon at most; documents a term must stand in.
 TRAIN_ROWS, TERMS, SUPPORT = 20_000, 400, 4
@@ -90,10 +89,10 @@ def features_of(text: str, codes: _Codes) -> list[float]:
     return [insults / n, terms / n, stems / n, float(np.log1p(terms)), float(np.log1p(stems)), you / n, near / n, caps / n, loud / n, odd / n, float(np.log1p(n))]
 
 
-def with_features(docs: DataFrame, lexicon: tuple[list[str], list[str]], text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs without the columns of drop, and `_features`; every row keeps its other columns."""
+def with_features(docs: DataFrame, lexicon: tuple[list[str], list[str]], text_col: str = "text", drop: tuple[str, ...] = (), out: str = "_features") -> DataFrame:
+    """docs without the columns of drop, and the features; every row keeps its other columns."""
     kept = [f.name for f in docs.schema if f.name not in drop]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("_features", T.ArrayType(T.DoubleType(), False))])
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.ArrayType(T.DoubleType(), False))])
     words, stems = map(frozenset, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +100,7 @@ def with_features(docs: DataFrame, lexicon: tuple[list[str], list[str]], text_co
         for batch in batches:
             rows = [features_of(x or "", codes) for x in batch.column(text_col).to_pylist()]
             made = pa.array(rows, pa.list_(pa.field("element", pa.float64(), nullable=False)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], names=[*kept, "_features"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], names=[*kept, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -116,17 +115,19 @@ class Model:
     def __init__(self, lexicon, trees, steps, constant: float = 0.0):
         self.lexicon, self.trees, self.steps, self.constant = lexicon, trees, steps, constant
 
-    def score(self, docs: DataFrame, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-        """docs (without drop) with a column `_score` from 0 to 1."""
+    def score(self, docs: DataFrame, text_col: str = "text", drop: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+        """docs (without drop) with a column `out` from 0 to 1."""
         if self.trees is None:
-            return docs.drop(*drop).withColumn("_score", F.lit(float(self.constant)))
-        scored = self.trees.transform(with_features(docs, self.lexicon, text_col, drop).withColumn("_vector", array_to_vector("_features")))
-        scored = scored.withColumn("_raw", vector_to_array("_probability")[1])
+            return docs.drop(*drop).withColumn(out, F.lit(float(self.constant)))
+        kept = [F.col(c) for c in docs.columns if c not in drop]
+        names = {n: fresh(docs, f"_toxicity_{n}") for n in ("features", "vector", "raw", "probability", "prediction", "first", "calibrated")}
+        made = with_features(docs, self.lexicon, text_col, drop, names["features"]).withColumn(names["vector"], array_to_vector(names["features"]))
+        trees = self.trees.copy().setFeaturesCol(names["vector"]).setRawPredictionCol(names["raw"]).setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
+        scored, score = trees.transform(made).withColumn(names["first"], vector_to_array(names["probability"])[1]), F.col(names["first"])
         if self.steps is not None:
-            scored = self.steps.transform(scored).withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_calibrated"))))
-        else:
-            scored = scored.withColumn("_score", F.col("_raw"))
-        return scored.drop("_features", "_vector", "_rawPrediction", "_probability", "_prediction", "_raw", "_calibrated")
+            steps = self.steps.copy().setFeaturesCol(names["first"]).setPredictionCol(names["calibrated"])
+            scored, score = steps.transform(scored), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(names["calibrated"])))
+        return scored.select(*kept, score.alias(out))
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
@@ -175,9 +176,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     scored = fit(docs, labels).score(slim, "text", ("text",))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents scored 0.5 or more."""
-    return fit(docs, labels).score(docs).where("_score < 0.5").drop("_score")
+    score = fresh(docs, "_score")
+    return fit(docs, labels).score(docs, out=score).where(F.col(score) < 0.5).drop(score)
