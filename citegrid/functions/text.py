@@ -11,6 +11,11 @@ STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with", "ye
 SPACE = r"[\s\p{Z}]"
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside lambdas (which would compute it each time)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space (Unicode's too) as one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), "^ | $", "")
@@ -84,6 +89,10 @@ def chunk_text(text: Column, size: int = 950, overlap: int = 140) -> Column:
     starts `overlap` before that end. One fold over a sequence long enough for the shortest steps, so it stays inside
     the plan; null and empty texts have no chunks.
     """
+    return F.coalesce(bind(text, lambda x: _chunks(x, size, overlap)), F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def _chunks(text: Column, size: int, overlap: int) -> Column:
     n, half = F.char_length(text), size // 2
     steps = F.sequence(F.lit(0), F.ceil(n / F.lit(half - overlap + 1)).cast("int") + 1)
 

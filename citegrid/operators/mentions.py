@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +20,11 @@ _HIT = "array<struct<kind:string,key:string,start:int,snippet:string>>"
 
 def head_mentions(pages: DataFrame) -> DataFrame:
     """doc_id, page, hit_ord, kind, key of the first token of each reference, without a UDF."""
-    kinds = [F.transform(F.regexp_extract_all("text", F.lit("(?i)" + p), 1), lambda k, n=n: F.struct(F.lit(n).alias("kind"), F.lower(strip_marker(k)).alias("key"))) for n, p in (("figure", FIGURE_REF), ("table", TABLE_REF))]
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit("(?i)" + pattern), 1), lambda k: F.struct(F.lit(kind).alias("kind"), F.lower(strip_marker(k)).alias("key")))
+
+    kinds = [of("figure", FIGURE_REF), of("table", TABLE_REF)]
     return pages.select("doc_id", "page", "hit_ord", F.explode(F.concat(*kinds)).alias("h")).select("doc_id", "page", "hit_ord", "h.kind", "h.key")
 
 

@@ -45,21 +45,27 @@ def concept_filter(papers: DataFrame, groups: Sequence[Sequence[str]], excluded:
     wanted, banned = [t for g in groups for t in _terms(g)], _terms(excluded)
     if len(wanted) + len(banned) > literal_terms:
         return _concept_join(papers, wanted, banned)
-    text = search_text()
-    keyed = papers.withColumn("_text", text)
-    matched = F.filter(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda t: T.has_phrase(F.col("_text"), t))
-    dropped = F.exists(F.array(*map(F.lit, banned)).cast("array<string>"), lambda t: T.has_phrase(F.col("_text"), t))
-    return keyed.withColumn("matched", matched).withColumn("included", ((F.size("matched") > 0) | F.lit(not wanted)) & ~dropped).drop("_text")
+    literal = lambda terms: F.array(*map(F.lit, terms)).cast("array<string>")
+    found = T.bind(search_text(), lambda x: F.struct(F.filter(literal(wanted), lambda t: T.has_phrase(x, t)).alias("matched"), F.exists(literal(banned), lambda t: T.has_phrase(x, t)).alias("banned")))
+    keyed = papers.withColumn("_found", found).withColumn("matched", F.col("_found.matched"))
+    return keyed.withColumn("included", ((F.size("matched") > 0) | F.lit(not wanted)) & ~F.col("_found.banned")).drop("_found")
 
 
 def _concept_join(papers: DataFrame, wanted: list[str], banned: list[str]) -> DataFrame:
     """The same by an equi-join on runs of words; needs a column ord that tells papers apart."""
     rows = [(t, i, False) for i, t in enumerate(wanted)] + [(t, i, True) for i, t in enumerate(banned)]
     terms = papers.sparkSession.createDataFrame(rows, "term string, place int, banned boolean")
-    words = F.split(search_text(), " ")
-    sizes = sorted({t.count(" ") + 1 for t in wanted + banned})
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in sizes]))
-    hits = papers.select("ord", F.explode(F.array_distinct(runs)).alias("term")).join(terms, "term")
+    longest = max((t.count(" ") + 1 for t in wanted + banned), default=1)
+
+    def runs(words: Column) -> Column:
+        """Runs of 1 to `longest` words, each length from the one before and the words that follow."""
+        out, grams = [words], words
+        for n in range(2, longest + 1):
+            grams = F.zip_with(grams, F.slice(words, n, F.greatest(F.lit(0), F.size(words) - n + 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+            out.append(grams)
+        return F.array_distinct(F.array_compact(F.flatten(F.array(*out))))
+
+    hits = papers.select("ord", F.explode(T.bind(F.split(search_text(), " "), runs)).alias("term")).join(terms, "term")
     found = hits.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.when(~F.col("banned"), F.struct("place", "term")))), lambda x: x["term"]).alias("matched"), F.bool_or("banned").alias("_banned"))
     out = papers.join(found, "ord", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
     return out.withColumn("included", ((F.size("matched") > 0) | F.lit(not wanted)) & ~F.coalesce("_banned", F.lit(False))).drop("_banned")

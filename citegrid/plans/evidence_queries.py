@@ -1 +1,233 @@
-"""Queries."""
+"""Queries of evidence, claims, review and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evals, evidence, metrics, review
+from .registry import query
+
+CITED = """SELECT r.evidence_id, c.claim_ord, r.pos, c.paper_id, c.field_no, c.scope, c.value, n.evidence_count FROM {claims} c JOIN {refs} r USING (claim_ord)
+ JOIN (SELECT claim_ord, count(*) AS evidence_count FROM {refs} GROUP BY 1) n USING (claim_ord) WHERE c.kind = 'supported'"""
+INDEX = f"SELECT evidence_id, count(*) AS cited_by, bool_or(scope = 'comparison') AS supports_comparison, min(claim_ord) AS first_claim, max(claim_ord) AS last_claim FROM ({CITED}) GROUP BY 1"
+
+
+def citations(t):
+    return review.explode_citations(t("claims"), t("refs"))
+
+
+@query(CITED)
+def j05_explode_citations(t):
+    return citations(t)
+
+
+@query(INDEX)
+def a09_citation_index(t):
+    return review.citation_index(citations(t))
+
+
+@query(f"WITH c AS ({CITED}) SELECT evidence_id, arg_min(claim_ord, (claim_ord, pos)) AS claim_ord, arg_min(value, (claim_ord, pos)) AS value FROM c WHERE evidence_id IN (SELECT evidence_id FROM {{evidence}} WHERE evidence_type IN ('figure', 'table')) GROUP BY 1")
+def a20_review_targets(t):
+    return review.review_targets(citations(t), t("evidence"))
+
+
+@query(f"SELECT evidence_id, count(*) AS cited_total, count_if(evidence_count = 1) AS downgrade, count_if(evidence_count <> 1) AS retained, bool_or(scope = 'comparison') AS supports_comparison FROM ({CITED}) GROUP BY 1")
+def a22_impact_preview(t):
+    return review.impact_preview(citations(t))
+
+
+QUEUE = f"""SELECT evidence_id, ord, evidence_type, status, source, cited_by, segment, priority FROM (
+ SELECT e.evidence_id, e.ord, e.evidence_type, r.status, r.source, coalesce(i.cited_by, 0) AS cited_by, coalesce(r.status = 'doubted', false) AS doubted, coalesce(r.source = 'human', false) AS human,
+  CASE WHEN coalesce(r.status = 'doubted', false) AND coalesce(i.cited_by, 0) > 0 THEN 'high_risk' WHEN NOT coalesce(r.source = 'human', false) AND coalesce(i.cited_by, 0) >= 2 AND e.evidence_type IN ('figure', 'table') THEN 'high_impact' ELSE 'normal' END AS segment,
+  round_even(0.45 * least(CAST(coalesce(i.cited_by, 0) AS DOUBLE), 5.0) / 5.0 + 0.25 * CASE WHEN i.supports_comparison THEN 1.0 ELSE 0.0 END + 0.20 * CASE WHEN r.status = 'doubted' THEN 1.0 ELSE 0.0 END + 0.10 * (1.0 - CAST(e.confidence AS DOUBLE)), 9) AS priority
+ FROM {{evidence}} e LEFT JOIN {{reviews}} r USING (evidence_id) LEFT JOIN ({INDEX}) i USING (evidence_id))
+WHERE coalesce(status, '') <> 'excluded' AND NOT (human AND NOT doubted) AND NOT (cited_by = 0 AND evidence_type = 'text')"""
+
+
+def queue(t):
+    out = review.build_queue(t("evidence"), t("reviews"), review.citation_index(citations(t)))
+    return out.select("evidence_id", "ord", "evidence_type", "status", "source", "cited_by", "segment", "priority")
+
+
+@query(QUEUE)
+def f27_build_queue(t):
+    return queue(t)
+
+
+@query(f"SELECT evidence_id, priority FROM ({QUEUE}) WHERE segment IN ('high_risk', 'high_impact')")
+def p17_filter_segment(t):
+    return review.filter_segment(queue(t), "priority").select("evidence_id", "priority")
+
+
+@query(f"SELECT evidence_id, priority, row_number() OVER (ORDER BY priority DESC, ord) - 1 AS position FROM ({QUEUE})")
+def k07_order_queue(t):
+    return review.order_queue(queue(t)).select("evidence_id", "priority", "position")
+
+
+@query(f"SELECT count_if(segment = 'high_risk') AS high_risk, count_if(segment = 'high_impact') AS high_impact, count(*) AS actionable, (SELECT count_if(status = 'excluded') FROM {{reviews}}) AS excluded FROM ({QUEUE})")
+def a23_queue_stats(t):
+    return review.queue_stats(queue(t), t("reviews"))
+
+
+@query("SELECT evidence_id, evidence_type FROM {evidence} WHERE evidence_id NOT IN (SELECT evidence_id FROM {reviews} WHERE status <> 'unreviewed')")
+def j02_undecided(t):
+    return review.undecided(t("evidence"), t("reviews")).select("evidence_id", "evidence_type")
+
+
+@query("SELECT evidence_id, evidence_type FROM {evidence} WHERE evidence_id NOT IN (SELECT evidence_id FROM {reviews} WHERE status = 'excluded')")
+def j03_drop_excluded(t):
+    return review.drop_excluded(t("evidence"), t("reviews")).select("evidence_id", "evidence_type")
+
+
+@query("""SELECT c.claim_ord, c.value, coalesce(e.evidence, '') AS evidence FROM {claims} c LEFT JOIN (SELECT claim_ord, string_agg(evidence_id || ':' || evidence_type || ':' || page, ',' ORDER BY pos, evidence_id) AS evidence
+ FROM {refs} JOIN (SELECT * FROM {evidence} WHERE page <> 5) USING (evidence_id) GROUP BY 1) e USING (claim_ord)""")
+def j06_inline_evidence(t):
+    out = review.inline_evidence(t("claims"), t("refs"), t("evidence").where("page <> 5"))
+    texts = F.transform("evidence", lambda e: F.concat_ws(":", e["evidence_id"], e["evidence_type"], e["page"]))
+    return out.select("claim_ord", "value", F.array_join(texts, ",").alias("evidence"))
+
+
+@query("""SELECT evidence_id, count(*) AS n_checks, count_if(status = 'consistent') AS n_consistent, count_if(status = 'inconsistent') AS n_inconsistent, count_if(status = 'unverifiable') AS n_unverifiable,
+ CASE WHEN count_if(status = 'inconsistent') > 0 THEN 'doubted' WHEN count_if(status = 'consistent') = count(*) THEN 'confirmed' END AS status FROM {checks} GROUP BY 1""")
+def a18_consensus(t):
+    return review.consensus(t("checks"))
+
+
+@query(f"SELECT count(*) AS high_risk FROM {{reviews}} WHERE status = 'doubted' AND evidence_id IN (SELECT evidence_id FROM ({CITED}))")
+def a21_high_risk_count(t):
+    return review.high_risk_count(citations(t), t("reviews"))
+
+
+@query("SELECT DISTINCT paper_id, evidence_id FROM {claims} JOIN {refs} USING (claim_ord)")
+def a25_cited_ids(t):
+    return review.cited_ids(t("claims"), t("refs"))
+
+
+@query("""WITH b AS (SELECT DISTINCT claim_ord FROM {refs} WHERE evidence_id NOT IN (SELECT evidence_id FROM {evidence} WHERE page <> 3)), n AS (SELECT claim_ord, count(*) AS n FROM {refs} GROUP BY 1)
+SELECT c.claim_ord, CASE WHEN b.claim_ord IS NOT NULL THEN 'inference' ELSE kind END AS kind, CASE WHEN b.claim_ord IS NOT NULL THEN 0 ELSE coalesce(n.n, 0) END AS n_refs FROM {claims} c LEFT JOIN b USING (claim_ord) LEFT JOIN n USING (claim_ord)""")
+def f28_sanitize_claims(t):
+    return review.sanitize_claims(t("claims"), t("refs"), t("evidence").where("page <> 3")).select("claim_ord", "kind", "n_refs")
+
+
+@query("SELECT claim_ord, field_no % 2 AS field_no, value FROM {claims}")
+def u02_flatten_claims(t):
+    claims = t("claims").select("claim_ord", F.array(F.struct("value")).alias("c"), (F.col("field_no") % 2).alias("f"))
+    empty = F.array().cast("array<struct<value:string>>")
+    wide = claims.select("claim_ord", F.when(F.col("f") == 0, F.col("c")).otherwise(empty).alias("problem"), F.when(F.col("f") == 1, F.col("c")).otherwise(empty).alias("methods"))
+    return review.flatten_claims(wide, ["claim_ord"], ["problem", "methods"]).select("claim_ord", "field_no", "value")
+
+
+@query("SELECT count_if(status = 'confirmed') AS confirmed, count_if(status = 'doubted') AS doubted, count_if(status = 'excluded') AS excluded, count_if(status = 'unreviewed') AS unreviewed FROM {reviews}")
+def a11_review_counts(t):
+    return metrics.review_counts(t("reviews"))
+
+
+# chunks and addresses
+
+
+def pages(t):
+    return t("documents").select("doc_id", F.lit(1).alias("page"), "text")
+
+
+@query()
+def f24_chunks(t):
+    return evidence.chunks(pages(t))
+
+
+@query()
+def a08_build_evidence(t):
+    return evidence.build_evidence(evidence.chunks(pages(t)), pages(t))
+
+
+@query("SELECT true AS ok, (SELECT count(*) FROM documents) > 0 AS some")
+def j14_verify_sources(t):
+    made = evidence.build_evidence(evidence.chunks(pages(t)), pages(t))
+    return evidence.verify_sources(made, pages(t)).agg(F.bool_and("ok").alias("ok"), (F.count(F.lit(1)) > 0).alias("some"))
+
+
+def _occ(w: str) -> str:
+    return f"CAST((length(claim) - length(replace(claim, '{w}', ''))) / {len(w)} AS INT)"
+
+
+ROUTED = f"""SELECT *, 2 * {_occ('ea')} + 2 * {_occ('rose')} + CASE WHEN contains(claim, 'blue') THEN 1 ELSE 0 END + CASE WHEN section_type IN ('experiment') THEN 3 ELSE 0 END
+ + CASE WHEN page >= max(page) OVER (PARTITION BY paper_id) - 2 THEN 4 ELSE 0 END AS score FROM {{evidence}}"""
+
+
+def routed(t):
+    from pyspark.sql import Window
+
+    rows = t("evidence").withColumn("last_page", F.max("page").over(Window.partitionBy("paper_id")))
+    return rows.withColumn("score", evidence.routing_score(F.col("claim"), F.col("section_type"), F.col("page"), F.col("last_page"), "experiment", ("blue",), ("ea", "rose")))
+
+
+@query(f"SELECT evidence_id, score FROM ({ROUTED})")
+def f25_routing_score(t):
+    return routed(t).select("evidence_id", "score")
+
+
+@query(f"SELECT evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, page, ord) AS rank FROM (SELECT * FROM ({ROUTED}) QUALIFY row_number() OVER (PARTITION BY paper_id, page ORDER BY score DESC, page, ord) <= 2)) WHERE rank <= 8")
+def w05_select_text(t):
+    return evidence.select_text(routed(t), 8).select("evidence_id", "rank")
+
+
+@query(f"SELECT evidence_id, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, ord) AS rank FROM ({ROUTED}) WHERE evidence_type <> 'text' QUALIFY rank <= 5")
+def k06_select_visuals(t):
+    return evidence.select_visuals(routed(t), 5).select("evidence_id", "rank")
+
+
+@query("SELECT evidence_id, evidence_type FROM {evidence} WHERE evidence_type <> 'table'")
+def u05_evidence_pool(t):
+    rows = t("evidence").select("evidence_id", "evidence_type")
+    return evidence.evidence_pool(rows.where("evidence_type = 'text'"), rows.where("evidence_type = 'figure'"))
+
+
+@query("""WITH x AS (SELECT evidence_id, p_partkey % 7 AS doc_id, p_partkey % 3 AS paper_id, 'f' || (p_partkey % 4) AS file_sha256 FROM (SELECT *, evidence_id AS p_partkey FROM {evidence})), d AS (SELECT DISTINCT paper_id % 6 AS doc_id, paper_id % 3 AS paper_id, 'f' || (paper_id % 2) AS file_sha256 FROM {evidence} WHERE paper_id < 6)
+SELECT x.evidence_id, CASE WHEN d.paper_id IS NULL THEN 'no document' WHEN d.paper_id <> x.paper_id THEN 'paper differs' ELSE 'file differs' END AS violation FROM x LEFT JOIN d USING (doc_id) WHERE d.paper_id IS NULL OR d.paper_id <> x.paper_id OR d.file_sha256 <> x.file_sha256""")
+def j15_check_links(t):
+    e = t("evidence")
+    rows = e.select("evidence_id", (F.col("evidence_id") % 7).alias("doc_id"), (F.col("evidence_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("evidence_id") % 4).alias("file_sha256"))
+    docs = e.where("paper_id < 6").select((F.col("paper_id") % 6).alias("doc_id"), (F.col("paper_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("paper_id") % 2).alias("file_sha256")).distinct()
+    return evidence.check_links(rows, docs).select("evidence_id", "violation")
+
+
+@query("""SELECT p.paper_id, coalesce(string_agg(evidence_id::VARCHAR, ',' ORDER BY ord) FILTER (WHERE evidence_type = 'text'), '') AS texts, coalesce(string_agg(evidence_id::VARCHAR, ',' ORDER BY ord) FILTER (WHERE evidence_type = 'figure'), '') AS figures,
+ coalesce(string_agg(evidence_id::VARCHAR, ',' ORDER BY ord) FILTER (WHERE evidence_type = 'table'), '') AS tables FROM (SELECT c_custkey AS paper_id FROM customer) p LEFT JOIN {evidence} e ON e.paper_id = p.paper_id GROUP BY p.paper_id""")
+def j26_paper_detail(t):
+    out = evidence.paper_detail(t("customer").select(F.col("c_custkey").cast("long").alias("paper_id")), t("evidence"))
+    return out.select("paper_id", *[F.array_join(c, ",").alias(c) for c in ("texts", "figures", "tables")])
+
+
+# evaluation
+
+
+@query("""WITH c AS (SELECT count_if(relevant AND predicted) AS tp, count_if(NOT relevant AND predicted) AS fp, count_if(relevant AND NOT predicted) AS fn, count_if(NOT relevant AND NOT predicted) AS tn FROM {gold})
+SELECT *, round_even(tp / (tp + fp), 6) AS precision, round_even(tp / (tp + fn), 6) AS recall, round_even(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def a27_confusion(t):
+    return evals.confusion(t("gold"))
+
+
+@query("""WITH s AS (SELECT category, CASE WHEN relevant = predicted THEN 1.0 ELSE 0.5 END AS score FROM {gold})
+SELECT category, count(*) AS n, round_even(avg(score), 6) AS mean_score, round_even(avg(CASE WHEN score >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM s GROUP BY ROLLUP (category)""")
+def a29_run_aggregate(t):
+    scored = t("gold").withColumn("score", F.when(F.col("relevant") == F.col("predicted"), 1.0).otherwise(0.5))
+    return evals.run_aggregate(scored.withColumn("passed", F.col("score") >= 0.8))
+
+
+@query("SELECT gold, count_if(gold = status) AS correct, count(*) AS total, round_even(count_if(gold = status) / count(*), 3) AS accuracy FROM {checks} GROUP BY ROLLUP (gold)")
+def a30_class_accuracy(t):
+    return evals.class_accuracy(t("checks"), "gold", "status")
+
+
+@query("""WITH e AS (SELECT paper_id, list(DISTINCT evidence_id % 12) FILTER (WHERE evidence_type <> 'text') AS a, list(DISTINCT evidence_id % 12) FILTER (WHERE evidence_type <> 'figure') AS b FROM {evidence} GROUP BY 1), s AS (SELECT paper_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM e)
+SELECT paper_id, round_even(len(list_intersect(a, b)) / len(b), 6) AS precision, round_even(len(list_intersect(a, b)) / len(a), 6) AS recall, round_even(2 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS f1, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset FROM s WHERE len(a) > 0 AND len(b) > 0""")
+def a26_set_f1(t):
+    key = F.col("evidence_id") % 12
+    sets = t("evidence").groupBy("paper_id").agg(F.collect_set(F.when(F.col("evidence_type") != "text", key)).alias("a"), F.collect_set(F.when(F.col("evidence_type") != "figure", key)).alias("b")).where("size(a) > 0 AND size(b) > 0")
+    scored = sets.withColumn("s", evals.set_f1(F.col("a"), F.col("b")))
+    return scored.select("paper_id", *[F.bround(F.col("s")[c], 6).alias(c) for c in ("precision", "recall", "f1")], evals.is_subset(F.col("a"), F.col("b")).alias("subset"))
+
+
+@query("SELECT relevant, count(*) AS n FROM {gold} GROUP BY 1")
+def u03_split(t):
+    yes, no = evals.split(t("gold"), F.col("relevant"))
+    return yes.unionByName(no).groupBy("relevant").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,194 @@
-"""Queries."""
+"""Queries of ledgers, progress, usage and traces."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ledger, metrics, resolve
+from .registry import query
+
+LEDGER = "SELECT * FROM {work_items} QUALIFY row_number() OVER (PARTITION BY project_id, run_scope, item_key ORDER BY updated_at DESC, ord DESC) = 1"
+
+
+def items(t):
+    return resolve.latest_per_key(t("work_items"), ledger.ITEM, ["updated_at", "ord"])
+
+
+@query(f"""WITH l AS ({LEDGER}), j AS (SELECT i.*, l.input_hash AS h, l.status, l.attempts AS a FROM {{work_inputs}} i LEFT JOIN l USING (project_id, run_scope, item_key)),
+d AS (SELECT *, CASE WHEN h IS NULL THEN 'run' WHEN h <> input_hash THEN 'conflict' WHEN status = 'completed' THEN 'reuse' ELSE 'run' END AS decision FROM j)
+SELECT project_id, run_scope, item_key, decision, CASE WHEN decision = 'run' THEN coalesce(a, 0) + 1 ELSE coalesce(a, 0) END AS attempts FROM d""")
+def l01_plan_work(t):
+    return ledger.plan_work(t("work_inputs"), items(t)).select(*ledger.ITEM, "decision", "attempts")
+
+
+@query(f"""WITH l AS ({LEDGER}), r AS (SELECT project_id, run_scope, item_key, 'completed' AS status, attempts + 1 AS attempts FROM l WHERE status = 'running')
+SELECT project_id, run_scope, item_key, coalesce(r.status, l.status) AS status, coalesce(r.attempts, l.attempts) AS attempts FROM l LEFT JOIN r USING (project_id, run_scope, item_key)""")
+def l02_finish_work(t):
+    have = items(t)
+    done = have.where("status = 'running'").withColumn("status", F.lit("completed")).withColumn("attempts", F.col("attempts") + 1)
+    return ledger.finish_work(have, done).select(*ledger.ITEM, "status", "attempts")
+
+
+@query(f"WITH l AS ({LEDGER}) SELECT project_id, run_scope, item_key FROM l WHERE NOT (starts_with(run_scope, 'scope1') AND item_key IN ('k1', 'k5', 'k9') AND project_id % 2 = 0)")
+def l03_invalidate(t):
+    have = items(t)
+    chosen = have.where("item_key IN ('k1', 'k5', 'k9') AND project_id % 2 = 0").select("project_id", "item_key").distinct()
+    return ledger.invalidate(have, chosen, "scope1").select(*ledger.ITEM)
+
+
+@query("SELECT 'jobs' AS name, count(*) AS n FROM {jobs} WHERE project_id % 10 <> 0 UNION ALL SELECT 'usage', count(*) FROM {usage} WHERE project_id NOT IN (SELECT project_id FROM {projects} WHERE project_id % 10 = 0)")
+def l04_reset_project(t):
+    left = ledger.reset_project({"jobs": t("jobs"), "usage": t("usage")}, t("projects").where("project_id % 10 = 0"))
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT project_id, run_scope, item_key, attempts FROM ({LEDGER}) WHERE status = 'completed' AND attempts > 1")
+def l05_recovered(t):
+    return ledger.recovered(items(t)).select(*ledger.ITEM, "attempts")
+
+
+PROGRESS = "SELECT CAST(c_custkey AS BIGINT) AS project_id, CASE WHEN c_custkey % 3 > 0 THEN 'label ' || c_custkey END AS label, CAST(c_custkey % 9 AS INT) AS total, CAST(c_custkey % 5 AS INT) AS done FROM customer"
+UPDATES = "SELECT CAST(c_custkey + 50 AS BIGINT) AS project_id, CASE WHEN c_custkey % 2 = 0 THEN 'new' END AS label, CASE WHEN c_custkey % 4 = 0 THEN 7 END AS total, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 6 AS INT) END AS done FROM customer"
+
+
+def _progress(t, strict):
+    c = F.col("c_custkey")
+    old = t("customer").select(c.cast("long").alias("project_id"), F.when(c % 3 > 0, F.concat(F.lit("label "), c)).alias("label"), (c % 9).cast("int").alias("total"), (c % 5).cast("int").alias("done"))
+    new = t("customer").select((c + 50).cast("long").alias("project_id"), F.when(c % 2 == 0, "new").alias("label"), F.when(c % 4 == 0, 7).alias("total"), F.when(c % 5 > 0, (c % 6).cast("int")).alias("done"))
+    return ledger.upsert_progress(old, new, ["project_id"], strict)
+
+
+@query(f"SELECT project_id, coalesce(u.label, o.label) AS label, coalesce(u.total, o.total) AS total, coalesce(u.done, o.done, 0) AS done FROM ({PROGRESS}) o FULL JOIN ({UPDATES}) u USING (project_id)")
+def l06_upsert_progress(t):
+    return _progress(t, False)
+
+
+@query(f"SELECT project_id, coalesce(u.label, o.label) AS label, coalesce(u.total, o.total) AS total, CASE WHEN u.is_new THEN coalesce(u.done, 0) ELSE o.done END AS done FROM ({PROGRESS}) o FULL JOIN (SELECT *, true AS is_new FROM ({UPDATES})) u USING (project_id)")
+def l06_upsert_progress_strict(t):
+    return _progress(t, True)
+
+
+@query("SELECT evidence_id, CASE WHEN starts_with(note, 'auto') THEN 'auto' WHEN starts_with(note, 'manual') THEN 'human' END AS source FROM {reviews}")
+def l09_backfill_sources(t):
+    return ledger.backfill_sources(t("reviews").drop("source")).select("evidence_id", "source")
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id % 80 < 60 AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id % 3 = 0 AND a.doc_id % 4 <> 0 AND a.doc_id = d.doc_id AND sha256(a.text) = sha256(d.text))""")
+def j01_pending_documents(t):
+    docs = t("documents").select("doc_id", (F.col("doc_id") % 80).alias("paper_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    papers = t("documents").where("doc_id < 60").select(F.col("doc_id").alias("paper_id"))
+    analyses = docs.where("doc_id % 3 = 0").select("doc_id", "sha256", F.when(F.col("doc_id") % 4 == 0, 2).otherwise(3).alias("pipeline_version"), F.lit("completed").alias("status"))
+    return ledger.pending_documents(docs, papers, analyses).select("doc_id")
+
+
+JOB = "SELECT * FROM {jobs} QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) = 1"
+
+
+@query(f"SELECT project_id, job_id, status FROM ({JOB})")
+def a06_latest_job(t):
+    return ledger.latest_job(t("jobs")).select("project_id", "job_id", "status")
+
+
+@query(f"SELECT project_id, title FROM {{projects}} WHERE status = 'running' AND project_id IN (SELECT project_id FROM ({JOB}) WHERE status = 'failed')")
+def j19_zombie_projects(t):
+    return ledger.zombie_projects(t("projects"), t("jobs")).select("project_id", "title")
+
+
+RESULTS = "SELECT request_id AS project_id, ord % 4 AS revision, stable_id FROM {papers}"
+
+
+@query(f"WITH r AS ({RESULTS}), m AS (SELECT project_id, max(revision) AS revision FROM r GROUP BY 1) SELECT p.request_id AS project_id, p.stable_id FROM {{papers}} p JOIN r ON r.project_id = p.request_id AND r.stable_id = p.stable_id JOIN m ON m.project_id = r.project_id AND m.revision = r.revision")
+def j20_current_papers(t):
+    papers = t("papers").select(F.col("request_id").alias("project_id"), "stable_id", (F.col("ord") % 4).alias("revision"))
+    return ledger.current_papers(papers.drop("revision"), papers, papers.select("project_id", "revision"))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS project_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 60 END AS paper_id FROM orders), s AS (SELECT DISTINCT o_custkey AS project_id, o_orderkey % 60 AS paper_id FROM orders WHERE o_orderkey % 5 = 0)
+SELECT g.id, g.paper_id, p.title FROM g LEFT JOIN (SELECT ord, title FROM {papers} WHERE ord < 50) p ON p.ord = g.paper_id WHERE g.paper_id IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.project_id = g.project_id AND s.paper_id = g.paper_id)""")
+def j21_progress_board(t):
+    k = F.col("o_orderkey")
+    progress = t("orders").select(k.alias("id"), F.col("o_custkey").alias("project_id"), F.when(k % 7 > 0, k % 60).alias("paper_id"))
+    chosen = t("orders").where(k % 5 == 0).select(F.col("o_custkey").alias("project_id"), (k % 60).alias("paper_id"))
+    papers = t("papers").where("ord < 50").select(F.col("ord").alias("paper_id"), "title")
+    return ledger.progress_board(progress, chosen, papers).select("id", "paper_id", "title")
+
+
+@query("""WITH s AS (SELECT DISTINCT project_id FROM {projects}), p AS (SELECT unnest(['k1', 'k2', 'k3', 'k4', 'k5']) AS part), w AS (SELECT project_id, item_key AS part, status FROM {work_items} QUALIFY row_number() OVER (PARTITION BY project_id, item_key ORDER BY updated_at DESC, ord DESC) = 1)
+SELECT s.project_id, p.part, coalesce(w.status, 'queued') AS status FROM s CROSS JOIN p LEFT JOIN w ON w.project_id = s.project_id AND w.part = p.part""")
+def j22_analysis_blocks(t):
+    return ledger.analysis_blocks(t("projects").select("project_id").distinct(), t("work_items"), ("k1", "k2", "k3", "k4", "k5"))
+
+
+@query("SELECT paper_ord, stable_id FROM {oa_papers} WHERE paper_ord % 4 = 1")
+def j24_missing_documents(t):
+    states = t("oa_papers").select("paper_ord", F.when(F.col("paper_ord") % 4 == 1, "awaiting_upload").otherwise("acquired").alias("status"))
+    return ledger.missing_documents(t("oa_papers"), states).select("paper_ord", "stable_id")
+
+
+@query("""SELECT claim_ord, concat_ws(',', CASE WHEN kind = 'supported' AND coalesce(n, 0) = 0 THEN 'supported_has_evidence' END, CASE WHEN kind = 'inference' AND coalesce(n, 0) > 0 THEN 'inference_has_none' END, CASE WHEN field_no > 6 THEN 'field_known' END) AS violations
+FROM {claims} LEFT JOIN (SELECT claim_ord, count(*) AS n FROM {refs} GROUP BY 1) USING (claim_ord)""")
+def p06_violations(t):
+    sizes = t("refs").groupBy("claim_ord").agg(F.count(F.lit(1)).alias("n"))
+    rows = t("claims").join(sizes, "claim_ord", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rules = {"supported_has_evidence": "kind <> 'supported' OR n > 0", "inference_has_none": "kind <> 'inference' OR n = 0", "field_known": "field_no <= 6"}
+    return ledger.violations(rows, rules).select("claim_ord", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT project_id, item_key, count(*) AS n_rows FROM {work_items} GROUP BY ALL HAVING count(*) > 1")
+def p22_audit_unique(t):
+    return ledger.audit_unique(t("work_items"), ["project_id", "item_key"])
+
+
+@query("SELECT claim_ord, pos, evidence_id FROM {refs} WHERE evidence_id NOT IN (SELECT evidence_id FROM {evidence} WHERE page <> 4)")
+def p22_audit_reference(t):
+    return ledger.audit_reference(t("refs"), t("evidence").where("page <> 4"), "evidence_id", "evidence_id").select("claim_ord", "pos", "evidence_id")
+
+
+@query("SELECT id, event_type FROM {traces} WHERE event_type = 'click' AND success ORDER BY created_at, id LIMIT 50 OFFSET 20")
+def p07_list_traces(t):
+    return metrics.list_traces(t("traces"), "click", True, 50, 20).select("id", "event_type")
+
+
+@query("SELECT project_id, count(*) AS total, count_if(success) AS succeeded, count_if(NOT success) AS failed, round_even(count_if(success) / count(*), 6) AS success_rate, round_even(avg(latency_ms), 6) AS avg_latency_ms, count_if(event_type = 'recovery') AS recoveries FROM {traces} GROUP BY 1")
+def a12_trace_metrics(t):
+    return metrics.trace_metrics(t("traces"))
+
+
+@query("SELECT event_type, count(*) AS n FROM {traces} GROUP BY 1")
+def a12_traces_by_type(t):
+    return metrics.traces_by_type(t("traces"))
+
+
+@query("SELECT project_id, count(*) AS total, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed, count_if(status = 'running') AS running, count_if(status = 'completed' AND attempts > 1) AS recovered FROM {work_items} GROUP BY 1")
+def a13_work_item_metrics(t):
+    return metrics.work_item_metrics(t("work_items"))
+
+
+@query("SELECT project_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls, count_if(kind = 'vision') AS vision_calls, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS first_at FROM {usage} GROUP BY 1")
+def a14_usage_totals(t):
+    return metrics.usage_totals(t("usage")).withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS project_id, o_orderkey % 20 AS doc_id, o_orderkey % 3 AS run, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'running' END AS status, o_orderkey % 9 AS page_count, o_orderkey % 4 AS visuals, o_orderkey % 6 AS step FROM orders),
+r AS (SELECT *, rank() OVER (PARTITION BY project_id, doc_id ORDER BY run DESC) AS r FROM a), g AS (SELECT project_id, sum(page_count) FILTER (WHERE r = 1 AND status = 'completed') AS pages, sum(visuals) FILTER (WHERE r = 1) AS visuals, max(step) AS current_step FROM r GROUP BY 1), n AS (SELECT project_id, count(*) AS regions FROM {jobs} WHERE job_id % 2 = 0 GROUP BY 1)
+SELECT project_id, CAST(coalesce(pages, 0) AS BIGINT) AS pages, CAST(coalesce(visuals, 0) AS BIGINT) AS visuals, coalesce(regions, 0) AS regions, CAST(coalesce(current_step, 0) AS BIGINT) AS current_step FROM g FULL JOIN n USING (project_id)""")
+def a15_analysis_metrics(t):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(F.col("o_custkey").cast("long").alias("project_id"), (k % 20).alias("doc_id"), (k % 3).alias("run"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), (k % 9).alias("page_count"), (k % 4).alias("visuals"), (k % 6).alias("step"))
+    return metrics.analysis_metrics(rows, t("jobs").where("job_id % 2 = 0"))
+
+
+@query("""WITH u AS (SELECT project_id, sum(tokens) AS tk, count_if(kind = 'vision') AS vn FROM {usage} GROUP BY 1), w AS (SELECT DISTINCT project_id, project_id * 10 AS bt, project_id % 5 AS bv, project_id % 11 = 0 AS g, project_id % 13 = 0 AS p FROM {projects}),
+j AS (SELECT w.*, greatest(0, coalesce(tk, 0) - bt) AS tokens_used, greatest(0, coalesce(vn, 0) - bv) AS vision_used, CASE WHEN project_id % 4 = 0 THEN 0.0 ELSE 90.0 END AS minutes_used FROM w LEFT JOIN u USING (project_id)),
+r AS (SELECT *, CASE WHEN tokens_used >= 300000 THEN 'tokens' WHEN vision_used >= 15 THEN 'vision' WHEN minutes_used >= 120 THEN 'minutes' END AS reason FROM j)
+SELECT project_id, CAST(tokens_used AS BIGINT) AS tokens_used, vision_used, minutes_used, reason, CASE WHEN p THEN 'user_paused' WHEN g THEN 'gate_open' WHEN reason IS NOT NULL THEN 'exceeded' ELSE 'within' END AS state FROM r""")
+def a16_budget_state(t):
+    p = F.col("project_id")
+    windows = t("projects").select("project_id").distinct().select("project_id", (p * 10).alias("base_tokens"), (p % 5).alias("base_vision"), F.when(p % 4 != 0, "2024-05-01T10:30:00").otherwise("").alias("since"), (p % 11 == 0).alias("gate_open"), (p % 13 == 0).alias("paused"))
+    return metrics.budget_state(t("usage"), windows, 300000, 15, 120.0, "2024-05-01 12:00:00")
+
+
+@query("SELECT id, project_id, CAST(running_tokens AS BIGINT) AS running_tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY project_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS running_tokens FROM {usage}) WHERE running_tokens >= 100000 AND running_tokens - tokens < 100000")
+def w09_budget_crossings(t):
+    return metrics.budget_crossings(t("usage"), 100000).select("id", "project_id", "running_tokens")
