@@ -102,5 +102,5 @@ def useful_section(title: Column) -> Column:
     """The title if it reads like one (3 to 100 characters, 55 % letters, no sign of a formula), else null."""
     low = collapse(title)
     n = F.char_length(low)
-    good = F.between(n, F.lit(3), F.lit(100)) & (_letters(low) >= n * 0.55) & ~low.rlike(r"(?i)arg\s*min|^[=+\-]|[{}]{2}")
+    good = n.between(3, 100) & (_letters(low) >= n * 0.55) & ~low.rlike(r"(?i)arg\s*min|^[=+\-]|[{}]{2}")
     return F.when(good, low)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +32,6 @@ def normalize_title(c: Column, unicode: str = "lower") -> Column:
 
 def nfkc_casefold(c: Column) -> Column:
     """NFKC and case folding, which Spark has no function for, as an Arrow-backed UDF."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
