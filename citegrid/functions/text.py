@@ -115,7 +115,7 @@ def _chunks(text: Column, size: int, overlap: int) -> Column:
 
 def distinct_ci(arr: Column) -> Column:
     """Trimmed, case-insensitive distinct in first-seen order; blanks go."""
-    trimmed = F.filter(F.transform(arr, F.trim), lambda x: F.char_length(x) > 0)
+    trimmed = F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: F.char_length(x) > 0)
     lows = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
 
