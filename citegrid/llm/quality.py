@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .text_kernels import _join, gram_hashes, word_hashes, word_spans
 
-#: Rows of the sample that costs and selectivities come from.
+#: Rows, on average, of the sample that costs and selectivities come from.
 SAMPLE_ROWS = 2000
 #: Base rule: at least so many words; at most so many of 100 words in repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEATS, WINDOW = 20, 30, 8
@@ -98,7 +98,8 @@ def measure(docs: DataFrame, rules: dict[str, Callable] = RULES, text_col: str =
                     spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"name": names, "seconds": [spent[n] for n in names], "hits": [hit[n] for n in names], "seen": [seen] * len(names)})
 
-    sample = docs.select(text_col).orderBy(F.xxhash64(F.lit(seed), text_col)).limit(sample_rows).repartition(4)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(text_col).sample(share, seed)  # drawn where the rows lie; about sample_rows of them
     rows = sample.mapInArrow(run, "name string, seconds double, hits long, seen long").groupBy("name").agg(*[F.sum(c).alias(c) for c in ("seconds", "hits", "seen")]).collect()
     by_name = {r["name"]: r for r in rows if r["seen"]}
     return [Measured(n, by_name[n]["seconds"] / by_name[n]["seen"], by_name[n]["hits"] / by_name[n]["seen"]) if n in by_name else Measured(n, 0.0, 0.0) for n in names]
