@@ -72,6 +72,18 @@ FROM {orders}""",
 _BRACES = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
+def _plain_counts(sql: str) -> str:
+    """count_if(x) as a count of a case, which DuckDB types as BIGINT rather than HUGEINT."""
+    mark = "count_if("
+    while (at := sql.find(mark)) >= 0:
+        end, depth = at + len(mark), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len(mark) : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a stand-in, as a DataFrame."""
     if name in TABLES:
@@ -93,7 +105,7 @@ def with_sql(body: str) -> str:
     need(body)
     plain = lambda text: _BRACES.sub(r"\1", text).replace("{{", "{").replace("}}", "}")
     head = ",\n".join(f"{n} AS ({plain(FIXTURES[n])})" for n in names)
-    text = plain(body).strip()
+    text = _plain_counts(plain(body).strip())
     if text.upper().startswith("WITH "):
         return f"WITH {head},\n{text[5:]}" if head else text
     return f"WITH {head}\n{text}" if head else text

@@ -180,7 +180,7 @@ def a15_analysis_metrics(t):
 
 
 @query("""WITH u AS (SELECT project_id, sum(tokens) AS tk, count_if(kind = 'vision') AS vn FROM {usage} GROUP BY 1), w AS (SELECT DISTINCT project_id, project_id * 10 AS bt, project_id % 5 AS bv, project_id % 11 = 0 AS g, project_id % 13 = 0 AS p FROM {projects}),
-j AS (SELECT w.*, greatest(0, coalesce(tk, 0) - bt) AS tokens_used, greatest(0, coalesce(vn, 0) - bv) AS vision_used, CASE WHEN project_id % 4 = 0 THEN 0.0 ELSE 90.0 END AS minutes_used FROM w LEFT JOIN u USING (project_id)),
+j AS (SELECT w.*, greatest(0, coalesce(tk, 0) - bt) AS tokens_used, greatest(0, coalesce(vn, 0) - bv) AS vision_used, CAST(CASE WHEN project_id % 4 = 0 THEN 0.0 ELSE 90.0 END AS DOUBLE) AS minutes_used FROM w LEFT JOIN u USING (project_id)),
 r AS (SELECT *, CASE WHEN tokens_used >= 300000 THEN 'tokens' WHEN vision_used >= 15 THEN 'vision' WHEN minutes_used >= 120 THEN 'minutes' END AS reason FROM j)
 SELECT project_id, CAST(tokens_used AS BIGINT) AS tokens_used, vision_used, minutes_used, reason, CASE WHEN p THEN 'user_paused' WHEN g THEN 'gate_open' WHEN reason IS NOT NULL THEN 'exceeded' ELSE 'within' END AS state FROM r""")
 def a16_budget_state(t):

@@ -137,7 +137,7 @@ def f32_distinct_ci(t):
     return t("part").select("p_partkey", F.size(T.distinct_ci(F.array_append(F.split("p_name", " "), F.upper("p_name")))).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CASE category WHEN 'search' THEN CASE WHEN predicted THEN 0.666667 ELSE 1.0 END WHEN 'figure' THEN CASE WHEN predicted THEN 0.75 ELSE 1.0 END WHEN 'evidence' THEN CASE WHEN predicted THEN 0.5 ELSE 1.0 END ELSE CASE WHEN predicted THEN 0.7 ELSE 1.0 END END AS score, NOT predicted AS passed FROM {gold}")
+@query("SELECT doc_id, CAST(CASE category WHEN 'search' THEN CASE WHEN predicted THEN 0.666667 ELSE 1.0 END WHEN 'figure' THEN CASE WHEN predicted THEN 0.75 ELSE 1.0 END WHEN 'evidence' THEN CASE WHEN predicted THEN 0.5 ELSE 1.0 END ELSE CASE WHEN predicted THEN 0.7 ELSE 1.0 END END AS DOUBLE) AS score, NOT predicted AS passed FROM {gold}")
 def a28_score_tasks(t):
     bad = F.col("predicted")
     ids = lambda *v: F.array(*map(F.lit, v))
