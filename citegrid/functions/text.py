@@ -88,27 +88,37 @@ def chunk_text(text: Column, size: int = 950, overlap: int = 140) -> Column:
     starts `overlap` before that end. One fold over a sequence long enough for the shortest steps, so it stays inside
     the plan; null and empty texts have no chunks.
     """
-    return F.coalesce(bind(text, lambda x: _chunks(x, size, overlap)), F.array().cast("array<struct<start:int,end:int>>"))
+    whole = F.struct(text.alias("text"), F.char_length(text).alias("n"))
+    return F.coalesce(bind(whole, lambda w: _chunks(w["text"], w["n"], size, overlap)), F.array().cast(_SPANS))
 
 
-def _chunks(text: Column, size: int, overlap: int) -> Column:
-    n, half = F.char_length(text), size // 2
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _chunks(text: Column, n: Column, size: int, overlap: int) -> Column:
+    half = size // 2
     steps = F.sequence(F.lit(0), F.ceil(n / F.lit(half - overlap + 1)).cast("int") + 1)
 
-    def last_of(part: Column, mark: str) -> Column:
-        at = F.instr(F.reverse(part), mark[::-1])
-        return F.when(at > 0, F.char_length(part) - at - (len(mark) - 1)).otherwise(F.lit(-1))
+    def last_boundary(back: Column) -> Column:
+        """Place of the last boundary in a text that is given backwards, or less than 0."""
+        length = F.char_length(back)
+        at = lambda m: F.nullif(F.instr(back, m[::-1]), F.lit(0)) + len(m) - 1
+        return length - F.coalesce(F.least(*[at(m) for m in BOUNDARIES]), length + 1)
 
     def step(s: Column, _: Column) -> Column:
         hard = F.least(n, s["at"] + size)
-        part = F.substr(text, s["at"] + half + 1, F.greatest(F.lit(0), hard - s["at"] - half))
-        cut = F.greatest(*[last_of(part, m) for m in BOUNDARIES])
-        stop = F.when((hard < n) & (cut >= 0), s["at"] + half + cut + 1).otherwise(hard)
-        out = F.concat(s["out"], F.array(F.struct(s["at"].cast("int").alias("start"), stop.cast("int").alias("end"))))
-        at = F.when(stop >= n, n).otherwise(F.greatest(stop - overlap, s["at"] + 1))
-        return F.when(s["done"], s).otherwise(F.struct(at.cast("int").alias("at"), (stop >= n).alias("done"), out.alias("out")))
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
+        back = F.reverse(F.substr(text, s["at"] + half + 1, F.greatest(F.lit(0), hard - s["at"] - half)))
+        cut = bind(back, last_boundary)
+        stop = F.when(hard < n, bind(cut, lambda c: F.when(c >= 0, s["at"] + half + c + 1).otherwise(hard))).otherwise(hard)
+
+        def then(e: Column) -> Column:
+            at = F.when(e >= n, n).otherwise(F.greatest(e - overlap, s["at"] + 1))
+            out = F.concat(s["out"], F.array(F.struct(s["at"].cast("int").alias("start"), e.cast("int").alias("end"))))
+            return F.struct(at.cast("int").alias("at"), (e >= n).alias("done"), out.alias("out"))
+
+        return F.when(s["done"], s).otherwise(bind(stop, then))
+
+    none = F.array().cast(_SPANS)
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), none.alias("out"))
     return F.when(F.coalesce(n, F.lit(0)) == 0, none).otherwise(F.aggregate(steps, zero, step, lambda s: s["out"]))
 
