@@ -134,6 +134,24 @@ def ordered_union(a: Column, b: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array())))
 
 
+def set_ops(a: Column, b: Column) -> Column:
+    """struct(both, only_a, only_b, a_in_b) of two arrays as sets; a null array is an empty set."""
+    a, b = F.coalesce(a, F.array()), F.coalesce(b, F.array())
+    return F.struct(
+        F.array_intersect(a, b).alias("both"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), (F.size(F.array_except(a, b)) == 0).alias("a_in_b")
+    )
+
+
+def to_payload(*cols: Column) -> Column:
+    """Columns as one JSON text, null fields included."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def from_payload(text: Column, schema: str) -> Column:
+    """The struct of a JSON text; null where it cannot be read."""
+    return F.from_json(text, schema)
+
+
 def json_candidates(text: Column) -> Column:
     """Texts that may be the JSON of a model's answer: as it is, without a code fence, and from brace to brace."""
     whole = F.trim(text)

@@ -181,12 +181,12 @@ def u05_evidence_pool(t):
     return evidence.evidence_pool(rows.where("evidence_type = 'text'"), rows.where("evidence_type = 'figure'"))
 
 
-@query("""WITH x AS (SELECT evidence_id, p_partkey % 7 AS doc_id, p_partkey % 3 AS paper_id, 'f' || (p_partkey % 4) AS file_sha256 FROM (SELECT *, evidence_id AS p_partkey FROM {evidence})), d AS (SELECT DISTINCT paper_id % 6 AS doc_id, paper_id % 3 AS paper_id, 'f' || (paper_id % 2) AS file_sha256 FROM {evidence} WHERE paper_id < 6)
+@query("""WITH x AS (SELECT evidence_id, p_partkey % 53 AS doc_id, p_partkey % 3 AS paper_id, 'f' || (p_partkey % 4) AS file_sha256 FROM (SELECT *, evidence_id AS p_partkey FROM {evidence})), d AS (SELECT DISTINCT paper_id AS doc_id, paper_id % 3 AS paper_id, 'f' || (paper_id % 2) AS file_sha256 FROM {evidence})
 SELECT x.evidence_id, CASE WHEN d.paper_id IS NULL THEN 'no document' WHEN d.paper_id <> x.paper_id THEN 'paper differs' ELSE 'file differs' END AS violation FROM x LEFT JOIN d USING (doc_id) WHERE d.paper_id IS NULL OR d.paper_id <> x.paper_id OR d.file_sha256 <> x.file_sha256""")
 def j15_check_links(t):
     e = t("evidence")
-    rows = e.select("evidence_id", (F.col("evidence_id") % 7).alias("doc_id"), (F.col("evidence_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("evidence_id") % 4).alias("file_sha256"))
-    docs = e.where("paper_id < 6").select((F.col("paper_id") % 6).alias("doc_id"), (F.col("paper_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("paper_id") % 2).alias("file_sha256")).distinct()
+    rows = e.select("evidence_id", (F.col("evidence_id") % 53).alias("doc_id"), (F.col("evidence_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("evidence_id") % 4).alias("file_sha256"))
+    docs = e.select(F.col("paper_id").alias("doc_id"), (F.col("paper_id") % 3).alias("paper_id"), F.concat(F.lit("f"), F.col("paper_id") % 2).alias("file_sha256")).distinct()
     return evidence.check_links(rows, docs).select("evidence_id", "violation")
 
 

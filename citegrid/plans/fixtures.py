@@ -21,7 +21,7 @@ SELECT doc_id AS ord, 'doc:' || doc_id AS stable_id, 'W' || (doc_id % 400) AS so
   doc_id % 10 AS request_id
 FROM {documents}""",
     "oa_locations": """
-SELECT page_id % 100 AS paper_ord, page_id AS pos, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http:', 'https:') END AS url,
+SELECT CAST(floor(page_id / 3.0) AS BIGINT) AS paper_ord, page_id AS pos, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http:', 'https:') END AS url,
   CASE WHEN page_id % 4 = 0 THEN replace(url, 'http:', 'https:') || '.pdf' END AS pdf_url,
   CASE page_id % 3 WHEN 0 THEN 'repository' WHEN 1 THEN 'journal' ELSE 'other' END AS source_type,
   CASE page_id % 5 WHEN 0 THEN 'acceptedVersion' WHEN 1 THEN 'submittedVersion' WHEN 2 THEN 'publishedVersion' END AS version,
@@ -30,7 +30,7 @@ FROM {pages}""",
     "oa_papers": """
 SELECT doc_id AS paper_ord, 'doc:' || doc_id AS stable_id, CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || doc_id END AS doi,
   CASE WHEN doc_id % 5 = 1 THEN '2401.' || doc_id || '/' END AS arxiv_id, CASE WHEN doc_id % 7 = 0 THEN 'https://oa.example.org/' || doc_id END AS open_access_url
-FROM {documents} WHERE doc_id < 120""",
+FROM {documents}""",
     "landing": """
 SELECT page_id, url, html || CASE page_id % 3 WHEN 0 THEN '<meta name="citation_pdf_url" content="/files/' || page_id || '.pdf">'
   WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=https://cdn.example.org/' || page_id || '.pdf">' ELSE '' END AS html
@@ -40,8 +40,8 @@ SELECT event_id, user_id AS paper_ord, event_id % 7 AS pos, 'https://host' || (e
   CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 403 WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 202 END AS status,
   CASE WHEN event_id % 2 = 0 THEN 'application/pdf' ELSE 'text/html' END AS media_type
 FROM {events}""",
-    "figures": "SELECT CAST(p_partkey % 50 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS fig_ord, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'Fig. ' || (p_partkey % 9 + 1) || CASE WHEN p_partkey % 4 = 0 THEN 'b' ELSE '' END END AS label, CAST(1 + p_partkey % 6 AS INT) AS page, p_name AS caption FROM {part}",
-    "mention_pages": "SELECT CAST(l_orderkey % 50 AS BIGINT) AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS hit_ord, CAST(1 + l_linenumber % 6 AS INT) AS page, 'As shown in Fig. ' || (l_linenumber + 6) || ' and Table ' || (l_partkey % 5) || ' the gain holds' AS text FROM {lineitem} WHERE l_orderkey % 20 = 0 OR l_linenumber > 4",
+    "figures": "SELECT CAST(floor(p_partkey / 40.0) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS fig_ord, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'Fig. ' || (p_partkey % 9 + 1) || CASE WHEN p_partkey % 4 = 0 THEN 'b' ELSE '' END END AS label, CAST(1 + p_partkey % 6 AS INT) AS page, p_name AS caption FROM {part}",
+    "mention_pages": "SELECT CAST(floor(l_partkey / 40.0) AS BIGINT) AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS hit_ord, CAST(1 + l_linenumber % 6 AS INT) AS page, 'As shown in Fig. ' || (l_linenumber + 6) || ' and Table ' || (l_partkey % 5) || ' the gain holds' AS text FROM {lineitem}",
     "claims": """
 SELECT CAST(o_orderkey AS BIGINT) AS claim_ord, CAST(o_custkey AS BIGINT) AS paper_id, CAST(o_orderkey % 8 AS INT) AS field_no, 'claim ' || o_orderkey AS value,
   CASE WHEN o_orderstatus = 'O' THEN 'inference' ELSE 'supported' END AS kind, CASE WHEN o_orderpriority = '1-URGENT' THEN 'comparison' ELSE 'paper' END AS scope

@@ -184,12 +184,11 @@ def x05_greedy_attach(t):
     return mentions.greedy_attach(mentions.mention_hits(t("mention_pages")), visuals(t))
 
 
-MADE = "SELECT doc_id, 'figure' AS kind, fig_ord, hit_ord AS mention_no, 'snippet ' || (hit_ord % 9) AS snippet FROM {mention_pages} JOIN (SELECT doc_id, fig_ord FROM {figures} WHERE fig_ord % 7 = 0) USING (doc_id)"
+MADE = "SELECT doc_id, 'figure' AS kind, fig_ord, hit_ord AS mention_no, 'snippet ' || (hit_ord % 9) AS snippet FROM {mention_pages} JOIN {figures} USING (doc_id, page)"
 
 
 def made(t) -> DataFrame:
-    figs = t("figures").where("fig_ord % 7 = 0").select("doc_id", "fig_ord")
-    return t("mention_pages").join(figs, "doc_id").select("doc_id", F.lit("figure").alias("kind"), "fig_ord", F.col("hit_ord").alias("mention_no"), F.concat(F.lit("snippet "), F.col("hit_ord") % 9).alias("snippet"))
+    return t("mention_pages").join(t("figures").select("doc_id", "page", "fig_ord"), ["doc_id", "page"]).select("doc_id", F.lit("figure").alias("kind"), "fig_ord", F.col("hit_ord").alias("mention_no"), F.concat(F.lit("snippet "), F.col("hit_ord") % 9).alias("snippet"))
 
 
 @query(f"WITH d AS (SELECT doc_id, fig_ord, snippet, min(mention_no) AS mention_no FROM ({MADE}) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id, fig_ord ORDER BY mention_no) AS rank FROM d QUALIFY rank <= 4")

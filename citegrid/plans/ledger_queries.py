@@ -74,10 +74,10 @@ def l09_backfill_sources(t):
     return ledger.backfill_sources(t("reviews").drop("source")).select("evidence_id", "source")
 
 
-@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id % 80 < 60 AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id % 3 = 0 AND a.doc_id % 4 <> 0 AND a.doc_id = d.doc_id AND sha256(a.text) = sha256(d.text))""")
+@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id % 5 <> 4 AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id % 3 = 0 AND a.doc_id % 4 <> 0 AND a.doc_id = d.doc_id AND sha256(a.text) = sha256(d.text))""")
 def j01_pending_documents(t):
-    docs = t("documents").select("doc_id", (F.col("doc_id") % 80).alias("paper_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    papers = t("documents").where("doc_id < 60").select(F.col("doc_id").alias("paper_id"))
+    docs = t("documents").select("doc_id", F.when(F.col("doc_id") % 5 != 4, F.col("doc_id")).otherwise(-1).alias("paper_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    papers = t("documents").select(F.col("doc_id").alias("paper_id"))
     analyses = docs.where("doc_id % 3 = 0").select("doc_id", "sha256", F.when(F.col("doc_id") % 4 == 0, 2).otherwise(3).alias("pipeline_version"), F.lit("completed").alias("status"))
     return ledger.pending_documents(docs, papers, analyses).select("doc_id")
 
@@ -104,13 +104,13 @@ def j20_current_papers(t):
     return ledger.current_papers(papers.drop("revision"), papers, papers.select("project_id", "revision"))
 
 
-@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS project_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 60 END AS paper_id FROM orders), s AS (SELECT DISTINCT o_custkey AS project_id, o_orderkey % 60 AS paper_id FROM orders WHERE o_orderkey % 5 = 0)
-SELECT g.id, g.paper_id, p.title FROM g LEFT JOIN (SELECT ord, title FROM {papers} WHERE ord < 50) p ON p.ord = g.paper_id WHERE g.paper_id IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.project_id = g.project_id AND s.paper_id = g.paper_id)""")
+@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS project_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey END AS paper_id FROM orders), s AS (SELECT DISTINCT o_custkey AS project_id, o_orderkey AS paper_id FROM orders WHERE o_orderkey % 5 = 0)
+SELECT g.id, g.paper_id, p.title FROM g LEFT JOIN (SELECT ord, title FROM {papers}) p ON p.ord = g.paper_id WHERE g.paper_id IS NULL OR EXISTS (SELECT 1 FROM s WHERE s.project_id = g.project_id AND s.paper_id = g.paper_id)""")
 def j21_progress_board(t):
     k = F.col("o_orderkey")
-    progress = t("orders").select(k.alias("id"), F.col("o_custkey").alias("project_id"), F.when(k % 7 > 0, k % 60).alias("paper_id"))
-    chosen = t("orders").where(k % 5 == 0).select(F.col("o_custkey").alias("project_id"), (k % 60).alias("paper_id"))
-    papers = t("papers").where("ord < 50").select(F.col("ord").alias("paper_id"), "title")
+    progress = t("orders").select(k.alias("id"), F.col("o_custkey").alias("project_id"), F.when(k % 7 > 0, k).alias("paper_id"))
+    chosen = t("orders").where(k % 5 == 0).select(F.col("o_custkey").alias("project_id"), k.alias("paper_id"))
+    papers = t("papers").select(F.col("ord").alias("paper_id"), "title")
     return ledger.progress_board(progress, chosen, papers).select("id", "paper_id", "title")
 
 

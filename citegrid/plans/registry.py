@@ -34,7 +34,7 @@ def _bound(f: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _collect() -> None:
-    from . import evidence_queries, layout_queries, ledger_queries, search_queries, source_queries  # noqa: F401
+    from . import evidence_queries, function_queries, layout_queries, ledger_queries, search_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
