@@ -232,32 +232,50 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that match an item; each row is judged where it lies, by its text alone."""
+    schema = docs.schema
+    for block in _blocks(items, item_id, item_text):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, text_col), schema)
+    return docs
+
+
 _BUILT: dict = {}
 
 
+def _found(sent, tag: str, texts: list[str | None]) -> Iterator[tuple]:
+    """(place in texts, item id, edits, words, start, end) of each match."""
+    if tag not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tag] = Items(sent.value)
+    items = _BUILT[tag]
+    number = items.vocabulary.get
+    group, size, first = [], 0, 0
+    for i, text in enumerate(texts, 1):
+        group.append([number(w, 0) for w in words_of(text)])
+        size += len(group[-1])
+        if size >= GROUP_WORDS or i == len(texts):
+            for m in items.matches(group):
+                yield first + m[0], *m[1:]
+            group, size, first = [], 0, i
+
+
 def _scan(sent, tag: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Items(sent.value)
-        items = _BUILT[tag]
-        number = items.vocabulary.get
         for batch in batches:
-            rows, ids, texts, size = [], batch.column(0).to_pylist(), [], 0
-            for i, text in enumerate(batch.column(1).to_pylist(), 1):
-                texts.append([number(w, 0) for w in words_of(text)])
-                size += len(texts[-1])
-                if size >= GROUP_WORDS or i == len(ids):
-                    first = i - len(texts)
-                    rows += [(ids[first + m[0]], *m[1:]) for m in items.matches(texts)]
-                    texts, size = [], 0
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[m[0]], *m[1:]) for m in _found(sent, tag, batch.column(1).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that match an item."""
-    dirty = contamination(docs, items, id_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dirty, id_col, "left_anti")
+def _drop(sent, tag: str, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[[m[0] for m in _found(sent, tag, batch.column(text_col).to_pylist())]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

@@ -151,6 +151,17 @@ def test_contamination_exact_leaks(spark, sf_dir, docs, empty, odd):
     assert {(r.doc_id, r.item_id) for r in decontam.contamination(odd, items).collect()} == {(d, i) for d in (3, 4, 5, None) for i in (3, 4)}
     assert decontam.contamination(empty, items).count() == 0
     assert decontam.contamination(odd, items.limit(0)).count() == 0
+    left = decontam.clean(odd, items)
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 6, 7, 8, 9, 10]
+    assert decontam.clean(odd, items.limit(0)).count() == len(ODD) and decontam.clean(empty, items).count() == 0
+
+
+def test_contamination_in_blocks(spark, monkeypatch, docs, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    whole, left = sorted(map(tuple, decontam.contamination(docs, items).collect())), sorted(r.doc_id for r in decontam.clean(docs, items).collect())
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 20)
+    assert sorted(map(tuple, decontam.contamination(docs, items).collect())) == whole
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == left
 
 
 # toxicity

@@ -2,10 +2,12 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline
 from citegrid.llm import decontam, toxicity
 from citegrid.llm.common import table, written
-from tests.llm.test_operators import check_packing, plain_components, plain_fingerprint
+from tests.llm.test_operators import ODD, check_packing, empty, odd, plain_components, plain_fingerprint  # noqa: F401
 
 
 def test_stages(spark, sf_dir):
@@ -42,3 +44,33 @@ def test_stages(spark, sf_dir):
     packed = stages["packing"](spark, kept, sf_dir).collect()
     check_packing(packed, [(r.doc_id, r.text) for r in kept.collect()], 0.05)
     assert defaultdict(int, Counter(r.doc_id for r in packed)).keys() == left.keys()
+
+
+#: What stays of ODD in each stage that drops rows: word-less texts are near copies of each other, 3 to 5 are not, and
+#: a benchmark item drops rows without an id as well.
+KEPT = {"line_dedup": [r[0] for r in ODD], "near_dedup": [None, 0, 3, 4, 5, 5, 6, 7, 8, 9, 10]}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, sf_dir, odd, empty, name):  # noqa: F811
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, and a table without rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out, none = stage(spark, odd, sf_dir), stage(spark, empty, sf_dir)
+    assert none.count() == 0
+    if name == "packing":
+        check_packing(out.collect(), [(r[0], r[1]) for r in ODD], 1)
+        return
+    assert out.columns == odd.columns and none.columns == empty.columns
+    rows = out.collect()
+    ids = sorted((r.doc_id for r in rows), key=lambda i: -1 if i is None else i)
+    if name in KEPT:
+        assert ids == sorted(KEPT[name], key=lambda i: -1 if i is None else i)
+    else:
+        assert Counter(ids) <= Counter(r[0] for r in ODD) and {0, 1, 2} <= set(ids)
+    assert Counter((r.doc_id, r.text) for r in rows) <= Counter((r[0], r[1]) for r in ODD)
+
+
+def test_decontamination_of_rows_without_id(spark, odd, tmp_path):  # noqa: F811
+    spark.createDataFrame([(1, ODD[5][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, odd, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == [0, 1, 2, 6, 7, 8, 9, 10]
