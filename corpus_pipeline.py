@@ -29,7 +29,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays (rows without an id stay)."""
     found = simhash.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    # Written first, so that its size is known: Spark broadcasts it below its threshold and shuffles beyond.
+    copies = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
