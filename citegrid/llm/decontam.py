@@ -41,8 +41,8 @@ WALKS = 8
 SAMPLINGS = ceil(log(1 - RECALL) / log(1 - AGREE**PLACES) / WALKS)
 #: Items sent to the tasks at once: this many rows or bytes, whichever comes first.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-#: Windows embedded, and words of documents looked at, at once.
-WINDOWS, GROUP_WORDS = 8192, 1 << 20
+#: Windows embedded, and words and rows of documents looked at, at once.
+WINDOWS, GROUP_WORDS, GROUP_ROWS = 8192, 1 << 19, 2048
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -274,8 +274,10 @@ def _scan(sent, tag: str):
 def _drop(sent, tag: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[m[0] for m in _found(sent, tag, batch.column(text_col).to_pylist())]] = False
-            yield batch.filter(pa.array(keep))
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                keep = np.ones(part.num_rows, dtype=bool)
+                keep[[m[0] for m in _found(sent, tag, part.column(text_col).to_pylist())]] = False
+                yield part.filter(pa.array(keep))
 
     return run

@@ -28,7 +28,7 @@ from .common import written
 #: Tokens of a sequence; a rest of r tokens stays whole if at most r / SLACK tokens of its class's share stay unused.
 CAPACITY, SLACK = 1024, 16
 #: Words whose ids a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _ENCODER: dict = {}
 
 

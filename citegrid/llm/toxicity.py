@@ -37,7 +37,7 @@ _EDGE = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[^\W\d_][\d@$*!_.]+[^\W\d_]")
 _LONG = re.compile(r"(\w)\1{3,}")
 _HIT, _WORD, _STEM, _YOU, _CAPS, _OBFUSCATED, _LOUD = (1 << i for i in range(7))
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 NAMES = ("insults", "terms", "stems", "log_terms", "log_stems", "second_person", "near_second_person", "capitals", "punctuation", "obfuscation", "log_words")
 
 
