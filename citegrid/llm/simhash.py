@@ -37,18 +37,23 @@ PIVOTS = 16
 _REFERENCES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) % (1 << 64) for i in range(PIVOTS)], dtype=np.uint64)
 
 
-def _fingerprint(text: str, shingle: int) -> int:
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, in the order of the text."""
     import xxhash
 
     words = text.encode().lower().split()  # lower() of bytes changes A-Z only
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined, n, digest = b" ".join(words), max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as a signed long."""
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for i in range(0, n, 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -59,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()]
+            fps = [majority(shingle_hashes(x or "", shingle)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")

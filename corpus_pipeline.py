@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.llm import decontam, line_dedup, packing, simhash, toxicity
+from citegrid.llm import decontam, line_dedup, near_copies, packing, toxicity
 from citegrid.llm.common import table, written
 
 
@@ -27,8 +27,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays (rows without an id stay)."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near duplicates (five-word Jaccard 0.8 or more) the document with the smallest id stays.
+
+    Rows without an id stay.
+    """
+    found = near_copies.near_copies(docs)
     # Written first, so that its size is known: Spark broadcasts it below its threshold and shuffles beyond.
     copies = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
