@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -61,9 +62,31 @@ def tokens(c: Column) -> Column:
     return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 
+def tokens_among(c: Column, terms: list[str]) -> Column:
+    """The tokens of c that are among the terms (tokens themselves), lower case, in order, repeats kept.
+
+    One search for the terms as whole tokens, which leaves all others of a long text unbuilt.
+    """
+    if not terms:
+        return F.array().cast("array<string>")
+    longest = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?i)(?<![a-zA-Z0-9+-])[+-]*({longest})(?![a-zA-Z0-9+-])"), 1)
+    return F.transform(found, F.lower)
+
+
+def plain_tokens(text: str) -> list[str]:
+    """tokens() of a text at hand."""
+    found = [t.lower() for t in re.findall("[a-zA-Z0-9][a-zA-Z0-9+-]*", text)]
+    return [t for t in dict.fromkeys(found) if t not in STOPWORDS]
+
+
+def padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
 def has_phrase(text: Column, term: Column) -> Column:
     """Whether normalised text holds the normalised term as whole words."""
-    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" ")))
+    return F.contains(padded(text), padded(term))
 
 
 def relevant_snippet(text: Column, terms: list[str], limit: int) -> Column:
@@ -73,54 +96,57 @@ def relevant_snippet(text: Column, terms: list[str], limit: int) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.substr(text, start + 1, F.lit(limit)))
 
 
-def fingerprint(*cols: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).cast("binary"), 256)
+def fingerprint(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON with sorted keys, nulls written, so that no two different rows have one text."""
+    row = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-#: Marks that a chunk may end with.
-BOUNDARIES = ("\n", "\u3002", ". ", "\uff1b", "; ")
+#: Marks that a chunk may end with; it ends after the first character of one.
+BOUNDARIES = ("\n", "。", ". ", "；", "; ")
+_MARKS = re.compile("|".join(map(re.escape, BOUNDARIES)))
 
 
-def chunk_text(text: Column, size: int = 950, overlap: int = 140) -> Column:
-    """array<struct<start, end>> of a text without white space at its ends.
+def chunk_spans(text: str, size: int = 950, overlap: int = 140) -> list[tuple[int, int, str]]:
+    """(start, end, excerpt) of the chunks of a text, without white space at their ends.
 
-    Windows of `size` characters end after the last boundary in their second half, if there is one, and the next one
-    starts `overlap` before that end. One fold over a sequence long enough for the shortest steps, so it stays inside
-    the plan; null and empty texts have no chunks.
+    A chunk has at most `size` characters of the text between its outer white space. It ends after the last mark that lies
+    whole in its second half, if there is one, and the next begins `overlap` characters before that end. All marks are
+    found in one search, so a text costs time in proportion to its length.
     """
-    whole = F.struct(text.alias("text"), F.char_length(text).alias("n"))
-    return F.coalesce(bind(whole, lambda w: _chunks(w["text"], w["n"], size, overlap)), F.array().cast(_SPANS))
-
+    body = text.rstrip()
+    at, n = len(body) - len(body.lstrip()), len(body)
+    marks = [(m.start(), m.end()) for m in _MARKS.finditer(body)] if n - at > size else []
+    spans, i = [], 0
+    while at < n:
+        end = min(n, at + size)
+        if end < n:
+            while i < len(marks) and marks[i][1] <= end:
+                i += 1
+            if i and marks[i - 1][0] >= at + size // 2:
+                end = marks[i - 1][0] + 1
+        piece = body[at:end]
+        kept = piece.strip()
+        if kept:
+            first = at + len(piece) - len(piece.lstrip())
+            spans.append((first, first + len(kept), kept))
+        at = n if end == n else max(at + 1, end - overlap)
+    return spans
 
-_SPANS = "array<struct<start:int,end:int>>"
 
+def chunk_text(text: Column, size: int = 950, overlap: int = 140) -> Column:
+    """array<struct<start, end, excerpt>> of a text's chunks, over Arrow batches; null and blank texts have none."""
 
-def _chunks(text: Column, n: Column, size: int, overlap: int) -> Column:
-    half = size // 2
-    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(half - overlap + 1)).cast("int") + 1)
-
-    def last_boundary(back: Column) -> Column:
-        """Place of the last boundary in a text that is given backwards, or less than 0."""
-        length = F.char_length(back)
-        at = lambda m: F.nullif(F.instr(back, m[::-1]), F.lit(0)) + len(m) - 1
-        return length - F.coalesce(F.least(*[at(m) for m in BOUNDARIES]), length + 1)
-
-    def step(s: Column, _: Column) -> Column:
-        hard = F.least(n, s["at"] + size)
-        back = F.reverse(F.substr(text, s["at"] + half + 1, F.greatest(F.lit(0), hard - s["at"] - half)))
-        cut = bind(back, last_boundary)
-        stop = F.when(hard < n, bind(cut, lambda c: F.when(c >= 0, s["at"] + half + c + 1).otherwise(hard))).otherwise(hard)
+    @F.pandas_udf("array<struct<start:int,end:int,excerpt:string>>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: [dict(zip(("start", "end", "excerpt"), c, strict=True)) for c in chunk_spans(x or "", size, overlap)])
 
-        def then(e: Column) -> Column:
-            at = F.when(e >= n, n).otherwise(F.greatest(e - overlap, s["at"] + 1))
-            out = F.concat(s["out"], F.array(F.struct(s["at"].cast("int").alias("start"), e.cast("int").alias("end"))))
-            return F.struct(at.cast("int").alias("at"), (e >= n).alias("done"), out.alias("out"))
+    return run(text)
 
-        return F.when(s["done"], s).otherwise(bind(stop, then))
 
-    none = F.array().cast(_SPANS)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), none.alias("out"))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, none).otherwise(F.aggregate(steps, zero, step, lambda s: s["out"]))
+def schema_of(df, names) -> str:
+    """Some columns of df as the beginning of a schema in SQL form."""
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
 
 
 def distinct_ci(arr: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import access as A
+from .ranking import top_per_group
 
 #: Publishers that often refuse downloads, and indexes that never hold the text.
 PUBLISHERS = (
@@ -65,8 +66,20 @@ def candidates_of(locations: DataFrame, papers: DataFrame, publishers: Sequence[
     return insert_preprint(order_candidates(usable_locations(locations, papers, publishers), publishers, indexes), papers, publishers)
 
 
+#: What a label means for whoever picks a paper.
+DETAILS = {
+    "direct_pdf": "an open copy's PDF address at {host} is recorded and can be fetched as it is",
+    "landing_page": "an open page at {host} is recorded; the PDF address has to be read from it, and an upload may be needed",
+    "index_only": "only index pages ({host}) are recorded, which hold no PDF; an open copy is looked up when the analysis starts",
+    "publisher_only": "only the publisher's site ({host}) is recorded, which often refuses automatic downloads",
+    "doi_link": "only a DOI link is recorded; whether it leads to a PDF depends on where it resolves",
+    "doi_only": "no open location is recorded; the DOI is used to look one up when the analysis starts",
+    "none": "neither an open location nor a DOI is recorded; the PDF has to be uploaded",
+}
+
+
 def predict_full_text(candidates: DataFrame, papers: DataFrame, publishers: Sequence[str] = PUBLISHERS, indexes: Sequence[str] = INDEXES) -> DataFrame:
-    """paper_ord, level, label, host, candidates: what the first https candidate promises.
+    """paper_ord, level, label, detail, host, candidates: what the first https candidate promises.
 
     Resolver links are lookups, not places: they count only where there is nothing else.
     """
@@ -87,7 +100,10 @@ def predict_full_text(candidates: DataFrame, papers: DataFrame, publishers: Sequ
     out = joined.withColumn("label", label).withColumn("level", level)
     host = F.when(some, F.coalesce(F.nullif("_best._host", F.lit("")), F.lit("unknown"))).when(doi, "doi.org")
     count = F.when(some, F.col("_usable")).when(doi & linked, F.col("_shaped")).otherwise(0)
-    return out.select("paper_ord", "level", "label", host.alias("host"), count.cast("long").alias("candidates"))
+    out = out.withColumn("host", host)
+    told = F.create_map(*[F.lit(x) for pair in DETAILS.items() for x in pair])[F.col("label")]
+    detail = F.replace(told, F.lit("{host}"), F.coalesce("host", F.lit("")))
+    return out.select("paper_ord", "level", "label", detail.alias("detail"), "host", count.cast("long").alias("candidates"))
 
 
 def availability_counts(availability: DataFrame) -> DataFrame:
@@ -99,6 +115,11 @@ def mark_stale(locations: DataFrame, gone: DataFrame) -> DataFrame:
     return locations.where(~F.coalesce("stale", F.lit(False))).join(gone.select("url").distinct(), "url", "left_semi").withColumn("stale", F.lit(True))
 
 
+def clear_stale_urls(papers: DataFrame, gone: DataFrame) -> DataFrame:
+    """Papers whose own URL is among the gone ones, without it (only changed rows), lest it become a candidate again."""
+    return papers.join(gone.select(F.col("url").alias("open_access_url")).distinct(), "open_access_url", "left_semi").withColumn("open_access_url", F.lit(None).cast("string")).select(*papers.columns)
+
+
 def classify_fetch(log: DataFrame) -> DataFrame:
     return log.withColumn("outcome", A.fetch_outcome(F.col("status"), F.col("media_type")))
 
@@ -107,6 +128,8 @@ def acquisition_outcome(log: DataFrame, limit: int = 1000) -> DataFrame:
     """Per paper the first URL that worked, else its failures in order (cut), and how many URLs are gone."""
     rows = classify_fetch(log)
     failed = rows.where("outcome <> 'ok'").select("paper_ord", "pos", F.concat_ws(": ", "url", "outcome").alias("f")).distinct()
+    # A failure takes more than one character, so no more than `limit` of them show; Spark cuts to these before the shuffle.
+    failed = top_per_group(failed, ["paper_ord"], [F.asc("pos"), F.asc("f")], limit, "_n")
     texts = failed.groupBy("paper_ord").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]), "; "), 1, limit).alias("failures"))
     firsts = rows.groupBy("paper_ord").agg(F.min_by("url", F.when(F.col("outcome") == "ok", F.struct("pos", "url"))).alias("acquired"), F.count_distinct(F.when(F.col("outcome") == "gone", F.col("url"))).alias("gone_urls"))
     return firsts.join(texts, "paper_ord", "left").withColumn("failures", F.when(F.col("acquired").isNull(), F.col("failures")))

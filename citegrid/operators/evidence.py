@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.layout import section_type
 
 #: For each part of an analysis, the section types it prefers and the words it looks for.
 SECTION_PREFERENCES = {"problem": ("abstract", "background"), "method": ("method",), "experiment": ("experiment",), "critical": ("discussion", "experiment")}
@@ -19,22 +23,87 @@ KEYWORDS = {
 }
 
 
-def chunks(pages: DataFrame, size: int = 950, overlap: int = 140) -> DataFrame:
-    """doc_id, page, chunk_no, excerpt of each page's text; blank pages give none."""
-    source = pages.withColumn("_text", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    cut = source.select("doc_id", "page", "_text", F.posexplode(T.chunk_text(F.col("_text"), size, overlap)).alias("chunk_no", "c"))
-    excerpt = F.regexp_replace(F.substr("_text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    return cut.select("doc_id", "page", "chunk_no", excerpt.alias("excerpt")).where("excerpt <> ''")
+def chunks(pages: DataFrame, size: int = 950, overlap: int = 140, key: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """key, chunk_no, span_start, span_end, excerpt, sha256 of each chunk of the rows' text; blank texts give none.
 
+    One pass over Arrow batches: a row is cut where it lies, and what a chunk is known by (its place and hash) is made with
+    it, so that no text is shuffled, joined or searched for.
+    """
+    made = "chunk_no int, span_start int, span_end int, excerpt string, sha256 string"
+    schema = T.schema_of(pages, key) + made
+    names = [*key, *[x.split()[0] for x in made.split(", ")]]
 
-def build_evidence(chunked: DataFrame, pages: DataFrame) -> DataFrame:
-    """Chunks with their place in the page's text, hash and locator; a repeated chunk of a page is one evidence."""
-    digest = F.sha2(F.col("excerpt").cast("binary"), 256)
-    once = chunked.groupBy("doc_id", "page", "excerpt").agg(F.min("chunk_no").alias("chunk_no"))
-    placed = once.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).withColumn("span_start", F.instr("text", F.col("excerpt")) - 1)
-    out = placed.withColumn("span_end", F.col("span_start") + F.char_length("excerpt")).withColumn("sha256", digest)
-    locator = F.concat_ws(":", F.lit("text"), "page", "span_start", "span_end", "sha256")
-    return out.withColumn("locator", locator).withColumn("evidence_id", F.sha2(F.concat_ws("|", "doc_id", "locator"), 256)).drop("text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of = [], []
+            for i, text in enumerate(batch.column(len(key))):
+                cut = T.chunk_spans(text.as_py() or "", size, overlap)
+                rows += [(n, a, b, e, hashlib.sha256(e.encode()).hexdigest()) for n, (a, b, e) in enumerate(cut)]
+                of += [i] * len(cut)
+            owners = [batch.column(j).take(pa.array(of, pa.int64())) for j in range(len(key))]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*owners, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+    return pages.select(*key, "text").mapInArrow(run, schema)
+
+
+def chunk_runs(runs: DataFrame, pages: DataFrame, size: int = 950, overlap: int = 140) -> DataFrame:
+    """Chunks of the block runs (doc_id, page, run, text) of each page, and of the page's text where it has no runs' blocks.
+
+    Numbered through each page in the order of its runs; places are within the run.
+    """
+    bare = pages.where(~F.col("has_blocks")).select("doc_id", "page", F.lit(0).cast("long").alias("run"), "text")
+    rows = runs.select("doc_id", "page", F.col("run").cast("long").alias("run"), "text").unionByName(bare)
+    return chunks(rows, size, overlap, ("doc_id", "page", "run"))
+
+
+def build_evidence(chunked: DataFrame) -> DataFrame:
+    """Text evidence of chunks: locator and id. A text that stands in several chunks of a page is one evidence, the first.
+
+    Only places and hashes are grouped; the excerpts of repeated chunks are dropped before the shuffle.
+    """
+    once = chunked.groupBy("doc_id", "page", "sha256").agg(F.min_by(F.struct("chunk_no", "span_start", "span_end", "excerpt"), "chunk_no").alias("_c")).select("doc_id", "page", "sha256", "_c.*")
+    return located(once, F.concat_ws(":", F.lit("text"), "page", "span_start", "span_end", "sha256"))
+
+
+def figure_evidence(figures: DataFrame) -> DataFrame:
+    """Evidence of figures (doc_id, page, figure_id, label, caption, path, sha256 of the picture)."""
+    rows = figures.select("doc_id", "page", F.lit("figure").alias("evidence_type"), F.coalesce("label", "figure_id").alias("label"), F.col("caption").alias("excerpt"), F.col("path").alias("source_path"), "sha256", F.col("figure_id").alias("_id"))
+    return located(rows, F.concat_ws(":", F.lit("figure"), "page", "_id", "sha256")).drop("_id")
+
+
+def table_evidence(tables: DataFrame) -> DataFrame:
+    """Evidence of tables (doc_id, page, table_id, label, caption, path of the page's picture or null).
+
+    The hash is that of the caption, or of the label or id where there is none.
+    """
+    known_by = F.coalesce(F.nullif("caption", F.lit("")), F.nullif("label", F.lit("")), "table_id")
+    rows = tables.select("doc_id", "page", F.lit("table").alias("evidence_type"), F.coalesce(F.nullif("label", F.lit("")), "table_id").alias("label"), F.col("caption").alias("excerpt"), F.coalesce("path", F.concat(F.lit("pages/"), "page")).alias("source_path"), F.sha2(known_by.cast("binary"), 256).alias("sha256"), F.col("table_id").alias("_id"))
+    return located(rows, F.concat_ws(":", F.lit("table"), "page", "_id", "sha256")).drop("_id")
+
+
+def located(rows: DataFrame, locator: Column) -> DataFrame:
+    """rows with their locator and the id that follows from it."""
+    return rows.withColumn("locator", locator).withColumn("evidence_id", F.sha2(F.concat_ws("|", "doc_id", "locator"), 256))
+
+
+def keep_known_ids(made: DataFrame, known: DataFrame) -> DataFrame:
+    """made with the ids that earlier evidence of the same document and locator has."""
+    had = known.groupBy("doc_id", "locator").agg(F.min("evidence_id").alias("_had"))
+    return made.join(had, ["doc_id", "locator"], "left").withColumn("evidence_id", F.coalesce("_had", "evidence_id")).drop("_had").select(*made.columns)
+
+
+def verify_visuals(evidence: DataFrame, figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """Figure and table evidence with ok and reason: the picture is there with the same hash; the caption hashes to the same."""
+    pictures = figures.select("doc_id", F.col("path").alias("source_path"), F.lit("figure").alias("evidence_type"), F.lit(None).cast("string").alias("_label"), F.col("sha256").alias("_now"))
+    captions = table_evidence(tables).select("doc_id", F.col("source_path"), F.lit("table").alias("evidence_type"), F.col("label").alias("_label"), F.col("sha256").alias("_now"))
+    keyed = evidence.withColumn("_label", F.when(F.col("evidence_type") == "table", F.col("label")))
+    now = pictures.unionByName(captions).groupBy("doc_id", "source_path", "evidence_type", "_label").agg(F.collect_set("_now").alias("_now"))
+    same = [F.equal_null(keyed[c], now[c]) if c == "_label" else keyed[c] == now[c] for c in ("doc_id", "source_path", "evidence_type", "_label")]
+    joined = keyed.join(now, same, "left").select(*[keyed[c] for c in keyed.columns], now["_now"])
+    reason = F.when(F.col("_now").isNull(), F.concat("evidence_type", F.lit(" missing"))).when(~F.array_contains("_now", F.col("sha256")), "hash differs")
+    return joined.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).drop("_now", "_label")
 
 
 def verify_sources(evidence: DataFrame, pages: DataFrame) -> DataFrame:
@@ -50,7 +119,10 @@ def occurrences(text: Column, word: str) -> Column:
 
 
 def routing_score(text: Column, section_type: Column, page: Column, last_page: Column, part: str, topic_terms: Sequence[str] = (), keywords: Sequence[str] | None = None) -> Column:
-    """Twice the keyword hits, the topic terms found, 3 for a preferred section, and the part's page bonus."""
+    """Twice the keyword hits, the topic terms found, 3 for a preferred section, and the part's page bonus.
+
+    The method part favours pages between the first and the last, problem the first two, the others the last three.
+    """
     low = F.lower(text)
     score = F.lit(0)
     for k in KEYWORDS[part] if keywords is None else keywords:
@@ -58,10 +130,28 @@ def routing_score(text: Column, section_type: Column, page: Column, last_page: C
     for t in topic_terms:
         score = score + F.when(F.contains(low, F.lit(t)), 1).otherwise(0)
     score = score + F.when(section_type.isin(*SECTION_PREFERENCES[part]), 3).otherwise(0)
-    bonus = {"problem": F.when(page <= 2, 4), "method": F.when((page > 2) & (page < last_page), 2), "experiment": F.when(page >= last_page - 2, 4), "critical": F.when(page >= last_page - 2, 4)}
+    bonus = {"problem": F.when(page <= 2, 4), "method": F.when((page > 1) & (page < last_page), 2)} | dict.fromkeys(("experiment", "critical"), F.when(page >= F.greatest(F.lit(1), last_page - 2), 4))
     return score + bonus[part].otherwise(0)
 
 
+def topic_terms(topic: str) -> list[str]:
+    """The words of two or more characters of a topic, case folded."""
+    return [t.casefold() for t in re.findall(r"\w{2,}", topic)]
+
+
+def routed(evidence: DataFrame, part: str, topic: str = "", group: Sequence[str] = ("paper_id",)) -> DataFrame:
+    """evidence (section, claim, excerpt, page, evidence_type) with its score for a part: words of section, claim and excerpt count.
+
+    The last page is that of the paper's text evidence.
+    """
+    last = evidence.where("evidence_type = 'text'").groupBy(*group).agg(F.max(F.coalesce("page", F.lit(1))).alias("_last"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    content = F.concat_ws(" ", none("section"), none("claim"), none("excerpt"))
+    joined = evidence.join(last, [*group], "left")
+    score = routing_score(content, section_type(none("section")), F.coalesce("page", F.lit(1)), F.coalesce("_last", F.lit(1)), part, topic_terms(topic))
+    return joined.withColumn("score", score).drop("_last")
+
+
 def select_text(scored: DataFrame, k: int, per_page: int = 2, group: Sequence[str] = ("paper_id",)) -> DataFrame:
     """At most per_page rows of a page, then the best k of each group."""
     order = [F.desc("score"), F.asc("page"), F.asc("ord")]

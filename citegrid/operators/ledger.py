@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .resolve import latest_per_key, upsert
 
 ITEM = ("project_id", "run_scope", "item_key")
-PARTS = ("problem", "method", "experiment", "critical", "overview")
 
 
 def plan_work(inputs: DataFrame, ledger: DataFrame, replace_changed: bool = False) -> DataFrame:
@@ -50,15 +49,36 @@ def upsert_progress(progress: DataFrame, updates: DataFrame, keys: Sequence[str]
     """
     old = progress.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("label", "total", "done")])
     done = F.coalesce("done", F.lit(0)) if strict_reference else F.coalesce("done", "_done", F.lit(0))
-    new = updates.join(old, [*keys], "full")
     is_new = F.col("_from_update")
     new = updates.withColumn("_from_update", F.lit(True)).join(old, [*keys], "full")
     return new.select(*keys, F.coalesce("label", "_label").alias("label"), F.coalesce("total", "_total").alias("total"), F.when(is_new, done).otherwise(F.col("_done")).alias("done"))
 
 
+#: How the notes of automatic passes begin, and the source that each tells.
+NOTE_SOURCES = {"自动复核：": "auto_visual_verifier", "图文一致：": "auto_consistency"}
+
+
 def backfill_sources(reviews: DataFrame) -> DataFrame:
-    """reviews with the source that the note's prefix tells."""
-    return reviews.withColumn("source", F.when(F.startswith("note", F.lit("auto")), "auto").when(F.startswith("note", F.lit("manual")), "human"))
+    """reviews with a source where there was none: that of the automatic pass whose mark begins the note, else human."""
+    told = F.lit("human")
+    for mark, source in NOTE_SOURCES.items():
+        told = F.when(F.startswith(F.coalesce("note", F.lit("")), F.lit(mark)), source).otherwise(told)
+    return reviews.withColumn("source", F.coalesce("source", told))
+
+
+def backfill_visuals(analyses: DataFrame, regions: DataFrame) -> DataFrame:
+    """analyses whose total_visuals is 0 although they have regions, with the regions counted.
+
+    All count as completed, except in failed runs; the step says how a completed or failed run ended.
+    """
+    counts = regions.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("_n"))
+    open_row = (F.col("total_visuals") == 0) & F.col("_n").isNotNull()
+    step = F.when(F.col("status") == "completed", "visuals_completed").when(F.col("status") == "failed", "visuals_failed").otherwise(F.col("current_step"))
+    done = F.when(F.col("status") == "failed", 0).otherwise(F.col("_n"))
+    out = analyses.join(counts, "analysis_id", "left").withColumn("_open", open_row)
+    for name, value in (("completed_visuals", done), ("current_step", step), ("total_visuals", F.col("_n"))):
+        out = out.withColumn(name, F.when(F.col("_open"), value).otherwise(F.col(name)))
+    return out.drop("_n", "_open")
 
 
 def pending_documents(documents: DataFrame, papers: DataFrame, analyses: DataFrame, version: int = 3) -> DataFrame:
@@ -89,11 +109,27 @@ def progress_board(progress: DataFrame, selections: DataFrame, papers: DataFrame
     return chosen.join(papers.select("paper_id", "title"), "paper_id", "left")
 
 
-def analysis_blocks(selections: DataFrame, work_items: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
-    """Each selected paper and each part with the state of its latest work item: completed, its status, or queued."""
-    rows = selections.withColumn("part", F.explode(F.array(*map(F.lit, parts))))
-    latest = latest_per_key(work_items.select("project_id", F.col("item_key").alias("part"), "status", "updated_at", "ord"), ["project_id", "part"], ["updated_at", "ord"])
-    return rows.join(latest.select("project_id", "part", "status"), ["project_id", "part"], "left").withColumn("status", F.coalesce("status", F.lit("queued")))
+#: Fields of a section's result that a block of each part shows.
+PART_FIELDS = {"problem": ("core_problem", "relevance_to_topic"), "method": ("methods", "mechanisms"), "experiment": ("experimental_setup", "main_results"), "critical": ("limitations",), "overview": ("overview",)}
+
+
+def analysis_blocks(selections: DataFrame, sections: DataFrame, board: DataFrame, papers: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row per selected paper (project_id, paper_id) and part: paper_title, status, content, note.
+
+    sections: project_id, paper_id, part, status, content (map of field to text), updated_at, ord; the latest of each
+    part counts, the first where times are equal, if it is completed. A part with content is completed; without, its status
+    is that of the progress board (project_id, paper_id, part, status, ord), else queued. notes: what was asked for a part.
+    """
+    rows = selections.select("project_id", "paper_id").withColumn("part", F.explode(F.array(*map(F.lit, PART_FIELDS))))
+    key = ["project_id", "paper_id", "part"]
+    latest = sections.groupBy(*key).agg(F.max_by(F.struct("status", "content"), F.struct("updated_at", -F.col("ord"))).alias("_s"))
+    fields = F.create_map(*[x for part, names in PART_FIELDS.items() for x in (F.lit(part), F.array(*map(F.lit, names)))])
+    shown = F.map_filter(F.col("_s.content"), lambda k, v: F.array_contains(fields[F.col("part")], k) & (F.coalesce(v, F.lit("")) != ""))
+    content = F.when((F.col("_s.status") == "completed") & (F.size(shown) > 0), shown)
+    state = board.groupBy(*key).agg(F.max_by("status", "ord").alias("_board"))
+    out = rows.join(latest, key, "left").join(state, key, "left").join(notes.select(*key, "note"), key, "left").join(papers.select("paper_id", F.col("title").alias("_title")), "paper_id", "left")
+    out = out.withColumn("content", content).withColumn("status", F.when(F.col("content").isNotNull(), "completed").otherwise(F.coalesce("_board", F.lit("queued"))))
+    return out.select(*key, F.coalesce("_title", F.lit("untitled")).alias("paper_title"), "status", "content", "note")
 
 
 def missing_documents(papers: DataFrame, acquisitions: DataFrame) -> DataFrame:
@@ -101,8 +137,12 @@ def missing_documents(papers: DataFrame, acquisitions: DataFrame) -> DataFrame:
 
 
 def result_cards(papers: DataFrame, acquisitions: DataFrame, availability: DataFrame) -> DataFrame:
-    """papers with their download's state and what is predicted for it."""
-    return papers.join(acquisitions.select("paper_ord", F.col("acquired").isNotNull().alias("downloaded")), "paper_ord", "left").join(availability.select("paper_ord", "level", "host"), "paper_ord", "left").withColumn("downloaded", F.coalesce("downloaded", F.lit(False)))
+    """papers, with all that they say of their origin, the state of their download (full_text: null before one was tried)
+    and what is predicted for it (full_text_hint)."""
+    state = F.when(F.col("acquired").isNotNull(), "acquired").otherwise("awaiting_upload")
+    hint = F.struct("level", "label", "detail", "host", "candidates")
+    out = papers.join(acquisitions.select("paper_ord", state.alias("full_text")), "paper_ord", "left")
+    return out.join(availability.select("paper_ord", hint.alias("full_text_hint")), "paper_ord", "left")
 
 
 def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:

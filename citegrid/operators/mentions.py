@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import pandas as pd
@@ -15,6 +16,9 @@ FIGURE_REF = r"\b(?:fig(?:ures?|s)?\.?)\s*(S?\d+(?:\(?[a-z]\)?)?)\b"
 FIGURE_MORE = r"\s*(?:,|;|&|and|to|–|—|-)\s*(S?\d+(?:\(?[a-z]\)?)?)\b"
 TABLE_REF = r"\btables?\.?\s*(\d+[A-Za-z]?)\b"
 COMPOUND = 90
+_RUN = re.compile(FIGURE_REF + "(?P<more>(?:" + FIGURE_MORE.replace("(S?", "(?:S?") + ")*)", re.IGNORECASE)
+_MORE, _TABLE = re.compile(FIGURE_MORE, re.IGNORECASE), re.compile(TABLE_REF, re.IGNORECASE)
+_NO_BRACKETS = str.maketrans("", "", "()")
 _HIT = "array<struct<kind:string,key:string,start:int,snippet:string>>"
 
 
@@ -28,28 +32,28 @@ def head_mentions(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", "hit_ord", F.explode(F.concat(*kinds)).alias("h")).select("doc_id", "page", "hit_ord", "h.kind", "h.key")
 
 
+def _references(text: str) -> list[tuple[str, str, int]]:
+    """(kind, key, place) of every reference of a text: figures first, those of one compound at the place of its head."""
+    found = []
+    for run in _RUN.finditer(text):
+        goes_on = [m[1] for m in _MORE.finditer(run["more"]) if m.start() < COMPOUND]
+        found += [("figure", key, run.start()) for key in (run[1], *goes_on)]
+    return found + [("table", m[1], m.start()) for m in _TABLE.finditer(text)]
+
+
 def find_mentions(text: Column) -> Column:
     """array<struct<kind, key, start, snippet>> with compound references and places, as an Arrow-backed UDF.
 
-    Overlapping matches with offsets have no built-in function.
+    Matches with offsets have no built-in function. A snippet is 160 characters before and 240 after a place, collapsed.
     """
-    figure, more, table = (re.compile(p, re.IGNORECASE) for p in (FIGURE_REF, FIGURE_MORE, TABLE_REF))
-
-    def hits(value: str | None) -> list[dict]:
-        out = []
-        for m in figure.finditer(value or ""):
-            keys, at = [m[1]], m.end()
-            stop = min(len(value), m.end() + COMPOUND)
-            while at < stop and (n := more.match(value, at)):
-                keys.append(n[1])
-                at = n.end()
-            out += [("figure", k, m.start()) for k in keys]
-        out += [("table", m[1], m.start()) for m in table.finditer(value or "")]
-        return [{"kind": kind, "key": re.sub("[()]", "", k).strip().lower(), "start": s, "snippet": " ".join(value[max(0, s - 160) : s + 240].split())[:400]} for kind, k, s in out]
 
     @F.pandas_udf(_HIT)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(hits)
+        filled = values.fillna("")
+        return pd.Series([
+            [(kind, key.translate(_NO_BRACKETS).strip().lower(), at, " ".join(x[max(0, at - 160) : at + 240].split())[:400]) for kind, key, at in _references(x)]
+            for x in filled
+        ], index=values.index, dtype=object)
 
     return run(text)
 
@@ -93,29 +97,44 @@ def attach_mentions(links: DataFrame, cap: int = 6) -> DataFrame:
     return ranked.where(F.col("mention_no") <= cap).drop("_o")
 
 
+_ATTACHED = "doc_id long, kind string, fig_ord long, page int, snippet string, mention_no int"
+
+
 def greedy_attach(hits: DataFrame, visuals: DataFrame, cap: int = 6) -> DataFrame:
     """The exact rule where labels repeat: each hit goes to the first matching visual that is not full, does not have its
-    snippet and is not captioned by it. The choice depends on what came before, so a document is one group."""
-
-    def run(key, hit: pd.DataFrame, visual: pd.DataFrame) -> pd.DataFrame:
-        have: dict[int, list[str]] = {}
-        out = []
-        rows = visual.sort_values("fig_ord").to_dict("records")
-        for h in hit.sort_values(["hit_ord", "pos"]).to_dict("records"):
-            core = re.match(r"\d+", h["key"])
-            for v in rows:
-                same = v["key"] == h["key"] or (core and core[0] != h["key"] and v["key"] == core[0])
-                mine = have.setdefault(v["fig_ord"], [])
-                caption = " ".join((v["caption"] or "").split())
-                if v["kind"] != h["kind"] or not same or caption == h["snippet"] or len(mine) >= cap or h["snippet"] in mine:
-                    continue
-                mine.append(h["snippet"])
-                out.append((key[0], h["kind"], v["fig_ord"], h["page"], h["snippet"], len(mine)))
-                break
-        return pd.DataFrame(out, columns=["doc_id", "kind", "fig_ord", "page", "snippet", "mention_no"])
+    snippet and is not captioned by it.
 
+    The choice depends on what came before, but only among equal numbers: a document is parted by kind and leading number
+    of the key. Of hits with one key and snippet, only as many count as there are visuals, since each takes one of them or
+    finds none open from then on; the others are dropped before they are grouped.
+    """
     keyed = visuals.withColumn("key", visual_key(F.col("label"))).where("key IS NOT NULL").select("doc_id", "kind", "fig_ord", "key", "caption")
-    return hits.groupBy("doc_id").cogroup(keyed.groupBy("doc_id")).applyInPandas(run, "doc_id long, kind string, fig_ord long, page int, snippet string, mention_no int")
+    number = F.coalesce(core_key(F.col("key")), F.col("key"))
+    keyed, numbered = keyed.withColumn("number", number), hits.withColumn("number", number)
+    by = ["doc_id", "kind", "number"]
+    have = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_visuals"))
+    again = F.row_number().over(Window.partitionBy(*by, "key", "snippet").orderBy("hit_ord", "pos"))
+    useful = numbered.join(have, by).withColumn("_again", again).where(F.col("_again") <= F.col("_visuals")).select(*by, "key", "hit_ord", "pos", "page", "snippet")
+
+    def run(of, hit: pd.DataFrame, visual: pd.DataFrame) -> pd.DataFrame:
+        shelf = visual.sort_values("fig_ord").reset_index(drop=True)
+        captions = shelf["caption"].fillna("").str.split().str.join(" ")
+        taken: list[dict[str, int]] = [{} for _ in captions]  # by visual: snippet to its number
+        by_key = {k: list(g) for k, g in shelf.groupby("key").groups.items()}  # visuals that are not full, by key
+        rows = []
+        for key, page, snippet in hit.sort_values(["hit_ord", "pos"])[["key", "page", "snippet"]].itertuples(index=False):
+            names = {key, of[2]}
+            free = heapq.merge(*[by_key.get(n, []) for n in names])
+            place = next((v for v in free if snippet not in taken[v] and captions[v] != snippet), None)
+            if place is None:
+                continue
+            taken[place][snippet] = len(taken[place]) + 1
+            rows.append((of[0], of[1], shelf["fig_ord"][place], page, snippet, len(taken[place])))
+            if len(taken[place]) == cap:
+                by_key[shelf["key"][place]].remove(place)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _ATTACHED.split(", ")])
+
+    return useful.groupBy(*by).cogroup(keyed.groupBy(*by)).applyInPandas(run, _ATTACHED)
 
 
 def top_mentions(mentions: DataFrame, n: int = 4, distinct: bool = True) -> DataFrame:

@@ -63,18 +63,34 @@ def budget_state(usage: DataFrame, windows: DataFrame, tokens: int, vision: int,
     return rows.withColumn("reason", reason).withColumn("state", state).select("project_id", "tokens_used", "vision_used", "minutes_used", "reason", "state")
 
 
-def budget_crossings(usage: DataFrame, tokens: int) -> DataFrame:
-    """The usage row of each project at which its running tokens reach the limit."""
-    running = F.sum("tokens").over(Window.partitionBy("project_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return usage.withColumn("running_tokens", running).where((F.col("running_tokens") >= tokens) & (F.col("running_tokens") - F.col("tokens") < tokens))
-
-
-def analysis_metrics(analyses: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per project: pages of completed documents, regions, visuals of each document's latest run (ties count), last step."""
-    latest = analyses.withColumn("_r", F.rank().over(Window.partitionBy("project_id", "doc_id").orderBy(F.desc("run"))))
-    rows = latest.groupBy("project_id").agg(
-        F.sum(F.when((F.col("_r") == 1) & (F.col("status") == "completed"), F.col("page_count"))).alias("pages"), F.sum(F.when(F.col("_r") == 1, F.col("visuals"))).alias("visuals"), F.max("step").alias("current_step")
-    )
-    counts = regions.groupBy("project_id").agg(F.count(F.lit(1)).alias("regions"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows.join(counts, "project_id", "full").select("project_id", zero("pages"), zero("visuals"), zero("regions"), zero("current_step"))
+def budget_crossings(usage: DataFrame, tokens: int, bucket: str = "day") -> DataFrame:
+    """The usage rows of each project at which its running tokens reach the limit.
+
+    Tokens are summed by project and bucket of time first; the running sum goes over buckets, and rows are ordered
+    within a bucket only, so that a project with very many rows is spread over its buckets.
+    """
+    rows = usage.withColumn("_bucket", F.date_trunc(bucket, F.col("created_at").cast("timestamp")))
+    sums = rows.groupBy("project_id", "_bucket").agg(F.sum("tokens").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("project_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("project_id", "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.sum("tokens").over(Window.partitionBy("project_id", "_bucket").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    running = rows.join(before, ["project_id", "_bucket"]).withColumn("running_tokens", F.col("_before") + inside).drop("_bucket", "_before")
+    return running.where((F.col("running_tokens") >= tokens) & (F.col("running_tokens") - F.col("tokens") < tokens))
+
+
+def analysis_metrics(analyses: DataFrame, regions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per project: analyzed_pages, analyzed_visuals, total_visuals, completed_visuals, current_step.
+
+    Pages are those of each document's largest completed run, whichever run is latest; visuals and the step are those of
+    the runs with a document's latest time (all of them where times are equal). With `documents`, of these only.
+    """
+    if documents is not None:
+        chosen = documents.select("doc_id").distinct()
+        analyses, regions = analyses.join(chosen, "doc_id", "left_semi"), regions.join(chosen, "doc_id", "left_semi")
+    pages = analyses.where("status = 'completed'").groupBy("project_id", "doc_id").agg(F.max("page_count").alias("n")).groupBy("project_id").agg(F.sum("n").alias("analyzed_pages"))
+    latest = analyses.groupBy("doc_id").agg(F.max("updated_at").alias("updated_at"))
+    progress = analyses.join(latest, ["doc_id", "updated_at"], "left_semi").groupBy("project_id").agg(*[F.sum(c).alias(c) for c in ("total_visuals", "completed_visuals")], F.max("current_step").alias("current_step"))
+    counts = regions.groupBy("project_id").agg(F.count(F.lit(1)).alias("analyzed_visuals"))
+    known = analyses.select("project_id").unionByName(regions.select("project_id")).distinct()
+    out = known.join(pages, "project_id", "left").join(counts, "project_id", "left").join(progress, "project_id", "left")
+    return out.select("project_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("analyzed_pages", "analyzed_visuals", "total_visuals", "completed_visuals")], "current_step")

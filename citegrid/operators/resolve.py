@@ -39,33 +39,50 @@ def first_filled(value: str) -> Column:
     return F.min_by(value, F.when(F.coalesce(F.col(value), F.lit("")) != "", F.col("ord"))).alias(value)
 
 
+def _first_record(papers: DataFrame, taken: set[str]) -> Column:
+    """The first record's other columns, as one struct."""
+    return F.min_by(F.struct(*[c for c in papers.columns if c not in taken]), "ord").alias("_first")
+
+
 def merge_sources(papers: DataFrame) -> DataFrame:
-    """One row per merge key: identity of the first record, first filled texts, most citations, sources and queries."""
-    keyed = merge_key(papers)
+    """One row per merge key: the whole first record, with first filled texts, most citations, and the lists of all.
+
+    First filled are abstract, doi, arxiv_id, open_access_url, venue and publisher; sources and queries are distinct in
+    order, source_records has the (source, id) of every record in order. Further columns are the first record's.
+    """
+    keyed, fills = merge_key(papers), [c for c in ("abstract", "doi", "arxiv_id", "open_access_url", "venue", "publisher") if c in papers.columns]
+    made = {*fills, "ord", "citation_count", "source", "query", "merge_key"}
     merged = keyed.groupBy("merge_key").agg(
-        F.min("ord").alias("group_ord"), *[F.min_by(c, "ord").alias(c) for c in ("stable_id", "title", "year")],
-        *[first_filled(c) for c in ("abstract", "doi", "arxiv_id", "open_access_url", "venue")],
+        F.min("ord").alias("group_ord"), _first_record(keyed, made), *[first_filled(c) for c in fills],
         F.max("citation_count").alias("citation_count"), F.count(F.lit(1)).alias("records"),
     )
+    merged = merged.select("*", "_first.*").drop("_first")
+    own_id = F.col("source_id") if "source_id" in papers.columns else F.col("stable_id")
+    records = keyed.groupBy("merge_key", "source", own_id.alias("id")).agg(F.sort_array(F.collect_list("ord")).alias("_o"))
+    told = records.select("merge_key", F.explode("_o").alias("_o"), "source", "id").groupBy("merge_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "source", "id"))), lambda x: F.struct(x["source"].alias("source"), x["id"].alias("id"))).alias("source_records"))
     lists = [_distinct_in_order(c, ["merge_key"], keyed).withColumnRenamed("querys", "queries") for c in ("source", "query")]
-    return merged.join(lists[0], "merge_key", "left").join(lists[1], "merge_key", "left")
+    return merged.join(lists[0], "merge_key", "left").join(lists[1], "merge_key", "left").join(told, "merge_key", "left")
 
 
 def deduplicate(papers: DataFrame) -> DataFrame:
-    """One row per stable key: the first record with the longest abstract of its group and its ordered queries."""
+    """One row per stable key: the whole first record, with the longest abstract of its group (the first of these), the first
+    filled DOI, most citations and the ordered queries."""
     keyed = paper_key(papers)
     longest = F.struct(F.char_length(F.coalesce("abstract", F.lit(""))), -F.col("ord"))
+    made = {"ord", "abstract", "doi", "citation_count", "query", "stable_key"}
     unique = keyed.groupBy("stable_key").agg(
-        F.min("ord").alias("group_ord"), *[F.min_by(c, "ord").alias(c) for c in ("stable_id", "source_id", "title", "doi", "year")],
+        F.min("ord").alias("group_ord"), _first_record(keyed, made), first_filled("doi"),
         F.max_by("abstract", longest).alias("abstract"), F.max("citation_count").alias("citation_count"), F.count(F.lit(1)).alias("records"),
-    )
+    ).select("*", "_first.*").drop("_first")
     return unique.join(_distinct_in_order("query", ["stable_key"], keyed).withColumnRenamed("querys", "queries"), "stable_key", "left")
 
 
 def duplicate_report(papers: DataFrame) -> DataFrame:
-    """Groups of more than one record: key, size, first and last member, and the line for the log."""
-    groups = paper_key(papers).groupBy("stable_key").agg(F.count(F.lit(1)).alias("size"), F.min_by("source_id", "ord").alias("first_id"), F.max_by("source_id", "ord").alias("last_id"))
-    return groups.where("size > 1").withColumn("log", F.format_string("Merged %d records using %s", "size", "stable_key"))
+    """Groups of more than one record: key, size, the members' ids in order, and the line for the log."""
+    slim = paper_key(papers).select("stable_key", "ord", "source_id")
+    several = slim.groupBy("stable_key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = slim.join(several, "stable_key").groupBy("stable_key", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_id"))), lambda x: x["source_id"]).alias("members"))
+    return members.withColumn("log", F.format_string("Merged %d records using %s", "size", "stable_key"))
 
 
 def dedup_by_hash(df: DataFrame, scope: Sequence[str], hash_col: str, ord_col: str) -> DataFrame:

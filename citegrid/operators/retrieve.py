@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import top_per_group
+from ..functions.layout import useful_section
+from .ranking import rank_in_groups, top_per_group
 
 #: Distinct terms up to which phrases are literals of the plan; above, they are joined by their words.
 LITERAL_TERMS = 1000
@@ -45,8 +47,11 @@ def concept_filter(papers: DataFrame, groups: Sequence[Sequence[str]], excluded:
     wanted, banned = [t for g in groups for t in _terms(g)], _terms(excluded)
     if len(wanted) + len(banned) > literal_terms:
         return _concept_join(papers, wanted, banned)
-    literal = lambda terms: F.array(*map(F.lit, terms)).cast("array<string>")
-    found = T.bind(search_text(), lambda x: F.struct(F.filter(literal(wanted), lambda t: T.has_phrase(x, t)).alias("matched"), F.exists(literal(banned), lambda t: T.has_phrase(x, t)).alias("banned")))
+    # The text is bound with its padding, once; each term is a search for a literal.
+    hit = lambda x, t: F.contains(x, F.lit(f" {t} "))
+    either = lambda tests: reduce(Column.__or__, tests, F.lit(False))
+    matched = lambda x: F.array_compact(F.array(*[F.when(hit(x, t), t) for t in wanted]).cast("array<string>"))
+    found = T.bind(T.padded(search_text()), lambda x: F.struct(matched(x).alias("matched"), either([hit(x, t) for t in banned]).alias("banned")))
     keyed = papers.withColumn("_found", found).withColumn("matched", F.col("_found.matched"))
     return keyed.withColumn("included", ((F.size("matched") > 0) | F.lit(not wanted)) & ~F.col("_found.banned")).drop("_found")
 
@@ -80,18 +85,23 @@ def filter_or_all(papers: DataFrame, keep: str, by: str) -> DataFrame:
 
 def lexical_score(title: Column, abstract: Column, year: Column, request: Request) -> Column:
     """0.50 title + 0.30 abstract + 0.15 keyword + 0.05 recency overlap, clipped and rounded half-even to 6 places."""
-    goal = T.tokens(F.lit(" ".join([request.question, *request.keywords])))
-    words = T.tokens(F.lit(" ".join(request.keywords)))
-    own, body = T.tokens(title), T.tokens(abstract)
-    share = lambda part, whole: F.coalesce(F.try_divide(F.size(F.array_intersect(whole, part)).cast("double"), F.size(whole).cast("double")), F.lit(0.0))
-    in_title = share(own, goal)
-    keyword = F.when(F.size(words) > 0, share(F.array_union(own, body), words)).otherwise(in_title)
+    goal, words = T.plain_tokens(" ".join([request.question, *request.keywords])), T.plain_tokens(" ".join(request.keywords))
+    if not goal:
+        return F.lit(0.0)
     recency = F.lit(0.0)
     if request.year_from is not None and request.year_to is not None:
         span = float(max(1, request.year_to - request.year_from))
         recency = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (year - request.year_from) / F.lit(span))), F.lit(0.0))
-    score = F.lit(0.5) * in_title + F.lit(0.3) * share(body, goal) + F.lit(0.15) * keyword + F.lit(0.05) * recency
-    return F.when(F.size(goal) == 0, F.lit(0.0)).otherwise(F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))
+    share = lambda part, whole: F.size(F.array_intersect(F.array(*map(F.lit, whole)), part)).cast("double") / len(whole)
+
+    def score(s: Column) -> Column:
+        in_title = share(s["title"], goal)
+        keyword = share(F.concat(s["title"], s["body"]), words) if words else in_title
+        return F.lit(0.5) * in_title + F.lit(0.3) * share(s["body"], goal) + F.lit(0.15) * keyword + F.lit(0.05) * recency
+
+    # The goal's terms in title and abstract are found once, and bound; what else stands there does not count.
+    found = F.struct(T.tokens_among(title, goal).alias("title"), T.tokens_among(abstract, goal).alias("body"))
+    return T.bind(found, lambda s: F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score(s))), 6))
 
 
 def with_lexical_score(papers: DataFrame, request: Request) -> DataFrame:
@@ -113,16 +123,18 @@ def attach_decisions(papers: DataFrame, decisions: DataFrame) -> DataFrame:
 def final_rank(papers: DataFrame, question: str, by: Sequence[str] = ("request_id",), limit: int | None = None) -> DataFrame:
     """Judged papers by their judgement, then the others by lexical score; rejected ones go.
 
-    With a limit, Spark cuts each request to it before the shuffle.
+    With a limit, Spark cuts each request to it before the shuffle; without one, the ranks of a request come from a
+    range shuffle, so that a request with very many papers is no single sort.
     """
     left = papers.where(F.coalesce("include", F.lit(True)))
     tier = F.when(F.col("semantic").isNotNull(), 0).otherwise(1)
     order = [tier, F.desc("semantic"), F.desc("lexical_score"), F.asc("stable_id")]
     final = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("semantic", "lexical_score"))), 6)
     shared = F.array_sort(F.array_intersect(T.tokens(F.lit(question)), T.tokens(F.col("title"))))
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    if limit is not None:
-        ranked = ranked.where(F.col("rank") <= limit)
+    if limit is None:
+        ranked = rank_in_groups(left, by, order, "rank")
+    else:
+        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
     return ranked.withColumn("final_score", final).withColumn("matched_aspects", F.when(F.col("semantic").isNotNull(), F.col("aspects")).otherwise(shared))
 
 
@@ -169,3 +181,9 @@ def search_cards(papers: DataFrame, text: str) -> DataFrame:
 def compact(papers: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """What a judge reads of a paper: id, title, year and the relevant snippet."""
     return papers.select("stable_id", "title", "year", T.relevant_snippet(F.coalesce("abstract", F.lit("")), terms, limit).alias("snippet"))
+
+
+def compact_evidence(evidence: DataFrame) -> DataFrame:
+    """What a model reads of evidence: id, type, page, a useful section title, and claim and excerpt cut to length."""
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
+    return evidence.select("evidence_id", F.col("evidence_type").alias("type"), "page", useful_section(F.col("section")).alias("section"), cut("claim", 900), cut("excerpt", 1000))

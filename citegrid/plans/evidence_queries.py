@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evals, evidence, metrics, review
+from ..operators import evals, evidence, layout, metrics, retrieve, review
+from . import layout_queries
 from .registry import query
 
 CITED = """SELECT r.evidence_id, c.claim_ord, r.pos, c.paper_id, c.field_no, c.scope, c.value, n.evidence_count FROM {claims} c JOIN {refs} r USING (claim_ord)
@@ -129,40 +133,108 @@ def pages(t):
     return t("documents").select("doc_id", F.lit(1).alias("page"), "text")
 
 
-@query()
+GAP = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{{Z}}]"
+
+
+def chunk_sql(source: str, keys: str) -> str:
+    """Chunks of the texts of a SQL source by its rule, one step of a recursion a chunk."""
+    marks = ("\n", "。", ". ", "；", "; ")
+    literal = lambda m: "chr(10)" if m == "\n" else f"'{m}'"
+    tail = lambda at: f"reverse(substr(body, {at} + 476, 475))"
+    place = lambda at, m: f"475 - (nullif(strpos({tail(at)}, reverse({literal(m)})), 0) - 1) - {len(m)}"
+    stop = lambda at: f"CASE WHEN n - {at} <= 950 THEN n ELSE coalesce({at} + 476 + greatest({', '.join(place(at, m) for m in marks)}), {at} + 950) END"
+    return f"""WITH RECURSIVE src AS (SELECT {keys}, regexp_replace(text, '{GAP}+$', '') AS body FROM ({source})), lead AS (SELECT *, length(body) AS n, length(body) - length(regexp_replace(body, '^{GAP}+', '')) AS pos FROM src WHERE body <> ''),
+steps AS (SELECT {keys}, body, n, pos, {stop('pos')} AS stop FROM lead UNION ALL SELECT {keys}, body, n, pos, {stop('pos')} FROM (SELECT {keys}, body, n, greatest(pos + 1, stop - 140) AS pos FROM steps WHERE stop < n)),
+cut AS (SELECT {keys}, pos, substr(body, pos + 1, stop - pos) AS piece FROM steps), kept AS (SELECT *, regexp_replace(piece, '^{GAP}+', '') AS lefty FROM cut), made AS (SELECT *, regexp_replace(lefty, '{GAP}+$', '') AS excerpt FROM kept)
+SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY pos) - 1 AS INT) AS chunk_no, CAST(pos + length(piece) - length(lefty) AS INT) AS span_start, CAST(pos + length(piece) - length(lefty) + length(excerpt) AS INT) AS span_end, excerpt, sha256(excerpt) AS sha256 FROM made WHERE excerpt <> ''"""
+
+
+CHUNKS = chunk_sql("SELECT doc_id, 1 AS page, text FROM documents", "doc_id, page")
+BUILT = f"""SELECT doc_id, page, sha256, chunk_no, span_start, span_end, excerpt, concat_ws(':', 'text', page, span_start, span_end, sha256) AS locator, sha256(doc_id || '|' || concat_ws(':', 'text', page, span_start, span_end, sha256)) AS evidence_id
+ FROM ({CHUNKS}) QUALIFY row_number() OVER (PARTITION BY doc_id, page, sha256 ORDER BY chunk_no) = 1"""
+
+
+@query(CHUNKS)
 def f24_chunks(t):
     return evidence.chunks(pages(t))
 
 
-@query()
+@query(BUILT)
 def a08_build_evidence(t):
-    return evidence.build_evidence(evidence.chunks(pages(t)), pages(t))
+    return evidence.build_evidence(evidence.chunks(pages(t)))
+
+
+@query(chunk_sql(f"SELECT doc_id, page, run, text FROM ({layout_queries.RUNS}) WHERE doc_id % 9 > 0 UNION ALL SELECT doc_id, 1, 0, text FROM documents WHERE doc_id % 9 = 0", "doc_id, page, run"))
+def w04_chunk_runs(t):
+    runs = layout.block_runs(layout_queries.roles(t).where("doc_id % 9 > 0"))
+    return evidence.chunk_runs(runs, pages(t).withColumn("has_blocks", F.col("doc_id") % 9 > 0))
 
 
-@query("SELECT true AS ok, (SELECT count(*) FROM documents) > 0 AS some")
+@query(f"""SELECT doc_id, chunk_no, reason, reason IS NULL AS ok FROM (SELECT e.doc_id, e.chunk_no, CASE WHEN e.doc_id % 11 = 0 THEN 'page missing' WHEN substr(CASE WHEN e.doc_id % 7 = 0 THEN 'x' || d.text ELSE d.text END, span_start + 1, span_end - span_start) <> excerpt THEN 'text differs' WHEN e.doc_id % 13 = 0 THEN 'hash differs' END AS reason
+ FROM ({BUILT}) e JOIN documents d ON d.doc_id = e.doc_id)""")
 def j14_verify_sources(t):
-    made = evidence.build_evidence(evidence.chunks(pages(t)), pages(t))
-    return evidence.verify_sources(made, pages(t)).agg(F.bool_and("ok").alias("ok"), (F.count(F.lit(1)) > 0).alias("some"))
+    made = evidence.build_evidence(evidence.chunks(pages(t))).withColumn("sha256", F.when(F.col("doc_id") % 13 == 0, "0").otherwise(F.col("sha256")))
+    now = pages(t).where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
+    return evidence.verify_sources(made, now).select("doc_id", "chunk_no", "reason", "ok")
 
 
-def _occ(w: str) -> str:
-    return f"CAST((length(claim) - length(replace(claim, '{w}', ''))) / {len(w)} AS INT)"
+def visuals(t, changed=False):
+    """Figures and tables as they were, or as they are when evidence of them is checked again."""
+    k = F.col("fig_ord")
+    rows = t("figures").select("doc_id", "page", "label", "fig_ord", F.when(k % 5 > 0, F.col("caption")).alias("caption"), F.concat(F.lit("p/"), k).alias("path"))
+    if changed:
+        rows = rows.where(k % 13 > 0).withColumn("caption", F.when(k % 3 == 0, F.concat("caption", F.lit("!"))).otherwise(F.col("caption")))
+    figures = rows.where(k % 2 == 0).withColumn("figure_id", F.concat(F.lit("f"), k)).withColumn("sha256", F.sha2(F.coalesce("caption", F.lit("")).cast("binary"), 256))
+    return figures, rows.where(k % 2 == 1).withColumn("table_id", F.concat(F.lit("t"), k))
 
 
-ROUTED = f"""SELECT *, 2 * {_occ('ea')} + 2 * {_occ('rose')} + CASE WHEN contains(claim, 'blue') THEN 1 ELSE 0 END + CASE WHEN section_type IN ('experiment') THEN 3 ELSE 0 END
- + CASE WHEN page >= max(page) OVER (PARTITION BY paper_id) - 2 THEN 4 ELSE 0 END AS score FROM {{evidence}}"""
+VISUALS = """SELECT doc_id, page, evidence_type, label, excerpt, source_path, sha256, concat_ws(':', evidence_type, page, id, sha256) AS locator, sha256(doc_id || '|' || concat_ws(':', evidence_type, page, id, sha256)) AS evidence_id FROM (
+ SELECT doc_id, page, CASE WHEN fig_ord % 2 = 0 THEN 'figure' ELSE 'table' END AS evidence_type, CASE WHEN fig_ord % 2 = 0 THEN 'f' ELSE 't' END || fig_ord AS id, coalesce(label, CASE WHEN fig_ord % 2 = 0 THEN 'f' ELSE 't' END || fig_ord) AS label, CASE WHEN fig_ord % 5 > 0 THEN caption END AS excerpt,
+  'p/' || fig_ord AS source_path, sha256(CASE WHEN fig_ord % 2 = 0 THEN CASE WHEN fig_ord % 5 > 0 THEN caption ELSE '' END ELSE coalesce(CASE WHEN fig_ord % 5 > 0 THEN caption END, label, 't' || fig_ord) END) AS sha256 FROM {figures})"""
 
 
-def routed(t):
-    from pyspark.sql import Window
+@query(VISUALS)
+def a08_visual_evidence(t):
+    figures, tables = visuals(t)
+    return evidence.figure_evidence(figures).unionByName(evidence.table_evidence(tables))
+
 
-    rows = t("evidence").withColumn("last_page", F.max("page").over(Window.partitionBy("paper_id")))
-    return rows.withColumn("score", evidence.routing_score(F.col("claim"), F.col("section_type"), F.col("page"), F.col("last_page"), "experiment", ("blue",), ("ea", "rose")))
+@query(f"""SELECT source_path, CASE WHEN k % 13 = 0 THEN evidence_type || ' missing' WHEN k % 3 = 0 AND k % 5 > 0 THEN 'hash differs' END AS reason FROM (SELECT *, CAST(substr(source_path, 3) AS BIGINT) AS k FROM ({VISUALS}))""")
+def j14_verify_visuals(t):
+    figures, tables = visuals(t)
+    made = evidence.figure_evidence(figures).unionByName(evidence.table_evidence(tables))
+    return evidence.verify_visuals(made, *visuals(t, changed=True)).select("source_path", "reason")
 
 
-@query(f"SELECT evidence_id, score FROM ({ROUTED})")
+TOPIC = "Blue Rose of the method"
+TYPES = "CASE evidence_id % 6 WHEN 0 THEN 'background' WHEN 1 THEN 'method' WHEN 2 THEN 'experiment' WHEN 3 THEN 'discussion' WHEN 4 THEN 'abstract' ELSE 'other' END"
+
+
+def routed_sql(part: str) -> str:
+    hits = " + ".join(f"2 * ((length(c) - length(replace(c, '{w}', ''))) // {len(w)})" for w in evidence.KEYWORDS[part])
+    terms = " + ".join(f"CASE WHEN contains(c, '{w}') THEN 1 ELSE 0 END" for w in ("blue", "rose", "of", "the", "method"))
+    prefers = ", ".join(f"'{x}'" for x in evidence.SECTION_PREFERENCES[part])
+    bonus = {"problem": "page <= 2 THEN 4", "method": "page > 1 AND page < last THEN 2"}.get(part, "page >= greatest(1, last - 2) THEN 4")
+    return f"""SELECT *, CAST({hits} + {terms} + CASE WHEN {TYPES} IN ({prefers}) THEN 3 ELSE 0 END + CASE WHEN {bonus} ELSE 0 END AS INT) AS score
+ FROM (SELECT *, lower(coalesce(section, '') || ' ' || claim || ' ' || coalesce(excerpt, '')) AS c, coalesce(max(CASE WHEN evidence_type = 'text' THEN page END) OVER (PARTITION BY paper_id), 1) AS last FROM {{notes}})"""
+
+
+ROUTED = routed_sql("experiment")
+
+
+def routed(t):
+    return evidence.routed(t("notes"), "experiment", TOPIC)
+
+
+@query(" UNION ALL ".join(f"SELECT evidence_id, '{p}' AS part, score FROM ({routed_sql(p)})" for p in evidence.KEYWORDS))
 def f25_routing_score(t):
-    return routed(t).select("evidence_id", "score")
+    parts = [evidence.routed(t("notes"), p, TOPIC).select("evidence_id", F.lit(p).alias("part"), "score") for p in evidence.KEYWORDS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT evidence_id, evidence_type AS type, page, section, substr(claim, 1, 900) AS claim, substr(coalesce(excerpt, ''), 1, 1000) AS excerpt FROM {notes}")
+def p19_compact_evidence(t):
+    return retrieve.compact_evidence(t("notes"))
 
 
 @query(f"SELECT evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, page, ord) AS rank FROM (SELECT * FROM ({ROUTED}) QUALIFY row_number() OVER (PARTITION BY paper_id, page ORDER BY score DESC, page, ord) <= 2)) WHERE rank <= 8")

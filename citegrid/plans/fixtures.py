@@ -18,7 +18,7 @@ SELECT doc_id AS ord, 'doc:' || doc_id AS stable_id, 'W' || (doc_id % 400) AS so
   CAST(2000 + doc_id % 25 AS INT) AS year, CAST(n_chars % 500 AS INT) AS citation_count,
   CASE WHEN doc_id % 3 = 0 THEN 'openalex' WHEN doc_id % 3 = 1 THEN 'arxiv' ELSE 'crossref' END AS source, source AS query, lang,
   CASE WHEN doc_id % 4 = 0 THEN 'https://oa.example.org/' || doc_id END AS open_access_url, CASE WHEN doc_id % 2 = 0 THEN 'venue ' || (doc_id % 7) ELSE '' END AS venue,
-  doc_id % 10 AS request_id
+  doc_id % 10 AS request_id, split('Ann ' || (doc_id % 9) || ';Bob ' || lang, ';') AS authors, CASE WHEN doc_id % 5 = 0 THEN 'press ' || (doc_id % 11) END AS publisher
 FROM {documents}""",
     "oa_locations": """
 SELECT CAST(floor(page_id / 3.0) AS BIGINT) AS paper_ord, page_id AS pos, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http:', 'https:') END AS url,
@@ -52,9 +52,16 @@ SELECT CAST(p_partkey AS BIGINT) AS evidence_id, CAST(p_partkey AS BIGINT) AS or
   p_size / 50.0 AS confidence, p_name AS claim, CAST(1 + p_partkey % 12 AS INT) AS page, CAST(p_partkey % 40 AS BIGINT) AS paper_id,
   CASE p_partkey % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'experiment' WHEN 2 THEN 'background' ELSE 'other' END AS section_type
 FROM {part}""",
+    "notes": """
+SELECT evidence_id, ord, evidence_type, paper_id, page, claim,
+  CASE evidence_id % 6 WHEN 0 THEN '1 Introduction' WHEN 1 THEN 'Our Method' WHEN 2 THEN 'Experiments' WHEN 3 THEN 'Conclusion' WHEN 4 THEN 'Abstract' END AS section,
+  CASE evidence_id % 5 WHEN 0 THEN 'We propose a method and a model; the challenge is noise in ' || claim WHEN 1 THEN 'Results on a dataset: accuracy, comparison with the baseline, an Ablation'
+    WHEN 2 THEN 'In conclusion, a limitation for future work' WHEN 3 THEN '方法 and 实验 of ' || claim END AS excerpt
+FROM {evidence}""",
     "reviews": """
 SELECT CAST(p_partkey AS BIGINT) AS evidence_id, CASE p_partkey % 5 WHEN 1 THEN 'doubted' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'excluded' ELSE 'confirmed' END AS status,
-  CASE WHEN p_partkey % 5 >= 3 THEN 'human' ELSE 'auto' END AS source, CASE WHEN p_partkey % 5 >= 3 THEN 'manual: seen' ELSE 'auto: pass' END AS note
+  CASE WHEN p_partkey % 5 >= 3 THEN 'human' ELSE 'auto' END AS source,
+  CASE p_partkey % 7 WHEN 1 THEN '自动复核：' || p_name WHEN 2 THEN '图文一致：' || p_name WHEN 3 THEN NULL WHEN 4 THEN 'see 自动复核：' ELSE p_type END AS note
 FROM {part} WHERE p_partkey % 5 <> 0""",
     "checks": "SELECT CAST(l_partkey AS BIGINT) AS evidence_id, CASE l_returnflag WHEN 'R' THEN 'inconsistent' WHEN 'A' THEN 'consistent' ELSE 'unverifiable' END AS status, CASE WHEN l_linenumber % 3 = 0 THEN 'inconsistent' ELSE 'consistent' END AS gold FROM {lineitem}",
     "traces": "SELECT CAST(event_id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS project_id, event_type, event_type <> 'error' AS success, CASE WHEN event_id % 13 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS latency_ms, ts AS created_at FROM {events}",

@@ -89,8 +89,11 @@ def j08_drop_reference_pages(t):
     return layout.drop_reference_pages(blocks(t).select("doc_id", "page").distinct(), sections(t))
 
 
-@query(f"""WITH b AS ({ROLES}), r AS (SELECT *, count_if(role = 'heading') OVER (PARTITION BY doc_id, page ORDER BY read_ord) AS run FROM b), h AS (SELECT doc_id, page, run, text AS heading FROM r WHERE role = 'heading')
-SELECT r.doc_id, r.page, r.run, any_value(h.heading) AS heading, string_agg(r.text, chr(10) ORDER BY read_ord) AS text FROM r LEFT JOIN h ON h.doc_id = r.doc_id AND h.page = r.page AND h.run = r.run WHERE role IN ('body', 'caption') GROUP BY ALL""")
+RUNS = f"""SELECT r.doc_id, r.page, r.run, any_value(h.heading) AS heading, string_agg(r.text, chr(10) ORDER BY read_ord) AS text FROM (SELECT *, count_if(role = 'heading') OVER (PARTITION BY doc_id, page ORDER BY read_ord) AS run FROM ({ROLES})) r
+LEFT JOIN (SELECT doc_id, page, text AS heading, count_if(role = 'heading') OVER (PARTITION BY doc_id, page ORDER BY read_ord) AS run, role FROM ({ROLES}) QUALIFY role = 'heading') h ON h.doc_id = r.doc_id AND h.page = r.page AND h.run = r.run WHERE r.role IN ('body', 'caption') GROUP BY ALL"""
+
+
+@query(RUNS)
 def w04_block_runs(t):
     return layout.block_runs(roles(t))
 

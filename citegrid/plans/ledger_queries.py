@@ -69,9 +69,21 @@ def l06_upsert_progress_strict(t):
     return _progress(t, True)
 
 
-@query("SELECT evidence_id, CASE WHEN starts_with(note, 'auto') THEN 'auto' WHEN starts_with(note, 'manual') THEN 'human' END AS source FROM {reviews}")
+@query("SELECT evidence_id, CASE WHEN evidence_id % 3 = 0 THEN source WHEN note LIKE '自动复核：%' THEN 'auto_visual_verifier' WHEN note LIKE '图文一致：%' THEN 'auto_consistency' ELSE 'human' END AS source FROM {reviews}")
 def l09_backfill_sources(t):
-    return ledger.backfill_sources(t("reviews").drop("source")).select("evidence_id", "source")
+    rows = t("reviews").withColumn("source", F.when(F.col("evidence_id") % 3 == 0, F.col("source")))
+    return ledger.backfill_sources(rows).select("evidence_id", "source")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS analysis_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, o_orderkey % 3 AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'step ' || (o_orderkey % 5) END AS step FROM orders), n AS (SELECT l_orderkey AS analysis_id, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)
+SELECT analysis_id, CAST(CASE WHEN t = 0 THEN coalesce(n, 0) ELSE t END AS BIGINT) AS total_visuals, CAST(CASE WHEN t = 0 AND status <> 'failed' THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS completed_visuals,
+ CASE WHEN t = 0 AND n IS NOT NULL AND status = 'completed' THEN 'visuals_completed' WHEN t = 0 AND n IS NOT NULL AND status = 'failed' THEN 'visuals_failed' ELSE step END AS current_step FROM a LEFT JOIN n USING (analysis_id)""")
+def l09_backfill_visuals(t):
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    rows = t("orders").select(k.alias("analysis_id"), status.alias("status"), (k % 3).cast("long").alias("total_visuals"), F.lit(0).cast("long").alias("completed_visuals"), F.when(k % 2 == 0, F.concat(F.lit("step "), k % 5)).alias("current_step"))
+    regions = t("lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("analysis_id"))
+    return ledger.backfill_visuals(rows, regions).select("analysis_id", "total_visuals", "completed_visuals", "current_step")
 
 
 @query("""SELECT d.doc_id FROM documents d WHERE d.doc_id % 5 <> 4 AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id % 3 = 0 AND a.doc_id % 4 <> 0 AND a.doc_id = d.doc_id AND sha256(a.text) = sha256(d.text))""")
@@ -114,10 +126,29 @@ def j21_progress_board(t):
     return ledger.progress_board(progress, chosen, papers).select("id", "paper_id", "title")
 
 
-@query("""WITH s AS (SELECT DISTINCT project_id FROM {projects}), p AS (SELECT unnest(['k1', 'k2', 'k3', 'k4', 'k5']) AS part), w AS (SELECT project_id, item_key AS part, status FROM {work_items} QUALIFY row_number() OVER (PARTITION BY project_id, item_key ORDER BY updated_at DESC, ord DESC) = 1)
-SELECT s.project_id, p.part, coalesce(w.status, 'queued') AS status FROM s CROSS JOIN p LEFT JOIN w ON w.project_id = s.project_id AND w.part = p.part""")
+PART = "['problem', 'method', 'experiment', 'critical', 'overview'][1 + {k} % 5]"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT o_custkey AS project_id, o_orderkey % 3 AS paper_id FROM orders), p AS (SELECT unnest(['problem', 'method', 'experiment', 'critical', 'overview']) AS part),
+w AS (SELECT o_custkey AS project_id, o_orderkey % 3 AS paper_id, {PART.format(k='o_orderkey')} AS part, o_orderkey AS k, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3, o_orderkey % 5 ORDER BY o_orderdate DESC, o_orderkey) = 1),
+c AS (SELECT *, nullif(CASE WHEN status = 'F' THEN CASE part WHEN 'problem' THEN CASE WHEN k % 2 = 0 THEN 'core_problem=P' || k ELSE '' END WHEN 'method' THEN 'methods=M' || k || CASE WHEN k % 2 = 0 THEN ';mechanisms=N' || k ELSE '' END WHEN 'overview' THEN 'overview=O' || k END END, '') AS content FROM w),
+b AS (SELECT o_custkey AS project_id, (o_orderkey + 1) % 3 AS paper_id, {PART.format(k='(o_orderkey // 3)')} AS part, CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, (o_orderkey + 1) % 3, (o_orderkey // 3) % 5 ORDER BY o_orderkey DESC) = 1)
+SELECT s.project_id, s.paper_id, p.part, coalesce(t.title, 'untitled') AS paper_title, CASE WHEN c.content IS NOT NULL THEN 'completed' ELSE coalesce(b.status, 'queued') END AS status, coalesce(c.content, '') AS content, CASE WHEN s.paper_id = 0 AND p.part = 'method' THEN 'ask ' || s.project_id END AS note
+FROM s CROSS JOIN p LEFT JOIN c ON c.project_id = s.project_id AND c.paper_id = s.paper_id AND c.part = p.part LEFT JOIN b ON b.project_id = s.project_id AND b.paper_id = s.paper_id AND b.part = p.part LEFT JOIN (SELECT ord, title FROM {{papers}} WHERE ord < 2) t ON t.ord = s.paper_id""")
 def j22_analysis_blocks(t):
-    return ledger.analysis_blocks(t("projects").select("project_id").distinct(), t("work_items"), ("k1", "k2", "k3", "k4", "k5"))
+    k, project = F.col("o_orderkey"), F.col("o_custkey").alias("project_id")
+    part = lambda i: F.get(F.array(*map(F.lit, ledger.PART_FIELDS)), (i % 5).cast("int")).alias("part")
+    of = lambda name, letter, test=None: (F.lit(name), F.concat(F.lit(letter), k) if test is None else F.when(test, F.concat(F.lit(letter), k)).otherwise(""))
+    content = F.create_map(*of("core_problem", "P", k % 2 == 0), *of("methods", "M"), *of("mechanisms", "N", k % 2 == 0), *of("overview", "O"), F.lit("limitations"), F.lit(None).cast("string"))
+    rows, paper = t("orders"), (k % 3).alias("paper_id")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status")
+    worked = rows.select(project, paper, part(k), status, content.alias("content"), F.col("o_orderdate").alias("updated_at"), k.alias("ord"))
+    board = rows.select(project, ((k + 1) % 3).alias("paper_id"), part(F.floor(k / 3)), F.when(k % 2 == 0, "running").otherwise("failed").alias("status"), k.alias("ord"))
+    notes = rows.select(project).distinct().select("project_id", F.lit(0).cast("long").alias("paper_id"), F.lit("method").alias("part"), F.concat(F.lit("ask "), "project_id").alias("note"))
+    papers = t("papers").where("ord < 2").select(F.col("ord").alias("paper_id"), "title")
+    out = ledger.analysis_blocks(rows.select(project, paper).distinct(), worked, board, papers, notes)
+    text = F.array_join(F.transform(F.map_entries("content"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.withColumn("content", F.coalesce(text, F.lit("")))
 
 
 @query("SELECT paper_ord, stable_id FROM {oa_papers} WHERE paper_ord % 4 = 1")
@@ -170,13 +201,17 @@ def a14_usage_totals(t):
     return metrics.usage_totals(t("usage")).withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS project_id, o_orderkey % 20 AS doc_id, o_orderkey % 3 AS run, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'running' END AS status, o_orderkey % 9 AS page_count, o_orderkey % 4 AS visuals, o_orderkey % 6 AS step FROM orders),
-r AS (SELECT *, rank() OVER (PARTITION BY project_id, doc_id ORDER BY run DESC) AS r FROM a), g AS (SELECT project_id, sum(page_count) FILTER (WHERE r = 1 AND status = 'completed') AS pages, sum(visuals) FILTER (WHERE r = 1) AS visuals, max(step) AS current_step FROM r GROUP BY 1), n AS (SELECT project_id, count(*) AS regions FROM {jobs} WHERE job_id % 2 = 0 GROUP BY 1)
-SELECT project_id, CAST(coalesce(pages, 0) AS BIGINT) AS pages, CAST(coalesce(visuals, 0) AS BIGINT) AS visuals, coalesce(regions, 0) AS regions, CAST(coalesce(current_step, 0) AS BIGINT) AS current_step FROM g FULL JOIN n USING (project_id)""")
+@query("""WITH a AS (SELECT o_custkey AS project_id, o_custkey * 20 + o_orderkey % 4 AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, o_orderkey % 9 AS page_count, o_orderkey % 5 AS total_visuals, o_orderkey % 3 AS completed_visuals, 'step ' || (o_orderkey % 6) AS current_step, o_orderkey % 7 AS updated_at FROM orders),
+g AS (SELECT project_id, project_id * 20 + job_id % 6 AS doc_id FROM {jobs} WHERE job_id % 2 = 0), k AS (SELECT project_id FROM a UNION SELECT project_id FROM g)
+SELECT k.project_id, CAST(coalesce((SELECT sum(n) FROM (SELECT doc_id, max(page_count) AS n FROM a WHERE a.project_id = k.project_id AND status = 'completed' GROUP BY doc_id)), 0) AS BIGINT) AS analyzed_pages,
+ (SELECT count(*) FROM g WHERE g.project_id = k.project_id) AS analyzed_visuals, CAST(coalesce(p.total_visuals, 0) AS BIGINT) AS total_visuals, CAST(coalesce(p.completed_visuals, 0) AS BIGINT) AS completed_visuals, p.current_step
+FROM k LEFT JOIN (SELECT project_id, sum(total_visuals) AS total_visuals, sum(completed_visuals) AS completed_visuals, max(current_step) AS current_step FROM a WHERE updated_at = (SELECT max(l.updated_at) FROM a l WHERE l.doc_id = a.doc_id) GROUP BY 1) p ON p.project_id = k.project_id""")
 def a15_analysis_metrics(t):
-    k = F.col("o_orderkey")
-    rows = t("orders").select(F.col("o_custkey").cast("long").alias("project_id"), (k % 20).alias("doc_id"), (k % 3).alias("run"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), (k % 9).alias("page_count"), (k % 4).alias("visuals"), (k % 6).alias("step"))
-    return metrics.analysis_metrics(rows, t("jobs").where("job_id % 2 = 0"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    rows = t("orders").select(c.cast("long").alias("project_id"), (c * 20 + k % 4).alias("doc_id"), status.alias("status"), (k % 9).alias("page_count"), (k % 5).alias("total_visuals"), (k % 3).alias("completed_visuals"), F.concat(F.lit("step "), k % 6).alias("current_step"), (k % 7).alias("updated_at"))
+    regions = t("jobs").where("job_id % 2 = 0").select("project_id", (F.col("project_id") * 20 + F.col("job_id") % 6).alias("doc_id"))
+    return metrics.analysis_metrics(rows, regions)
 
 
 @query("""WITH u AS (SELECT project_id, sum(tokens) AS tk, count_if(kind = 'vision') AS vn FROM {usage} GROUP BY 1), w AS (SELECT DISTINCT project_id, project_id * 10 AS bt, project_id % 5 AS bv, project_id % 11 = 0 AS g, project_id % 13 = 0 AS p FROM {projects}),

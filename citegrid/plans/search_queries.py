@@ -55,9 +55,13 @@ def f07_relevant_snippet(t):
     return retrieve.compact(t("papers"), ["nation", "esto", "ouer"], 300)
 
 
-@query("SELECT ord, sha256(coalesce(title, '') || '|' || coalesce(abstract, '') || '|' || CAST(year AS VARCHAR)) AS fingerprint FROM {papers}")
+def as_json(c: str) -> str:
+    return f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+
+
+@query(f"SELECT ord, sha256('{{{{\"abstract\":' || {as_json('abstract')} || ',\"doi\":' || {as_json('doi')} || ',\"title\":' || {as_json('title')} || ',\"year\":' || {as_json('year')} || '}}}}') AS fingerprint FROM {{papers}}")
 def f08_fingerprint(t):
-    return t("papers").select("ord", T.fingerprint(F.col("title"), F.col("abstract"), F.col("year")).alias("fingerprint"))
+    return t("papers").select("ord", T.fingerprint(title=F.col("title"), abstract=F.col("abstract"), year=F.col("year"), doi=F.col("doi")).alias("fingerprint"))
 
 
 @query(f"SELECT ord, {STABLE} AS stable_key FROM {{papers}}")
@@ -75,26 +79,32 @@ def first(c: str) -> str:
 @query(f"""
 WITH k AS (SELECT *, {MERGE} AS merge_key FROM {{papers}}),
 s AS (SELECT merge_key, source, min(ord) AS o FROM k GROUP BY ALL), q AS (SELECT merge_key, query, min(ord) AS o FROM k GROUP BY ALL),
-g AS (SELECT merge_key, min(ord) AS group_ord, arg_min(stable_id, ord) AS stable_id, arg_min(title, ord) AS title, arg_min(year, ord) AS year, {first('abstract')}, {first('doi')}, {first('arxiv_id')}, {first('open_access_url')}, {first('venue')}, max(citation_count) AS citation_count, count(*) AS records FROM k GROUP BY merge_key)
+g AS (SELECT merge_key, min(ord) AS group_ord, arg_min(stable_id, ord) AS stable_id, arg_min(title, ord) AS title, arg_min(year, ord) AS year, arg_min(array_to_string(authors, ','), ord) AS authors, arg_min(lang, ord) AS lang,
+ {first('abstract')}, {first('doi')}, {first('arxiv_id')}, {first('open_access_url')}, {first('venue')}, {first('publisher')}, max(citation_count) AS citation_count, count(*) AS records, string_agg(source || ':' || source_id, ',' ORDER BY ord) AS source_records FROM k GROUP BY merge_key)
 SELECT g.*, sl.sources, ql.queries FROM g JOIN (SELECT merge_key, string_agg(source, ',' ORDER BY o) AS sources FROM s GROUP BY 1) sl USING (merge_key) JOIN (SELECT merge_key, string_agg(query, ',' ORDER BY o) AS queries FROM q GROUP BY 1) ql USING (merge_key)""")
 def a01_merge_sources(t):
-    return resolve.merge_sources(t("papers")).withColumn("sources", F.array_join("sources", ",")).withColumn("queries", F.array_join("queries", ","))
+    out = resolve.merge_sources(t("papers"))
+    for c in ("sources", "queries", "authors"):
+        out = out.withColumn(c, F.array_join(c, ","))
+    out = out.withColumn("source_records", F.array_join(F.transform("source_records", lambda r: F.concat_ws(":", r["source"], r["id"])), ","))
+    return out.drop("source_id", "request_id")
 
 
 @query(f"""
 WITH k AS (SELECT *, {STABLE} AS stable_key FROM {{papers}}), q AS (SELECT stable_key, query, min(ord) AS o FROM k GROUP BY ALL),
 l AS (SELECT stable_key, abstract FROM k QUALIFY row_number() OVER (PARTITION BY stable_key ORDER BY length(coalesce(abstract, '')) DESC, ord) = 1),
-g AS (SELECT stable_key, min(ord) AS group_ord, arg_min(stable_id, ord) AS stable_id, arg_min(source_id, ord) AS source_id, arg_min(title, ord) AS title, arg_min(doi, ord) AS doi, arg_min(year, ord) AS year, max(citation_count) AS citation_count, count(*) AS records FROM k GROUP BY 1)
-SELECT g.*, l.abstract, ql.queries FROM g JOIN l USING (stable_key) JOIN (SELECT stable_key, string_agg(query, ',' ORDER BY o) AS queries FROM q GROUP BY 1) ql USING (stable_key)""")
+f AS (SELECT stable_key, ord AS group_ord, stable_id, source_id, title, year, arxiv_id, source, lang, open_access_url, venue, request_id, array_to_string(authors, ',') AS authors, publisher FROM k QUALIFY row_number() OVER (PARTITION BY stable_key ORDER BY ord) = 1),
+g AS (SELECT stable_key, {first('doi')}, max(citation_count) AS citation_count, count(*) AS records FROM k GROUP BY 1)
+SELECT f.*, g.doi, g.citation_count, g.records, l.abstract, ql.queries FROM f JOIN g USING (stable_key) JOIN l USING (stable_key) JOIN (SELECT stable_key, string_agg(query, ',' ORDER BY o) AS queries FROM q GROUP BY 1) ql USING (stable_key)""")
 def a02_deduplicate(t):
-    return resolve.deduplicate(t("papers")).withColumn("queries", F.array_join("queries", ","))
+    return resolve.deduplicate(t("papers")).withColumn("queries", F.array_join("queries", ",")).withColumn("authors", F.array_join("authors", ","))
 
 
 @query(f"""
 WITH k AS (SELECT *, {STABLE} AS stable_key FROM {{papers}})
-SELECT stable_key, count(*) AS size, arg_min(source_id, ord) AS first_id, arg_max(source_id, ord) AS last_id, 'Merged ' || count(*) || ' records using ' || stable_key AS log FROM k GROUP BY stable_key HAVING count(*) > 1""")
+SELECT stable_key, count(*) AS size, string_agg(source_id, ',' ORDER BY ord) AS members, 'Merged ' || count(*) || ' records using ' || stable_key AS log FROM k GROUP BY stable_key HAVING count(*) > 1""")
 def a03_duplicate_report(t):
-    return resolve.duplicate_report(t("papers"))
+    return resolve.duplicate_report(t("papers")).withColumn("members", F.array_join("members", ","))
 
 
 @query("WITH h AS (SELECT *, sha256(text) AS h FROM documents) SELECT doc_id, source, h FROM h QUALIFY row_number() OVER (PARTITION BY source, h ORDER BY doc_id) = 1")
@@ -310,7 +320,10 @@ def f11_preprint_url(t):
     return t("oa_papers").select("paper_ord", A.preprint_pdf_url(F.col("arxiv_id"), F.col("stable_id")).alias("url"))
 
 
-@query(PREDICT)
+DETAIL = "replace(CASE label " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in access.DETAILS.items()).replace("{host}", "{{host}}") + " END, '{{host}}', coalesce(host, ''))"
+
+
+@query(f"SELECT *, {DETAIL} AS detail FROM ({PREDICT})")
 def f12_predict_full_text(t):
     return access.predict_full_text(_candidates(t), t("oa_papers"), PUBLISHERS, INDEXES)
 
@@ -349,6 +362,12 @@ def p11_mark_stale(t):
     return access.mark_stale(t("oa_locations"), t("oa_locations").where("pos % 6 = 1")).select("paper_ord", "pos", "url", "stale")
 
 
+@query(f"SELECT paper_ord, stable_id, CAST(NULL AS VARCHAR) AS open_access_url FROM {{oa_papers}} WHERE open_access_url IN (SELECT open_access_url FROM {{oa_papers}} WHERE paper_ord % 2 = 0)")
+def p11_clear_stale_urls(t):
+    gone = t("oa_papers").where("paper_ord % 2 = 0").select(F.col("open_access_url").alias("url"))
+    return access.clear_stale_urls(t("oa_papers"), gone).select("paper_ord", "stable_id", "open_access_url")
+
+
 @query(f"SELECT paper_ord, final_url FROM ({PREPRINT}) c WHERE NOT EXISTS (SELECT 1 FROM {{oa_locations}} l WHERE l.pos % 2 = 0 AND l.paper_ord = c.paper_ord AND l.url = c.final_url)")
 def u07_new_candidates(t):
     return access.new_candidates(_candidates(t), t("oa_locations").where("pos % 2 = 0")).select("paper_ord", "final_url")
@@ -375,9 +394,11 @@ def f36_truncated_json(t):
     return t("responses").select("response_id", T.is_truncated(F.col("body")).alias("truncated"))
 
 
-@query(f"""SELECT p.paper_ord, coalesce(a.acquired IS NOT NULL, false) AS downloaded, v.level, v.host FROM {{oa_papers}} p
-LEFT JOIN (SELECT paper_ord, arg_min(url, pos) FILTER (WHERE outcome = 'ok') AS acquired FROM (SELECT *, {OUTCOME} AS outcome FROM {{fetch_log}}) GROUP BY 1) a ON a.paper_ord = p.paper_ord LEFT JOIN ({PREDICT}) v ON v.paper_ord = p.paper_ord""")
+@query(f"""SELECT p.ord AS paper_ord, p.title, array_to_string(p.authors, ',') AS authors, p.year, p.venue, p.publisher, p.source, CASE WHEN a.paper_ord IS NULL THEN NULL WHEN a.acquired IS NOT NULL THEN 'acquired' ELSE 'awaiting_upload' END AS full_text, v.level, v.host, v.detail FROM {{papers}} p
+LEFT JOIN (SELECT paper_ord, arg_min(url, pos) FILTER (WHERE outcome = 'ok') AS acquired FROM (SELECT *, {OUTCOME} AS outcome FROM {{fetch_log}}) GROUP BY 1) a ON a.paper_ord = p.ord LEFT JOIN (SELECT *, {DETAIL} AS detail FROM ({PREDICT})) v ON v.paper_ord = p.ord""")
 def j25_result_cards(t):
     from ..operators import ledger
 
-    return ledger.result_cards(t("oa_papers").select("paper_ord"), access.acquisition_outcome(t("fetch_log")), f12_predict_full_text(t))
+    papers = t("papers").select(F.col("ord").alias("paper_ord"), "title", F.array_join("authors", ",").alias("authors"), "year", "venue", "publisher", "source")
+    out = ledger.result_cards(papers, access.acquisition_outcome(t("fetch_log")), f12_predict_full_text(t))
+    return out.select(*papers.columns, "full_text", "full_text_hint.level", "full_text_hint.host", "full_text_hint.detail")

@@ -193,6 +193,14 @@ def stream_of(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def stream_of_parts(parts: list[DataFrame], label: str) -> DataFrame:
+    """A stream that gives the parts one after the other, a micro-batch each: files land in this order, with times of their own."""
+    path = scratch(parts[0].sparkSession, label)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """What the stream gives, as a table: each micro-batch writes its own folder, in complete mode the last one stays."""
     spark = stream.sparkSession
@@ -218,15 +226,35 @@ def t02_trace_windows(t):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "project_id", "total", "failed", "latency_ms")
 
 
-@query("SELECT project_id, id, CAST(tokens_at AS BIGINT) AS tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY project_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS tokens_at FROM {usage}) WHERE tokens_at >= 100000 AND tokens_at - tokens < 100000")
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, project_id, count(*) AS total, count_if(NOT success) AS failed FROM (SELECT *, unnest([time_bucket(INTERVAL '1 day', created_at), time_bucket(INTERVAL '1 day', created_at) + INTERVAL '12 hours', time_bucket(INTERVAL '1 day', created_at) - INTERVAL '12 hours']) AS s FROM {traces} WHERE id % 3 <> 0)
+ WHERE created_at >= s AND created_at < s + INTERVAL '1 day' GROUP BY ALL HAVING s + INTERVAL '1 day' <= (SELECT max(created_at) FROM {traces}) - INTERVAL '10 minutes'""")
+def t02_sliding_windows(t):
+    """Append mode: windows that the watermark has closed; a third of the rows come after all others, too late to count."""
+    rows = t("traces").select("id", "project_id", "success", "latency_ms", F.col("created_at").cast("timestamp").alias("created_at"))
+    late = F.col("id") % 3 == 0
+    last = rows.agg(F.max("created_at").alias("m"))
+    marker = last.select(F.lit(1).cast("long").alias("id"), F.lit(-1).cast("long").alias("project_id"), F.lit(True).alias("success"), F.lit(0).cast("long").alias("latency_ms"), F.col("m").alias("created_at"))
+    closed = rows.where(late).join(F.broadcast(last), F.col("created_at") < F.date_trunc("day", F.col("m")) - F.expr("interval 2 days")).select(*rows.columns)
+    parts = [rows.where(~late).unionByName(marker), marker, closed]  # a watermark drops late rows from the next batch but one
+    out = drained(live.windowed_trace_metrics(stream_of_parts(parts, "traces"), "1 day", "12 hours", "10 minutes"), "windows")
+    return out.where("project_id >= 0").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "project_id", "total", "failed")
+
+
+@query("""WITH u AS (SELECT *, id % 97 = 0 AS ack FROM {usage}), s AS (SELECT *, count_if(ack) OVER (PARTITION BY project_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS stretch FROM u),
+r AS (SELECT *, sum(CASE WHEN ack THEN 0 ELSE tokens END) OVER w AS tk, count_if(NOT ack AND kind = 'vision') OVER w AS vn FROM s WINDOW w AS (PARTITION BY project_id, stretch ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))
+SELECT project_id, id, CASE WHEN tk >= 100000 THEN 'tokens' ELSE 'vision' END AS reason, CAST(tk AS BIGINT) AS tokens, vn AS vision FROM r WHERE NOT ack AND (tk >= 100000 OR vn >= 6) QUALIFY row_number() OVER (PARTITION BY project_id, stretch ORDER BY created_at, id) = 1""")
 def t03_budget_gate(t):
-    rows = t("usage").select("id", "project_id", "kind", "tokens", F.col("created_at").cast("timestamp").alias("created_at"))
+    at = F.col("created_at").cast("timestamp")
+    rows = t("usage").select("id", "project_id", F.when(F.col("id") % 97 == 0, "ack").otherwise(F.col("kind")).alias("kind"), "tokens", at.alias("created_at"))
     spark = rows.sparkSession
+    cuts = [None, *rows.select(F.expr("percentile_approx(unix_micros(created_at), array(0.25, 0.5, 0.75))").alias("c")).first()["c"], None]
+    micros = F.unix_micros("created_at")
+    parts = [rows.where((F.lit(a is None) | (micros > (a or 0))) & (F.lit(b is None) | (micros <= (b or 0)))) for a, b in zip(cuts, cuts[1:], strict=False)]
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return drained(live.budget_gate(stream_of(rows, "usage"), 100000, 1 << 40), "gates").select("project_id", "id", "tokens")
+        return drained(live.budget_gate(stream_of_parts(parts, "usage"), 100000, 6), "gates").select("project_id", "id", "reason", "tokens", "vision")
     finally:
         spark.conf.set(store, before)
 

@@ -55,19 +55,36 @@ def append_sink(df: DataFrame, path: str, checkpoint: str | None = None):
 
 
 def judge_batch(df: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, error_column: str = "judge_error") -> DataFrame:
-    """Rows that a user's model gives for batches of df; a batch that fails gives one row with the error."""
+    """Rows that a user's model gives for batches of df; of a batch that fails each row is judged alone.
+
+    A row that fails alone gives one row with the error, and the columns that schema and df share, so that what is lost
+    does not depend on how rows fall into batches.
+    """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def failed(row: pd.DataFrame, error: Exception) -> pd.DataFrame:
+        return row.reindex(columns=names).assign(**{error_column: f"{type(error).__name__}: {error}"})
+
+    def judged(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield judge(part).reindex(columns=names).assign(**{error_column: None})
+        except Exception as e:  # noqa: BLE001  a judge's failure is data
+            if len(part) == 1:
+                yield failed(part, e)
+            else:
+                for i in range(len(part)):
+                    yield from judged(part.iloc[[i]])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield judge(batch).reindex(columns=names).assign(**{error_column: None})
-            except Exception as e:  # noqa: BLE001  a judge's failure is data
-                yield pd.DataFrame({n: [None] for n in names}).assign(**{error_column: f"{type(e).__name__}: {e}"})
+            yield from judged(batch)
 
     return df.mapInPandas(run, f"{schema}, {error_column} string")
 
 
-def register_source(spark: SparkSession, reader: type[DataSource]) -> None:
-    """Make a Python data source available to spark.read.format(reader.name())."""
+def register_source(spark: SparkSession, reader: type[DataSource]) -> str:
+    """Make a Python data source available to spark.read.format(name); gives the name."""
+    if not issubclass(reader, DataSource):
+        raise TypeError(f"{reader.__name__} is no DataSource")
     spark.dataSource.register(reader)
+    return reader.name()

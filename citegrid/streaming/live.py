@@ -33,29 +33,30 @@ class BudgetGate(StatefulProcessor):
     """Per project: tokens and vision calls since the last acknowledgement; one event when a limit is reached.
 
     Rows: kind usage (tokens, vision) advances, kind ack starts anew and closes the gate. Rows of a micro-batch are taken
-    in the order of their time and id.
+    in the order of their time and id, so micro-batches must come in that order too. A project's rows of one micro-batch are
+    held at once, as columns; the stream's reader bounds them (maxFilesPerTrigger), whatever a project has in all.
     """
 
     def __init__(self, tokens: int, vision: int):
-        self.tokens, self.vision = tokens, vision
+        self.limits = tokens, vision
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("budget", "tokens long, vision long, open boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        tokens, vision, is_open = self.state.get() if self.state.exists() else (0, 0, False)
-        events = []
-        for r in pd.concat(list(rows)).sort_values(["created_at", "id"]).itertuples():
-            if r.kind == "ack":
-                tokens, vision, is_open = 0, 0, False
-                continue
-            tokens, vision = tokens + int(r.tokens), vision + (r.kind == "vision")
-            reason = "tokens" if tokens >= self.tokens else "vision" if vision >= self.vision else None
-            if reason and not is_open:
-                is_open = True
-                events.append((key[0], r.id, reason, tokens, vision))
-        self.state.update((int(tokens), int(vision), bool(is_open)))
-        yield pd.DataFrame(events, columns=["project_id", "id", "reason", "tokens", "vision"])
+        used, seen, is_open = self.state.get() if self.state.exists() else (0, 0, False)
+        batch = pd.concat(rows).sort_values(["created_at", "id"], ignore_index=True)
+        ack = (batch["kind"] == "ack").to_numpy()
+        stretch = ack.cumsum()  # rows between two acknowledgements run on from the state or from nothing
+        tokens = batch["tokens"].where(~ack, 0).astype("int64").groupby(stretch).cumsum() + (stretch == 0) * used
+        vision = (batch["kind"] == "vision").astype("int64").groupby(stretch).cumsum() + (stretch == 0) * seen
+        over = (tokens >= self.limits[0]) | (vision >= self.limits[1])
+        first = batch.index[over & ~ack].to_series().groupby(stretch[over & ~ack]).min()
+        events = first[~((first.index == 0) & is_open)].to_numpy()
+        last = stretch[-1]
+        self.state.update((int(tokens.iloc[-1]), int(vision.iloc[-1]), bool(last in first.index or (last == 0 and is_open))))
+        rows = [(key[0], int(batch["id"][e]), "tokens" if tokens[e] >= self.limits[0] else "vision", int(tokens[e]), int(vision[e])) for e in events]
+        yield pd.DataFrame(rows, columns=["project_id", "id", "reason", "tokens", "vision"])
 
     def close(self) -> None:
         pass
@@ -81,14 +82,27 @@ def read_live(spark: SparkSession, target: str, keys: Sequence[str], order_cols:
 
 
 def ingest_documents(stream: DataFrame, target: str, checkpoint: str, content: str = "content") -> StreamingQuery:
-    """Add documents whose hash the target does not have, the first of each hash in a batch."""
+    """Add documents whose hash the target does not have, the first of each hash in a batch.
+
+    Hashes are kept in a table of their own, parted by their first two digits, so that a batch reads neither documents nor
+    the hashes of prefixes that it does not hold.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(["sha256"])
+        spark, log = batch.sparkSession, f"{target.rstrip('/')}-hashes"
+        digest = F.sha2(F.col(content).cast("binary"), 256)
+        new = batch.withColumn("sha256", digest).dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
         if number:
-            have = spark.read.parquet(target).where(F.col("batch") < number).select("sha256")
-            new = new.join(have, "sha256", "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            prefixes = [r["prefix"] for r in new.select("prefix").distinct().collect()]  # 256 at most
+            had = spark.read.schema("sha256 string, batch long, prefix string").parquet(log)
+            new = new.join(had.where(F.col("prefix").isin(prefixes) & (F.col("batch") < number)).select("sha256"), "sha256", "left_anti")
+        new.drop("prefix").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        kept = spark.read.schema("sha256 string").parquet(f"{target}/batch={number}")
+        kept.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("overwrite").partitionBy("prefix").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact_live(spark: SparkSession, target: str, keys: Sequence[str], order_cols: Sequence[str], new_target: str) -> None:
+    """The current rows of a log as a log of one batch at another place, to be read and continued in its stead."""
+    read_live(spark, target, keys, order_cols).write.mode("overwrite").parquet(f"{new_target}/batch=-1")

@@ -1,6 +1,8 @@
 """Worked examples and properties that SQL twins do not cover."""
 
+import itertools
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from citegrid.functions import access as A
 from citegrid.functions import layout as L
 from citegrid.functions import text as T
-from citegrid.operators import access, evals, evidence, ledger, mentions, resolve, retrieve, review
+from citegrid.operators import access, evals, evidence, ledger, mentions, metrics, resolve, retrieve, review
 from citegrid.sources import files, records
+from citegrid.sources.scratch import shared_dir
 from citegrid.streaming import live
 
 
@@ -32,28 +35,35 @@ def test_text_functions(spark):
     assert one(spark, '{"a": [1, 2', T.is_truncated) and not one(spark, '{"a": }', T.is_truncated) and not one(spark, '{"a": 1}', T.is_truncated)
 
 
-def plain_chunks(text, size=950, overlap=140):
-    out, at = [], 0
-    while at < len(text):
-        end = hard = min(len(text), at + size)
-        if hard < len(text):
-            part = text[at + size // 2 : hard]
-            cut = max(part.rfind(m) for m in T.BOUNDARIES)
-            if cut >= 0:
-                end = at + size // 2 + cut + 1
-        out.append((at, end))
-        if end >= len(text):
-            break
-        at = max(at + 1, end - overlap)
-    return out
-
-
-def test_chunks_match_a_loop(spark):
+def check_chunk_rule(text, spans, size=950, overlap=140):
+    """Each chunk by what the rule says of it, from the text alone: where it ends, and where the next one starts."""
+    body = text.strip()
+    lead = text.index(body) if body else 0
+    ends = {i + 1 for m in T.BOUNDARIES for i in range(len(body)) if body.startswith(m, i)}
+    room = {e: 1 if body[e - 1] in "\n。；" else 2 for e in ends}
+    start, want = 0, []
+    while start < len(body):
+        hard = start + size
+        good = [e for e in ends if start + size // 2 < e and e - 1 + room[e] <= hard]
+        end = len(body) if hard >= len(body) else max(good, default=hard)
+        piece = body[start:end].strip()
+        if piece:
+            want.append((lead + body.index(piece, start), piece))
+        start = len(body) if end == len(body) else max(start + 1, end - overlap)
+    assert [(a, e) for a, _, e in spans] == want and all(text[a:b] == e for a, b, e in spans)
+
+
+def test_chunks_follow_the_rule(spark):
     rng = random.Random(4)
-    texts = ["".join(rng.choice("ab c. d;\n") for _ in range(rng.randrange(4000))).strip() for _ in range(60)] + ["", None, "x" * 3000, "。" * 2000]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", T.chunk_text(F.col("x")).alias("c")).collect()
-    for r in rows:
-        assert [(c.start, c.end) for c in r.c] == plain_chunks(texts[r.i] or "")
+    texts = ["".join(rng.choice("ab c. d;\n") for _ in range(rng.randrange(4000))) for _ in range(60)] + ["", " \n ", "x" * 3000, "。" * 2000, " \u3000lead " + "y; " * 900]
+    for text in texts:
+        check_chunk_rule(text, T.chunk_spans(text))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, x string").select("i", T.chunk_text(F.col("x")).alias("c")).collect()
+    for r in rows[:-1]:
+        assert [(c.start, c.end, c.excerpt) for c in r.c] == T.chunk_spans(texts[r.i])
+    assert rows[-1].c == []
+    long = "word. " * 200_000
+    assert len(T.chunk_spans(long)) > 1000
 
 
 def test_url_functions(spark):
@@ -124,21 +134,84 @@ def test_layout_functions(spark):
 
 
 def test_mentions(spark):
-    pages = spark.createDataFrame([(1, 2, 5, "See Figs. 3a, 4 and 5 or Table 2; Fig. S1 too.")], "doc_id long, page int, hit_ord long, text string")
+    pages = spark.createDataFrame([(1, 2, 5, "See Figs. 3a, 4 and 5 or Table 2; Fig. S1 too."), (1, 3, 6, None), (1, 4, 7, "figure 7" + " " * 40 + "," + " " * 60 + "8, 9")], "doc_id long, page int, hit_ord long, text string")
     hits = mentions.mention_hits(pages).collect()
-    assert [(h.kind, h.key) for h in hits] == [("figure", "3a"), ("figure", "4"), ("figure", "5"), ("figure", "s1"), ("table", "2")]
+    assert [(h.kind, h.key) for h in hits] == [("figure", "3a"), ("figure", "4"), ("figure", "5"), ("figure", "s1"), ("table", "2"), ("figure", "7"), ("figure", "8")]
     figs = spark.createDataFrame([(1, "figure", 10, "Fig. 3", "c"), (1, "figure", 11, "Fig. 3", "c"), (1, "figure", 12, "Fig. 9", "c")], "doc_id long, kind string, fig_ord long, label string, caption string")
     rows = mentions.greedy_attach(mentions.mention_hits(pages), figs).collect()
     assert [(r.fig_ord, r.mention_no) for r in rows] == [(10, 1)]
-    assert {r.key for r in mentions.unmatched_references(mentions.mention_hits(pages), figs).collect()} == {"4", "5", "s1"}
+    assert {r.key for r in mentions.unmatched_references(mentions.mention_hits(pages), figs).collect()} == {"4", "5", "s1", "7", "8"}
+
+
+def number_of(key):
+    return "".join(itertools.takewhile(str.isdigit, key))
+
+
+def test_greedy_attach_is_the_rule(spark):
+    """Against the rule played out over whole documents: the first visual, in order, that a hit may go to, takes it."""
+    rng = random.Random(6)
+    hits = [(rng.randrange(3), "figure" if rng.random() < 0.8 else "table", rng.choice(["1", "1a", "2", "2b", "3", "s1"]), i, rng.randrange(2), i % 5, f"snip {rng.randrange(9)}") for i in range(400)]
+    visuals = [(rng.randrange(3), "figure" if rng.random() < 0.8 else "table", i, rng.choice(["Fig. 1", "Fig. 1a", "Fig. 2", "Fig. 2b", "Table 3", None]), rng.choice(["snip  1", "c", None])) for i in range(30)]
+    want, held = Counter(), {v[2]: [] for v in visuals}
+    for doc, kind, key, _, _, page, snippet in sorted(hits, key=lambda h: (h[3], h[4])):
+        for v in visuals:
+            label = number_of((v[3] or "").split()[-1]) + ("" if not v[3] or v[3][-1].isdigit() else v[3][-1]) if v[3] else None
+            fits = label is not None and (label == key or (number_of(key) not in ("", key) and label == number_of(key)))
+            if (v[0], v[1]) == (doc, kind) and fits and " ".join((v[4] or "").split()) != snippet and len(held[v[2]]) < 3 and snippet not in held[v[2]]:
+                held[v[2]].append(snippet)
+                want[doc, kind, v[2], page, snippet, len(held[v[2]])] += 1
+                break
+    made = spark.createDataFrame(hits, "doc_id long, kind string, key string, hit_ord long, pos int, page int, snippet string")
+    got = mentions.greedy_attach(made, spark.createDataFrame(visuals, "doc_id long, kind string, fig_ord long, label string, caption string"), cap=3)
+    assert Counter(map(tuple, got.collect())) == want and want
 
 
 def test_evidence_round_trip(spark):
     pages = spark.createDataFrame([(1, 1, "alpha beta. " * 200), (1, 2, "  "), (2, 1, "tiny")], "doc_id long, page int, text string")
-    made = evidence.build_evidence(evidence.chunks(pages), pages)
+    made = evidence.build_evidence(evidence.chunks(pages))
     assert evidence.verify_sources(made, pages).where("NOT ok").count() == 0
     changed = pages.withColumn("text", F.when(F.col("doc_id") == 2, "tinz").otherwise(F.col("text")))
     assert [(r.doc_id, r.reason) for r in evidence.verify_sources(made, changed).where("NOT ok").collect()] == [(2, "text differs")]
+    known = made.where("doc_id = 2").withColumn("evidence_id", F.lit("kept"))
+    assert [r.evidence_id for r in evidence.keep_known_ids(made, known).where("doc_id = 2").collect()] == ["kept"]
+    figures = spark.createDataFrame([(1, 3, "f1", None, "cap", "p/1", "h1")], "doc_id long, page int, figure_id string, label string, caption string, path string, sha256 string")
+    tables = spark.createDataFrame([(1, 4, "t1", "Table 1", None, None)], "doc_id long, page int, table_id string, label string, caption string, path string")
+    both = evidence.figure_evidence(figures).unionByName(evidence.table_evidence(tables))
+    assert {(r.evidence_type, r.label, r.source_path) for r in both.collect()} == {("figure", "f1", "p/1"), ("table", "Table 1", "pages/4")}
+    assert evidence.verify_visuals(both, figures, tables).where("NOT ok").count() == 0
+    assert [r.reason for r in evidence.verify_visuals(both, figures.withColumn("sha256", F.lit("h2")), tables.limit(0)).orderBy("evidence_type").collect()] == ["hash differs", "table missing"]
+
+
+def test_routing(spark):
+    rows = [(1, "text", "Methods", "", "a model, a model", p) for p in (1, 2, 5)] + [(1, "figure", None, "", None, 9)]
+    made = spark.createDataFrame(rows, "paper_id long, evidence_type string, section string, claim string, excerpt string, page int")
+    out = {r.page: r.score for r in evidence.routed(made, "method", "Model of it x").collect()}
+    # "method" once (in "methods") and "model" twice, two topic words ("model", "it" is absent), the section; page 2 alone has the bonus
+    assert out == {1: 10, 2: 12, 5: 10, 9: 0}
+    assert evidence.topic_terms("Ab c 方法x") == ["ab", "方法x"]
+
+
+def test_analysis_metrics_of_failed_and_tied_runs(spark):
+    rows = [(1, 1, "completed", 10, 4, 4, "a", 1), (1, 1, "failed", 12, 5, 1, "b", 2), (1, 2, "completed", 7, 3, 3, "c", 5), (1, 2, "completed", 7, 2, 2, "d", 5), (2, 9, "running", 3, 1, 0, None, 1)]
+    analyses = spark.createDataFrame(rows, "project_id long, doc_id long, status string, page_count long, total_visuals long, completed_visuals long, current_step string, updated_at int")
+    regions = spark.createDataFrame([(1, 1), (1, 2), (3, 4)], "project_id long, doc_id long")
+    out = {r.project_id: tuple(r)[1:] for r in metrics.analysis_metrics(analyses, regions).collect()}
+    assert out == {1: (17, 2, 10, 6, "d"), 2: (0, 0, 1, 0, None), 3: (0, 1, 0, 0, None)}
+    only = metrics.analysis_metrics(analyses, regions, spark.createDataFrame([(2,)], "doc_id long")).collect()
+    assert [tuple(r) for r in only] == [(1, 7, 1, 5, 5, "d")]
+
+
+def test_analysis_blocks_and_backfill(spark):
+    selected = spark.createDataFrame([(1, 10), (1, 11)], "project_id long, paper_id long")
+    sections = spark.createDataFrame([(1, 10, "method", "completed", {"methods": "m", "core_problem": "x", "mechanisms": ""}, 2, 1), (1, 10, "method", "failed", None, 1, 2), (1, 11, "critical", "completed", {"other": "x"}, 1, 3)], "project_id long, paper_id long, part string, status string, content map<string,string>, updated_at int, ord int")
+    board = spark.createDataFrame([(1, 10, "method", "running", 1), (1, 11, "critical", "running", 1)], "project_id long, paper_id long, part string, status string, ord int")
+    papers = spark.createDataFrame([(10, "T")], "paper_id long, title string")
+    notes = spark.createDataFrame([(1, 11, "problem", "n")], "project_id long, paper_id long, part string, note string")
+    out = {(r.paper_id, r.part): r for r in ledger.analysis_blocks(selected, sections, board, papers, notes).collect()}
+    assert len(out) == 10 and out[10, "method"].status == "completed" and out[10, "method"].content == {"methods": "m"} and out[10, "method"].paper_title == "T"
+    assert (out[11, "critical"].status, out[11, "critical"].content) == ("running", None) and out[11, "method"].status == "queued" and out[11, "problem"].note == "n"
+    reviews = spark.createDataFrame([(1, None, "自动复核：ok"), (2, None, "图文一致：ok"), (3, None, "plain"), (4, None, None), (5, "human", "自动复核：ok")], "id int, source string, note string")
+    assert {r.id: r.source for r in ledger.backfill_sources(reviews).collect()} == {1: "auto_visual_verifier", 2: "auto_consistency", 3: "human", 4: "human", 5: "human"}
 
 
 def test_task_scores(spark):
@@ -212,6 +285,69 @@ def test_judge_batch(spark):
     assert [(r.id, r.score, r.judge_error) for r in out] == [(1, 0.1, None), (2, 0.2, None)]
     assert "KeyError" in files.judge_batch(rows, lambda p: p[["nope"]], "id int").first().judge_error
 
+    def picky(p):
+        assert not (p.x == "bb").any()
+        return pd.DataFrame({"id": p.id, "score": 1.0})
+
+    out = files.judge_batch(rows, picky, "id int, score double").collect()
+    assert [(r.id, r.score, (r.judge_error or "")[:14]) for r in out] == [(1, 1.0, ""), (2, None, "AssertionError")]
+
+
+def test_python_source(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Numbers(DataSource):
+        @classmethod
+        def name(cls):
+            return "numbers"
+
+        def schema(self):
+            return "n long"
+
+        def reader(self, schema):
+            top = int(self.options.get("top", 3))
+
+            class Reader(DataSourceReader):
+                def read(self, partition):
+                    yield from ((i,) for i in range(top))
+
+            return Reader()
+
+    assert files.register_source(spark, Numbers) == "numbers"
+    assert [r.n for r in spark.read.format("numbers").option("top", 4).load().collect()] == [0, 1, 2, 3]
+    with pytest.raises(TypeError):
+        files.register_source(spark, int)
+
+
+def test_late_rows_and_sliding_windows(spark, tmp_path):
+    row = lambda i, at: (7, True, 1, f"2024-01-01 {at}")
+    path = str(tmp_path / "late")
+    for i, at in enumerate(("00:10:00", "05:00:00", "00:20:00")):  # the third is late: its windows closed after the second
+        part = spark.createDataFrame([row(i, at)], "project_id long, success boolean, latency_ms long, t string").select("project_id", "success", "latency_ms", F.to_timestamp("t").alias("created_at"))
+        part.coalesce(1).write.mode("append").parquet(path)
+        if i == 1:
+            part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = drain(live.windowed_trace_metrics(stream, "1 hour", "30 minutes"), "late").collect()
+    assert sorted((r.start.strftime("%H:%M"), r.total) for r in out if r.start.hour in (23, 0)) == [("00:00", 1), ("23:30", 1)]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Fake:
+        def __init__(self, master):
+            self.conf = self.sparkContext = self
+            self.master = master
+
+        def get(self, *_):
+            return None
+
+        def getConf(self):
+            return self
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(Fake(master))
+
 
 def test_ledger_rules(spark):
     have = spark.createDataFrame([(1, "s", "a", "h1", "completed", 1), (1, "s", "b", "h1", "failed", 2), (1, "s", "c", "h0", "completed", 1)], "project_id int, run_scope string, item_key string, input_hash string, status string, attempts int")
@@ -273,10 +409,16 @@ def test_live_tables(spark, tmp_path):
 
 
 def test_budget_gate(spark, tmp_path):
-    rows = spark.createDataFrame([(7, i, "ack" if i == 6 else "text", 10) for i in range(12)] + [(8, 50, "vision", 1)], "project_id long, id long, kind string, tokens long").withColumn("created_at", F.timestamp_seconds(F.col("id")))
+    rows = spark.createDataFrame([(7, i, "ack" if i == 6 else "text", 10) for i in range(12)] + [(8, 50, "vision", 1), (8, 51, "vision", 1), (8, 52, "text", 1), (8, 53, "ack", 0), (8, 54, "vision", 40)], "project_id long, id long, kind string, tokens long").withColumn("created_at", F.timestamp_seconds(F.col("id")))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = str(tmp_path / "parts")
+    for test in ("id < 2 OR id = 50", "id IN (2, 3, 4) OR id = 51", "id > 4 AND id NOT IN (50, 51)"):  # the state runs on over micro-batches
+        rows.where(test).coalesce(1).write.mode("append").parquet(path)
     try:
-        out = drain(live.budget_gate(stream_of(spark, rows, str(tmp_path / "u"), 1), 30, 99), "gate").collect()
+        whole = drain(live.budget_gate(stream_of(spark, rows, str(tmp_path / "u"), 1), 30, 2), "gate").collect()
+        parts = drain(live.budget_gate(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), 30, 2), "gates").collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert [(r.project_id, r.id, r.reason) for r in sorted(out, key=lambda r: r.id)] == [(7, 2, "tokens"), (7, 9, "tokens")]
+    want = [(7, 2, "tokens", 30, 0), (7, 9, "tokens", 30, 0), (8, 51, "vision", 2, 2), (8, 54, "tokens", 40, 1)]
+    for out in (whole, parts):
+        assert sorted(map(tuple, out)) == want
