@@ -7,13 +7,17 @@ Documents are cut where that saves padding: full bins first; a rest stays whole
 better, else a piece of the next class's capacity is cut off it. The at most one unfilled bin of each class are put
 together first-fit (no more bins than there are classes, whatever the input).
 
-Edge cases: a null or empty text is the single end token; repeated rows are packed each; an empty table gives no rows;
-further columns are ignored. Texts that hold the string of a special token are ordinary text.
+Ids are those of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`: the string of an added token (here
+`<|endoftext|>`) inside a text is that token's id.
+
+Edge cases: a null or empty text is the single end token; a long text is encoded and cut like any other, with memory for
+itself and its ids; repeated rows and equal ids are packed each; an empty table gives no rows; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,38 +31,9 @@ from .common import written
 
 #: Tokens of a sequence; a rest of r tokens stays whole if at most r / SLACK tokens of its class's share stay unused.
 CAPACITY, SLACK = 1024, 16
-#: Words whose ids a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 200_000
 _ENCODER: dict = {}
 
 
-def _encoder(path: str):
-    """The byte-level BPE of `path`, one a worker: text to the bytes of its little-endian 32-bit ids.
-
-    A space between two characters that are no white space always starts a new pre-token, so the ids of a text are
-    those of its space-separated words one after the other, and words repeat. The vocabulary and merges are those of
-    the tokenizers file; byte-pair ranks are read from it.
-    """
-    if path not in _ENCODER:
-        import json
-        import re
-
-        import public_tokenizers
-        import tiktoken
-
-        if path.endswith(".json"):
-            with open(path, encoding="utf-8") as f:
-                vocab = json.load(f)["model"]["vocab"]
-            chars = _byte_chars()
-            ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items() if all(c in chars for c in token) and not token.startswith("<|")}
-        else:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _ENCODER[path] = _Words(encode), _Words(lambda x: encode(" " + x)), re.compile(r"\s | \s").search
-    return _ENCODER[path]
-
-
 def _byte_chars() -> dict[str, int]:
     """Byte-level BPE writes each byte as one visible character: printable Latin-1 as itself, the rest from U+0100 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -66,26 +41,38 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Words(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+class Encoder:
+    """The byte-level BPE of a tokenizers file: a text to the bytes of its little-endian 32-bit ids.
+
+    The file's added tokens are cut out of a text first and stand for themselves, as in `tokenizers`; what lies between
+    them is encoded part by part with the file's vocabulary and merges, which tiktoken runs faster.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode(word)).tobytes()
-        if len(word) < 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, path: str):
+        import json
 
+        import public_tokenizers
+        import tiktoken
 
-def token_bytes(text: str, path: str) -> bytes:
-    first, later, irregular = _encoder(path)
-    if irregular(text) or text[:1] == " " or text[-1:] == " ":
-        return array("I", first.encode(text)).tobytes()
-    head, *rest = text.split(" ")
-    return first[head] + b"".join([later[w] for w in rest])
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in file["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        chars = _byte_chars()
+        ranks = {bytes(chars[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.added}
+        self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> bytes:
+        if not any(a in text for a in self.added):
+            return array("I", self.encode(text)).tobytes()
+        return b"".join([self.added.get(p) or array("I", self.encode(p)).tobytes() for p in self.cut(text)])
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker and file."""
+    if path not in _ENCODER:
+        _ENCODER[path] = Encoder(path)
+    return _ENCODER[path]
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -106,12 +93,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """The pieces of all documents, with their class k and their rank (part, place) in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, places, cuts = TaskContext.get().partitionId(), {}, {}
+        encode, part, places, cuts = encoder(tokenizer), TaskContext.get().partitionId(), {}, {}
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             doc, start, length, crc, total, klass, parts, place = out
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(token_bytes(text or "", tokenizer) + b"\0\0\0\0")
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = memoryview(encode(text.as_py() or "") + b"\0\0\0\0")
                 n, at = len(ids) // 4, 0
                 if n not in cuts:
                     cuts[n] = cut(n, capacity)
