@@ -1,17 +1,25 @@
 """Legacy archive converter: ARC files of version 1 or 2 become WARC 1.1 files.
 
-An ARC header line has, by version, 5 or 10 fields before a block of declared length. The converter reads the line from
-its right end (URLs of old archives may hold spaces), takes the block, and synthesises the WARC fields: record id from
-URL, date and key, ISO timestamp from the 14 (or 12, or 8) digits, type, and SHA-1 digests in base32 of block and payload.
+An ARC header line has, by version, 5 or 10 fields before a block of declared length. The converter finds the fields
+that have a fixed form (IP address, date of digits, length), so that spaces in a URL or a MIME type do no harm, takes
+the block, and synthesises the WARC fields: record id from URL, date and key, ISO timestamp from the 14 (or 12, 10, 8)
+digits, type, and SHA-1 digests in base32 of block and payload.
 
-Archives are real files (one gzip member a record) in a folder that tasks reach through Arrow's file systems. A task
-writes under a name of its own and returns a row for what it wrote; only files with such a row are read again, so that
-retried or doubled tasks leave nothing but unread files.
+Archives are real files in a folder that tasks reach through Arrow's file systems: one gzip member a record, one gzip
+stream, or not compressed. A task writes under a name of its own and returns a row for what it wrote; only files with
+such a row are read again, so that retried or doubled tasks leave nothing but unread files. Files are converted and
+read one a row of work, dealt over tasks by their name.
+
+Odd archives: header bytes that are no UTF-8 are read as Latin-1; a date that is no date (month 13, too few digits) is
+that of the file's own record, and UNDATED where that has none; parameters of a MIME type are kept, spaces before them
+are not; a header line with missing or wrong fields, an unknown version and an archive that ends inside a record raise
+ValueError with the archive's byte count, except with `salvage`, which ends the file at its last whole record.
 
 Edge cases: a null html is an empty payload; a null URL is `unknown:`; URLs keep their characters except white space and
-controls, which are percent-encoded; of records with equal payload, that with the largest id is the response and the
-others revisit it (a repeated largest id: each is a response; without any id: all are responses); an empty table gives no
-rows; further columns are ignored.
+controls, which are percent-encoded; a very long payload is held whole, once at a time, by the task that writes or reads
+it; of records with equal payload, that with the largest id is the response and the others revisit it (a repeated
+largest id: each is a response; without any id: all are responses); an empty table gives no rows; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import partitions, scratch, written
 
-#: Payload bytes after which a writer starts a new file; gzip level; date of records that have none.
+#: Payload bytes after which a writer starts a new file; gzip level; date of the archives written here.
 FILE_BYTES, LEVEL, DATE = 16 << 20, 1, "19970101000000"
+#: Timestamp of a record without a usable date in a file without one.
+UNDATED = "1970-01-01T00:00:00Z"
 ARC_FIELDS = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "page_id long, url string, digest string, payload_bytes long, file string, ord long"
@@ -49,14 +59,25 @@ def _member(data: bytes) -> bytes:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a file of gzip members, piece by piece."""
+    """The bytes of a file, piece by piece; a file of gzip members is inflated."""
+    data = stream.read(1 << 20)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = stream.read(1 << 20)
+        return
     z = zlib.decompressobj(31)
-    while data := stream.read(1 << 20):
+    while data:
         while data:
             yield z.decompress(data)
             data = z.unused_data
             if z.eof:
                 z = zlib.decompressobj(31)
+        data = stream.read(1 << 20)
+
+
+class Truncated(ValueError, EOFError):
+    """An archive that ends inside a record."""
 
 
 class _Reader:
@@ -95,7 +116,7 @@ class _Reader:
                 self.data = chunk[need:]
                 break
         if have < n:
-            raise ValueError(f"the archive ends {n - have} bytes early")
+            raise Truncated(f"the archive ends {n - have} bytes early")
         return b"".join(parts)
 
 
@@ -113,27 +134,63 @@ def _arc_line(url: str, ip: str, kind: str, version: int, name: str, offset: int
     return f"{url} {ip} {DATE} {kind}{middle} {length}\n".encode()
 
 
-def read_arc(chunks: Iterator[bytes]) -> Iterator[dict]:
-    """url, ip, date, content_type, block of each record after the file's own, whatever the version."""
-    reader, version = _Reader(chunks), None
-    while (line := reader.line()) is not None:
-        if not line.strip():
-            continue
-        if version is None:
-            if not line.startswith(b"filedesc:"):
-                raise ValueError("an ARC file starts with a filedesc record")
-            body = reader.block(int(line.rsplit(b" ", 1)[1]))
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version} is unknown")
-            continue
-        fields = line.decode().rsplit(" ", len(ARC_FIELDS[version].split()) - 1)
-        yield {"url": fields[0], "ip": fields[1], "date": fields[2], "content_type": fields[3], "block": reader.block(int(fields[-1]))}
+#: URL, IP address, date and MIME type, which stand in both versions; a version 2 line goes on with result code,
+#: checksum, location, offset and file name. The length comes last.
+_FRONT = r"(?P<url>\S.*?) +(?P<ip>[0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*|-) +(?P<date>\d+|-) +"
+_LINE = {
+    1: re.compile(_FRONT + r"(?P<kind>.*?) *(?P<length>\d+)\r?"),
+    2: re.compile(_FRONT + r"(?P<kind>.*?) +(?P<code>\d+|-) +(?P<checksum>\S+) +(?P<location>\S+) +(?P<offset>\d+|-) +(?P<name>\S+) +(?P<length>\d+)\r?"),
+}
+
+
+def _text(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
 
+def parse_line(line: bytes, version: int) -> dict:
+    """Fields of an ARC header line."""
+    found = _LINE[version].fullmatch(_text(line))
+    if found is None:
+        raise ValueError(f"not an ARC header line of version {version}: {line[:200]!r}")
+    out = found.groupdict()
+    return {"url": clean_url(out["url"]), "ip": out["ip"], "date": out["date"], "content_type": re.sub(r" *; *", "; ", out["kind"]).strip() or "no-type", "length": int(out["length"])}
 
-def iso_date(digits: str) -> str:
-    full = digits if len(digits) == 14 else (digits + "000000")[:14] if len(digits) in (8, 10, 12) else DATE
-    return datetime.strptime(full, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+def read_arc(chunks: Iterator[bytes], salvage: bool = False) -> Iterator[dict]:
+    """url, ip, date (ISO), content_type, block of each record after the file's own, whatever the version.
+
+    With `salvage`, an archive that ends inside a record gives the records before it.
+    """
+    reader, version, default = _Reader(chunks), None, UNDATED
+    try:
+        while (line := reader.line()) is not None:
+            if not line.strip():
+                continue
+            if version is None:
+                if not line.startswith(b"filedesc:"):
+                    raise ValueError("an ARC file starts with a filedesc record")
+                default = iso_date(next(iter(re.findall(r" (\d{8,14}) ", _text(line))), ""), UNDATED)
+                body = reader.block(int(line.rsplit(b" ", 1)[1]))
+                version = int(body.split(b" ", 1)[0])
+                if version not in ARC_FIELDS:
+                    raise ValueError(f"ARC version {version} is unknown")
+                continue
+            fields = parse_line(line, version)
+            yield {"url": fields["url"], "ip": fields["ip"], "date": iso_date(fields["date"], default), "content_type": fields["content_type"], "block": reader.block(fields["length"])}
+    except (EOFError, zlib.error):
+        if not salvage:
+            raise
+
+
+def iso_date(digits: str, default: str = UNDATED) -> str:
+    """Timestamp of 14, 12, 10 or 8 digits; the default where they are no date."""
+    try:
+        return datetime.strptime((digits + "000000")[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if len(digits) in (8, 10, 12, 14) else default
+    except ValueError:
+        return default
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -160,7 +217,7 @@ def converted(arc: dict, key: object, refers_to: int | None) -> bytes:
     revisit = refers_to is not None
     block = head if revisit else arc["block"]
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response" if head else "resource"), ("WARC-Record-ID", record_id(f"{key}:{digest}")), ("WARC-Date", iso_date(arc["date"])),
+        ("WARC-Type", "revisit" if revisit else "response" if head else "resource"), ("WARC-Record-ID", record_id(f"{key}:{digest}")), ("WARC-Date", arc["date"]),
         ("WARC-Target-URI", arc["url"]), ("WARC-IP-Address", arc["ip"]), ("Content-Type", "application/http; msgtype=response" if head else arc["content_type"]),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{digest_of(block)}"), ("X-Payload-Length", len(payload)), ("X-Key", "" if key is None else key),
     ]
@@ -263,7 +320,9 @@ def convert(index: DataFrame, arc_folder: str, warc_folder: str, min_bytes: int
         files.close()
         return pa.table({"file": pa.array(list(counts), pa.string()), "records": pa.array(list(counts.values()), pa.int64())})
 
-    return written(plan.groupBy("file").applyInArrow(run, "file string, records long"), "warc-files")
+    # A set number of partitions: by size Spark would put this small plan into one task, which would convert every file.
+    count = max(1, index.agg(F.count_distinct("file")).first()[0])
+    return written(plan.repartition(count, "file").groupBy("file").applyInArrow(run, "file string, records long"), "warc-files")
 
 
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -272,7 +331,8 @@ _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def read_records(files: DataFrame, folder: str) -> DataFrame:
     """One row per record of the WARC files: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The digest of every stored payload is computed again and must be the one declared.
+    The digest of every stored payload is computed again and must be the one declared; the bytes of a response are
+    those read, of a revisit (which stores none) those declared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +344,12 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
                         continue
                     payload = split_http(block)[1]
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    if f["warc-type"] != "revisit" and digest_of(payload) != digest:
+                    revisit = f["warc-type"] == "revisit"
+                    if not revisit and digest_of(payload) != digest:
                         raise ValueError(f"{name}: a payload does not have its digest")
                     key, other = f["x-key"], f.get("x-refers-to-key")
-                    rows.append((int(key) if key else None, int(f["x-payload-length"]), digest, "revisit" if f["warc-type"] == "revisit" else "response", int(other) if other else None))
+                    size = int(f["x-payload-length"]) if revisit else len(payload)
+                    rows.append((int(key) if key else None, size, digest, "revisit" if revisit else "response", int(other) if other else None))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=[x.split()[0] for x in _RECORDS.split(", ")])
 
