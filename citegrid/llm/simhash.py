@@ -1,54 +1,64 @@
 """SimHash near-dedup through pivot distance tables.
 
-Fingerprints link at MAX_BITS or fewer differing bits. For any reference r, |d(x, r) - d(y, r)| <= d(x, y), so a pair
-whose distances to some reference differ by more than MAX_BITS cannot link. The table of distances serves twice:
-- references that differ inside one block of bits only have distances that spell out that block. MAX_BITS differing
-  bits leave all but MAX_BITS of the blocks untouched, so linked fingerprints agree on the coordinates of some choice of
-  (blocks - MAX_BITS) blocks: these are the keys that bring candidates together, without comparing all pairs;
-- of the candidates, pairs with a coordinate difference above MAX_BITS to any of 16 scattered references are
-  discarded, and the Hamming distance verifies the rest.
+Fingerprints link at MAX_BITS or fewer differing bits. REFERENCES are reference fingerprints, and the pivot table, written
+once, holds the Hamming distance of each fingerprint to each of them, block of bits by block of bits (a block's distances
+are packed in one long; over all blocks they add up to the distance as a whole). In a block the distances of x and y to a
+reference differ by at most the bits in which x and y differ there, and these add up to MAX_BITS at most over the blocks.
+So a linked pair has all coordinates equal in all but MAX_BITS of the blocks: the cells of the table for each choice of
+(blocks - MAX_BITS) blocks bring candidates together, and no pair of other cells is looked at. Of the candidates, those with
+a coordinate difference above MAX_BITS (distances as a whole to the first two references, from the table) are discarded, and
+the Hamming distance verifies the rest. One distance as a whole is no key by itself: random fingerprints have |d(x, r) -
+d(y, r)| <= 4 in 57 of 100 cases, so that sixteen references would still leave one chance pair of 8,000, of a square.
 The number of blocks grows with the number of fingerprints, so that chance candidates stay below their number.
 
-Equal fingerprints are one node. A key's members are compared in tiles of bounded size, and a tile gives a star for
-each group that it finds connected, never all its pairs. Components come from minimum labels with pointer jumping.
+Equal fingerprints are one node. A cell with more than TILE members is parted again: what its members may differ in lies in
+the other blocks, whose bits are cut into blocks anew. Members are then compared in tiles of bounded size, and a tile
+gives a star for each group that it finds connected, never all its pairs. Components come from minimum labels with
+pointer jumping.
 
 Edge cases: texts without words (null, empty) have fingerprint zero and link like any other; fewer words than a shingle
-are one shingle; rows without an id get a fingerprint and no component, and link nothing; repeated rows are copies;
-an empty table gives no rows; further columns are ignored.
+are one shingle; a very long text is hashed by slices of its words; rows without an id get a fingerprint and no component, and link nothing;
+repeated rows are copies; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .text_kernels import pieces
 
 #: Words of a shingle, bits that linked fingerprints may differ in, members of a key in one part of a tile.
 SHINGLE, MAX_BITS, TILE = 4, 4, 1024
-#: References of the pivot table that filters pairs.
-PIVOTS = 16
-_REFERENCES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) % (1 << 64) for i in range(PIVOTS)], dtype=np.uint64)
+#: References of the pivot table.
+REFERENCES = tuple(x - (1 << 64) if x >> 63 else x for x in ((0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) % (1 << 64) for i in range(8)))
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """XXH64 of each word shingle, in the order of the text."""
     import xxhash
 
-    words = text.encode().lower().split()  # lower() of bytes changes A-Z only
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined, n, digest = b" ".join(words), max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+    digest, out, last = xxhash.xxh64_intdigest, [], []
+    for piece in pieces(text.encode()):
+        words = last + piece.lower().split()  # lower() of bytes changes A-Z only
+        last = words[max(0, len(words) - shingle + 1) :]
+        if len(words) < shingle:
+            continue
+        joined_words = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        starts = np.concatenate([[0], ends[: len(words) - shingle]]).tolist()
+        out.append(np.array([digest(joined_words[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+    if not out:
+        return np.array([digest(b" ".join(last), 42)] if last else [], dtype=np.uint64)
+    return np.concatenate(out)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -71,80 +81,123 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def block_count(n: int, max_bits: int = MAX_BITS) -> int:
-    """Blocks at which n random fingerprints give fewer than n chance candidates over all keys."""
-    for blocks in range(max_bits + 2, 17):
+    """Blocks at which n random fingerprints give fewer than n chance candidates over all cells; max_bits + 3 at least."""
+    for blocks in range(max_bits + 3, 17):
         if n * comb(blocks, max_bits) < 2 ** (64 * (blocks - max_bits) / blocks + 1):
             return blocks
     return 16
 
 
-def key_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
-    """For each choice of (blocks - max_bits) blocks, their bits as a signed long."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    masks = [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - max_bits)]
+def cut_bits(bits: list[int], blocks: int) -> list[int]:
+    """The bits cut into so many blocks: masks as signed longs."""
+    cuts = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def linked_groups(fps: np.ndarray, ids: np.ndarray, part: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def coordinates(fp: Column, mask: Column) -> Column:
+    """Distances of a block's bits to the references, four or more bits each, as one long."""
+    width = 64 // len(REFERENCES)
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(r)).bitwiseAND(mask)).cast("long"), width * i) for i, r in enumerate(REFERENCES)])
+
+
+def pivot_table(nodes: DataFrame, blocks: int) -> DataFrame:
+    """id, fp, near, far (distances to two references), c0, c1, ...: the coordinates by block."""
+    whole = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("byte").alias(n) for r, n in zip(REFERENCES, ("near", "far"), strict=False)]
+    return nodes.select("id", "fp", *whole, *[coordinates(F.col("fp"), F.lit(m)).alias(f"c{i}") for i, m in enumerate(cut_bits(list(range(64)), blocks))])
+
+
+def split_again(large: DataFrame, blocks: int, max_bits: int) -> DataFrame:
+    """Rows of too large cells (choice, cell, fp, ...) in cells of the blocks that they may still differ in."""
+    rows, picks = [], list(combinations(range(blocks), blocks - max_bits))
+    for i, pick in enumerate(picks):
+        masks = cut_bits(list(range(64)), blocks)
+        rest = [b for j in range(blocks) if j not in pick for b in range(64) if masks[j] >> b & 1]
+        inner = cut_bits(rest, blocks)
+        rows += [(i, k, [inner[j] for j in again]) for k, again in enumerate(picks)]
+    plan = F.broadcast(large.sparkSession.createDataFrame(rows, "choice int, again int, masks array<long>"))
+    inside = F.xxhash64("cell", "again", *[coordinates(F.col("fp"), F.col("masks")[j]) for j in range(blocks - max_bits)])
+    return large.join(plan, "choice").withColumn("cell", inside).drop("again", "masks")
+
+
+def tiles(rows: DataFrame, key: list[str], node: str, tile: int, payload: list[str]) -> DataFrame:
+    """Members of each key (of two or more) in tiles: one row a tile, m: array<struct<payload..., part>>.
+
+    A key's members are dealt into parts of about `tile`; a tile is two parts, or one with itself. The sizes are counted
+    with map-side combine and written; what Spark knows to be small it broadcasts, so that lone members are not shuffled twice.
+    """
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(sizes.withColumn("parts", F.expr(f"cast(ceil(n / {tile}) as int)")).drop("n"), "keys")
+    member = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
+    dealt = member.select(*key, *payload, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    grouped = dealt.groupBy(*key, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return grouped.agg(F.collect_list(F.struct(*payload, "part")).alias("m")).where("size(m) > 1").select("m")
+
+
+def tile_columns(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """The columns of each tile of a batch."""
+    lists = batch.column(0)
+    flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield [c[i:j] for c in columns]
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of the connected group of each of n members, from pairs."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def linked_groups(ids: np.ndarray, fps: np.ndarray, near: np.ndarray, far: np.ndarray, part: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """(smallest id, other id) for the groups connected by links; between the two parts of a tile if it has two."""
-    order = np.lexsort((fps, np.bitwise_count(fps)))
-    fps, ids, part = fps[order], ids[order], part[order]
-    table = np.bitwise_count(fps[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
-    root = np.arange(len(fps))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    two = part.min() != part.max()
+    order = np.argsort(ids)
+    ids, fps, near, far, part = ids[order], fps[order].view(np.uint64), near[order], far[order], part[order]
+    two, found = part.min() != part.max(), []
     for i in range(0, len(fps), 256):
         rows = slice(i, min(i + 256, len(fps)))
-        near = np.abs(table[rows, None, 0] - table[None, i:, 0]) <= max_bits
-        near &= np.abs(table[rows, None, 1] - table[None, i:, 1]) <= max_bits
-        a, b = np.nonzero(near)
+        keep = (np.abs(near[rows, None] - near[None, i:]) <= max_bits) & (np.abs(far[rows, None] - far[None, i:]) <= max_bits)
+        a, b = np.nonzero(keep)
         a, b = a + i, b + i
         keep = (a < b) & ((part[a] != part[b]) | (not two))
         a, b = a[keep], b[keep]
-        keep = (np.abs(table[a, 2:] - table[b, 2:]).max(axis=1) <= max_bits) if len(a) else np.zeros(0, dtype=bool)
-        a, b = a[keep], b[keep]
         keep = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
-        for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    groups: dict[int, list[int]] = {}
-    for i in range(len(fps)):
-        groups.setdefault(find(i), []).append(int(ids[i]))
-    return [(min(g), x) for g in groups.values() if len(g) > 1 for x in g if x != min(g)]
+        found.append(np.stack([a[keep], b[keep]]))
+    a, b = np.concatenate(found, axis=1)
+    root = joined(len(ids), a, b)
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return list(zip(ids[root[other]].tolist(), ids[other].tolist(), strict=True))
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a, b (a < b): edges between the ids of nodes (id, fp) that connect all linked fingerprints."""
-    masks = key_masks(block_count(nodes.count(), max_bits), max_bits)
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = nodes.select("id", "fp", F.explode(keys).alias("k")).select("id", "fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes.withColumn("parts", F.expr(f"cast(ceil(n / {TILE}) as int)")).drop("n"), "keys")
-    member = keyed.join(sizes, ["choice", "key"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiled = member.select("choice", "key", "id", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiled.groupBy("choice", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    tiles = tiles.agg(F.collect_list(F.struct("id", "fp", "part")).alias("m")).where("size(m) > 1")
+    blocks = block_count(nodes.count(), max_bits)
+    table = written(pivot_table(nodes, blocks), "pivots")
+    picks = combinations(range(blocks), blocks - max_bits)
+    cells = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), *[f"c{j}" for j in pick]).alias("cell")) for i, pick in enumerate(picks)])
+    payload = ["id", "fp", "near", "far"]
+    keyed = table.select(*payload, F.explode(cells).alias("k")).select(*payload, "k.choice", "k.cell")
+    large = keyed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).drop("n")
+    large = written(large, "large")
+    if not large.isEmpty():
+        hot = keyed.join(large, ["choice", "cell"])
+        keyed = keyed.join(large, ["choice", "cell"], "left_anti").unionByName(split_again(hot, blocks, max_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            ids, fps, part = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             found = set()
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                found.update(linked_groups(fps[i:j].view(np.uint64), ids[i:j], part[i:j], max_bits))
+            for ids, fps, near, far, part in tile_columns(batch):
+                found.update(linked_groups(ids, fps, near, far, part, max_bits))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tiles.select("m").mapInArrow(run, "a long, b long").distinct()
+    return tiles(keyed, ["choice", "cell"], "fp", TILE, payload).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,14 @@ pair of them identifies a sequence of words with 96 or 128 bits.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bytes of a long text that are looked at together.
+PIECE = 1 << 20
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -16,6 +22,20 @@ _MUL = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]").search
+
+
+def pieces(data: bytes, size: int | None = None) -> Iterator[bytes]:
+    """data in pieces of about size bytes, cut at white space, so that no word is divided."""
+    size, at = size or PIECE, 0
+    while at + size < len(data):
+        gap = _GAP(data, at + size)
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:] if at else data
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))
