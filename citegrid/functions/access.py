@@ -55,10 +55,16 @@ def resolve_url(base: Column, ref: Column) -> Column:
     )
 
 
+#: How a landing page names its file, and how failures are told apart by their text.
+META_LINK = r'(?i)citation_pdf_url"\s+content="([^"]+)"'
+REFRESH_LINK = r'(?i)<meta[^>]+http-equiv=["\']?refresh["\']?[^>]+content=["\']\s*\d+\s*;\s*url=([^"\'>]+)'
+FAILURES = (("auth", "api_key|auth"), ("rate", "rate limit|429"), ("connect", "reach|timeout|timed out|connect|endofstream"), ("not_found", "not found|no metadata source has"))
+
+
 def pdf_link_from_page(url: Column, html: Column) -> Column:
     """File URL named by a landing page: a citation meta tag, else a refresh, else the download of a figshare page."""
-    meta = F.nullif(F.regexp_extract(html, r'(?i)citation_pdf_url"\s+content="([^"]+)"', 1), F.lit(""))
-    refresh = F.nullif(F.regexp_extract(html, r'(?i)<meta[^>]+http-equiv=["\']?refresh["\']?[^>]+content=["\']\s*\d+\s*;\s*url=([^"\'>]+)', 1), F.lit(""))
+    named = lambda pattern: F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    meta, refresh = named(META_LINK), named(REFRESH_LINK)
     share = F.when(host_in(host_of(url), ("figshare.com",)), F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/download")))
     return F.coalesce(resolve_url(url, meta), resolve_url(url, refresh), share)
 
@@ -78,8 +84,7 @@ def fetch_outcome(status: Column, media_type: Column) -> Column:
 
 def failure_reason(text: Column) -> Column:
     """auth, rate, connect, not_found or other, in that order of precedence."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(low.rlike("api_key|auth"), "auth").when(low.rlike("rate limit|429"), "rate").when(low.rlike("reach|timeout|timed out|connect|endofstream"), "connect")
-        .when(low.rlike("not found|no metadata source has"), "not_found").otherwise("other")
-    )
+    low, reason = F.lower(F.coalesce(text, F.lit(""))), F.lit("other")
+    for name, pattern in reversed(FAILURES):
+        reason = F.when(low.rlike(pattern), name).otherwise(reason)
+    return reason

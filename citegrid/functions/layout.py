@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import collapse
 
+#: How headings and captions begin.
 HEADING = r"(?i)^(?:\d+(?:\.\d+)*\.?\s+)?(?:abstract|introduction|related work|method(?:ology)?|experiments?|results?|discussion|conclusion|references)\b"
 CAPTION = r"(?i)^(?:(?:fig(?:ure)?\.?)|table) *(\d+[A-Za-z]?)\b"
 #: Words that name a section's type, tested in this order.
@@ -17,6 +18,7 @@ SECTION_WORDS = (
     ("discussion", ("discussion", "conclusion", "limitation", "future work", "summary")),
     ("references", ("reference",)),
 )
+#: Words that name a figure's type, tested in this order.
 FIGURE_WORDS = (
     ("architecture", ("architecture", "framework", "pipeline", "network")),
     ("ablation", ("ablation", "component analysis")),
@@ -33,7 +35,7 @@ def _letters(c: Column) -> Column:
 
 
 def visual_key(label: Column) -> Column:
-    """'Fig. 3b' or 'Table 2' as the join key '3b' or '2'; null without a number."""
+    """A label's number, with the letter of a part, in lower case: what mentions are joined by; null without a number."""
     return F.lower(F.nullif(F.regexp_extract(label, r"(\d+[A-Za-z]?)", 1), F.lit("")))
 
 
@@ -46,9 +48,14 @@ def strip_marker(token: Column) -> Column:
     return F.trim(F.regexp_replace(token, "[()]", ""))
 
 
+#: What a page number looks like, and what a section title never does.
+PAGE_NUMBERS = (r"^[-–—·\s]*\d+[-–—·\s]*$", r"(?i)^[-–—·\s]*[ivxlcdm]+[-–—·\s]*$")
+FORMULA = r"(?i)arg\s*min|^[=+\-]|[{}]{2}"
+
+
 def is_page_number(text: Column) -> Column:
     low = collapse(text)
-    return (word_count(low) <= 8) & (low.rlike(r"^[-–—·\s]*\d+[-–—·\s]*$") | low.rlike(r"(?i)^[-–—·\s]*[ivxlcdm]+[-–—·\s]*$"))
+    return (word_count(low) <= 8) & (low.rlike(PAGE_NUMBERS[0]) | low.rlike(PAGE_NUMBERS[1]))
 
 
 def is_heading(text: Column, size: Column, median: Column) -> Column:
@@ -102,5 +109,5 @@ def useful_section(title: Column) -> Column:
     """The title if it reads like one (3 to 100 characters, 55 % letters, no sign of a formula), else null."""
     low = collapse(title)
     n = F.char_length(low)
-    good = n.between(3, 100) & (_letters(low) >= n * 0.55) & ~low.rlike(r"(?i)arg\s*min|^[=+\-]|[{}]{2}")
+    good = n.between(3, 100) & (_letters(low) >= n * 0.55) & ~low.rlike(FORMULA)
     return F.when(good, low)

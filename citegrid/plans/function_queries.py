@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import layout, metrics, retrieve, review
 from ..sources import files
 from ..sources.scratch import scratch
-from .layout_queries import BLOCKS, CAPTIONS, COUNT, HEADINGS, LOW, READ, TYPE, WIDTH, blocks, sections
+from .layout_queries import BLOCKS, COUNT, HEADINGS, LOW, READ, TYPE, WIDTH, blocks, sections
 from .registry import query
 from .search_queries import host, within
 
@@ -118,11 +118,15 @@ def f20_heading_confidence(t):
     return rows.select("doc_id", "ord", F.bround(L.heading_confidence(F.col("size"), F.col("median_size")), 9).alias("confidence"))
 
 
-@query(f"SELECT doc_id, ord, true AS caption, 'Fig. ' || (ord % 9 + 1) AS label, false AS spoken FROM ({CAPTIONS})")
+CAPTIONED = "CASE ord % 5 WHEN 1 THEN ' Fig.  ' || (ord % 9 + 1) || chr(10) || 'shows ' || text WHEN 2 THEN 'table' || ord || 'b: ' || text WHEN 3 THEN 'See Fig. 2 ' || text ELSE text END"
+CAPTION_LOW = "trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')"
+CAPTION = "(?i)^(?:(?:fig(?:ure)?\\.?)|table) *(\\d+[A-Za-z]?)\\b"
+
+
+@query(f"SELECT doc_id, ord, regexp_matches({CAPTION_LOW}, '{CAPTION}') AS caption, nullif(regexp_extract({CAPTION_LOW}, '{CAPTION}', 0), '') AS label FROM (SELECT doc_id, ord, {CAPTIONED} AS text FROM ({BLOCKS}))")
 def f21_is_caption(t):
-    text = F.concat(F.lit(" Fig.  "), F.col("ord") % 9 + 1, F.lit("\nshows "), F.char_length("text"))
-    spoken = F.concat(F.lit("See "), text)
-    return blocks(t).where("ord % 4 = 1").select("doc_id", "ord", L.is_caption(text).alias("caption"), L.caption_label(text).alias("label"), L.is_caption(spoken).alias("spoken"))
+    text = F.expr(CAPTIONED)
+    return blocks(t).select("doc_id", "ord", L.is_caption(text).alias("caption"), L.caption_label(text).alias("label"))
 
 
 @query(f"SELECT doc_id, ord, {TYPE} AS type FROM ({HEADINGS})")

@@ -11,7 +11,9 @@ from ..operators import evals, evidence
 from ..sources import files, records
 from ..sources.scratch import scratch
 from ..streaming import live
+from .layout_queries import BLOCKS, COUNT, LOW, blocks
 from .registry import query
+from .search_queries import norm
 
 
 def landed(df: DataFrame, label: str) -> str:
@@ -20,26 +22,41 @@ def landed(df: DataFrame, label: str) -> str:
     return path
 
 
-@query("SELECT '10.5/a' || doc_id AS stable_id, 'T ' || doc_id AS title, 'w' || (doc_id % 5) || ' x y' AS abstract, CAST(greatest(0, doc_id % 50 - 10) AS INT) AS citation_count, CAST(2000 + doc_id % 20 AS INT) AS year, 'V' || (doc_id % 3) AS venue FROM documents")
+HEAD = "split_part(text, chr(10), 1)"
+WORDS = f"nullif(trim(regexp_replace({HEAD}, ' +', ' ', 'g'), ' '), '')"
+
+
+def head_line():
+    return F.get(F.split("text", "\n"), F.lit(0))
+
+
+def places_of(words):
+    """A map of each word to its places."""
+    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+
+
+@query(f"""SELECT '10.5/a' || doc_id AS stable_id, 'W' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source || ' in ' || lang ELSE coalesce(nullif({HEAD}, ''), 'Untitled') END AS title, {WORDS} AS abstract,
+ CAST(greatest(0, n_chars - 900) AS INT) AS citation_count, CAST(1990 + n_chars % 35 AS INT) AS year, source AS venue, lang || ',' || source AS authors FROM documents""")
 def s01_read_openalex(t):
-    d = F.col("doc_id")
-    works = t("documents").select(
-        F.concat(F.lit("https://openalex.org/W"), d).alias("id"), F.concat(F.lit("https://doi.org/10.5/A"), d).alias("doi"), F.lit("").alias("display_name"), F.concat(F.lit("T "), d).alias("title"), (2000 + d % 20).alias("publication_year"),
-        (d % 50 - 10).alias("cited_by_count"), F.create_map(F.concat(F.lit("w"), d % 5), F.array(F.lit(0)), F.lit("y"), F.array(F.lit(2)), F.lit("x"), F.array(F.lit(1))).alias("abstract_inverted_index"),
-        F.struct(F.struct(F.concat(F.lit("V"), d % 3).alias("display_name")).alias("source")).alias("primary_location"),
+    d, n = F.col("doc_id"), F.col("n_chars")
+    author = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
+    works = t("documents").withColumn("words", F.filter(F.split(head_line(), " +"), lambda w: w != "")).select(
+        F.concat(F.lit("https://openalex.org/W"), d).alias("id"), F.concat(F.lit("https://doi.org/10.5/A"), d).alias("doi"), F.when(d % 3 > 0, F.concat("source", F.lit(" in "), "lang")).otherwise("").alias("display_name"), head_line().alias("title"),
+        (1990 + n % 35).alias("publication_year"), (n - 900).alias("cited_by_count"), T.bind(F.col("words"), places_of).alias("abstract_inverted_index"),
+        F.array(author(F.col("lang")), author(F.lit("")), author(F.col("source"))).alias("authorships"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
     )
-    return records.read_openalex(works.sparkSession, landed(works, "works")).select("stable_id", "title", "abstract", "citation_count", "year", "venue")
+    out = records.read_openalex(works.sparkSession, landed(works, "works"))
+    return out.select("stable_id", "source_id", "title", "abstract", "citation_count", "year", "venue", F.array_join("authors", ",").alias("authors"))
 
 
-@query("SELECT coalesce('10.6/b' || CASE WHEN doc_id % 2 = 0 THEN doc_id END, 'crossref:t ' || doc_id || ' part:' || (1990 + doc_id % 30)) AS stable_id, CAST(1990 + doc_id % 30 AS INT) AS year, 'A & B ' || (doc_id % 4) AS venue, 'G' || doc_id || ' F' AS authors FROM documents")
+@query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN '10.6/b' || doc_id ELSE 'crossref:' || {norm(HEAD + " || ' ' || source")} || ':' || (1990 + n_chars % 30) END AS stable_id, {HEAD} || ' ' || source AS title, CAST(1990 + n_chars % 30 AS INT) AS year, 'A & ' || source AS venue, lang || ' ' || source AS authors FROM documents""")
 def s02_read_crossref(t):
-    d = F.col("doc_id")
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
     items = t("documents").select(
-        F.when(d % 2 == 0, F.concat(F.lit("10.6/B"), d)).alias("DOI"), F.array(F.concat(F.lit("T "), d), F.lit("Part")).alias("title"), F.array(F.concat(F.lit("A &amp; B "), d % 4)).alias("container-title"),
-        F.array(F.struct(F.concat(F.lit("G"), d).alias("given"), F.lit("F").alias("family")), F.struct(F.lit("").alias("given"), F.lit(None).cast("string").alias("family"))).alias("author"),
-        F.struct(F.array(F.array(1990 + d % 30)).alias("date-parts")).alias("published-online"),
+        F.when(d % 2 == 0, F.concat(F.lit("10.6/B"), d)).alias("DOI"), F.array(head_line(), F.col("source")).alias("title"), F.array(F.concat(F.lit("A &amp; "), "source")).alias("container-title"),
+        F.array(F.struct(F.col("lang").alias("given"), F.col("source").alias("family")), F.struct(F.lit("").alias("given"), none.alias("family"))).alias("author"), F.struct(F.array(F.array(1990 + F.col("n_chars") % 30)).alias("date-parts")).alias("published-online"),
     )
-    return records.read_crossref(items.sparkSession, landed(items, "items")).select("stable_id", "year", "venue", F.array_join("authors", ",").alias("authors"))
+    return records.read_crossref(items.sparkSession, landed(items, "items")).select("stable_id", "title", "year", "venue", F.array_join("authors", ",").alias("authors"))
 
 
 @query("SELECT 'arxiv:2401.' || doc_id AS stable_id, 'a title ' || doc_id AS title, CAST(2000 + doc_id % 20 AS INT) AS year FROM documents WHERE doc_id % 20 BETWEEN 5 AND 15")
@@ -76,30 +93,31 @@ def s06_scan_papers(t):
     return records.scan_papers(papers.sparkSession, path, 2005, 2010).select("ord", F.col("year").cast("int").alias("year"))
 
 
-@query("SELECT 'd' || doc_id AS document_id, CAST(p AS INT) AS ord, CAST(p + 1 AS INT) AS page_number, 'text ' || p AS text FROM documents, (SELECT unnest([0, 1, 2]) AS p) WHERE p <= doc_id % 3")
+@query("SELECT 'd' || doc_id AS document_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS ord, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS page_number, unnest(string_split(text, chr(10))) AS text FROM documents")
 def s07_read_parsed(t):
-    d = F.col("doc_id")
-    page = lambda i: F.struct((i + 1).alias("page_number"), F.concat(F.lit("text "), i).alias("text"))
-    docs = t("documents").select(F.concat(F.lit("d"), d).alias("document_id"), F.transform(F.sequence(F.lit(0), (d % 3).cast("int")), page).alias("pages"))
-    path = scratch(docs.sparkSession, "parsed")
-    docs.write.json(path)
-    one = docs.sparkSession.read.schema(files.PARSED).json(path)
-    return one.select("document_id", F.posexplode("pages").alias("ord", "r")).select("document_id", "ord", "r.page_number", "r.text")
+    pages = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct((i + 1).alias("page_number"), line.alias("text")))
+    docs = t("documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), pages.alias("pages"))
+    return files.read_parsed(docs.sparkSession, landed(docs, "parsed"), multi_line=False)["pages"].select("document_id", "ord", "page_number", "text")
 
 
-@query("SELECT id, CASE WHEN d % 3 = 0 THEN 'primary' WHEN d % 3 = 1 THEN 'secondary' ELSE 'not_found' END AS provenance FROM (SELECT 'doi:10.7/' || doc_id AS id, doc_id AS d FROM documents)")
+@query("""SELECT DISTINCT 'doi:' || doi AS id, CASE WHEN doi IN (SELECT doi FROM {papers} WHERE lang = 'en' AND doi IS NOT NULL) THEN 'primary' WHEN doi IN (SELECT doi FROM {papers} WHERE year > 2010 AND doi IS NOT NULL) THEN 'secondary' ELSE 'not_found' END AS provenance FROM {papers} WHERE doi IS NOT NULL""")
 def j17_lookup_metadata(t):
-    d = F.col("doc_id")
-    rows = t("documents").select(d, F.concat(F.lit("10.7/"), d).alias("doi"), F.concat(F.lit("s"), d).alias("stable_id"), F.concat(F.lit("W"), d).alias("source_id"), F.lit("t").alias("title"), F.lit(2000).alias("year"))
-    ids = rows.select(F.concat(F.lit("doi:"), "doi").alias("id"))
-    return records.lookup_metadata(ids, rows.where(d % 3 == 0), rows.where(d % 3 < 2)).select("id", "provenance")
+    rows = t("papers").select("lang", "doi", "stable_id", "source_id", "title", "year")
+    ids = rows.where("doi IS NOT NULL").select(F.concat(F.lit("doi:"), "doi").alias("id")).distinct()
+    return records.lookup_metadata(ids, rows.where("lang = 'en'"), rows.where("year > 2010")).select("id", "provenance").distinct()
+
 
+RAW_DOI = "CASE n_chars % 5 WHEN 0 THEN ' doi: ' WHEN 1 THEN ' HTTPS://doi.org/10.' || n_chars || '/' || upper(source) || '. ' WHEN 2 THEN 'DOI:10.' || n_chars || '/' || lang || ' .' WHEN 3 THEN 'http://DOI.org/10.' || n_chars || '/' || upper(lang) ELSE source END"
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '10.8/ab' || doc_id END AS doi, '10.8/AB' || doc_id AS bare FROM documents")
+
+@query(f"SELECT doc_id, nullif(regexp_replace(regexp_replace(lower(trim({RAW_DOI})), '^(https://doi\\.org/|http://doi\\.org/|doi:)', ''), '[ .]+$', ''), '') AS doi FROM documents")
 def f02_doi_forms(t):
-    d = F.col("doc_id")
-    raw = F.when(d % 4 == 0, " doi: ").when(d % 4 == 1, F.concat(F.lit(" HTTPS://doi.org/10.8/AB"), d, F.lit(". "))).otherwise(F.concat(F.lit("DOI:10.8/Ab"), d))
-    return t("documents").select("doc_id", T.normalize_doi(raw).alias("doi"), T.bare_doi(F.concat(F.lit("https://DOI.org/10.8/AB"), d)).alias("bare"))
+    return t("documents").withColumn("raw", F.expr(RAW_DOI)).select("doc_id", T.normalize_doi(F.col("raw")).alias("doi"))
+
+
+@query(f"SELECT doc_id, regexp_replace({RAW_DOI}, '(?i)^(https?://doi\\.org/|doi:)', '') AS bare FROM documents")
+def f03_bare_doi(t):
+    return t("documents").withColumn("raw", F.expr(RAW_DOI)).select("doc_id", T.bare_doi(F.col("raw")).alias("bare"))
 
 
 @query("SELECT ord, nullif(trim(regexp_replace(title, ' +', ' ', 'g'), ' '), '') AS abstract FROM {papers}")
@@ -114,22 +132,24 @@ def f15_mention_snippet(t):
     return t("documents").select("doc_id", T.mention_snippet(F.col("text"), F.lit(200)).alias("snippet"))
 
 
-@query("SELECT p_partkey, p_partkey % 4 = 0 AS page_number, p_partkey % 4 = 1 AS caption, CASE WHEN p_partkey % 4 = 1 THEN 'Fig. ' || (p_partkey % 90) END AS label, least(1.0, 0.7 + greatest(p_size - 20.0, 0.0) / 20) AS confidence FROM part")
+NUMBERED = "CASE WHEN ord % 7 = 0 THEN '- ' || ord || ' -' WHEN ord % 7 = 1 THEN ' XIV ' WHEN ord % 7 = 2 THEN 'page ' || ord ELSE text END"
+
+
+@query(f"""SELECT doc_id, ord, {COUNT} <= 8 AND (regexp_matches({LOW}, '^[-–—·\\s]*\\d+[-–—·\\s]*$') OR regexp_matches({LOW}, '(?i)^[-–—·\\s]*[ivxlcdm]+[-–—·\\s]*$')) AS page_number, round_even(least(1.0, 0.7 + greatest(size - 11.0, 0.0) / 20), 9) AS confidence
+ FROM (SELECT doc_id, ord, size, {NUMBERED} AS text FROM ({BLOCKS}))""")
 def f18_block_flags(t):
-    k = F.col("p_partkey")
-    text = F.when(k % 4 == 0, F.concat(F.lit("- "), k, F.lit(" -"))).when(k % 4 == 1, F.concat(F.lit("Fig. "), k % 90, F.lit(" shows"))).otherwise(F.concat(F.lit("body "), k))
-    return t("part").select("p_partkey", L.is_page_number(text).alias("page_number"), L.is_caption(text).alias("caption"), L.caption_label(text).alias("label"), L.heading_confidence(F.col("p_size").cast("double"), F.lit(20.0)).alias("confidence"))
+    text = F.expr(NUMBERED)
+    return blocks(t).select("doc_id", "ord", L.is_page_number(text).alias("page_number"), F.bround(L.heading_confidence(F.col("size"), F.lit(11.0)), 9).alias("confidence"))
 
 
-KINDS = ("Network overview", "Ablation study", "Qualitative result", "Photo")
+DRAWN = "text || CASE ord % 6 WHEN 0 THEN ' Network overview' WHEN 1 THEN ', an ablation' WHEN 2 THEN ' (Qualitative Results)' WHEN 3 THEN ' component  analysis' ELSE '' END"
+DRAWN_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(c), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in L.FIGURE_WORDS) + " ELSE 'other' END"
 
 
-@query("SELECT p_partkey, ['architecture', 'ablation', 'result', 'other'][1 + p_partkey % 4] AS kind, CASE WHEN p_partkey % 4 < 2 THEN ['Network overview', 'Ablation study'][1 + p_partkey % 4] END AS section FROM part")
+@query(f"""SELECT doc_id, ord, {DRAWN_KIND} AS kind, CASE WHEN length({LOW}) BETWEEN 3 AND 100 AND length(regexp_replace({LOW}, '[^\\p{{{{L}}}}]', '', 'g')) >= length({LOW}) * 0.55 AND NOT regexp_matches({LOW}, '(?i)arg\\s*min|^[=+\\-]|[{{{{}}}}]{{{{2}}}}') THEN {LOW} END AS section
+ FROM (SELECT doc_id, ord, text, {DRAWN} AS c FROM ({BLOCKS}))""")
 def f23_figure_type(t):
-    k = F.col("p_partkey")
-    caption = F.get(F.array(*map(F.lit, KINDS)), (k % 4).cast("int"))
-    title = F.when(k % 4 < 2, caption).when(k % 4 == 2, "arg min x").otherwise("12")
-    return t("part").select("p_partkey", L.figure_type(caption).alias("kind"), L.useful_section(title).alias("section"))
+    return blocks(t).select("doc_id", "ord", L.figure_type(F.expr(DRAWN)).alias("kind"), L.useful_section(F.col("text")).alias("section"))
 
 
 @query("WITH w AS (SELECT p_partkey, trim(x) AS x, row_number() OVER (PARTITION BY p_partkey) AS i FROM (SELECT p_partkey, unnest(string_split(p_name, ' ') || [upper(p_name)]) AS x FROM part)) SELECT p_partkey, count(DISTINCT lower(x)) AS n FROM w WHERE x <> '' GROUP BY 1")

@@ -18,9 +18,9 @@ TASKS = "dataset_id string, tasks array<struct<task_id:string,category:string,re
 CHILDREN = ("pages", "sections", "figures", "tables")
 
 
-def read_parsed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One table per child list of landed documents, each row with its document and place (ord)."""
-    docs = spark.read.schema(PARSED).option("multiLine", True).json(path)
+def read_parsed(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """One table per child list of landed documents (a file each, or a line each), each row with its document and place (ord)."""
+    docs = spark.read.schema(PARSED).option("multiLine", multi_line).json(path)
     return {c: docs.select("document_id", F.posexplode(c).alias("ord", "r")).select("document_id", "ord", "r.*") for c in CHILDREN}
 
 
