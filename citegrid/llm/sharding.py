@@ -4,18 +4,21 @@ Law `rows`: every row gets a global number (its place in the order of id, then t
 0..n-1 scatters the numbers, and shard = p mod shards, slot = p div shards. Shards differ by one row at most,
 slots are gapless, and both follow from the number, n and the seed alone.
 
-Edge cases: a null text has size 1 and checksum 0 (as an empty one); null ids come first; rows that are equal in
-id and text are interchangeable and get different places; an empty table gives no rows; further columns are ignored.
+Only id, size, checksum and a hash of the text are sorted and written, never texts.
+
+Edge cases: a null text has size 1 and checksum 0 (as an empty one); a very long text is read once, for its size and sums;
+null ids come first; rows that are equal in id and text are interchangeable and get different places, but are sorted by one
+task; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from ..operators.ranking import global_rank
 
 #: Rounds of the Feistel network, and steps of the walk after which a row would be an error.
 ROUNDS, WALK = 8, 64
@@ -44,26 +47,6 @@ def permuted(x: str, n: int, seed: int = 42) -> str:
     )
 
 
-def numbered(rows: DataFrame, order: list[str], out: str = "row_number") -> DataFrame:
-    """rows with gapless global numbers in the order given, by a range shuffle and one offset a partition.
-
-    The sorted table is written with a number that holds partition and place; the offsets are sums over one count a
-    partition, so what is broadcast is bounded by the number of partitions.
-    """
-    sorted_rows = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    placed = written(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_place", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_place", "_before")
-    )
-
-
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, seed: int = 42) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null under this law), row_number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -73,7 +56,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_tie"),
     )
-    rows = numbered(slim, ["doc_id", "_tie"])
+    rows = global_rank(slim, [F.asc_nulls_first("doc_id"), F.asc("_tie")], "row_number")
     n = rows.count()
     return (
         rows.withColumn("_p", F.expr(permuted("row_number", n, seed)))
