@@ -1,20 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles: all pairs at 0.8 or more are linked.
-
-SimHash alone cannot find them: sets at Jaccard 0.8 differ in about 10 of 64 bits on average, and no choice of
-bits that all such pairs share is selective. So there are two rounds, and every link is verified on the whole sets:
-- SimHash links (MAX_BITS) propose stars within tight groups; what is verified is joined into components, so that a
-  large group of near copies is not compared pair by pair;
-- pairs of different components come from prefixes: with shingles in one order everywhere, sets of a and b shingles at
-  0.8 or more share one of the first a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. At the first that they share, the
-  rest bounds the overlap, which discards most candidates. No pair is lost by either.
-Any order will do for that. Shingles that a sample of the documents shows to be frequent come last, the most frequent at the
-end, so that text which many documents share brings few of them together. A key's members are joined part by part, so that a
-hot shingle spreads over tasks.
+"""Near copies: SimHash groups and bands of minimal shingles as candidates, exact Jaccard similarity of word shingles as the test.
+
+SimHash alone cannot find all pairs at 0.8 or more: such sets differ in about 10 of 64 bits on average, and no choice of
+bits that all such pairs share is selective. So candidates are linked in two ways: by SimHash (MAX_BITS), and by BANDS keys of
+ROWS minimal shingle hashes each. Sets at similarity j share a key with chance 1 - (1 - j ** ROWS) ** BANDS: at 0.8 all but
+5 in a million, at 0.3 and below 3 in a hundred and less, so text which many documents share brings few of them together.
+
+What the links connect is a family: a node stands in one family, so its set goes to few tiles, once each. Families are dealt
+into parts of PART sets; a tile compares two parts, or one with itself, all pairs of it and not only the linked ones, on bits
+of the shingles that its sets share; only a star for each group that is connected leaves it. Sets are made again from the
+texts of those documents that stand in a family, and never stored for all.
 
 Shingles are told apart by 64-bit hashes, sets by 128 bits. Words are op7's (A-Z lowered, split at white space).
 
-Edge cases: fewer words than a shingle are one shingle; texts without words are equal to each other; rows without an id
-get no component and link nothing; repeated rows are copies; an empty table gives no rows; further columns are ignored.
+Edge cases: fewer words than a shingle are one shingle; texts without words are equal to each other; a very long text is
+hashed piece by piece; rows without an id get no component and link nothing; repeated rows are copies; an empty table gives
+no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,127 +23,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .simhash import components, links, majority, shingle_hashes
-
-#: Words of a shingle; members of a key in one part. The similarity is 4/5, in whole numbers below.
-SHINGLE, PART = 5, 1024
-#: One of so many documents tells which shingles are frequent: those in at least LEAST of them, at most MOST shingles.
-SAMPLE, LEAST, MOST = 16, 3, 200_000
-#: Shingles and rows that a worker holds before it hands them on.
-GROUP_SHINGLES, GROUP_ROWS = 1 << 19, 1024
-_MARKS = "doc_id long, node long, check long, fp long, grams array<long>"
+from .simhash import components, joined, links, majority, shingle_hashes
+from .text_kernels import mix
 
+#: Words of a shingle; sets of a family in one part of a tile. The similarity is 4/5, in whole numbers below.
+SHINGLE, PART = 5, 512
+#: Keys of a set, and minimal hashes of a key.
+BANDS, ROWS = 40, 6
+#: Shingles and rows that a worker holds before it hands them on; shingles whose minima are taken at once.
+GROUP_SHINGLES, GROUP_ROWS, SLICE = 1 << 19, 1024, 1024
+_SETS, _MARKS = "doc_id long, node long, check long, grams array<long>", "doc_id long, node long, check long, fp long, bands array<long>"
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def prefix(n: int) -> int:
-    """Shingles of a set of n, the first in order, of which similar sets share one."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
 
-
-def similar(overlap: Column, a: Column, b: Column) -> Column:
+def similar(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of a and b members with such an overlap have Jaccard similarity 4/5 or more."""
     return 9 * overlap >= 4 * (a + b)
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64)))
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: the set of shingle hashes, its 128-bit digest (node, check) and its SimHash."""
+def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Ids, shingle hashes in order, their sets and the sets' 128-bit digests, of some rows at a time."""
+    import xxhash
 
-    def batch_of(ids: list, sets: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
-        import xxhash
+    ids, lists, held = [], [], 0
+    for i, (key, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
+        ids.append(key.as_py())
+        lists.append(shingle_hashes(text.as_py() or "", SHINGLE))
+        held += len(lists[-1])
+        if held >= GROUP_SHINGLES or len(ids) >= GROUP_ROWS or i == batch.num_rows:
+            sets = [np.unique(x) for x in lists]
+            yield ids, lists, sets, np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+            ids, lists, held = [], [], 0
 
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
-        columns = [pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(fps, pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, _lists(sets)], names=[x.split()[0] for x in _MARKS.split(", ")])
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """Of docs (doc_id, text): the set of shingle hashes of each row and its digest (node, check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, fps, held = [], [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                hashes = shingle_hashes(text.as_py() or "", SHINGLE)
-                ids.append(i.as_py())
-                fps.append(majority(hashes))
-                sets.append(np.unique(hashes))
-                held += len(sets[-1])
-                if held >= GROUP_SHINGLES or len(ids) >= GROUP_ROWS:
-                    yield batch_of(ids, sets, fps)
-                    ids, sets, fps, held = [], [], [], 0
-            if ids:
-                yield batch_of(ids, sets, fps)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _MARKS)
-
-
-def prefixes(known: DataFrame) -> DataFrame:
-    """node, n, keys: the size of each set and its first shingles, frequent ones last."""
-    sample = known.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("node", "grams").dropDuplicates(["node"])
-    counts = sample.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    # A list of bounded size, which only orders: what it lacks costs time, not pairs.
-    rows = written(counts.orderBy(F.desc("n"), "gram").limit(MOST), "frequent").collect()
-    frequent = np.array([(r["gram"], r["n"]) for r in rows], dtype=np.int64).reshape(-1, 2)
-    shared = known.sparkSession.sparkContext.broadcast(frequent[np.argsort(frequent[:, 0])])
+            for ids, _, sets, digests in _hashed(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(sets)], names=_names(_SETS))
+
+    return docs.mapInArrow(run, _SETS)
+
+
+def bands_of(own: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes; that of no shingles has a set of keys of its own."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(own), SLICE):
+        np.minimum(low, (own[i : i + SLICE, None] * _FACTORS[None, :]).min(axis=0), out=low)
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + row)
+    return mix(keys + np.arange(BANDS, dtype=np.uint64))
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """Per row: the digest of its set (node, check), its SimHash and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, often = shared.value[:, 0], shared.value[:, 1]
         for batch in batches:
-            keys, sizes = [], []
-            for row in batch.column(1):
-                own = row.values.to_numpy()
-                at = np.minimum(np.searchsorted(gram, own), max(0, len(gram) - 1))
-                rank = np.where(gram[at] == own, often[at], 0) if len(gram) else np.zeros(len(own), dtype=np.int64)
-                keys.append(own[np.lexsort((own, rank))[: prefix(len(own))]])
-                sizes.append(len(own))
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(keys)], names=["node", "n", "keys"])
-
-    return written(known.select("node", "grams").mapInArrow(run, "node long, n long, keys array<long>"), "prefixes")
-
-
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b (nodes), a_id, b_id (smallest ids of their documents) of the pairs that are similar."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = known.join(wanted, "node", "left_semi").groupBy("node", "check").agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams"))
-    sets = written(sets, "sets")
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("id").alias(f"{s}_id"), F.col("grams").alias(f"{s}_grams"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    return written(both.where(similar(overlap, F.size("a_grams"), F.size("b_grams"))).select("a", "b", "a_id", "b_id"), "verified")
-
-
-def prefix_pairs(known: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: nodes of different components that may be similar, by the prefixes that they share."""
-    rooted = prefixes(known).join(roots.withColumnRenamed("id", "node"), "node", "left")
-    keyed = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("at", "key"))
-    # min and max tell whether a key has two components, and are combined before the shuffle.
-    shared = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = written(keyed.join(written(shared, "shared"), "key").distinct(), "members")
-    parts = member.groupBy("key").agg(F.expr(f"cast(ceil(count(1) / {PART}) as int)").alias("parts"))
-    member = written(member.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "members")
-    a = member.select("key", "part", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("root").alias("a_root"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    b = member.select("key", every, F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("root").alias("b_root"))
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    both = a.join(b, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-    return both.where(similar(rest, F.col("a_n"), F.col("b_n"))).select("a", "b")
+            for ids, lists, sets, digests in _hashed(batch):
+                columns = [ids, digests[:, 0], digests[:, 1], [majority(x) for x in lists]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists([bands_of(s) for s in sets])], names=_names(_MARKS))
+
+    return docs.mapInArrow(run, _MARKS)
+
+
+def families(nodes: DataFrame) -> DataFrame:
+    """family, node: nodes that may be similar stand together in one family."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    # min and max are combined before the shuffle; most keys stand in one set, and their rows go no further.
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
+    kin = keyed.join(written(shared, "shared"), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = links(nodes.select(F.col("node").alias("id"), "fp"))
+    return components(stars.unionByName(kin).distinct()).select(F.col("root").alias("family"), F.col("id").alias("node"))
+
+
+def similar_pairs(sets: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets that are similar; between the two parts of a tile if it has two."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # shingles of one set alone are in no overlap
+    bits = np.zeros((len(sets), (int((count > 1).sum()) + 63) // 64 * 8), dtype=np.uint8)
+    for row, own in zip(bits, np.split(inverse, np.cumsum(size)[:-1]), strict=True):
+        at = column[own[count[own] > 1]]
+        np.bitwise_or.at(row, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    words, two, found = bits.view(np.uint64), part.min() != part.max(), []
+    for i in range(len(sets) - 1):
+        other = np.arange(i + 1, len(sets))
+        if two:
+            other = other[part[other] != part[i]]
+        other = other[similar(np.minimum(size[other], size[i]), size[other], size[i])]
+        overlap = np.bitwise_count(words[i] & words[other]).sum(axis=1, dtype=np.int64)
+        other = other[similar(overlap, size[other], size[i])]
+        found.append((np.full(len(other), i), other))
+    return tuple(np.concatenate([f[j] for f in found]) if found else np.empty(0, dtype=np.int64) for j in (0, 1))
+
+
+def verified(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b (a < b): edges between ids of documents that connect the similar nodes of each family."""
+    parts = rows.groupBy("family").agg(F.expr(f"cast(ceil(count(1) / {PART}) as int)").alias("parts"))
+    wanted = written(nodes.join(rows.select("node"), "node", "left_semi").select("node", "check", F.col("id").alias("doc_id")), "wanted")
+    # Ids may repeat with other texts, and rows as they are: digests choose, and equal sets are combined before the shuffle.
+    sets = sets_of(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).join(wanted.select("node", "check"), ["node", "check"], "left_semi")
+    sets = written(sets.groupBy("node", "check").agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams")), "sets")
+    member = rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = member.select("family", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    shipped = dealt.join(sets.select("node", "id", "grams"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        ids, part = table.column("id").to_numpy()[order], table.column("part").to_numpy()[order]
+        grams = [x.values.to_numpy() for x in table.column("grams").combine_chunks().take(pa.array(order))]
+        root = joined(len(ids), *similar_pairs(grams, part))
+        other = np.flatnonzero(ids[root] != ids)
+        return pa.table([pa.array(ids[root[other]]), pa.array(ids[other])], names=["a", "b"])
+
+    tiles = shipped.groupBy("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return tiles.applyInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over pairs at 0.8 or more)."""
-    marked = written(marks(docs, id_col, text_col), "marks")
-    known = marked.where("doc_id IS NOT NULL")
-    nodes = written(known.groupBy("node", "check").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "nodes")
-    tight = verified(links(nodes.select(F.col("node").alias("id"), "fp")), known)
-    loose = verified(prefix_pairs(known, components(tight)), known)
-    ids = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")]
-    roots = components(tight.select(*ids).unionByName(loose.select(*ids)).where("a <> b").distinct())
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = written(marks(docs), "marks")
+    nodes = marked.where("doc_id IS NOT NULL").groupBy("node", "check").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "bands")])
+    nodes = written(nodes, "nodes")
+    roots = components(verified(families(nodes), docs, nodes))
     named = written(nodes.join(roots, "id", "left").select("node", "check", F.coalesce("root", "id").alias("component_id")), "roots")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return marked.select("doc_id", "node", "check").join(named, ["node", "check"], "left").select("doc_id", component.alias("component_id"))
