@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost (seconds a document) and selectivity (share rejected) are measured on a bounded sample, rules are
-ordered by rejection per cost, and a document meets a rule only if the ones before it let it pass. The order changes
-what a run costs, never which documents stay.
+ordered by rejection per cost, and a document meets a rule only if the ones before it let it pass. Both are measured as the
+run will meet them: on documents that the base rule has passed, with the base counts already there. The order changes what a
+run costs, never which documents stay.
 
-Edge cases: a null text has no words; documents of fewer than 20 words fail the base rule; repeated rows are judged
-each; an empty table gives no rows (and rules in the order given); further columns are ignored.
+Edge cases: a null text has no words; documents of fewer than 20 words fail the base rule; a very long text is read piece by
+piece and its words are known by hashes of 8 bytes, so that no list of its words is held; repeated rows are judged each; an
+empty table gives no rows (and rules in the order given); further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_kernels import _join, gram_hashes, word_hashes, word_spans
+from .text_kernels import _join, gram_hashes, long_hashes, pieces, word_hashes, word_spans
 
 #: Rows, on average, of the sample that costs and selectivities come from.
 SAMPLE_ROWS = 2000
@@ -31,6 +33,8 @@ SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 #: Texts are hashed in groups of about so many bytes.
 GROUP_BYTES = 4 << 20
+#: Characters beyond which a text is long.
+PIECE = 1 << 20
 
 
 class Text:
@@ -38,12 +42,29 @@ class Text:
 
     def __init__(self, text: str):
         self.text = text
-        self.raw = text.encode().split()
-        self.n = len(self.raw)
 
     @cached_property
-    def words(self) -> list[str]:
-        return [w.decode() for w in self.raw]
+    def raw(self) -> list[bytes] | None:
+        """The words between ASCII white space; none are held of a long text."""
+        return self.text.encode().split() if len(self.text) <= PIECE else None
+
+    def words(self) -> Iterator[str]:
+        for part in [self.raw] if self.raw is not None else map(bytes.split, pieces(self.text.encode())):
+            yield from map(bytes.decode, part)
+
+    @cached_property
+    def counts(self) -> tuple[int, int, int]:
+        """Words, different words, and occurrences of the most frequent one."""
+        if self.raw is not None:
+            found = Counter(self.raw)
+            return len(self.raw), len(found), max(found.values(), default=0)
+        hashes = long_hashes(self.text.encode())
+        each = np.unique(hashes, return_counts=True)[1]
+        return len(hashes), len(each), int(each.max(initial=0))
+
+    @property
+    def n(self) -> int:
+        return len(self.raw) if self.raw is not None else self.counts[0]
 
     @cached_property
     def word_chars(self) -> int:
@@ -54,12 +75,27 @@ class Text:
         return sum(map(self.text.count, SYMBOLS))
 
     @cached_property
-    def lines(self) -> list[str]:
-        return [x for x in self.text.split("\n") if x.strip(_SPACES)]
-
-    @cached_property
+    def _lines(self) -> tuple[int, int]:
+        """Lines with a word, and how many of them are different."""
+        n, seen = 0, set()
+        for line in self.text.split("\n"):
+            if line.strip(_SPACES):
+                n += 1
+                seen.add(line)
+        return n, len(seen)
+
+    @property
+    def n_lines(self) -> int:
+        return self._lines[0]
+
+    @property
     def n_dup_lines(self) -> int:
-        return len(self.lines) - len(set(self.lines))
+        return self._lines[0] - self._lines[1]
+
+    def base(self) -> "Text":
+        """Itself, with the counts that every row gets."""
+        self.n, self.word_chars, self.n_symbols, self._lines  # noqa: B018
+        return self
 
 
 #: A rule rejects a text for which it is true. Whole numbers only, so that SQL gives the same verdicts.
@@ -67,11 +103,11 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "word_length": lambda t: t.word_chars > 15 * t.n or t.word_chars < 2 * t.n,
     "symbols": lambda t: 10 * t.n_symbols > t.n,
     "exclamations": lambda t: 10 * t.text.count("!") > 3 * t.n,
-    "repeated_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
-    "capitals": lambda t: 2 * sum(w.isupper() for w in t.words) > t.n,
-    "few_letters": lambda t: 10 * sum(any(map(str.isalpha, w)) for w in t.words) < 7 * t.n,
-    "few_distinct": lambda t: 10 * len(set(t.raw)) < t.n,
-    "frequent_word": lambda t: 10 * max(Counter(t.raw).values(), default=0) > 3 * t.n,
+    "repeated_lines": lambda t: 2 * t.n_dup_lines > t.n_lines,
+    "capitals": lambda t: 2 * sum(map(str.isupper, t.words())) > t.n,
+    "few_letters": lambda t: 10 * sum(any(map(str.isalpha, w)) for w in t.words()) < 7 * t.n,
+    "few_distinct": lambda t: 10 * t.counts[1] < t.n,
+    "frequent_word": lambda t: 10 * t.counts[2] > 3 * t.n,
 }
 
 
@@ -83,28 +119,54 @@ class Measured:
 
 
 def measure(docs: DataFrame, rules: dict[str, Callable] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Measured]:
-    """Seconds a text and share rejected of each rule, each on texts of its own so that none profits from another."""
+    """Seconds a text and share rejected of each rule, on the sample's texts that pass the base rule.
+
+    A text has its base counts before a rule is timed, and each rule a text of its own, so that none profits from another.
+    """
     names = list(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hit, seen = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen += 1
-                for name in names:
-                    fresh = Text(text or "")
-                    began = time.perf_counter()
-                    hit[name] += rules[name](fresh)
-                    spent[name] += time.perf_counter() - began
+            for group, repeats in _groups([x or "" for x in batch.column(0).to_pylist()]):
+                for text, repeated in zip(group, repeats, strict=True):
+                    if base_failed(Text(text), repeated):
+                        continue
+                    seen += 1
+                    for name in names:
+                        own = Text(text).base()
+                        began = time.perf_counter()
+                        hit[name] += rules[name](own)
+                        spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"name": names, "seconds": [spent[n] for n in names], "hits": [hit[n] for n in names], "seen": [seen] * len(names)})
 
-    share = min(1.0, sample_rows / max(1, docs.count()))
+    share = min(1.0, sample_rows / max(1, docs.count()))  # a count that reads no text
     sample = docs.select(text_col).sample(share, seed)  # drawn where the rows lie; about sample_rows of them
     rows = sample.mapInArrow(run, "name string, seconds double, hits long, seen long").groupBy("name").agg(*[F.sum(c).alias(c) for c in ("seconds", "hits", "seen")]).collect()
     by_name = {r["name"]: r for r in rows if r["seen"]}
     return [Measured(n, by_name[n]["seconds"] / by_name[n]["seen"], by_name[n]["hits"] / by_name[n]["seen"]) if n in by_name else Measured(n, 0.0, 0.0) for n in names]
 
 
+def base_failed(text: Text, repeats: int) -> bool:
+    return text.n < MIN_WORDS or 100 * repeats > MAX_REPEATS * text.n
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in groups of about GROUP_BYTES, with their words in repeated windows; a long text is a group of its own."""
+    group, size = [], 0
+    for text in texts:
+        if len(text) > PIECE:
+            yield [text], [long_repeat_words(text.encode())]
+            continue
+        group.append(text)
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield group, repeat_words([x.encode() for x in group]).tolist()
+            group, size = [], 0
+    if group:
+        yield group, repeat_words([x.encode() for x in group]).tolist()
+
+
 def ordered(measured: list[Measured]) -> list[str]:
     """Rule names by rejection per cost, best first; rules that rejected none of the sample by cost."""
     return [m.name for m in sorted(measured, key=lambda m: (-m.rejected / max(m.seconds, 1e-9), m.seconds))]
@@ -127,30 +189,47 @@ def repeat_words(texts: list[bytes], window: int = WINDOW) -> np.ndarray:
     return covered[bounds[1:]] - covered[bounds[:-1]]
 
 
+def long_repeat_words(data: bytes, window: int = WINDOW, slices: int = 8) -> int:
+    """The same for one long text: windows are told apart slice by slice of their hashes."""
+    grams = gram_hashes(long_hashes(data), window)
+    again = np.zeros(len(grams) + window, dtype=bool)
+    for i in range(slices):
+        at = np.flatnonzero(grams % np.uint64(slices) == np.uint64(i))
+        _, inverse, count = np.unique(grams[at], return_inverse=True, return_counts=True)
+        again[at[count[inverse] > 1]] = True
+    covered = np.zeros(len(grams) + window - 1, dtype=bool) if len(grams) else np.zeros(0, dtype=bool)
+    for j in range(window):
+        covered[j : j + len(grams)] |= again[: len(grams)]
+    return int(covered.sum())
+
+
+_COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+
+
 def cascade(docs: DataFrame, order: list[str], rules: dict[str, Callable] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the base counts, base_failed, and kept (false if a rule of the order rejects it)."""
     run_rules = [rules[n] for n in order]
 
+    def judged(text: str, repeats: int) -> tuple:
+        t = Text(text).base()
+        failed = base_failed(t, repeats)
+        return t.n, t.word_chars, t.n_symbols, t.n_dup_lines, repeats, failed, not failed and not any(rule(t) for rule in run_rules)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= GROUP_BYTES):
-                    size += len(texts[j])
-                    j += 1
-                group = [Text(x) for x in texts[i:j]]
-                repeats = repeat_words([x.encode() for x in texts[i:j]]).tolist()
-                failed = [t.n < MIN_WORDS or 100 * r > MAX_REPEATS * t.n for t, r in zip(group, repeats, strict=True)]
-                kept = [not f and not any(rule(t) for rule in run_rules) for t, f in zip(group, failed, strict=True)]
-                columns = [[t.n for t in group], [t.word_chars for t in group], [t.n_symbols for t in group], [t.n_dup_lines for t in group], repeats]
-                arrays = [ids.slice(i, j - i), *[pa.array(x, pa.int64()) for x in columns], pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
-                i = j
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            # Long texts are groups of their own, so rows are put back into the order of their ids.
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            places = [i for i, x in enumerate(texts) if len(x) > PIECE], [i for i, x in enumerate(texts) if len(x) <= PIECE]
+            for at in places:
+                done = 0
+                for group, repeats in _groups([texts[i] for i in at]):
+                    rows = [judged(text, n) for text, n in zip(group, repeats, strict=True)]
+                    ids = batch.column(0).take(pa.array(at[done : done + len(group)], pa.int64()))
+                    done += len(group)
+                    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _COLUMNS.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _COLUMNS)
 
 
 def quality_filter(docs: DataFrame, rules: dict[str, Callable] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
