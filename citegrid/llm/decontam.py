@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 from math import ceil, floor, log
 
 import numpy as np
@@ -53,16 +54,20 @@ GROUP_WORDS, GROUP_ROWS, PIECE = 1 << 18, 2048, 1 << 20
 _WORDS, _GAP = re.compile(r"\w+").findall, re.compile(r"\s").search
 
 
-def words_of(text: str | None) -> Iterator[str]:
+def word_lists(text: str | None) -> Iterator[list[str]]:
     """Lower-case words, piece by piece of a long text, cut at white space."""
     text, at = text or "", 0
     while at < len(text):
         gap = _GAP(text, at + PIECE) if at + PIECE < len(text) else None
         end = gap.start() if gap else len(text)
-        yield from _WORDS(text[at:end].lower())
+        yield _WORDS(text[at:end].lower())
         at = end
 
 
+def words_of(text: str | None) -> list[str]:
+    return list(chain.from_iterable(word_lists(text)))
+
+
 def allowed(n: int) -> int:
     """Word edits within which an item of n words matches."""
     return floor((1 - SIMILARITY) * n + 1e-9)
@@ -123,7 +128,7 @@ class Items:
     """A block of items: word numbers, the runs that a match must keep, and the LSH tables by size."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        lists = [(i, list(words_of(t))) for i, t in rows]
+        lists = [(i, words_of(t)) for i, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in lists for w in ws}), 1)}
         self.items = [(i, np.array([self.vocabulary[w] for w in ws], dtype=np.int64)) for i, ws in lists if ws]
         self.length = np.array([len(a) for _, a in self.items], dtype=np.int64)
@@ -274,7 +279,7 @@ _BUILT: dict = {}
 
 def _numbered(items: Items, text: str | None) -> np.ndarray:
     number = items.vocabulary.get
-    return np.fromiter((number(w, 0) for w in words_of(text)), dtype=np.int64)
+    return np.concatenate([np.empty(0, dtype=np.int64), *[np.array(list(map(number, words, repeat(0))), dtype=np.int64) for words in word_lists(text)]])
 
 
 def _found(items: Items, texts: list[str | None]) -> Iterator[tuple]:

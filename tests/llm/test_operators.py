@@ -1,6 +1,7 @@
 """The corpus operators against brute force, SQL twins and round trips, and on odd input."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -250,12 +251,37 @@ def auc(rows):
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
-    rows = toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").collect()
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [(r.score, r.toxic) for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert auc(held) > 0.9
     hits = [y for s, y in held if s >= 0.5]
-    assert np.mean(hits) > 0.9 and sum(hits) > 0.6 * sum(y for _, y in held)
+    assert np.mean(hits) > 0.95 and sum(hits) > 0.85 * sum(y for _, y in held)
+    found, there = Counter(), Counter()
+    for r in rows:
+        if r.held_out and r.toxic:
+            there[r.lang] += 1
+            found[r.lang] += r.predicted
+    assert all(found[lang] >= 0.8 * n for lang, n in there.items()), (found, there)
+
+
+def test_toxicity_needs_two_rows_of_each_class(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "you idiot" if i == ids[0] else "a fine day") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in range(40)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="share of class 1"):
+        scores = {r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert scores == {1 / len(ids)}
+
+
+def test_features_are_what_they_say():
+    codes = toxicity._Codes(frozenset({"grim"}), frozenset({"foul"}))
+    out = dict(zip(toxicity.NAMES, toxicity.features_of("You ID1OT, that grim foulness is LOUD! now b4d, ok", codes)))
+    n = 10
+    assert (out["insults"], out["terms"], out["stems"], out["second_person"], out["near_second_person"]) == (1 / n, 1 / n, 1 / n, 1 / n, 3 / n)
+    assert (out["capitals"], out["loud"], out["obfuscation"], out["punctuation"]) == (2 / n, 1 / n, 2 / n, 3 / n)
+    assert toxicity.features_of(" \n ", codes) == [0.0] * len(toxicity.NAMES)
 
 
 def test_toxicity_odd(spark, odd, empty):
@@ -478,6 +504,40 @@ def test_permutation(spark, n):
     assert n < 17 or out != list(range(n))
 
 
+def plain_place(spark, number, n, seed=42):
+    """The permutation by its definition: rounds of a Feistel network on pairs, walked on until the place is below n."""
+    from pyspark.sql import functions as F
+
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+
+    def round_hash(x, i):
+        if (x, i) not in hashes:
+            row = spark.range(1).select(F.expr(f"xxhash64({x}L, {i}, {seed}L)").alias("h")).first()
+            hashes[x, i] = row.h
+        return hashes[x, i]
+
+    hashes, place = {}, number
+    while True:
+        left, right = divmod(place, b)
+        for i in range(sharding.ROUNDS):
+            if i % 2:
+                right = (right + round_hash(left, i) % b) % b
+            else:
+                left = (left + round_hash(right, i) % a) % a
+        place = left * b + right
+        if place < n:
+            return place
+
+
+def test_permutation_is_a_walked_feistel_network(spark):
+    from pyspark.sql import functions as F
+
+    for n in (7, 11):
+        got = [r.p for r in spark.range(n).select(F.expr(sharding.permuted("id", n)).alias("p")).collect()]
+        assert got[:4] == [plain_place(spark, i, n) for i in range(4)]
+
+
 def test_sharding(spark, sf_dir, docs, odd, empty):
     for source, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [(r[0], r[1]) for r in ODD])):
         out = sharding.shard_rows(source).collect()
@@ -504,6 +564,31 @@ def test_quality_odd(spark, odd, empty):
     assert quality.quality_filter(empty).count() == 0
 
 
+def test_quality_of_long_texts(spark, docs, monkeypatch):
+    """With the limit lowered, texts go the way of long ones, and nothing changes."""
+    from citegrid.llm import text_kernels
+
+    order = list(quality.RULES)
+    whole = sorted(map(tuple, quality.cascade(docs, order).collect()))
+    texts = [r.text or "" for r in docs.limit(60).collect()] + ["", "x", "a b " * 40]
+    monkeypatch.setattr(text_kernels, "PIECE", 200)
+    for text in texts:
+        t, plain = quality.Text(text), (text.encode().split())
+        monkeypatch.setattr(quality, "PIECE", 100)
+        assert (t.n, t.counts[1], t.counts[2]) == (len(plain), len(set(plain)), max(Counter(plain).values(), default=0))
+        assert [w.encode() for w in t.words()] == plain
+        assert quality.long_repeat_words(text.encode()) == int(quality.repeat_words([text.encode()])[0])
+        monkeypatch.setattr(quality, "PIECE", 1 << 20)
+    assert len(whole) == docs.count()
+
+
+def test_rules_are_measured_on_what_passes_the_base(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, good if i % 2 else "too short", "en", "s", 1) for i in range(100)]
+    out = {m.name: m for m in quality.measure(spark.createDataFrame(rows, SCHEMA), {"short": lambda t: t.n < 30, "all": lambda t: True})}
+    assert out["short"].rejected == 0 and out["all"].rejected == 1
+
+
 def test_cascade_order(odd):
     measured = [quality.Measured("slow", 1.0, 0.5), quality.Measured("fast", 0.1, 0.5), quality.Measured("idle", 0.1, 0.0)]
     assert quality.ordered(measured) == ["fast", "slow", "idle"]
