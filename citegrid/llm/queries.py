@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, packing, quality, sharding, simhash, substring, toxicity, url_filter, warc
+from . import bpe, decontam, line_dedup, packing, periodic, quality, sharding, simhash, substring, toxicity, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -52,9 +52,22 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = (
     op1_harmonic_packing, op2_decontamination, op3_toxicity, op4_substring_dedup, op5_line_dedup,
     op6_url_filter, op7_simhash, op8_warc, op9_feistel_sharding, op10_quality_cascade,
+    op11_vector_codes, op12_periodic_runs, op13_bpe_round_trip,
 )
 
 
