@@ -6,8 +6,8 @@ are packed in one long; over all blocks they add up to the distance as a whole).
 reference differ by at most the bits in which x and y differ there, and these add up to MAX_BITS at most over the blocks.
 So a linked pair has all coordinates equal in all but MAX_BITS of the blocks: the cells of the table for each choice of
 (blocks - MAX_BITS) blocks bring candidates together, and no pair of other cells is looked at. Of the candidates, those with
-a coordinate difference above MAX_BITS (distances as a whole to the first two references, from the table) are discarded, and
-the Hamming distance verifies the rest. One distance as a whole is no key by itself: random fingerprints have |d(x, r) -
+a difference above MAX_BITS in any of the eight distances as a whole (from the table too) are discarded, and the Hamming
+distance verifies the rest. One distance as a whole is no key by itself: random fingerprints have |d(x, r) -
 d(y, r)| <= 4 in 57 of 100 cases, so that sixteen references would still leave one chance pair of 8,000, of a square.
 The number of blocks grows with the number of fingerprints, so that chance candidates stay below their number.
 
@@ -102,9 +102,10 @@ def coordinates(fp: Column, mask: Column) -> Column:
 
 
 def pivot_table(nodes: DataFrame, blocks: int) -> DataFrame:
-    """id, fp, near, far (distances to two references), c0, c1, ...: the coordinates by block."""
-    whole = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("byte").alias(n) for r, n in zip(REFERENCES, ("near", "far"), strict=False)]
-    return nodes.select("id", "fp", *whole, *[coordinates(F.col("fp"), F.lit(m)).alias(f"c{i}") for i, m in enumerate(cut_bits(list(range(64)), blocks))])
+    """id, fp, dist (the distances to the references, a byte each), c0, c1, ...: the coordinates by block."""
+    away = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("long") for r in REFERENCES]
+    dist = reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * i) for i, d in enumerate(away)])
+    return nodes.select("id", "fp", dist.alias("dist"), *[coordinates(F.col("fp"), F.lit(m)).alias(f"c{i}") for i, m in enumerate(cut_bits(list(range(64)), blocks))])
 
 
 def split_again(large: DataFrame, blocks: int, max_bits: int) -> DataFrame:
@@ -120,18 +121,27 @@ def split_again(large: DataFrame, blocks: int, max_bits: int) -> DataFrame:
     return large.join(plan, "choice").withColumn("cell", inside).drop("again", "masks")
 
 
-def tiles(rows: DataFrame, key: list[str], node: str, tile: int, payload: list[str]) -> DataFrame:
-    """Members of each key (of two or more) in tiles: one row a tile, m: array<struct<payload..., part>>.
+def sizes_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The written sizes n of the keys with two members or more; counted with map-side combine."""
+    return written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
 
-    A key's members are dealt into parts of about `tile`; a tile is two parts, or one with itself. The sizes are counted
-    with map-side combine and written; what Spark knows to be small it broadcasts, so that lone members are not shuffled twice.
+
+def dealt(rows: DataFrame, sizes: DataFrame, key: list[str], node: str, tile: int, payload: list[str]) -> DataFrame:
+    """Members of the keys in sizes, each once for every tile of its key that it belongs to (p, q: the tile, part: its own).
+
+    A key's members are dealt into parts of about `tile`; a tile is two parts, or one with itself. What Spark knows to be
+    small it broadcasts, so that lone members are not shuffled.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes.withColumn("parts", F.expr(f"cast(ceil(n / {tile}) as int)")).drop("n"), "keys")
-    member = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
-    dealt = member.select(*key, *payload, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    grouped = dealt.groupBy(*key, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    return grouped.agg(F.collect_list(F.struct(*payload, "part")).alias("m")).where("size(m) > 1").select("m")
+    parts = sizes.withColumn("parts", F.expr(f"cast(ceil(n / {tile}) as int)")).drop("n")
+    member = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    return member.select(*key, *payload, "part", other).select(*key, *payload, "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+
+
+def gathered(members: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
+    """One row a tile: m, an array of struct<payload..., part>."""
+    tiles = members.groupBy(*key, "p", "q").agg(F.collect_list(F.struct(*payload, "part")).alias("m"))
+    return tiles.where("size(m) > 1").select("m")
 
 
 def tile_columns(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
@@ -155,18 +165,26 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def linked_groups(ids: np.ndarray, fps: np.ndarray, near: np.ndarray, far: np.ndarray, part: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """(smallest id, other id) for the groups connected by links; between the two parts of a tile if it has two."""
+def linked_groups(ids: np.ndarray, fps: np.ndarray, dist: np.ndarray, part: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """(smallest id, other id) for the groups connected by links; between the two parts of a tile if it has two.
+
+    A pair is discarded if it differs by more than max_bits in its distance to any reference; two references look at all
+    pairs, the others at what these leave.
+    """
     order = np.argsort(ids)
-    ids, fps, near, far, part = ids[order], fps[order].view(np.uint64), near[order], far[order], part[order]
+    ids, fps, part = ids[order], fps[order].view(np.uint64), part[order]
+    away = np.ascontiguousarray(dist[order]).view(np.int8).reshape(-1, 8)
+    first, second = np.ascontiguousarray(away[:, 0]), np.ascontiguousarray(away[:, 1])
     two, found = part.min() != part.max(), []
     for i in range(0, len(fps), 256):
         rows = slice(i, min(i + 256, len(fps)))
-        keep = (np.abs(near[rows, None] - near[None, i:]) <= max_bits) & (np.abs(far[rows, None] - far[None, i:]) <= max_bits)
+        keep = (np.abs(first[rows, None] - first[None, i:]) <= max_bits) & (np.abs(second[rows, None] - second[None, i:]) <= max_bits)
         a, b = np.nonzero(keep)
         a, b = a + i, b + i
         keep = (a < b) & ((part[a] != part[b]) | (not two))
         a, b = a[keep], b[keep]
+        keep = (np.abs(away[a, 2:] - away[b, 2:]) <= max_bits).all(axis=1)
+        a, b = a[keep], b[keep]
         keep = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
         found.append(np.stack([a[keep], b[keep]]))
     a, b = np.concatenate(found, axis=1)
@@ -176,28 +194,32 @@ def linked_groups(ids: np.ndarray, fps: np.ndarray, near: np.ndarray, far: np.nd
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a, b (a < b): edges between the ids of nodes (id, fp) that connect all linked fingerprints."""
+    """a, b (a < b): edges between the ids of nodes (id, fp) that connect all linked fingerprints.
+
+    Cells are counted once; only what shares a cell is joined and shuffled again, and only too large cells are parted anew.
+    """
     blocks = block_count(nodes.count(), max_bits)
     table = written(pivot_table(nodes, blocks), "pivots")
     picks = combinations(range(blocks), blocks - max_bits)
     cells = F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), *[f"c{j}" for j in pick]).alias("cell")) for i, pick in enumerate(picks)])
-    payload = ["id", "fp", "near", "far"]
+    key, payload = ["choice", "cell"], ["id", "fp", "dist"]
     keyed = table.select(*payload, F.explode(cells).alias("k")).select(*payload, "k.choice", "k.cell")
-    large = keyed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).drop("n")
-    large = written(large, "large")
+    sizes = sizes_of(keyed, key)
+    members = dealt(keyed, sizes.where(F.col("n") <= TILE), key, "fp", TILE, payload)
+    large = sizes.where(F.col("n") > TILE)
     if not large.isEmpty():
-        hot = keyed.join(large, ["choice", "cell"])
-        keyed = keyed.join(large, ["choice", "cell"], "left_anti").unionByName(split_again(hot, blocks, max_bits))
+        again = written(split_again(keyed.join(large.drop("n"), key), blocks, max_bits), "again")
+        members = members.unionByName(dealt(again, sizes_of(again, key), key, "fp", TILE, payload))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
-            for ids, fps, near, far, part in tile_columns(batch):
-                found.update(linked_groups(ids, fps, near, far, part, max_bits))
+            for ids, fps, dist, part in tile_columns(batch):
+                found.update(linked_groups(ids, fps, dist, part, max_bits))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tiles(keyed, ["choice", "cell"], "fp", TILE, payload).mapInArrow(run, "a long, b long").distinct()
+    return gathered(members, key, payload).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

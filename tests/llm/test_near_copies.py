@@ -59,11 +59,41 @@ def test_pairs_share_a_key():
     for _ in range(1500):
         base = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
         a, b = base[:81], base[9:]  # 72 of 90
-        near += bool(set(near_copies.bands_of(a).tolist()) & set(near_copies.bands_of(b).tolist()))
-        far += bool(set(near_copies.bands_of(base[:54]).tolist()) & set(near_copies.bands_of(base[36:]).tolist()))  # 18 of 90
+        near += shares_key(a, b)
+        far += shares_key(base[:54], base[36:])  # 18 of 90
     assert near == 1500 and far < 15
 
 
+def shares_key(a, b):
+    keys = [set(near_copies.bands_of(near_copies.minima(x)).tolist()) for x in (a, b)]
+    return not keys[0].isdisjoint(keys[1])
+
+
+def test_sketches_tell_alike_from_unlike():
+    """At 0.8 nearly all pairs of sketches pass, at 0.42 none."""
+    rng = np.random.default_rng(5)
+    near = far = 0
+    for _ in range(1500):
+        base = rng.integers(0, 1 << 63, 355, dtype=np.uint64)
+        for a, b, close in ((base[:320], base[35:], True), (base[:250], base[105:], False)):  # 285 of 355, 145 of 355
+            pair = np.frombuffer(b"".join(near_copies.sketch_of(near_copies.minima(x)) for x in (a, b)), dtype=np.uint64).reshape(2, -1)
+            passed = int(near_copies.alike(pair, np.array([0]), np.array([1]))[0])
+            near, far = near + close * passed, far + (not close) * passed
+    assert near >= 1495 and far == 0
+
+
+def test_shared_text_ships_nothing(spark):
+    """4,000 texts that share 150 of 250 words (Jaccard 0.42): common keys, but no family."""
+    rng = random.Random(6)
+    shared = " ".join(f"s{i}" for i in range(150))
+    texts = [f"{shared} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(100)) for _ in range(4000)]
+    marked = near_copies.marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    nodes = marked.selectExpr("doc_id as id", "doc_id as comp", "bands", "sketch").cache()
+    # Where all minima of a key lie in the shared words, the texts have it in common.
+    assert nodes.selectExpr("explode(bands) as key").groupBy("key").count().where("count > 20").count() > 20
+    assert near_copies.families(nodes).count() == 0
+
+
 def kept_by_stage(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
     return sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect())
