@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .text_kernels import pieces
+from .url_filter import BROADCAST_BLOCKS, bloom_blocks, possible
 
 #: Words of a shingle, bits that linked fingerprints may differ in, members of a key in one part of a tile.
 SHINGLE, MAX_BITS, TILE = 4, 4, 1024
@@ -129,9 +130,13 @@ def sizes_of(rows: DataFrame, key: list[str]) -> DataFrame:
 def dealt(rows: DataFrame, sizes: DataFrame, key: list[str], node: str, tile: int, payload: list[str]) -> DataFrame:
     """Members of the keys in sizes, each once for every tile of its key that it belongs to (p, q: the tile, part: its own).
 
-    A key's members are dealt into parts of about `tile`; a tile is two parts, or one with itself. What Spark knows to be
-    small it broadcasts, so that lone members are not shuffled.
+    A key's members are dealt into parts of about `tile`; a tile is two parts, or one with itself. Most rows' keys are not in
+    sizes: a Bloom filter of those that are, broadcast up to a bounded size, takes the others out before the join shuffles.
     """
+    blooms, blocks = bloom_blocks(sizes.select(F.xxhash64(*key).alias("key")), sizes.count())
+    if blocks <= BROADCAST_BLOCKS:
+        probes = rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(*key).alias("key"))
+        rows = possible(probes, blooms, blocks).select("row.*")
     parts = sizes.withColumn("parts", F.expr(f"cast(ceil(n / {tile}) as int)")).drop("n")
     member = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
