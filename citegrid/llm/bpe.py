@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from .text_kernels import pieces
 
 #: Chunks whose ids a worker keeps, rows and bytes handed on at once, symbols of a word whose tree has a row of a matrix.
-CACHED, GROUP_ROWS, GROUP_BYTES, SHORT = 300_000, 2048, 4 << 20, 65
+CACHED, GROUP_ROWS, GROUP_BYTES, SHORT = 250_000, 1024, 1 << 19, 65
 _NONE = 1 << 62
-_MODELS: dict[str, Model] = {}
+_MODELS: dict[tuple[str, type], Tokens] = {}
 
 
 class Pairs:
@@ -150,31 +150,48 @@ def merged_words(words: list[list[int]], pairs: Pairs) -> list[bytes]:
     return out
 
 
-class Model:
-    """The vocabulary, merges and text rules of one tokenizers file."""
+class Tokens:
+    """The token of each id of a tokenizers file: all that decoding needs."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self.read(path)
 
+    def read(self, path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        model, rules = file["model"], Tokenizer.from_file(path)
+        self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.tokens = {i: t for t, i in [*file["model"]["vocab"].items(), *self.added.items()]}
+        return file
+
+    def decode(self, rows: list[bytes | None]) -> list[str | None]:
+        """The text of each row of packed ids."""
+        token = self.tokens.get
+        return [None if ids is None else " ".join(filter(None, map(token, array("I", ids)))) for ids in rows]
+
+
+class Model(Tokens):
+    """The vocabulary, merges and text rules of one tokenizers file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        model, rules = self.read(path)["model"], Tokenizer.from_file(path)
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
-        added = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.tokens = {i: t for t, i in [*self.vocab.items(), *added.items()]}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pairs = Pairs([(self.vocab[a], self.vocab[b]) for a, b in merges], [self.vocab[a + b] for a, b in merges], 1 + max(self.tokens, default=0))
-        self.added = {t.encode(): array("I", [i]).tobytes() for t, i in added.items()}
-        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")").split if added else None
+        self.packed = {t.encode(): array("I", [i]).tobytes() for t, i in self.added.items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.packed, key=len, reverse=True))) + b")").split if self.packed else None
         self.normalize = rules.normalizer.normalize_str if rules.normalizer else str
         self.words = rules.pre_tokenizer.pre_tokenize_str if rules.pre_tokenizer else lambda x: [(w, None) for w in x.split()]
         if [w for w, _ in self.words(self.normalize("ab \n cd"))] != [w for x in ("ab", "cd") for w, _ in self.words(x)]:
             raise ValueError("only for tokenizers that drop white space: chunks between it are encoded one by one")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = dict(self.packed)
+        self.older: dict[bytes, bytes] = {}
 
     def _symbols(self, word: str) -> list[int]:
-        symbols = [self.vocab.get(c) for c in (*word[:-1], word[-1:] + self.end)]
-        return [s for s in symbols if s is not None]  # as a model without an unknown token does
+        symbols = list(map(self.vocab.get, word[:-1]))
+        symbols.append(self.vocab.get(word[-1:] + self.end))
+        return symbols if None not in symbols else [s for s in symbols if s is not None]  # as a model without an unknown token does
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that are not known: normalized in one call, and split into words in one call but for those with a space."""
@@ -196,23 +213,24 @@ class Model:
 
     def _flush(self, units: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
         """Encode the chunks of units (text, its chunks or one added token) and append them to their texts."""
-        met = set().union(*[chunks for _, chunks in units])
-        if len(self.known) > CACHED:
-            self.known = {c: self.known[c] for c in met if c in self.known}
-        self._learn(list(met.difference(self.known)))
+        met = set().union(self.packed, *[chunks for _, chunks in units])  # an added token is a chunk of its own
+        if len(self.known) > CACHED // 2:
+            self.older, self.known = self.known, {}  # what is met again comes back
+        missing = met.difference(self.known)
+        self.known |= {c: self.older[c] for c in missing & self.older.keys()}
+        self._learn(list(missing.difference(self.older)))
         for text, chunks in units:
             out[text].append(b"".join(map(self.known.__getitem__, chunks)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[list[bytes]] = [[] for _ in texts]
-        self.known |= self.added  # the file's added tokens hold no white space, so they are chunks of their own
         units, held = [], 0
         for i, text in enumerate(texts):
             data = text.encode()
             for part in self.cut(data) if self.cut else (data,):
                 for piece in pieces(part):
-                    units.append((i, [piece] if piece in self.added else piece.split()))
+                    units.append((i, [piece] if piece in self.packed else piece.split()))
                     held += len(piece)
                     if held > GROUP_BYTES:
                         self._flush(units, out)
@@ -220,17 +238,12 @@ class Model:
         self._flush(units, out)
         return [b"".join(x) for x in out]
 
-    def decode(self, rows: list[bytes | None]) -> list[str | None]:
-        """The text of each row of packed ids."""
-        token = self.tokens.get
-        return [None if ids is None else " ".join(filter(None, map(token, array("I", ids)))) for ids in rows]
-
 
-def model(path: str) -> Model:
-    """One model a worker and file."""
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+def loaded(path: str, kind: type[Tokens]) -> Tokens:
+    """One model of a kind a worker and file."""
+    if (path, kind) not in _MODELS:
+        _MODELS[path, kind] = kind(path)
+    return _MODELS[path, kind]
 
 
 def _mapped(rows: DataFrame, col: str, out: str, kind: T.DataType, path: str, apply: str) -> DataFrame:
@@ -239,7 +252,7 @@ def _mapped(rows: DataFrame, col: str, out: str, kind: T.DataType, path: str, ap
     names, arrow = [f.name for f in kept], pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        convert, empty = getattr(model(path), apply), "" if apply == "encode" else None
+        convert, empty = (loaded(path, Model).encode, "") if apply == "encode" else (loaded(path, Tokens).decode, None)
         for whole in batches:
             at = 0
             while at < whole.num_rows:
