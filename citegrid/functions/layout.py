@@ -69,8 +69,11 @@ def heading_confidence(size: Column, median: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(0.7) + F.greatest(size - median, F.lit(0.0)) / 20)
 
 
-def is_caption(text: Column) -> Column:
-    return collapse(text).rlike(CAPTION)
+def is_caption(text: Column, kind: str | None = None) -> Column:
+    """Whether a block is a caption: a figure's, a table's, or either (no kind)."""
+    low = collapse(text)
+    named = {"figure": "(?i)^fig", "table": "(?i)^table", None: ""}[kind]
+    return low.rlike(CAPTION) & low.rlike(named)
 
 
 def caption_label(text: Column) -> Column:
@@ -109,5 +112,5 @@ def useful_section(title: Column) -> Column:
     """The title if it reads like one (3 to 100 characters, 55 % letters, no sign of a formula), else null."""
     low = collapse(title)
     n = F.char_length(low)
-    good = n.between(3, 100) & (_letters(low) >= n * 0.55) & ~low.rlike(FORMULA)
+    good = n.between(3, 100) & (F.try_divide(_letters(low).cast("double"), n) >= 0.55) & ~low.rlike(FORMULA)
     return F.when(good, low)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 
 #: Words that carry no meaning in a research goal.
 STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with", "year")
-SPACE = r"[\s\p{Z}]"
+#: White space: what Unicode and ASCII control characters separate words.
+SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
 
 
 def bind(value: Column, body) -> Column:
@@ -25,6 +27,11 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), "^ | $", "")
 
 
+def strip(c: Column) -> Column:
+    """c without white space (Unicode's too) at its ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_title(c: Column, unicode: str = "lower") -> Column:
     """Lower case, everything but letters, digits and underscores a space, collapsed; 'nfkc' folds in Python."""
     folded = nfkc_casefold(c) if unicode == "nfkc" else F.lower(c)
@@ -47,7 +54,8 @@ def normalize_doi(c: Column) -> Column:
 
 
 def bare_doi(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)^(https?://doi\.org/|doi:)", "")
+    """A DOI as it was written, without white space around it and without a resolver's address or prefix."""
+    return F.regexp_replace(strip(c), rf"(?i)^(https?://doi\.org/|doi:){SPACE}*", "")
 
 
 def reconstruct_abstract(index: Column) -> Column:
@@ -178,18 +186,42 @@ def from_payload(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
+#: What ends a line.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def json_candidates(text: Column) -> Column:
-    """Texts that may be the JSON of a model's answer: as it is, without a code fence, and from brace to brace."""
-    whole = F.trim(text)
-    fence = F.trim(F.regexp_replace(whole, r"(?s)^```(?:json)?\s*|\s*```$", ""))
-    brace = F.nullif(F.regexp_extract(whole, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.array_distinct(F.filter(F.array(whole, fence, brace), lambda x: x.isNotNull()))
+    """Texts that may be the JSON of a model's answer: without the lines of a code fence, and from first to last brace."""
+    whole = strip(text)
+    lines = F.split(whole, LINE_ENDS)
+    inner = strip(F.array_join(F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 2)), "\n"))
+    plain = F.when(whole.rlike(r"(?s)^```") & whole.rlike(r"```$"), inner).otherwise(whole)
+    found = lambda x: F.array_distinct(F.array_compact(F.array(x, F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")))))
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(bind(plain, found))
+
+
+def stops_early(candidate: str) -> bool:
+    """Whether a text is JSON that was cut off: parsing fails in an open string, or at the text's last character or beyond it.
+
+    What is malformed further ahead, or nested too deep to be read, was not cut.
+    """
+    try:
+        json.loads(candidate)
+    except json.JSONDecodeError as e:
+        return e.msg.startswith("Unterminated string") or e.pos >= len(candidate.rstrip()) - 1
+    except (RecursionError, ValueError):
+        return False
+    return False
 
 
 def is_truncated(text: Column) -> Column:
-    """No candidate parses, and the text does not end with a closing brace."""
-    parses = F.exists(json_candidates(text), lambda x: F.try_parse_json(x).isNotNull())
-    return ~parses & ~F.endswith(F.trim(F.regexp_replace(text, r"\s*```\s*$", "")), F.lit("}"))
+    """Whether any JSON candidate of an answer was cut off; by place of the error, which no built-in function tells. Null has none."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(candidates: pd.Series) -> pd.Series:
+        return candidates.map(lambda texts: any(stops_early(t) for t in texts) if texts is not None else False)
+
+    return run(json_candidates(text))
 
 
 def mention_snippet(text: Column, start: Column) -> Column:

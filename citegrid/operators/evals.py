@@ -26,20 +26,36 @@ def confusion(rows: DataFrame, gold: str = "relevant", predicted: str = "predict
     return counts.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def _task_f1(expected: Column, predicted: Column) -> Column:
+    """F1 of two lists as sets; 0 where they share nothing, also where both are empty."""
+    none = F.array().cast("array<string>")
+    e, p = F.array_distinct(F.coalesce(expected, none)), F.array_distinct(F.coalesce(predicted, none))
+    both = F.size(F.array_intersect(e, p)).cast("double")
+    precision, recall = F.try_divide(both, F.size(p)), F.try_divide(both, F.size(e))
+    return F.coalesce(F.try_divide(F.lit(2.0) * precision * recall, precision + recall), F.lit(0.0))
+
+
 def score_tasks(tasks: DataFrame, pass_at: float = 0.8) -> DataFrame:
-    """tasks with score and passed, by category.
+    """tasks (category, reference, prediction: the structs of `sources.files.TASKS`) with score and passed.
 
-    search: F1 of ids; figure: mean of the count's score and the types' F1; evidence: supported claims with valid sources
-    over all; rubric: mean of the required fields present and the mean review of five.
+    search: F1 of ids; figure: mean of the count's score and the types' F1; evidence: claims that cite evidence from valid
+    sources, over those expected; else: mean of the required fields present and the mean review of five. A score is rounded
+    to 6 places, but passes by its full value. An empty list of claims, fields or reviews scores 0, 1 and 0.
     """
-    f1 = lambda a, b: set_f1(F.coalesce(F.col(a), F.array()), F.coalesce(F.col(b), F.array()))["f1"]
-    gap = F.abs(F.col("predicted_count") - F.col("expected_count")) / F.greatest(F.lit(1), F.col("expected_count"))
-    count_score = F.greatest(F.lit(0.0), F.lit(1.0) - gap)
-    supported = F.coalesce(F.try_divide(F.col("supported_claims").cast("double"), F.col("total_claims").cast("double")), F.lit(0.0))
-    present = F.coalesce(F.try_divide(F.size(F.array_intersect("required_fields", "present_fields")).cast("double"), F.size("required_fields").cast("double")), F.lit(1.0))
-    reviews = F.coalesce(F.try_divide(F.aggregate("review_scores", F.lit(0.0), lambda a, x: a + x), F.size("review_scores") * F.lit(5.0)), F.lit(0.0))
-    score = F.when(F.col("category") == "search", f1("relevant_ids", "selected_ids")).when(F.col("category") == "figure", (count_score + f1("expected_types", "predicted_types")) / 2).when(F.col("category") == "evidence", supported).otherwise((present + reviews) / 2)
-    return tasks.withColumn("score", F.bround(score, 6)).withColumn("passed", F.col("score") >= pass_at)
+    ref, pred = F.col("reference"), F.col("prediction")
+    gap = F.abs(ref["count"] - pred["count"]) / F.greatest(F.lit(1), ref["count"])
+    count_score = F.lit(1.0) - F.least(F.lit(1.0), gap)
+    cited = F.filter(pred["claims"], lambda c: (F.coalesce(F.size(c["evidence_ids"]), F.lit(0)) > 0) & F.coalesce(c["source_valid"], F.lit(False)))
+    supported = F.coalesce(F.try_divide(F.size(cited).cast("double"), F.size(ref["claims"])), F.lit(0.0))
+    required = F.array_distinct(ref["required_fields"])
+    present = F.coalesce(F.try_divide(F.size(F.array_intersect(required, pred["present_fields"])).cast("double"), F.size(required)), F.lit(1.0))
+    reviews = F.coalesce(F.try_divide(F.aggregate(pred["review_scores"], F.lit(0.0), lambda a, x: a + x), F.size(pred["review_scores"]) * F.lit(5.0)), F.lit(0.0))
+    score = (
+        F.when(F.col("category") == "search", _task_f1(ref["relevant_ids"], pred["selected_ids"])).when(F.col("category") == "figure", (count_score + _task_f1(ref["types"], pred["types"])) / 2)
+        .when(F.col("category") == "evidence", supported).otherwise((present + reviews) / 2)
+    )
+    whole = tasks.withColumn("score", score)
+    return whole.withColumn("passed", F.col("score") >= pass_at).withColumn("score", F.bround("score", 6))
 
 
 def run_aggregate(results: DataFrame) -> DataFrame:

@@ -95,15 +95,21 @@ def keep_known_ids(made: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def verify_visuals(evidence: DataFrame, figures: DataFrame, tables: DataFrame) -> DataFrame:
-    """Figure and table evidence with ok and reason: the picture is there with the same hash; the caption hashes to the same."""
-    pictures = figures.select("doc_id", F.col("path").alias("source_path"), F.lit("figure").alias("evidence_type"), F.lit(None).cast("string").alias("_label"), F.col("sha256").alias("_now"))
-    captions = table_evidence(tables).select("doc_id", F.col("source_path"), F.lit("table").alias("evidence_type"), F.col("label").alias("_label"), F.col("sha256").alias("_now"))
-    keyed = evidence.withColumn("_label", F.when(F.col("evidence_type") == "table", F.col("label")))
-    now = pictures.unionByName(captions).groupBy("doc_id", "source_path", "evidence_type", "_label").agg(F.collect_set("_now").alias("_now"))
-    same = [F.equal_null(keyed[c], now[c]) if c == "_label" else keyed[c] == now[c] for c in ("doc_id", "source_path", "evidence_type", "_label")]
-    joined = keyed.join(now, same, "left").select(*[keyed[c] for c in keyed.columns], now["_now"])
+    """Figure and table evidence with ok and reason: the picture is there with the same hash; the caption hashes to the same.
+
+    A figure is found by its path, a table by page and label, the first (by ord, if there is one, and id) where several have
+    one; a table without a label is not found again.
+    """
+    pictures = figures.select("doc_id", F.lit("figure").alias("evidence_type"), F.col("path").alias("_key"), F.col("sha256").alias("_now")).groupBy("doc_id", "evidence_type", "_key").agg(F.collect_set("_now").alias("_now"))
+    place = lambda label: F.to_json(F.struct(F.col("page").alias("page"), label.alias("label")))
+    order = F.struct(*[c for c in ("ord", "table_id") if c in tables.columns])
+    hashed = F.sha2(F.coalesce(F.nullif("caption", F.lit("")), F.nullif("label", F.lit("")), "table_id").cast("binary"), 256)
+    captions = tables.where(F.coalesce("label", F.lit("")) != "").select("doc_id", F.lit("table").alias("evidence_type"), place(F.col("label")).alias("_key"), F.array(hashed).alias("_now"), order.alias("_order"))
+    captions = captions.groupBy("doc_id", "evidence_type", "_key").agg(F.min_by("_now", "_order").alias("_now"))
+    keyed = evidence.withColumn("_key", F.when(F.col("evidence_type") == "table", place(F.col("label"))).otherwise(F.col("source_path")))
+    joined = keyed.join(pictures.unionByName(captions), ["doc_id", "evidence_type", "_key"], "left")
     reason = F.when(F.col("_now").isNull(), F.concat("evidence_type", F.lit(" missing"))).when(~F.array_contains("_now", F.col("sha256")), "hash differs")
-    return joined.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).drop("_now", "_label")
+    return joined.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(*evidence.columns, "reason", "ok")
 
 
 def verify_sources(evidence: DataFrame, pages: DataFrame) -> DataFrame:

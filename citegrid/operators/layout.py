@@ -73,9 +73,10 @@ def drop_reference_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return pages.join(_section_pages(sections.where("type = 'references'")).select(*PAGE), [*PAGE], "left_anti")
 
 
-def nearest_caption(regions: DataFrame, blocks: DataFrame, pattern: str = L.CAPTION, limit: int = 2000) -> DataFrame:
-    """regions (doc_id, page, region_id, y0, y1) with the caption block of their page that is nearest above or below."""
-    captions = blocks.where(collapse(F.col("text")).rlike(pattern)).select(*PAGE, F.col("ord").alias("_ord"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), collapse(F.col("text")).alias("_text"))
+def nearest_caption(regions: DataFrame, blocks: DataFrame, kind: str, limit: int = 2000) -> DataFrame:
+    """regions (doc_id, page, region_id, y0, y1) of a kind (figure or table) with the caption of that kind on their page that is
+    nearest above or below."""
+    captions = blocks.where(L.is_caption(F.col("text"), kind)).select(*PAGE, F.col("ord").alias("_ord"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), collapse(F.col("text")).alias("_text"))
     gap = F.least(F.abs(F.col("_y0") - F.col("y1")), F.abs(F.col("y0") - F.col("_y1")))
     best = regions.join(captions, [*PAGE]).groupBy(*PAGE, "region_id").agg(F.min_by("_text", F.struct(gap, "_ord")).alias("caption"))
     out = regions.join(best, [*PAGE, "region_id"], "left")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resolve import latest_per_key, upsert
@@ -17,7 +19,8 @@ def plan_work(inputs: DataFrame, ledger: DataFrame, replace_changed: bool = Fals
     have = ledger.select(*ITEM, F.col("input_hash").alias("_hash"), F.col("status").alias("_status"), F.col("attempts").alias("_attempts"))
     same = F.col("_hash") == F.col("input_hash")
     decision = F.when(F.col("_hash").isNull(), "run").when(~same, "reset" if replace_changed else "conflict").when(F.col("_status") == "completed", "reuse").otherwise("run")
-    attempts = F.when(F.col("decision") == "run", F.coalesce("_attempts", F.lit(0)) + 1).when(F.col("decision") == "reset", 1).otherwise(F.coalesce("_attempts", F.lit(0)))
+    had = F.coalesce("_attempts", F.lit(0))
+    attempts = F.when(F.col("decision").isin("run", "reset"), had + 1).otherwise(had)
     return inputs.join(have, [*ITEM], "left").withColumn("decision", decision).withColumn("attempts", attempts.cast("int")).drop("_hash", "_status", "_attempts")
 
 
@@ -109,7 +112,7 @@ def progress_board(progress: DataFrame, selections: DataFrame, papers: DataFrame
     return chosen.join(papers.select("paper_id", "title"), "paper_id", "left")
 
 
-#: Fields of a section's result that a block of each part shows.
+#: Fields of a section's result that a block of each part shows.
 PART_FIELDS = {"problem": ("core_problem", "relevance_to_topic"), "method": ("methods", "mechanisms"), "experiment": ("experimental_setup", "main_results"), "critical": ("limitations",), "overview": ("overview",)}
 
 
@@ -158,3 +161,50 @@ def audit_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def audit_reference(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child whose key no row of parent has."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+
+
+@dataclass(frozen=True)
+class Constraint:
+    """A rule over a table: its keys are unique, have a parent, are among allowed values, or stand at most once among active rows.
+
+    kind: unique (columns), reference (columns; parent and parent_columns), allowed (one column; values), at_most_one
+    (columns; active, the SQL of what counts). Keys with a null break no rule.
+    """
+
+    name: str
+    kind: str
+    table: str
+    columns: tuple[str, ...]
+    parent: str = ""
+    parent_columns: tuple[str, ...] = ()
+    values: tuple[str, ...] = ()
+    active: str = "true"
+
+
+def audit_constraints(tables: dict[str, DataFrame], rules: Sequence[Constraint]) -> DataFrame:
+    """rule, key, n_rows of every key that breaks a rule.
+
+    Each table is read once: a row gives one key for each rule it takes part in, as child or as parent, and keys are counted with
+    map-side combine, whatever rows a key has.
+    """
+    if unknown := {r.kind for r in rules} - {"unique", "reference", "allowed", "at_most_one"}:
+        raise ValueError(f"kinds of constraints: {sorted(unknown)}")
+    parts = []
+    for name, table in tables.items():
+        takes: list[Column] = []
+        for rule in rules:
+            for own, columns, is_child in ((rule.table, rule.columns, True), (rule.parent, rule.parent_columns, False)):
+                if own != name:
+                    continue
+                test = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+                if is_child and rule.kind == "at_most_one":
+                    test = test & F.expr(rule.active)
+                if is_child and rule.kind == "allowed":
+                    test = test & ~F.col(columns[0]).cast("string").isin(*rule.values)
+                key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+                takes.append(F.when(test, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), key.alias("key"), F.lit(is_child).alias("child"))))
+        if takes:
+            parts.append(table.select(F.explode(F.array_compact(F.array(*takes))).alias("r")).select("r.*"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "kind", "key").agg(F.count_if("child").alias("n_rows"), F.count_if(~F.col("child")).alias("_parents"))
+    broken = F.when(F.col("kind") == "reference", (F.col("_parents") == 0) & (F.col("n_rows") > 0)).when(F.col("kind") == "allowed", F.col("n_rows") > 0).otherwise(F.col("n_rows") > 1)
+    return counts.where(broken).select("rule", "key", "n_rows")

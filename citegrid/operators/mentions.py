@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import core_key, strip_marker, visual_key
+from ..functions.text import strip
 
 #: How figures and tables are referred to, and how a compound reference goes on.
 FIGURE_REF = r"\b(?:fig(?:ures?|s)?\.?)\s*(S?\d+(?:\(?[a-z]\)?)?)\b"
@@ -75,12 +76,12 @@ def link_mentions(hits: DataFrame, visuals: DataFrame) -> DataFrame:
 
 
 def unmatched_references(hits: DataFrame, figures: DataFrame) -> DataFrame:
-    """Figures that prose refers to and no figure has, exactly or as parent: key, label and first page."""
+    """Figures that prose refers to and no figure has, exactly or as parent: key, label, page and place of the first mention."""
     have = figures.select("doc_id", visual_key(F.col("label")).alias("have")).where("have IS NOT NULL").distinct()
     wanted = hits.where("kind = 'figure'").withColumn("core", core_key(F.col("key")))
     gone = wanted.join(have.withColumnRenamed("have", "key"), ["doc_id", "key"], "left_anti").join(have.withColumnRenamed("have", "core"), ["doc_id", "core"], "left_anti")
-    out = gone.groupBy("doc_id", "key").agg(F.min_by("page", "hit_ord").alias("page"))
-    return out.select("doc_id", "key", F.concat(F.lit("Fig. "), "key").alias("label"), "page")
+    out = gone.groupBy("doc_id", "key").agg(F.min_by("page", "hit_ord").alias("page"), F.min("hit_ord").alias("first_hit"))
+    return out.select("doc_id", "key", F.concat(F.lit("Fig. "), "key").alias("label"), "page", "first_hit")
 
 
 def repair_figures(unmatched: DataFrame, figures: DataFrame, pages: DataFrame) -> DataFrame:
@@ -144,12 +145,13 @@ def top_mentions(mentions: DataFrame, n: int = 4, distinct: bool = True) -> Data
 
 
 def number_mentions(mentions: DataFrame, n: int = 8) -> DataFrame:
+    """The first n mentions of each visual, numbered from 1."""
     rank = F.row_number().over(Window.partitionBy("doc_id", "kind", "fig_ord").orderBy("mention_no"))
-    return mentions.withColumn("mention_index", rank - 1).where(F.col("mention_index") < n)
+    return mentions.withColumn("mention_index", rank).where(F.col("mention_index") <= n)
 
 
 def layout_warnings(unmatched: DataFrame, pages: DataFrame, figures: DataFrame, limit: int = 6, light: int = 40) -> DataFrame:
-    """The first references without a figure, and figure pages with next to no text."""
-    first = unmatched.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "key"))).where(F.col("_n") <= limit)
-    empty = pages.where(F.char_length("text") < light).join(figures.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    """The first references without a figure, by page and then by first mention, and figure pages with next to no text."""
+    first = unmatched.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "first_hit"))).where(F.col("_n") <= limit)
+    empty = pages.where(F.char_length(strip(F.col("text"))) < light).join(figures.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
     return first.select("doc_id", "page", F.lit("unmatched").alias("warning"), "label").unionByName(empty.select("doc_id", "page", F.lit("text_light").alias("warning"), F.lit("").alias("label")))

@@ -50,14 +50,18 @@ def elapsed_minutes(since: Column, as_of: Column) -> Column:
 def budget_state(usage: DataFrame, windows: DataFrame, tokens: int, vision: int, minutes: float, as_of: str) -> DataFrame:
     """Usage of each project's window against its limits: state and reason.
 
-    windows: project_id, base_tokens, base_vision, since (ISO text), gate_open, paused. A pause by the user wins, an open
-    gate keeps its state.
+    windows: project_id, base_tokens, base_vision, since (ISO text), gate_open, paused; a project with usage and no window
+    has an empty one. A window without since began with the project's first usage. A pause by the user wins, an open gate
+    keeps its state.
     """
-    totals = usage.groupBy("project_id").agg(F.sum("tokens").alias("_tokens"), F.count_if(F.col("kind") == "vision").alias("_vision"))
-    joined = windows.join(totals, "project_id", "left")
-    used, seen = F.greatest(F.lit(0), F.coalesce("_tokens", F.lit(0)) - F.col("base_tokens")), F.greatest(F.lit(0), F.coalesce("_vision", F.lit(0)) - F.col("base_vision"))
-    spent = elapsed_minutes(F.col("since"), F.to_timestamp(F.lit(as_of)))
-    rows = joined.withColumn("tokens_used", used).withColumn("vision_used", seen).withColumn("minutes_used", F.bround(spent, 6))
+    first = F.min(F.col("created_at").cast("timestamp"))
+    totals = usage.groupBy("project_id").agg(F.sum("tokens").alias("_tokens"), F.count_if(F.col("kind") == "vision").alias("_vision"), first.alias("_first"))
+    joined = windows.join(totals, "project_id", "full")
+    over = lambda total, base: F.greatest(F.lit(0), F.coalesce(total, F.lit(0)) - F.coalesce(base, F.lit(0)))
+    now = F.to_timestamp(F.lit(as_of))
+    from_first = F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("_first")) / F.lit(60_000_000.0)), F.lit(0.0))
+    spent = F.when(F.coalesce("since", F.lit("")) == "", from_first).otherwise(elapsed_minutes(F.col("since"), now))
+    rows = joined.withColumn("tokens_used", over("_tokens", "base_tokens")).withColumn("vision_used", over("_vision", "base_vision")).withColumn("minutes_used", F.bround(spent, 6))
     reason = F.when(F.col("tokens_used") >= tokens, "tokens").when(F.col("vision_used") >= vision, "vision").when(F.col("minutes_used") >= minutes, "minutes")
     state = F.when(F.col("paused"), "user_paused").when(F.col("gate_open"), "gate_open").when(F.col("reason").isNotNull(), "exceeded").otherwise("within")
     return rows.withColumn("reason", reason).withColumn("state", state).select("project_id", "tokens_used", "vision_used", "minutes_used", "reason", "state")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
+from ..sources.scratch import written
 
 
 def paper_key(papers: DataFrame) -> DataFrame:
@@ -105,6 +107,41 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col:
     return latest_per_key(tagged, keys, ("_new", order_col)).drop("_new")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, or None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def upsert_into(path: str, updates: DataFrame, keys: Sequence[str], order_col: str, parts: int = 64) -> list[int]:
+    """Lay updates over the table at path, which is parted by a hash of its keys (_part); the parts that were written again.
+
+    Rows that the table has already, as they are, touch nothing. Of the others' parts alone the rows are read, merged and written over
+    (each part's files are replaced by Spark's dynamic partition overwrite); files of other parts stay as they are. Doing the
+    same again changes nothing, so a stream may call this for each of its batches, and again for one that it repeats.
+    Columns must have types that can be compared; a table keeps the number of parts that it began with.
+    """
+    spark, names = updates.sparkSession, updates.columns
+    own = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("_part")
+    fresh, base = updates.select("*", own), stored(spark, path)
+    if base is not None:
+        parts_met = [r["_part"] for r in fresh.select("_part").distinct().collect()]  # as many as the table has parts at most
+        had = base.where(F.col("_part").isin(parts_met)).select(*[F.col(c).alias(f"_had_{c}") for c in names], F.col("_part").alias("_had_part"))
+        same = [F.equal_null(F.col(c), F.col(f"_had_{c}")) for c in names]
+        fresh = fresh.join(had, [F.col("_part") == F.col("_had_part"), *same], "left_anti")
+    fresh = written(fresh, "fresh")
+    touched = sorted(r["_part"] for r in fresh.select("_part").distinct().collect())
+    if touched:
+        old = fresh.limit(0) if base is None else base.where(F.col("_part").isin(touched)).select(*names, "_part")
+        merged = written(upsert(old, fresh, keys, order_col), "merged")
+        merged.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    return touched
+
+
 def first_seen(df: DataFrame, key: str, ord_col: str = "ord") -> DataFrame:
     """Distinct keys with group_ord, their number in order of first use (one row a key before the global order)."""
     from ..operators.ranking import global_rank

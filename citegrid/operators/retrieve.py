@@ -124,7 +124,7 @@ def final_rank(papers: DataFrame, question: str, by: Sequence[str] = ("request_i
     """Judged papers by their judgement, then the others by lexical score; rejected ones go.
 
     With a limit, Spark cuts each request to it before the shuffle; without one, the ranks of a request come from a
-    range shuffle, so that a request with very many papers is no single sort.
+    range shuffle, so that a request with very many papers is no single sort. ord tells a request's papers apart.
     """
     left = papers.where(F.coalesce("include", F.lit(True)))
     tier = F.when(F.col("semantic").isNotNull(), 0).otherwise(1)
@@ -132,7 +132,11 @@ def final_rank(papers: DataFrame, question: str, by: Sequence[str] = ("request_i
     final = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("semantic", "lexical_score"))), 6)
     shared = F.array_sort(F.array_intersect(T.tokens(F.lit(question)), T.tokens(F.col("title"))))
     if limit is None:
-        ranked = rank_in_groups(left, by, order, "rank")
+        # Only what orders a paper is written and sorted; its scores are not made again, and the rest of it is joined to its rank.
+        slim = rank_in_groups(left.select(*by, "ord", "semantic", "lexical_score", "stable_id"), by, order, "rank").drop("stable_id")
+        keys = [*by, "ord"]
+        rest = left.select(*[c for c in papers.columns if c in keys or c not in ("semantic", "lexical_score")])
+        ranked = rest.join(slim, keys).select(*papers.columns, "rank")
     else:
         ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
     return ranked.withColumn("final_score", final).withColumn("matched_aspects", F.when(F.col("semantic").isNotNull(), F.col("aspects")).otherwise(shared))
@@ -148,22 +152,22 @@ def cap_per_query(papers: DataFrame, maximum_papers: int, query: str = "query")
 
 
 def enrich_abstracts(papers: DataFrame, metadata: DataFrame, cap: int = 10, by: str = "request_id") -> DataFrame:
-    """Blank abstracts and years of the first `cap` papers of a request with an arXiv id, filled from metadata."""
-    open_rows = papers.where((F.coalesce("arxiv_id", F.lit("")) != "") & (F.trim(F.coalesce("abstract", F.lit(""))) == ""))
+    """Blank abstracts and years of the first `cap` papers of a request with an arXiv id, filled from metadata as they came."""
+    open_rows = papers.where((F.coalesce("arxiv_id", F.lit("")) != "") & (T.strip(F.coalesce("abstract", F.lit(""))) == ""))
     first = top_per_group(open_rows.select(by, "ord", "arxiv_id"), [by], [F.asc("ord")], cap).select("ord", "arxiv_id")
     found = first.join(metadata.select("arxiv_id", F.col("abstract").alias("_abstract"), F.col("year").alias("_year")), "arxiv_id").drop("arxiv_id")
     out = papers.join(found, "ord", "left")
-    return out.withColumn("abstract", F.coalesce(F.nullif(F.trim("_abstract"), F.lit("")), "abstract")).withColumn("year", F.coalesce("year", "_year")).drop("_abstract", "_year")
+    return out.withColumn("abstract", F.when(F.coalesce(T.strip(F.col("_abstract")), F.lit("")) != "", F.col("_abstract")).otherwise(F.col("abstract"))).withColumn("year", F.coalesce("year", "_year")).drop("_abstract", "_year")
 
 
-def search_counters(papers: DataFrame, unique: DataFrame, filtered: DataFrame, selected: DataFrame) -> DataFrame:
-    """One row of stage counts: each stage is one count, united and summed."""
-    stages = {"raw": papers, "unique": unique, "kept": filtered, "selected": selected}
-    rows = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name)) for name, df in stages.items()]
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
-    counts = long.agg(*[F.max(F.when(F.col("stage") == s, F.col("n"))).alias(f"n_{s}") for s in stages])
+def search_counters(papers: DataFrame, key: str, included: Column, maximum_papers: int) -> DataFrame:
+    """One row of stage counts (raw, unique by key, kept of the first records, selected, duplicates, dropped).
+
+    One pass: records of a key are counted with map-side combine, and the first one by ord tells whether the key is kept.
+    """
+    each = papers.select(key, "ord", included.alias("_in")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min_by("_in", "ord").alias("_in"))
+    counts = each.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_raw"), F.count(F.lit(1)).alias("n_unique"), F.count_if("_in").alias("n_kept"))
+    counts = counts.withColumn("n_selected", F.least("n_kept", F.lit(maximum_papers).cast("long")))
     return counts.withColumn("n_duplicates", F.col("n_raw") - F.col("n_unique")).withColumn("n_dropped", F.col("n_unique") - F.col("n_kept"))
 
 

@@ -199,11 +199,17 @@ def a08_visual_evidence(t):
     return evidence.figure_evidence(figures).unionByName(evidence.table_evidence(tables))
 
 
-@query(f"""SELECT source_path, CASE WHEN k % 13 = 0 THEN evidence_type || ' missing' WHEN k % 3 = 0 AND k % 5 > 0 THEN 'hash differs' END AS reason FROM (SELECT *, CAST(substr(source_path, 3) AS BIGINT) AS k FROM ({VISUALS}))""")
+NOW = """SELECT doc_id, page, label, fig_ord, CASE WHEN fig_ord % 5 > 0 THEN CASE WHEN fig_ord % 3 = 0 THEN caption || '!' ELSE caption END END AS caption FROM {figures} WHERE fig_ord % 13 > 0"""
+
+
+@query(f"""WITH n AS ({NOW}), f AS (SELECT 'p/' || fig_ord AS source_path, sha256(coalesce(caption, '')) AS now FROM n WHERE fig_ord % 2 = 0), b AS (SELECT doc_id, page, label, sha256(coalesce(caption, label)) AS now FROM n WHERE fig_ord % 2 = 1 AND label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page, label ORDER BY fig_ord) = 1)
+SELECT e.source_path, CASE WHEN coalesce(f.now, b.now) IS NULL THEN evidence_type || ' missing' WHEN coalesce(f.now, b.now) <> e.sha256 THEN 'hash differs' END AS reason FROM ({VISUALS}) e LEFT JOIN f ON evidence_type = 'figure' AND f.source_path = e.source_path LEFT JOIN b ON evidence_type = 'table' AND b.doc_id = e.doc_id AND b.page = e.page AND b.label = e.label""")
 def j14_verify_visuals(t):
+    """Tables that share page and label, tables without a label, and changed or vanished visuals."""
     figures, tables = visuals(t)
     made = evidence.figure_evidence(figures).unionByName(evidence.table_evidence(tables))
-    return evidence.verify_visuals(made, *visuals(t, changed=True)).select("source_path", "reason")
+    now_figures, now_tables = visuals(t, changed=True)
+    return evidence.verify_visuals(made, now_figures, now_tables.withColumn("ord", F.col("fig_ord"))).select("source_path", "reason")
 
 
 TOPIC = "Blue Rose of the method"

@@ -32,8 +32,10 @@ SELECT doc_id AS paper_ord, 'doc:' || doc_id AS stable_id, CASE WHEN doc_id % 3
   CASE WHEN doc_id % 5 = 1 THEN '2401.' || doc_id || '/' END AS arxiv_id, CASE WHEN doc_id % 7 = 0 THEN 'https://oa.example.org/' || doc_id END AS open_access_url
 FROM {documents}""",
     "landing": """
-SELECT page_id, url, html || CASE page_id % 3 WHEN 0 THEN '<meta name="citation_pdf_url" content="/files/' || page_id || '.pdf">'
-  WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=https://cdn.example.org/' || page_id || '.pdf">' ELSE '' END AS html
+SELECT page_id, CASE page_id % 9 WHEN 6 THEN 'HTTPS://www.figshare.com:8080/articles/' || page_id || '/?file=1#x' WHEN 8 THEN 'https://figshare.com/articles/' || page_id || '/download' ELSE url END AS url, html || CASE page_id % 9
+  WHEN 0 THEN '<meta name="citation_pdf_url" content=" /files/../' || page_id || '.pdf">' WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=https://cdn.example.org/./' || page_id || '.pdf">'
+  WHEN 2 THEN '<meta name="citation_pdf_url" content="../f/./' || page_id || '.pdf?x=1#top">' WHEN 3 THEN '<meta name="citation_pdf_url" content="?download=' || page_id || '">'
+  WHEN 4 THEN '<meta name="citation_pdf_url" content="//user@cdn.example.org:8443/' || page_id || '.pdf">' WHEN 5 THEN '<meta name="citation_pdf_url" content="' || url || '"><meta http-equiv="refresh" content="5; url=' || page_id || '.pdf">' ELSE '' END AS html
 FROM {pages}""",
     "fetch_log": """
 SELECT event_id, user_id AS paper_ord, event_id % 7 AS pos, 'https://host' || (event_id % 40) || '.example/f' AS url,
@@ -73,7 +75,10 @@ FROM {orders}""",
     "work_inputs": "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS project_id, 'scope' || (o_orderkey % 4) AS run_scope, 'k' || (o_orderkey % 50) AS item_key, 'h1' AS input_hash FROM {orders}",
     "jobs": "SELECT CAST(o_custkey AS BIGINT) AS project_id, CAST(o_orderkey AS BIGINT) AS job_id, CASE o_orderstatus WHEN 'P' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'completed' END AS status, o_orderdate AS created_at FROM {orders}",
     "projects": "SELECT CAST(c_custkey AS BIGINT) AS project_id, CASE c_custkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'waiting' END AS status, c_name AS title, c_mktsegment AS topic FROM {customer}",
-    "responses": "SELECT conv_id * 1000 + turn AS response_id, CASE WHEN turn % 3 = 2 THEN '{{\"answer\": \"' || conv_id || '\", \"turn\": ' ELSE '```json {{\"answer\": \"' || conv_id || '\", \"turn\": ' || turn || '}} ```' END AS body FROM {conversations}",
+    "responses": """
+SELECT conv_id * 1000 + turn AS response_id, CASE turn % 6 WHEN 0 THEN '```json' || chr(10) || '{{"answer": "' || conv_id || '", "turn": ' || turn || '}}' || chr(10) || '```' WHEN 1 THEN '{{"list": [{{"answer": "' || conv_id || '"}}, {{"turn": {{"n": ' || turn || '}}'
+  WHEN 2 THEN '{{"answer": "' || conv_id || '", "turn": ' WHEN 3 THEN 'Here it is: {{"answer": "' || conv_id || '"}} as asked' WHEN 4 THEN '{{"answer": "' || conv_id || '" "turn": ' || turn || '}}' ELSE '  {{"answer": "turn ' || turn END AS body
+FROM {conversations}""",
     "gold": "SELECT d.doc_id, l.quality = 1 AS relevant, d.n_chars > 500 AS predicted, CASE d.doc_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'figure' WHEN 2 THEN 'evidence' ELSE 'rubric' END AS category FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
 }
 _BRACES = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

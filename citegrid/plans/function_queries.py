@@ -43,12 +43,12 @@ def s10_append_sink(t):
 @query("SELECT 'set' || CAST(floor(doc_id / 100.0) AS BIGINT) AS dataset_id, 't' || doc_id AS task_id, category, CAST(relevant AS VARCHAR) AS relevant, CAST(predicted AS VARCHAR) AS predicted FROM {gold}")
 def s11_read_eval(t):
     """Evaluation sets of at most 100 tasks, each landed as one JSON file."""
-    value = lambda c: F.create_map(F.lit(c), F.col(c).cast("string"))
-    task = F.struct(F.concat(F.lit("t"), "doc_id").alias("task_id"), "category", value("relevant").alias("reference"), value("predicted").alias("prediction"), F.lit("exact").alias("scoring"))
+    value = lambda c, name: F.struct(F.array(F.col(c).cast("string")).alias(name))
+    task = F.struct(F.concat(F.lit("t"), "doc_id").alias("task_id"), "category", value("relevant", "relevant_ids").alias("reference"), value("predicted", "selected_ids").alias("prediction"), F.lit("exact").alias("scoring"))
     sets = t("gold").groupBy(F.expr("cast(floor(doc_id / 100.0) as bigint)").alias("part")).agg(F.collect_list(task).alias("tasks"))
     path = scratch(sets.sparkSession, "sets")
     sets.select("part", F.concat(F.lit("set"), "part").alias("dataset_id"), "tasks").write.partitionBy("part").json(path)
-    return files.read_eval(sets.sparkSession, path).select("dataset_id", "task_id", "category", F.col("reference")["relevant"].alias("relevant"), F.col("prediction")["predicted"].alias("predicted"))
+    return files.read_eval(sets.sparkSession, path).select("dataset_id", "task_id", "category", F.col("reference.relevant_ids")[0].alias("relevant"), F.col("prediction.selected_ids")[0].alias("predicted"))
 
 
 @query("SELECT category, count(*) AS n, count_if(relevant = predicted) AS n_right FROM {gold} GROUP BY 1")
@@ -82,13 +82,6 @@ def f10_url_tier(t):
     return t("pages").select("page_id", A.url_tier(F.col("url"), ["example.com"], ["example.org"]).alias("tier"))
 
 
-@query("SELECT doc_id, '10.8/AB' || doc_id AS bare, CASE WHEN doc_id % 2 = 0 THEN '10.8/Ab' ELSE 'x doi:10.8' END AS other FROM documents")
-def f03_bare_doi(t):
-    d = F.col("doc_id")
-    other = F.when(d % 2 == 0, F.lit("DOI:10.8/Ab")).otherwise(F.lit("x doi:10.8"))
-    return t("documents").select("doc_id", T.bare_doi(F.concat(F.lit("http://DOI.org/10.8/AB"), d)).alias("bare"), T.bare_doi(other).alias("other"))
-
-
 # layout
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND length(p_name) BETWEEN 3 AND 100 THEN p_name END AS section FROM part")

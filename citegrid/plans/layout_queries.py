@@ -28,7 +28,7 @@ def blocks(t) -> DataFrame:
 NARROW, RIGHT = "(x1 - x0 < 360.0)", "((x0 + x1) / 2 > 300.0)"
 READ = f"""SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, round_even(y0, 1), x0, ord) AS read_ord FROM (SELECT *, CASE WHEN NOT cols OR NOT {NARROW} THEN 0 WHEN NOT {RIGHT} THEN 1 ELSE 2 END AS band FROM (
  SELECT *, count_if({NARROW} AND {RIGHT}) OVER w > 0 AND count_if({NARROW} AND NOT {RIGHT}) OVER w > 0 AND count_if({NARROW}) OVER w >= 4 AS cols, median(size) OVER w AS median_size FROM ({BLOCKS}) WINDOW w AS (PARTITION BY doc_id, page)))"""
-LOW = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+LOW = "trim(regexp_replace(text, '[\\s\\p{{Z}}\\x1C-\\x1F\\x85]+', ' ', 'g'), ' ')"
 COUNT = f"len(string_split({LOW}, ' '))"
 ROLE = f"""CASE WHEN (y1 <= 72.0 OR y0 >= 728.0) AND {COUNT} <= 8 AND (regexp_matches({LOW}, '^[-–—·\\s]*\\d+[-–—·\\s]*$') OR regexp_matches({LOW}, '(?i)^[-–—·\\s]*[ivxlcdm]+[-–—·\\s]*$')) THEN 'page_number'
  WHEN y1 <= 72.0 AND length({LOW}) <= 220 AND {COUNT} <= 30 THEN 'header' WHEN y0 >= 728.0 AND length({LOW}) <= 220 AND {COUNT} <= 30 THEN 'footer'
@@ -98,17 +98,24 @@ def w04_block_runs(t):
     return layout.block_runs(roles(t))
 
 
-CAPTIONS = f"SELECT doc_id, page, ord, y0, y1, 'Fig. ' || (ord % 9 + 1) || ' shows ' || length(text) AS text FROM ({BLOCKS}) WHERE ord % 4 = 1"
+CAPTIONS = f"SELECT doc_id, page, ord, y0, y1, CASE WHEN ord % 8 = 1 THEN 'Table ' ELSE 'Fig. ' END || (ord % 9 + 1) || ' shows ' || length(text) AS text FROM ({BLOCKS}) WHERE ord % 4 = 1"
 
 
-@query(f"""WITH c AS ({CAPTIONS}), g AS (SELECT doc_id, page, ord AS region_id, y0, y1 FROM ({BLOCKS}) WHERE ord % 3 = 0)
-SELECT g.doc_id, g.page, g.region_id, arg_min(c.text, (least(abs(c.y0 - g.y1), abs(g.y0 - c.y1)), c.ord)) AS caption, nullif(regexp_extract(arg_min(c.text, (least(abs(c.y0 - g.y1), abs(g.y0 - c.y1)), c.ord)), 'Fig. \\d+'), '') AS label
-FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND c.page = g.page GROUP BY ALL""")
+def nearest_sql(kind: str, word: str) -> str:
+    nearest = "arg_min(c.text, (least(abs(c.y0 - g.y1), abs(g.y0 - c.y1)), c.ord))"
+    return f"""SELECT g.doc_id, g.page, g.region_id, '{kind}' AS kind, {nearest} AS caption, nullif(regexp_extract({nearest}, '{word} \\d+'), '') AS label
+ FROM (SELECT doc_id, page, ord AS region_id, y0, y1 FROM ({BLOCKS}) WHERE ord % 4 <> 1) g LEFT JOIN ({CAPTIONS}) c ON c.doc_id = g.doc_id AND c.page = g.page AND starts_with(c.text, '{word}') GROUP BY ALL"""
+
+
+@query(f"{nearest_sql('figure', 'Fig.')} UNION ALL {nearest_sql('table', 'Table')}")
 def j12_nearest_caption(t):
-    rows = blocks(t)
-    captions = rows.where("ord % 4 = 1").withColumn("text", F.concat(F.lit("Fig. "), F.col("ord") % 9 + 1, F.lit(" shows "), F.char_length("text")))
-    regions = rows.where("ord % 3 = 0").select("doc_id", "page", F.col("ord").alias("region_id"), "y0", "y1")
-    return layout.nearest_caption(regions, captions).select("doc_id", "page", "region_id", "caption", "label")
+    """All blocks but the captions are regions, once as figures and once as tables; captions of both kinds stand between them."""
+    k = F.col("ord")
+    made = F.concat(F.when(k % 8 == 1, "Table ").otherwise("Fig. "), k % 9 + 1, F.lit(" shows "), F.char_length("text"))
+    rows = blocks(t).withColumn("text", F.when(k % 4 == 1, made).otherwise(""))
+    regions = rows.where("ord % 4 <> 1").select("doc_id", "page", k.alias("region_id"), "y0", "y1")
+    near = [layout.nearest_caption(regions, rows, kind).withColumn("kind", F.lit(kind)) for kind in ("figure", "table")]
+    return near[0].unionByName(near[1]).select("doc_id", "page", "region_id", "kind", "caption", "label")
 
 
 @query("""WITH r AS (SELECT p_partkey % 30 AS doc_id, p_partkey AS ord, p_size * 12 AS width, p_size * 9 AS height, CASE WHEN p_partkey % 2 = 0 THEN 'raster' ELSE 'vector' END AS kind, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS caption, 'h' || (p_partkey % 200) AS sha256 FROM part)
@@ -157,7 +164,7 @@ def j09_link_mentions(t):
     return mentions.link_mentions(mentions.head_mentions(t("mention_pages")), visuals(t)).select("doc_id", "hit_ord", "hit_key", "fig_ord")
 
 
-UNMATCHED = f"SELECT doc_id, key, 'Fig. ' || key AS label, arg_min(page, hit_ord) AS page FROM ({HITS}) h WHERE kind = 'figure' AND NOT EXISTS (SELECT 1 FROM ({KEYED}) k WHERE k.doc_id = h.doc_id AND k.key = h.key) GROUP BY doc_id, key"
+UNMATCHED = f"SELECT doc_id, key, 'Fig. ' || key AS label, arg_min(page, hit_ord) AS page, min(hit_ord) AS first_hit FROM ({HITS}) h WHERE kind = 'figure' AND NOT EXISTS (SELECT 1 FROM ({KEYED}) k WHERE k.doc_id = h.doc_id AND k.key = h.key) GROUP BY doc_id, key"
 
 
 def unmatched(t) -> DataFrame:
@@ -199,13 +206,14 @@ def k09_top_mentions(t):
     return mentions.top_mentions(made(t)).select("doc_id", "fig_ord", "snippet", "mention_no", "rank")
 
 
-@query(f"SELECT doc_id, fig_ord, mention_no, row_number() OVER (PARTITION BY doc_id, fig_ord ORDER BY mention_no) - 1 AS mention_index FROM ({MADE}) QUALIFY mention_index < 8")
+@query(f"SELECT doc_id, fig_ord, mention_no, row_number() OVER (PARTITION BY doc_id, fig_ord ORDER BY mention_no) AS mention_index FROM ({MADE}) QUALIFY mention_index <= 8")
 def k10_number_mentions(t):
     return mentions.number_mentions(made(t)).select("doc_id", "fig_ord", "mention_no", "mention_index")
 
 
-@query(f"""SELECT doc_id, page, 'unmatched' AS warning, label FROM ({UNMATCHED}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, key) <= 6
-UNION ALL SELECT DISTINCT p.doc_id, p.page, 'text_light', '' FROM (SELECT doc_id, page, 'short' AS text FROM {{mention_pages}} WHERE page = 2 GROUP BY ALL) p JOIN {{figures}} f ON f.doc_id = p.doc_id AND f.page = p.page""")
+@query(f"""SELECT doc_id, page, 'unmatched' AS warning, label FROM ({UNMATCHED}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, first_hit) <= 6
+UNION ALL SELECT DISTINCT p.doc_id, p.page, 'text_light', '' FROM (SELECT doc_id, page, max(text) AS text FROM {{mention_pages}} GROUP BY ALL) p JOIN {{figures}} f ON f.doc_id = p.doc_id AND f.page = p.page WHERE length(p.text) < 46""")
 def k11_layout_warnings(t):
-    pages = t("mention_pages").where("page = 2").select("doc_id", "page", F.lit("short").alias("text")).distinct()
-    return mentions.layout_warnings(unmatched(t), pages, t("figures"))
+    """Texts have white space around them, which does not count."""
+    pages = t("mention_pages").groupBy("doc_id", "page").agg(F.concat(F.lit(" \n\u00a0\u0085"), F.max("text"), F.lit("\t \n")).alias("text"))
+    return mentions.layout_warnings(unmatched(t), pages, t("figures"), light=46)

@@ -21,6 +21,13 @@ def l01_plan_work(t):
     return ledger.plan_work(t("work_inputs"), items(t)).select(*ledger.ITEM, "decision", "attempts")
 
 
+@query(f"""WITH l AS ({LEDGER}) SELECT project_id, run_scope, item_key, CASE WHEN l.input_hash IS NULL THEN 'run' WHEN l.input_hash <> i.input_hash THEN 'reset' WHEN status = 'completed' THEN 'reuse' ELSE 'run' END AS decision,
+ CASE WHEN l.input_hash = i.input_hash AND status = 'completed' THEN attempts ELSE coalesce(attempts, 0) + 1 END AS attempts FROM {{work_inputs}} i LEFT JOIN l USING (project_id, run_scope, item_key)""")
+def l01_plan_replaced(t):
+    """Changed inputs replace what was there: the attempt is one more, not the first."""
+    return ledger.plan_work(t("work_inputs"), items(t), replace_changed=True).select(*ledger.ITEM, "decision", "attempts")
+
+
 @query(f"""WITH l AS ({LEDGER}), r AS (SELECT project_id, run_scope, item_key, 'completed' AS status, attempts + 1 AS attempts FROM l WHERE status = 'running')
 SELECT project_id, run_scope, item_key, coalesce(r.status, l.status) AS status, coalesce(r.attempts, l.attempts) AS attempts FROM l LEFT JOIN r USING (project_id, run_scope, item_key)""")
 def l02_finish_work(t):
@@ -134,7 +141,7 @@ w AS (SELECT o_custkey AS project_id, o_orderkey % 3 AS paper_id, {PART.format(k
 c AS (SELECT *, nullif(CASE WHEN status = 'F' THEN CASE part WHEN 'problem' THEN CASE WHEN k % 2 = 0 THEN 'core_problem=P' || k ELSE '' END WHEN 'method' THEN 'methods=M' || k || CASE WHEN k % 2 = 0 THEN ';mechanisms=N' || k ELSE '' END WHEN 'overview' THEN 'overview=O' || k END END, '') AS content FROM w),
 b AS (SELECT o_custkey AS project_id, (o_orderkey + 1) % 3 AS paper_id, {PART.format(k='(o_orderkey // 3)')} AS part, CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'failed' END AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, (o_orderkey + 1) % 3, (o_orderkey // 3) % 5 ORDER BY o_orderkey DESC) = 1)
 SELECT s.project_id, s.paper_id, p.part, coalesce(t.title, 'untitled') AS paper_title, CASE WHEN c.content IS NOT NULL THEN 'completed' ELSE coalesce(b.status, 'queued') END AS status, coalesce(c.content, '') AS content, CASE WHEN s.paper_id = 0 AND p.part = 'method' THEN 'ask ' || s.project_id END AS note
-FROM s CROSS JOIN p LEFT JOIN c ON c.project_id = s.project_id AND c.paper_id = s.paper_id AND c.part = p.part LEFT JOIN b ON b.project_id = s.project_id AND b.paper_id = s.paper_id AND b.part = p.part LEFT JOIN (SELECT ord, title FROM {{papers}} WHERE ord < 2) t ON t.ord = s.paper_id""")
+FROM s CROSS JOIN p LEFT JOIN c ON c.project_id = s.project_id AND c.paper_id = s.paper_id AND c.part = p.part LEFT JOIN b ON b.project_id = s.project_id AND b.paper_id = s.paper_id AND b.part = p.part LEFT JOIN {{papers}} t ON t.ord = s.paper_id""")
 def j22_analysis_blocks(t):
     k, project = F.col("o_orderkey"), F.col("o_custkey").alias("project_id")
     part = lambda i: F.get(F.array(*map(F.lit, ledger.PART_FIELDS)), (i % 5).cast("int")).alias("part")
@@ -145,7 +152,7 @@ def j22_analysis_blocks(t):
     worked = rows.select(project, paper, part(k), status, content.alias("content"), F.col("o_orderdate").alias("updated_at"), k.alias("ord"))
     board = rows.select(project, ((k + 1) % 3).alias("paper_id"), part(F.floor(k / 3)), F.when(k % 2 == 0, "running").otherwise("failed").alias("status"), k.alias("ord"))
     notes = rows.select(project).distinct().select("project_id", F.lit(0).cast("long").alias("paper_id"), F.lit("method").alias("part"), F.concat(F.lit("ask "), "project_id").alias("note"))
-    papers = t("papers").where("ord < 2").select(F.col("ord").alias("paper_id"), "title")
+    papers = t("papers").select(F.col("ord").alias("paper_id"), "title")
     out = ledger.analysis_blocks(rows.select(project, paper).distinct(), worked, board, papers, notes)
     text = F.array_join(F.transform(F.map_entries("content"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return out.withColumn("content", F.coalesce(text, F.lit("")))
@@ -176,6 +183,18 @@ def p22_audit_reference(t):
     return ledger.audit_reference(t("refs"), t("evidence").where("page <> 4"), "evidence_id", "evidence_id").select("claim_ord", "pos", "evidence_id")
 
 
+@query("""SELECT 'item_once' AS rule, project_id || '|' || item_key AS key, count(*) AS n_rows FROM {work_items} GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'known_evidence', CAST(evidence_id AS VARCHAR), count(*) FROM {refs} WHERE evidence_id NOT IN (SELECT evidence_id FROM {evidence} WHERE page <> 4) GROUP BY ALL
+UNION ALL SELECT 'job_status', status, count(*) FROM {jobs} WHERE status NOT IN ('queued', 'running', 'completed') GROUP BY ALL
+UNION ALL SELECT 'one_active_job', CAST(project_id AS VARCHAR), count(*) FROM {jobs} WHERE status IN ('queued', 'running') GROUP BY ALL HAVING count(*) > 1""")
+def p22_audit_constraints(t):
+    rules = [
+        ledger.Constraint("item_once", "unique", "items", ("project_id", "item_key")), ledger.Constraint("known_evidence", "reference", "refs", ("evidence_id",), "evidence", ("evidence_id",)),
+        ledger.Constraint("job_status", "allowed", "jobs", ("status",), values=("queued", "running", "completed")), ledger.Constraint("one_active_job", "at_most_one", "jobs", ("project_id",), active="status IN ('queued', 'running')"),
+    ]
+    return ledger.audit_constraints({"items": t("work_items"), "refs": t("refs"), "evidence": t("evidence").where("page <> 4"), "jobs": t("jobs")}, rules)
+
+
 @query("SELECT id, event_type FROM {traces} WHERE event_type = 'click' AND success ORDER BY created_at, id LIMIT 50 OFFSET 20")
 def p07_list_traces(t):
     return metrics.list_traces(t("traces"), "click", True, 50, 20).select("id", "event_type")
@@ -214,14 +233,17 @@ def a15_analysis_metrics(t):
     return metrics.analysis_metrics(rows, regions)
 
 
-@query("""WITH u AS (SELECT project_id, sum(tokens) AS tk, count_if(kind = 'vision') AS vn FROM {usage} GROUP BY 1), w AS (SELECT DISTINCT project_id, project_id * 10 AS bt, project_id % 5 AS bv, project_id % 11 = 0 AS g, project_id % 13 = 0 AS p FROM {projects}),
-j AS (SELECT w.*, greatest(0, coalesce(tk, 0) - bt) AS tokens_used, greatest(0, coalesce(vn, 0) - bv) AS vision_used, CAST(CASE WHEN project_id % 4 = 0 THEN 0.0 ELSE 90.0 END AS DOUBLE) AS minutes_used FROM w LEFT JOIN u USING (project_id)),
+@query("""WITH u AS (SELECT project_id, sum(tokens) AS tk, count_if(kind = 'vision') AS vn, min(created_at) AS f FROM {usage} GROUP BY 1), w AS (SELECT DISTINCT project_id, project_id * 10 AS bt, project_id % 5 AS bv, project_id % 4 AS q, project_id % 11 = 0 AS g, project_id % 13 = 0 AS p FROM {projects} WHERE project_id % 3 > 0),
+m AS (SELECT *, greatest(0, epoch_us(TIMESTAMP '2024-01-02 12:00:00') - epoch_us(CAST(f AS TIMESTAMP))) AS us FROM w FULL JOIN u USING (project_id)),
+j AS (SELECT *, greatest(0, coalesce(tk, 0) - coalesce(bt, 0)) AS tokens_used, greatest(0, coalesce(vn, 0) - coalesce(bv, 0)) AS vision_used, CASE WHEN q = 1 THEN 90.0 WHEN q = 2 THEN 0.0 ELSE CAST(coalesce(us // 60 + CASE WHEN us % 60 > 30 OR us % 60 = 30 AND us // 60 % 2 = 1 THEN 1 ELSE 0 END, 0) AS DOUBLE) / 1000000 END AS minutes_used FROM m),
 r AS (SELECT *, CASE WHEN tokens_used >= 300000 THEN 'tokens' WHEN vision_used >= 15 THEN 'vision' WHEN minutes_used >= 120 THEN 'minutes' END AS reason FROM j)
 SELECT project_id, CAST(tokens_used AS BIGINT) AS tokens_used, vision_used, minutes_used, reason, CASE WHEN p THEN 'user_paused' WHEN g THEN 'gate_open' WHEN reason IS NOT NULL THEN 'exceeded' ELSE 'within' END AS state FROM r""")
 def a16_budget_state(t):
+    """Two thirds of the projects have a window; it began at a known time, an unreadable one, or (blank, null) with the first usage."""
     p = F.col("project_id")
-    windows = t("projects").select("project_id").distinct().select("project_id", (p * 10).alias("base_tokens"), (p % 5).alias("base_vision"), F.when(p % 4 != 0, "2024-05-01T10:30:00").otherwise("").alias("since"), (p % 11 == 0).alias("gate_open"), (p % 13 == 0).alias("paused"))
-    return metrics.budget_state(t("usage"), windows, 300000, 15, 120.0, "2024-05-01 12:00:00")
+    since = F.when(p % 4 == 1, "2024-01-02T10:30:00").when(p % 4 == 2, "soon").when(p % 4 == 3, "")
+    windows = t("projects").where(p % 3 > 0).select("project_id").distinct().select("project_id", (p * 10).alias("base_tokens"), (p % 5).alias("base_vision"), since.alias("since"), (p % 11 == 0).alias("gate_open"), (p % 13 == 0).alias("paused"))
+    return metrics.budget_state(t("usage"), windows, 300000, 15, 120.0, "2024-01-02 12:00:00")
 
 
 @query("SELECT id, project_id, CAST(running_tokens AS BIGINT) AS running_tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY project_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS running_tokens FROM {usage}) WHERE running_tokens >= 100000 AND running_tokens - tokens < 100000")

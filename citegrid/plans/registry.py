@@ -21,6 +21,8 @@ def query(sql: str | None = None):
     """Register a function under its name, with its twin."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"a query {f.__name__} is there already")
         _QUERIES[f.__name__] = f
         if sql is not None:
             _SQL[f.__name__] = sql

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import access as A
 from ..functions import text as T
 from ..operators import access, ranking, resolve, retrieve
+from ..sources.scratch import scratch
 from .registry import query
 
 GROUPS, EXCLUDED = [["of the"], ["de la", "der"], ["los"]], ["and the"]
@@ -128,6 +129,20 @@ def s09_upsert(t):
     return resolve.upsert(base.withColumn("at", F.lit(0)), changed.unionByName(added).withColumn("at", F.lit(1)), ["ord"], "at").drop("at")
 
 
+@query("""
+WITH b AS (SELECT ord, title, citation_count FROM {papers}), u AS (SELECT ord, 'new ' || title AS title, citation_count + 1 AS citation_count FROM {papers} WHERE ord % 3 = 0 UNION ALL SELECT ord + 100000, title, 0 FROM {papers} WHERE ord % 50 = 0)
+SELECT *, 0 AS again FROM u UNION ALL SELECT *, 0 FROM b WHERE ord NOT IN (SELECT ord FROM u)""")
+def s09_upsert_into(t):
+    """A table on disk that is filled, updated, and updated again by the same rows (again: the parts that this touches)."""
+    base = t("papers").select("ord", "title", "citation_count", F.lit(0).alias("at"))
+    changed = base.where("ord % 3 = 0").select("ord", F.concat(F.lit("new "), "title").alias("title"), (F.col("citation_count") + 1).alias("citation_count"), F.lit(1).alias("at"))
+    added = base.where("ord % 50 = 0").select((F.col("ord") + 100000).alias("ord"), "title", F.lit(0).alias("citation_count"), F.lit(1).alias("at"))
+    path = scratch(base.sparkSession, "upserted")
+    resolve.upsert_into(path, base, ["ord"], "at")
+    again = [resolve.upsert_into(path, changed.unionByName(added), ["ord"], "at") for _ in range(2)][1]
+    return base.sparkSession.read.parquet(path).select("ord", "title", "citation_count", F.lit(len(again)).alias("again"))
+
+
 @query("SELECT source_id, min(ord) AS first_ord, row_number() OVER (ORDER BY min(ord)) - 1 AS group_ord FROM {papers} GROUP BY source_id")
 def w08_first_seen(t):
     return resolve.first_seen(t("papers"), "source_id")
@@ -214,12 +229,12 @@ def k08_list_page(t):
 
 @query("""
 WITH p AS (SELECT ord, request_id, arxiv_id, CASE WHEN ord % 2 = 0 THEN '  ' ELSE abstract END AS abstract, CASE WHEN ord % 4 = 0 THEN NULL ELSE year END AS year FROM {papers}),
-m AS (SELECT arxiv_id, min('abstract of ' || arxiv_id) AS abstract, min(year) AS year FROM {papers} WHERE arxiv_id IS NOT NULL AND ord % 7 <> 0 GROUP BY 1),
+m AS (SELECT arxiv_id, min('  abstract of ' || arxiv_id || ' ') AS abstract, min(year) AS year FROM {papers} WHERE arxiv_id IS NOT NULL AND ord % 7 <> 0 GROUP BY 1),
 f AS (SELECT ord, arxiv_id FROM p WHERE coalesce(arxiv_id, '') <> '' AND trim(coalesce(abstract, '')) = '' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ord) <= 10)
 SELECT p.ord, sha256(coalesce(m.abstract, p.abstract)) AS abstract_hash, coalesce(p.year, m.year) AS year FROM p LEFT JOIN f ON p.ord = f.ord LEFT JOIN m ON f.arxiv_id = m.arxiv_id""")
 def j16_enrich_abstracts(t):
     papers = t("papers").select("ord", "request_id", "arxiv_id", F.when(F.col("ord") % 2 == 0, "  ").otherwise(F.col("abstract")).alias("abstract"), F.when(F.col("ord") % 4 != 0, F.col("year")).alias("year"))
-    meta = t("papers").where("arxiv_id IS NOT NULL AND ord % 7 <> 0").groupBy("arxiv_id").agg(F.min(F.concat(F.lit("abstract of "), "arxiv_id")).alias("abstract"), F.min("year").alias("year"))
+    meta = t("papers").where("arxiv_id IS NOT NULL AND ord % 7 <> 0").groupBy("arxiv_id").agg(F.min(F.concat(F.lit("  abstract of "), "arxiv_id", F.lit(" "))).alias("abstract"), F.min("year").alias("year"))
     return retrieve.enrich_abstracts(papers, meta).select("ord", F.sha2(F.col("abstract").cast("binary"), 256).alias("abstract_hash"), "year")
 
 
@@ -227,11 +242,8 @@ def j16_enrich_abstracts(t):
 WITH u AS (SELECT count(DISTINCT {STABLE}) AS n FROM {{papers}}), k AS (SELECT count_if(included) AS n FROM ({CONCEPT}) WHERE ord IN (SELECT min(ord) FROM (SELECT *, {STABLE} AS stable_key FROM {{papers}}) GROUP BY stable_key)), r AS (SELECT count(*) AS n FROM {{papers}})
 SELECT r.n AS n_raw, u.n AS n_unique, k.n AS n_kept, least(k.n, 5) AS n_selected, r.n - u.n AS n_duplicates, u.n - k.n AS n_dropped FROM u, k, r""")
 def a31_search_counters(t):
-    papers = t("papers")
-    firsts = resolve.paper_key(papers).groupBy("stable_key").agg(F.min("ord").alias("ord")).select("ord")
-    unique = papers.join(firsts, "ord", "left_semi")
-    kept = retrieve.concept_filter(unique, GROUPS, EXCLUDED).where("included")
-    return retrieve.search_counters(papers, unique, kept, kept.limit(5))
+    papers = retrieve.concept_filter(resolve.paper_key(t("papers")), GROUPS, EXCLUDED)
+    return retrieve.search_counters(papers, "stable_key", F.col("included"), 5)
 
 
 @query("WITH s AS (SELECT source, max(citation_count) AS latency_ms, source <> 'arxiv' AS ok FROM {papers} GROUP BY source) SELECT max(latency_ms) FILTER (WHERE ok) AS latency_ms, count_if(NOT ok) AS failed, (SELECT count(*) FROM {papers}) AS total FROM s")
@@ -246,15 +258,6 @@ def p16_search_cards(t):
     return retrieve.search_cards(t("papers").withColumn("authors", F.array("lang", F.lit("x"))), "TION").select("ord", "stable_id")
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT source FROM {papers} WHERE source = 'openalex' UNION ALL SELECT source FROM {papers} WHERE source = 'arxiv') GROUP BY source")
-def u01_union_sources(t):
-    from ..sources.records import union_sources
-
-    parts = {s: t("papers").where(F.col("source") == s) for s in ("openalex", "arxiv")}
-    merged, _ = union_sources(parts | {"crossref": None})
-    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 # access
 
 HOST = "lower(coalesce(regexp_extract({0}, '^[a-zA-Z]+://(?:[^/@]*@)?([^/?#:]+)', 1), ''))"
@@ -333,8 +336,15 @@ def a24_availability_counts(t):
     return access.availability_counts(f12_predict_full_text(t))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/files/' || page_id || '.pdf' WHEN 1 THEN 'https://cdn.example.org/' || page_id || '.pdf' END AS pdf FROM {landing}")
+ORIGIN, PATH = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)", "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+FOLDERS = f"list_filter(string_split({PATH}, '/'), lambda x, i: i > 1 AND i < len(string_split({PATH}, '/')) AND x <> '')"
+
+
+@query(f"""SELECT page_id, CASE page_id % 9 WHEN 0 THEN {ORIGIN} || '/' || page_id || '.pdf' WHEN 1 THEN 'https://cdn.example.org/./' || page_id || '.pdf' WHEN 2 THEN {ORIGIN} || '/' || array_to_string({FOLDERS}[:-2] || ['f', page_id || '.pdf?x=1#top'], '/')
+ WHEN 3 THEN {ORIGIN} || {PATH} || '?download=' || page_id WHEN 4 THEN regexp_extract(url, '^[a-zA-Z]+:') || '//user@cdn.example.org:8443/' || page_id || '.pdf' WHEN 5 THEN {ORIGIN} || '/' || array_to_string({FOLDERS} || [page_id || '.pdf'], '/')
+ WHEN 6 THEN 'https://www.figshare.com:8080/articles/' || page_id || '/download' END AS pdf FROM pages""")
 def f13_pdf_link(t):
+    """Links of all kinds: rooted, absolute (as it is), relative, of the query, with a host, to the page itself; figshare pages; none."""
     return t("landing").select("page_id", A.pdf_link_from_page(F.col("url"), F.col("html")).alias("pdf"))
 
 
@@ -389,8 +399,9 @@ def f34_failure_reason(t):
     return t("events").select("event_id", A.failure_reason(text).alias("reason"))
 
 
-@query("SELECT response_id, turn3 AS truncated FROM (SELECT conv_id * 1000 + turn AS response_id, turn % 3 = 2 AS turn3 FROM conversations)")
+@query("SELECT conv_id * 1000 + turn AS response_id, turn % 6 IN (1, 2, 5) AS truncated FROM conversations")
 def f36_truncated_json(t):
+    """Fenced, cut after an inner brace, cut before a value, within prose, malformed, cut in a string."""
     return t("responses").select("response_id", T.is_truncated(F.col("body")).alias("truncated"))
 
 

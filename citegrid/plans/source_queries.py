@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,59 +32,133 @@ def head_line():
     return F.get(F.split("text", "\n"), F.lit(0))
 
 
-def places_of(words):
-    """A map of each word to its places."""
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+BLANK = "[ \\t\\n\\r\\f\\x0B]+"
+WORDS = f"list_filter(regexp_split_to_array(text, '{BLANK}'), lambda w: w <> '')"
+
+
+def indexed(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, index: a map of each word of a text to its places."""
+    words = F.filter(F.split(text, BLANK), lambda w: w != "")
+    places = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places"))
+    return places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
 
 
-@query(f"""SELECT '10.5/a' || doc_id AS stable_id, 'W' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source || ' in ' || lang ELSE coalesce(nullif({HEAD}, ''), 'Untitled') END AS title, {WORDS} AS abstract,
- CAST(greatest(0, n_chars - 900) AS INT) AS citation_count, CAST(1990 + n_chars % 35 AS INT) AS year, source AS venue, lang || ',' || source AS authors FROM documents""")
+@query(f"""SELECT '10.5/a' || doc_id AS stable_id, 'W' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source || ' in ' || lang ELSE coalesce(nullif({HEAD}, ''), 'Untitled') END AS title, sha256(nullif(array_to_string({WORDS}, ' '), '')) AS abstract_hash,
+ CAST(greatest(0, n_chars - 900) AS INT) AS citation_count, CAST(1990 + n_chars % 35 AS INT) AS year, source AS venue, lang || ',' || source AS authors, 'o:' || doc_id AS orcid, CASE doc_id % 3 WHEN 0 THEN 'https://oa.example/' || doc_id || '.pdf' WHEN 1 THEN 'https://oa.example/' || doc_id END AS open_access_url, 'openalex W' || doc_id AS record FROM documents""")
 def s01_read_openalex(t):
-    d, n = F.col("doc_id"), F.col("n_chars")
-    author = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
-    works = t("documents").withColumn("words", F.filter(F.split(head_line(), " +"), lambda w: w != "")).select(
+    d, n, none = F.col("doc_id"), F.col("n_chars"), F.lit(None).cast("string")
+    author = lambda c, orcid: F.struct(F.struct(c.alias("display_name"), orcid.alias("orcid")).alias("author"))
+    best = F.when(d % 3 < 2, F.struct(F.concat(F.lit("https://oa.example/"), d).alias("landing_page_url"), F.when(d % 3 == 0, F.concat(F.lit("https://oa.example/"), d, F.lit(".pdf"))).otherwise("").alias("pdf_url")))
+    works = t("documents").join(indexed(t("documents"), "text"), "doc_id", "left").select(
         F.concat(F.lit("https://openalex.org/W"), d).alias("id"), F.concat(F.lit("https://doi.org/10.5/A"), d).alias("doi"), F.when(d % 3 > 0, F.concat("source", F.lit(" in "), "lang")).otherwise("").alias("display_name"), head_line().alias("title"),
-        (1990 + n % 35).alias("publication_year"), (n - 900).alias("cited_by_count"), T.bind(F.col("words"), places_of).alias("abstract_inverted_index"),
-        F.array(author(F.col("lang")), author(F.lit("")), author(F.col("source"))).alias("authorships"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
+        (1990 + n % 35).alias("publication_year"), (n - 900).alias("cited_by_count"), F.col("index").alias("abstract_inverted_index"), best.alias("best_oa_location"),
+        F.array(author(F.col("lang"), F.concat(F.lit("o:"), d)), author(F.lit(""), none), author(F.col("source"), none)).alias("authorships"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
     )
     out = records.read_openalex(works.sparkSession, landed(works, "works"))
-    return out.select("stable_id", "source_id", "title", "abstract", "citation_count", "year", "venue", F.array_join("authors", ",").alias("authors"))
+    record = F.col("source_records")[0]
+    return out.select("stable_id", "source_id", "title", F.sha2(F.col("abstract").cast("binary"), 256).alias("abstract_hash"), "citation_count", "year", "venue", F.array_join("authors", ",").alias("authors"), F.col("author_records")[0]["orcid"].alias("orcid"), "open_access_url", F.concat_ws(" ", record["source"], record["id"]).alias("record"))
 
 
-@query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN '10.6/b' || doc_id ELSE 'crossref:' || {norm(HEAD + " || ' ' || source")} || ':' || (1990 + n_chars % 30) END AS stable_id, {HEAD} || ' ' || source AS title, CAST(1990 + n_chars % 30 AS INT) AS year, 'A & ' || source AS venue, lang || ' ' || source AS authors FROM documents""")
+TITLE_2 = f"{HEAD} || ' ' || source"
+
+
+@query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN '10.6/b' || doc_id ELSE 'crossref:' || {norm(TITLE_2)} || ':' || (1990 + n_chars % 30) END AS stable_id, CASE WHEN doc_id % 2 = 0 THEN '10.6/b' || doc_id ELSE {norm(TITLE_2)} END AS source_id, {TITLE_2} AS title, CAST(1990 + n_chars % 30 AS INT) AS year,
+ 'A & ' || source || ' Café – ' || doc_id AS venue, CASE WHEN doc_id % 3 > 0 THEN 'P & Co' END AS publisher, lang || ' ' || source AS authors, doc_id / 4.0 AS score FROM documents""")
 def s02_read_crossref(t):
+    """Venues in two parts with named and numbered entities; publishers with blanks around them or nothing else."""
     d, none = F.col("doc_id"), F.lit(None).cast("string")
     items = t("documents").select(
-        F.when(d % 2 == 0, F.concat(F.lit("10.6/B"), d)).alias("DOI"), F.array(head_line(), F.col("source")).alias("title"), F.array(F.concat(F.lit("A &amp; "), "source")).alias("container-title"),
+        F.when(d % 2 == 0, F.concat(F.lit("10.6/B"), d)).alias("DOI"), F.array(head_line(), F.col("source")).alias("title"), F.array(F.concat(F.lit("  A &amp; "), "source"), F.concat(F.lit("Caf&eacute; &#8211; "), d, F.lit("&nbsp;"))).alias("container-title"), F.when(d % 3 > 0, " P & Co ").otherwise("  ").alias("publisher"), (d / 4).alias("score"),
         F.array(F.struct(F.col("lang").alias("given"), F.col("source").alias("family")), F.struct(F.lit("").alias("given"), none.alias("family"))).alias("author"), F.struct(F.array(F.array(1990 + F.col("n_chars") % 30)).alias("date-parts")).alias("published-online"),
     )
-    return records.read_crossref(items.sparkSession, landed(items, "items")).select("stable_id", "title", "year", "venue", F.array_join("authors", ",").alias("authors"))
+    out = records.read_crossref(items.sparkSession, landed(items, "items"))
+    return out.select("stable_id", "source_id", "title", "year", "venue", "publisher", F.array_join("authors", ",").alias("authors"), F.col("source_records")[0]["score"].alias("score"))
+
 
+CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
+FLAT = "trim(regexp_replace(regexp_replace({}, '" + CONTROLS + "', '', 'g'), '[\\s\\p{{{{Z}}}}\\x85]+', ' ', 'g'), ' ')"
 
-@query("SELECT 'arxiv:2401.' || doc_id AS stable_id, 'a title ' || doc_id AS title, CAST(2000 + doc_id % 20 AS INT) AS year FROM documents WHERE doc_id % 20 BETWEEN 5 AND 15")
+
+@query(f"""SELECT CASE WHEN doc_id % 4 = 0 THEN '10.9/D' || doc_id ELSE 'arxiv:2401.' || doc_id END AS stable_id, '2401.' || doc_id AS arxiv_id, CASE WHEN doc_id % 4 = 0 THEN '10.9/D' || doc_id END AS doi, CASE WHEN doc_id % 7 = 0 THEN 'Untitled' ELSE {FLAT.format(HEAD)} END AS title,
+ sha256(nullif({FLAT.format('text')}, '')) AS abstract_hash, CASE WHEN doc_id % 11 > 0 THEN CAST(2000 + doc_id % 20 AS INT) END AS year, 'Ann ' || lang || ',Bob' AS authors, 'http://arxiv.org/pdf/2401.' || doc_id AS open_access_url FROM documents WHERE doc_id % 11 = 0 OR doc_id % 20 BETWEEN 5 AND 15""")
 def s03_read_arxiv(t):
+    """Some entries have a DOI, some no title, some no readable year."""
     d = F.col("doc_id")
-    entries = t("documents").select(F.concat(F.lit("http://arxiv.org/abs/2401."), d, F.lit("v3")).alias("id"), F.concat(F.lit("a\n  title "), d).alias("title"), F.lit("s").alias("summary"), F.concat(2000 + d % 20, F.lit("-01-02T00:00:00Z")).alias("published"))
+    plain = lambda c: F.regexp_replace(c, CONTROLS, "")  # noqa: E731  what XML cannot hold
+    link = lambda href, title: F.struct(href.alias("_href"), F.lit(title).alias("_title"))
+    entries = t("documents").select(
+        F.concat(F.lit("http://arxiv.org/abs/2401."), d, F.lit("v3")).alias("id"), F.when(d % 7 > 0, F.concat(F.lit("\n  "), plain(head_line()))).alias("title"), plain(F.col("text")).alias("summary"), F.when(d % 4 == 0, F.concat(F.lit("10.9/D"), d)).alias("doi"),
+        F.when(d % 11 == 0, "soon").otherwise(F.concat(2000 + d % 20, F.lit("-01-02T00:00:00Z"))).alias("published"), F.array(F.struct(F.concat(F.lit("Ann\n"), "lang").alias("name")), F.struct(F.lit("Bob").alias("name"))).alias("author"),
+        F.array(link(F.lit("http://arxiv.org/abs/x"), None), link(F.concat(F.lit("http://arxiv.org/pdf/2401."), d), "pdf")).alias("link"),
+    )
     path = scratch(entries.sparkSession, "entries")
     entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
-    return records.read_arxiv(entries.sparkSession, path, 2005, 2015).select("stable_id", "title", "year")
+    out = records.read_arxiv(t("documents").sparkSession, path, 2005, 2015)
+    return out.select("stable_id", "arxiv_id", "doi", "title", F.sha2(F.col("abstract").cast("binary"), 256).alias("abstract_hash"), "year", F.array_join("authors", ",").alias("authors"), "open_access_url")
 
 
-@query("SELECT 'arxiv:24.' || doc_id AS stable_id, 'T' || doc_id AS title FROM documents WHERE doc_id % 3 <> 0")
+@query(f"""SELECT 'arxiv:24.' || doc_id AS stable_id, coalesce(nullif({HEAD}, ''), 'Untitled') AS title, sha256(text) AS abstract_hash, CASE WHEN doc_id % 2 = 0 THEN 2024 END AS year, lang || ',' || source AS authors, CASE WHEN doc_id % 2 = 0 THEN 'https://a.example/' ELSE 'https://p.example/' END || doc_id AS open_access_url
+FROM documents WHERE doc_id % 6 < 5 AND doc_id % 7 > 0""")
 def s04_read_arxiv_tool(t):
-    d = F.col("doc_id")
-    paper = F.struct(F.when(d % 3 == 0, " ").otherwise(F.concat(F.lit("24."), d, F.lit("v1"))).alias("id"), F.concat(F.lit("T"), d).alias("title"), F.lit("2024").alias("published"))
-    answers = t("documents").select(F.struct(F.array(paper).alias("papers")).alias("result"))
-    return records.read_arxiv_tool(answers.sparkSession, landed(answers, "answers"), "q").select("stable_id", "title")
+    """Whole texts in answers of five shapes: plain, nested fields, a list of texts, JSON within texts, other fields; and errors."""
+    d, even = F.col("doc_id"), F.col("doc_id") % 2 == 0
+    named = lambda c, test: F.when(test, c)
+    own = F.when(d % 7 == 0, " ").otherwise(F.concat(F.lit("http://arxiv.org/abs/24."), d, F.lit("v12/")))
+    paper = F.struct(
+        named(own, even).alias("id"), named(own, ~even).alias("paper_id"), head_line().alias("title"), F.col("text").alias("abstract"), named(F.lit("2024-02-01"), even).alias("published"),
+        named(F.concat(F.lit("https://a.example/"), d), even).alias("url"), named(F.concat(F.lit("https://p.example/"), d), ~even).alias("pdf_url"),
+    )
+    # Authors are a name and an object with a name, which one type cannot hold: the list is put in as text.
+    authors = F.concat(F.lit('["'), "lang", F.lit('", {"name": "'), "source", F.lit('"}]'))
+    papers = F.concat(F.lit('{"papers": [{"authors": '), authors, F.lit(", "), F.substring(F.to_json(paper), 2, 1 << 30), F.lit("]}"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    text = lambda c: F.concat(F.lit('{"type": "text", "text": '), quoted(c), F.lit("}"))
+    shapes = [
+        papers, F.concat(F.lit('{"n": 1, "result": {"data": '), papers, F.lit("}}")), F.concat(F.lit('{"content": ['), text(F.lit("found:")), F.lit(", "), text(papers), F.lit("]}")),
+        F.concat(F.lit('{"structuredContent": {"result": '), quoted(papers), F.lit("}}")), F.concat(F.lit('{"meta": {"n": 1}, "output": ['), text(F.concat(F.lit('{"data": '), papers, F.lit("}"))), F.lit("]}")), F.lit('{"status": "error", "message": "papers?"}'),
+    ]
+    answers = t("documents").select(T.bind(F.array(*shapes), lambda x: F.get(x, (d % 6).cast("int"))).alias("value"))
+    path = scratch(answers.sparkSession, "answers")
+    answers.write.text(path)
+    out = records.read_arxiv_tool(answers.sparkSession, path, "q").where(F.col(records.CORRUPT).isNull())
+    return out.select("stable_id", "title", F.sha2(F.col("abstract").cast("binary"), 256).alias("abstract_hash"), "year", F.array_join("authors", ",").alias("authors"), "open_access_url")
+
+
+@query("""SELECT 'W' || page_id AS stable_id, unnest(CASE WHEN page_id % 2 = 0 THEN [{'url': url || '.pdf', 'landing': url, 'pos': 0}, {'url': url, 'landing': url, 'pos': 1}] ELSE [{'url': url, 'landing': url, 'pos': 0}] END
+ || [{'url': 'https://other.example/' || page_id, 'landing': 'https://other.example/' || page_id, 'pos': 2}, {'url': 'https://other.example/' || page_id || '/f', 'landing': url, 'pos': 3}], recursive := true), 'repository' AS source_type, 'l' AS license FROM pages""".replace("{", "{{").replace("}", "}}"))
+def s05_explode_locations(t):
+    """Four places of each work, of which two have one URL unless the first has a file of its own."""
+    p, none = F.col("page_id"), F.lit(None).cast("string")
+    other = F.concat(F.lit("https://other.example/"), p)
+    place = lambda url, pdf: F.struct(url.alias("landing_page_url"), pdf.alias("pdf_url"), F.lit("repository").alias("host_type"), F.lit(True).alias("is_oa"), F.lit("v").alias("version"), F.lit("l").alias("license"), F.struct(F.lit("d").alias("display_name"), F.lit("repository").alias("type"), F.lit("h").alias("host_organization_name")).alias("source"))
+    best, rest = place(F.col("url"), F.when(p % 2 == 0, F.concat("url", F.lit(".pdf")))), (place(F.col("url"), F.lit("")), place(other, none), place(F.col("url"), F.concat(other, F.lit("/f"))))
+    works = t("pages").select(F.concat(F.lit("W"), p).alias("stable_id"), best.alias("best_oa_location"), F.array(*rest).alias("locations"))
+    return records.explode_locations(works).select("stable_id", "url", F.col("landing_page_url").alias("landing"), "pos", "source_type", "license")
 
 
-@query("SELECT 'W' || page_id AS stable_id, url, CASE WHEN page_id % 2 = 0 THEN url || '.pdf' END AS pdf_url, 0 AS pos FROM pages UNION ALL SELECT 'W' || page_id, 'https://other.example/' || page_id, NULL, 2 FROM pages")
-def s05_explode_locations(t):
-    p = F.col("page_id")
-    place = lambda url, pdf: F.struct(url.alias("landing_page_url"), pdf.alias("pdf_url"), F.lit(True).alias("is_oa"), F.lit("v").alias("version"), F.lit("l").alias("license"), F.struct(F.lit("d").alias("display_name"), F.lit("repository").alias("type"), F.lit("h").alias("host_organization_name")).alias("source"))
-    none = F.lit(None).cast("string")
-    works = t("pages").select(F.concat(F.lit("W"), p).alias("stable_id"), place(F.col("url"), F.when(p % 2 == 0, F.concat("url", F.lit(".pdf")))).alias("best_oa_location"), F.array(place(F.col("url"), none), place(F.concat(F.lit("https://other.example/"), p), none)).alias("locations"))
-    return records.explode_locations(works).select("stable_id", "url", "pdf_url", "pos")
+def sources(t):
+    """Three landed sources of the documents: works, items of which some lines are cut, and a folder that is no table."""
+    docs = t("documents")
+    spark, d = docs.sparkSession, F.col("doc_id")
+    works = docs.where(d % 3 == 0).select(F.concat(F.lit("https://openalex.org/W"), d).alias("id"), head_line().alias("title"), F.col("text").alias("abstract"))
+    items = docs.where(d % 3 > 0).select(F.concat(F.lit("10.6/B"), d).alias("DOI"), F.array(head_line()).alias("title"), "doc_id")
+    lines = items.select(F.concat(F.to_json(F.struct("DOI", "title")), F.lit(" ")).alias("value"), "doc_id").select(F.when(d % 17 == 0, F.expr("substr(value, 1, length(value) - 3)")).otherwise(F.col("value")))
+    paths = {"openalex": landed(works, "works"), "crossref": scratch(spark, "items")}
+    lines.write.text(paths["crossref"])
+    reads = {"openalex": lambda: records.read_openalex(spark, paths["openalex"]), "crossref": lambda: records.read_crossref(spark, paths["crossref"]), "broken": lambda: spark.read.schema("stable_id string").parquet(paths["crossref"])}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return records.union_sources(spark, reads)
+
+
+@query(f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'W' || doc_id ELSE '10.6/b' || doc_id END AS stable_id, coalesce(nullif({HEAD}, ''), 'Untitled') AS title FROM documents WHERE doc_id % 3 = 0 OR doc_id % 17 > 0")
+def u01_union_sources(t):
+    return sources(t)[0].select("stable_id", "title")
+
+
+@query("SELECT 'openalex' AS source, true AS ok, count_if(doc_id % 3 = 0) AS papers, 0 AS corrupt FROM documents UNION ALL SELECT 'crossref', true, count_if(doc_id % 3 > 0 AND doc_id % 17 > 0), count_if(doc_id % 3 > 0 AND doc_id % 17 = 0) FROM documents UNION ALL SELECT 'broken', false, 0, 0")
+def u01_source_status(t):
+    return sources(t)[1].select("source", "ok", "papers", "corrupt")
 
 
 @query("SELECT ord, year FROM {papers} WHERE year BETWEEN 2005 AND 2010")
@@ -115,16 +191,16 @@ def f02_doi_forms(t):
     return t("documents").withColumn("raw", F.expr(RAW_DOI)).select("doc_id", T.normalize_doi(F.col("raw")).alias("doi"))
 
 
-@query(f"SELECT doc_id, regexp_replace({RAW_DOI}, '(?i)^(https?://doi\\.org/|doi:)', '') AS bare FROM documents")
+@query(f"SELECT doc_id, regexp_replace(trim({RAW_DOI}), '(?i)^(https?://doi\\.org/|doi:) *', '') AS bare FROM documents")
 def f03_bare_doi(t):
     return t("documents").withColumn("raw", F.expr(RAW_DOI)).select("doc_id", T.bare_doi(F.col("raw")).alias("bare"))
 
 
-@query("SELECT ord, nullif(trim(regexp_replace(title, ' +', ' ', 'g'), ' '), '') AS abstract FROM {papers}")
+@query(f"SELECT doc_id, sha256(nullif(array_to_string({WORDS}, ' '), '')) AS abstract_hash FROM documents")
 def f04_reconstruct_abstract(t):
-    words = F.filter(F.split("title", " +"), lambda w: w != "")
-    places = lambda ws: F.map_from_entries(F.transform(F.array_distinct(ws), lambda w: F.struct(w, F.filter(F.transform(ws, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
-    return t("papers").withColumn("words", words).select("ord", T.reconstruct_abstract(T.bind(F.col("words"), places)).alias("abstract"))
+    docs = t("documents")
+    rows = docs.select("doc_id").join(indexed(docs, "text"), "doc_id", "left")
+    return rows.select("doc_id", F.sha2(T.reconstruct_abstract(F.col("index")).cast("binary"), 256).alias("abstract_hash"))
 
 
 @query("SELECT doc_id, substr(trim(regexp_replace(substr(text, 41, 400), '[\\s\\p{{Z}}]+', ' ', 'g'), ' '), 1, 400) AS snippet FROM documents")
@@ -146,7 +222,7 @@ DRAWN = "text || CASE ord % 6 WHEN 0 THEN ' Network overview' WHEN 1 THEN ', an
 DRAWN_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(c), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in L.FIGURE_WORDS) + " ELSE 'other' END"
 
 
-@query(f"""SELECT doc_id, ord, {DRAWN_KIND} AS kind, CASE WHEN length({LOW}) BETWEEN 3 AND 100 AND length(regexp_replace({LOW}, '[^\\p{{{{L}}}}]', '', 'g')) >= length({LOW}) * 0.55 AND NOT regexp_matches({LOW}, '(?i)arg\\s*min|^[=+\\-]|[{{{{}}}}]{{{{2}}}}') THEN {LOW} END AS section
+@query(f"""SELECT doc_id, ord, {DRAWN_KIND} AS kind, CASE WHEN length({LOW}) BETWEEN 3 AND 100 AND length(regexp_replace({LOW}, '[^\\p{{{{L}}}}]', '', 'g')) / length({LOW}) >= 0.55 AND NOT regexp_matches({LOW}, '(?i)arg\\s*min|^[=+\\-]|[{{{{}}}}]{{{{2}}}}') THEN {LOW} END AS section
  FROM (SELECT doc_id, ord, text, {DRAWN} AS c FROM ({BLOCKS}))""")
 def f23_figure_type(t):
     return blocks(t).select("doc_id", "ord", L.figure_type(F.expr(DRAWN)).alias("kind"), L.useful_section(F.col("text")).alias("section"))
@@ -157,16 +233,29 @@ def f32_distinct_ci(t):
     return t("part").select("p_partkey", F.size(T.distinct_ci(F.array_append(F.split("p_name", " "), F.upper("p_name")))).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CAST(CASE category WHEN 'search' THEN CASE WHEN predicted THEN 0.666667 ELSE 1.0 END WHEN 'figure' THEN CASE WHEN predicted THEN 0.75 ELSE 1.0 END WHEN 'evidence' THEN CASE WHEN predicted THEN 0.5 ELSE 1.0 END ELSE CASE WHEN predicted THEN 0.7 ELSE 1.0 END END AS DOUBLE) AS score, NOT predicted AS passed FROM {gold}")
+SENTENCES = "list_filter(string_split(text, '.'), lambda x: length(x) > 3)"
+PICKED = "list_distinct({}[{}:{}])"
+
+
+def f1_sql(e: str, p: str) -> str:
+    both = f"len(list_intersect({e}, {p}))::DOUBLE"
+    return f"CASE WHEN len(list_intersect({e}, {p})) = 0 THEN 0.0 ELSE 2.0 * ({both} / len({p})) * ({both} / len({e})) / ({both} / len({p}) + {both} / len({e})) END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, {WORDS} AS w, {SENTENCES} AS s FROM conversations), x AS (SELECT *, {PICKED.format('w', 1, 9)} AS e, {PICKED.format('w', 3, 11)} AS p, w[1:6] AS r, list_distinct(w[1:6]) AS rd, w[2:7] AS h FROM c),
+v AS (SELECT *, CASE (conv_id + turn) % 4 WHEN 0 THEN {f1_sql('e', 'p')} WHEN 1 THEN (1.0 - least(1.0, abs(len(w) % 5 - len(w) % 7)::DOUBLE / greatest(1, len(w) % 5)) + {f1_sql('e', 'p')}) / 2
+ WHEN 2 THEN CASE WHEN len(s) = 0 THEN 0.0 ELSE len(list_filter(s, lambda y: len(list_filter(string_split(y, ' '), lambda z: length(z) > 6)) > 0 AND length(y) % 3 > 0))::DOUBLE / len(s) END
+ ELSE (CASE WHEN len(rd) = 0 THEN 1.0 ELSE len(list_intersect(rd, h))::DOUBLE / len(rd) END + (length(text) % 6 + 5.0) / 10.0) / 2 END AS q FROM x)
+SELECT conv_id, turn, round_even(q, 6) AS score, q >= 0.8 AS passed FROM v""")
 def a28_score_tasks(t):
-    bad = F.col("predicted")
-    ids = lambda *v: F.array(*map(F.lit, v))
-    tasks = t("gold").select(
-        "doc_id", "category", ids("a", "b").alias("relevant_ids"), F.when(bad, ids("a")).otherwise(ids("b", "a")).alias("selected_ids"), F.lit(2).alias("expected_count"), F.when(bad, 1).otherwise(2).alias("predicted_count"),
-        ids("x").alias("expected_types"), ids("x").alias("predicted_types"), F.when(bad, 1).otherwise(2).alias("supported_claims"), F.lit(2).alias("total_claims"), ids("p", "q").alias("required_fields"), F.when(bad, ids("p")).otherwise(ids("p", "q")).alias("present_fields"),
-        F.when(bad, F.array(F.lit(4.0), F.lit(5.0))).otherwise(F.array(F.lit(5.0))).alias("review_scores"),
-    )
-    return evals.score_tasks(tasks).select("doc_id", "score", "passed")
+    """Tasks whose nested answers are the words and sentences of conversations: a sentence is a claim, its long words the evidence."""
+    n, category = F.size("w"), F.get(F.array(*map(F.lit, ("search", "figure", "evidence", "rubric"))), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
+    rows = t("conversations").withColumn("w", F.filter(F.split("text", BLANK), lambda w: w != "")).withColumn("s", F.filter(F.split("text", "[.]"), lambda x: F.char_length(x) > 3))
+    claim = lambda s: F.struct(F.filter(F.split(s, " "), lambda z: F.char_length(z) > 6).alias("evidence_ids"), (F.char_length(s) % 3 > 0).alias("source_valid"))
+    e, p = F.slice("w", 1, 9), F.slice("w", 3, 9)
+    reference = F.struct(e.alias("relevant_ids"), (n % 5).alias("count"), e.alias("types"), F.col("s").alias("claims"), F.slice("w", 1, 6).alias("required_fields"))
+    prediction = F.struct(p.alias("selected_ids"), (n % 7).alias("count"), p.alias("types"), F.transform("s", claim).alias("claims"), F.slice("w", 2, 6).alias("present_fields"), F.array((F.char_length("text") % 6).cast("double"), F.lit(5.0)).alias("review_scores"))
+    return evals.score_tasks(rows.select("conv_id", "turn", category.alias("category"), reference.alias("reference"), prediction.alias("prediction"))).select("conv_id", "turn", "score", "passed")
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS label_found, doc_id % 3 = 0 AS mentions_found, doc_id % 6 = 0 AS all_pass FROM documents")

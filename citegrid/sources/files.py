@@ -14,7 +14,12 @@ PARSED = (
     "document_id string, file_sha256 string, page_count int, pages array<struct<page_number:int,text:string>>, sections array<struct<title:string,type:string,start_page:int,end_page:int>>, "
     f"figures array<struct<figure_id:string,label:string,page_number:int,caption:string,type:string,path:string,bbox:{_BOX}>>, tables array<struct<label:string,page_number:int,caption:string,cells:array<array<string>>>>"
 )
-TASKS = "dataset_id string, tasks array<struct<task_id:string,category:string,reference:map<string,string>,prediction:map<string,string>,scoring:string>>"
+_CLAIM = "struct<evidence_ids:array<string>,source_valid:boolean>"
+#: One struct holds the fields of all categories of tasks; a task has those of its own.
+TASKS = (
+    "dataset_id string, tasks array<struct<task_id:string,category:string,reference:struct<relevant_ids:array<string>,count:int,types:array<string>,claims:array<string>,required_fields:array<string>>,"
+    f"prediction:struct<selected_ids:array<string>,count:int,types:array<string>,claims:array<{_CLAIM}>,present_fields:array<string>,review_scores:array<double>>,scoring:string>>"
+)
 CHILDREN = ("pages", "sections", "figures", "tables")
 
 

@@ -1,6 +1,7 @@
 """Worked examples and properties that SQL twins do not cover."""
 
 import itertools
+import json
 import random
 from collections import Counter
 
@@ -32,7 +33,7 @@ def test_text_functions(spark):
     assert [r.y for r in got] == ["a b b", None]
     assert spark.createDataFrame([([" A ", "a", "", "B"],)], "a array<string>").select(T.distinct_ci(F.col("a")).alias("y")).first().y == ["A", "B"]
     assert one(spark, "```json\n{\"a\": 1}\n```", T.json_candidates)[-1] == '{"a": 1}'
-    assert one(spark, '{"a": [1, 2', T.is_truncated) and not one(spark, '{"a": }', T.is_truncated) and not one(spark, '{"a": 1}', T.is_truncated)
+    assert one(spark, '{"a": [1, 2', T.is_truncated) and one(spark, '{"a": }', T.is_truncated) and not one(spark, '{"a": , "b": 1}', T.is_truncated) and not one(spark, '{"a": 1}', T.is_truncated)
 
 
 def check_chunk_rule(text, spans, size=950, overlap=140):
@@ -74,6 +75,59 @@ def test_url_functions(spark):
     assert one(spark, "https://x.figshare.com/a/", lambda c: A.pdf_link_from_page(c, F.lit("<p>"))) == "https://x.figshare.com/a/download"
 
 
+#: Base, reference, and how it reads there (RFC 3986, as urljoin has it).
+RESOLVED = [
+    ("http://a/b/c/d?q", "g", None), ("http://a/b/c/d?q", "./g", None), ("http://a/b/c/d?q", "g/", None), ("http://a/b/c/d?q", "/g", None), ("http://a/b/c/d?q", "//g", None), ("http://a/b/c/d?q", "?y", None), ("http://a/b/c/d?q", "g?y", None),
+    ("http://a/b/c/d?q", "#s", None), ("http://a/b/c/d?q", "g#s", None), ("http://a/b/c/d?q", "g?y#s", None), ("http://a/b/c/d?q", "", None), ("http://a/b/c/d?q", ".", None), ("http://a/b/c/d?q", "./", None), ("http://a/b/c/d?q", "..", None),
+    ("http://a/b/c/d?q", "../", None), ("http://a/b/c/d?q", "../g", None), ("http://a/b/c/d?q", "../..", None), ("http://a/b/c/d?q", "../../g", None), ("http://a/b/c/d?q", "../../../g", None), ("http://a/b/c/d?q", "/./g", None),
+    ("http://a/b/c/d?q", "/../g", None), ("http://a/b/c/d?q", "g.", None), ("http://a/b/c/d?q", "..g", None), ("http://a/b/c/d?q", "./g/.", None), ("http://a/b/c/d?q", "g/../h", None), ("http://a/b/c/d?q", "g?y/../x", None), ("http://a/b/c/d?q", "mailto:x@y", None),
+    ("https://u:p@a.org:81", "g", None), ("https://u:p@a.org:81?x", "g/h", None), ("https://a.org/x//y/", "z//w", None), ("https://a.org/x/", "HTTP://B.org/Z/../q", None), ("https://a.org/x/y", "//B.org:8/./z?", None),
+]
+
+
+def test_references_resolve_as_urljoin(spark):
+    from urllib.parse import urljoin
+
+    rows = spark.createDataFrame([(i, b, r) for i, (b, r, _) in enumerate(RESOLVED)], "i int, base string, ref string")
+    out = {r.i: r.u for r in rows.select("i", A.resolve_url(F.col("base"), F.col("ref")).alias("u")).collect()}
+    assert out == {i: urljoin(b, r) for i, (b, r, _) in enumerate(RESOLVED)}
+    link = lambda url, html: spark.createDataFrame([(url, html)], "u string, h string").select(A.pdf_link_from_page(F.col("u"), F.col("h"))).first()[0]
+    meta = '<meta name="citation_pdf_url" content="{}">'
+    assert link("https://a.org/x", meta.format("https://a.org/x") + '<meta http-equiv="refresh" content="0; url=f.pdf">') == "https://a.org/f.pdf"
+    assert link("https://figshare.com/a/1//?x#y", "") == "https://figshare.com/a/1/download" and link("https://figshare.com/", "") is None and link("https://figshare.com/1/download", "") is None and link("https://a.org/1", "") is None
+
+
+def test_truncated_is_told_by_where_parsing_stops(spark):
+    whole = ['{"a": {"b": [1, "x\\"y"]}, "c": null}', "[1, 2.5, {}]"]
+    texts = [w[:i] for w in whole for i in range(1, len(w) + 1)] + ['{"a" 1, "b": 2}', '{"a": tru, "b": [1, 2]}', "prose only, no JSON at all", '{"a": {"b": 1}', '{"a": [{"b": 1}', '```json\n{"a": 1}\n```', '```\n{"a": [1\n```', "", "  "]
+
+    def cut(text):
+        try:
+            json.loads(text)
+        except json.JSONDecodeError as e:
+            return e.msg.startswith("Unterminated") or e.pos >= len(text.rstrip()) - 1
+        return False
+
+    def plain(text):
+        text = text.strip()
+        if text.startswith("```") and text.endswith("```"):
+            text = "\n".join(text.splitlines()[1:-1]).strip()
+        elif not text:
+            return False
+        inner = text[text.find("{") : text.rfind("}") + 1]
+        return cut(text) or ("{" in text and "}" in inner and cut(inner))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = {r.i: r.x for r in rows.select("i", T.is_truncated(F.col("t")).alias("x")).collect()}
+    assert out == {i: plain(t) for i, t in enumerate(texts)} and sum(out.values()) > 30
+
+
+def test_section_titles_at_the_bound(spark):
+    for n in (20, 40, 60, 80, 100):
+        edge = n * 55 // 100
+        assert one(spark, "a" * edge + "1" * (n - edge), L.useful_section) and not one(spark, "a" * (edge - 1) + "1" * (n - edge + 1), L.useful_section)
+
+
 def loc(url, pdf=None, kind="repository", oa=True, stale=False, version=None):
     return url, pdf, kind, version, oa, stale
 
@@ -214,11 +268,19 @@ def test_analysis_blocks_and_backfill(spark):
     assert {r.id: r.source for r in ledger.backfill_sources(reviews).collect()} == {1: "auto_visual_verifier", 2: "auto_consistency", 3: "human", 4: "human", 5: "human"}
 
 
-def test_task_scores(spark):
-    schema = "task_id int, category string, relevant_ids array<string>, selected_ids array<string>, expected_count int, predicted_count int, expected_types array<string>, predicted_types array<string>, supported_claims int, total_claims int, required_fields array<string>, present_fields array<string>, review_scores array<double>"
-    rows = [(1, "search", ["a", "b"], ["a"], None, None, None, None, None, None, None, None, None), (2, "figure", None, None, 2, 2, ["x"], ["x"], None, None, None, None, None), (3, "evidence", None, None, None, None, None, None, 3, 4, None, None, None), (4, "rubric", None, None, None, None, None, None, None, None, ["p", "q"], ["p", "q"], [5.0, 4.0])]
-    out = {r.task_id: (r.score, r.passed) for r in evals.score_tasks(spark.createDataFrame(rows, schema)).collect()}
-    assert out == {1: (0.666667, False), 2: (1.0, True), 3: (0.75, False), 4: (0.95, True)}
+def test_task_scores(spark, tmp_path):
+    """One task of each category as an evaluation file has it, and scores at the bound, which pass by their full value."""
+    claims = lambda *c: {"claims": [{"evidence_ids": e, "source_valid": v} for e, v in c]}
+    tasks = [
+        ("search", {"relevant_ids": ["a", "b"]}, {"selected_ids": ["a"]}, 0.666667, False), ("search", {"relevant_ids": []}, {"selected_ids": []}, 0.0, False), ("search", {"relevant_ids": ["a", "b"]}, {"selected_ids": ["b", "a", "a", "c"]}, 0.8, True),
+        ("figure", {"count": 2, "types": ["x"]}, {"count": 2, "types": ["x"]}, 1.0, True), ("figure", {"count": 0, "types": ["x"]}, {"count": 9, "types": ["x", "y"]}, 0.333333, False),
+        ("evidence", {"claims": ["1", "2", "3", "4"]}, claims((["e"], True), (["e"], False), ([], True), (["e", "f"], True)), 0.5, False), ("evidence", {"claims": []}, claims(), 0.0, False),
+        ("rubric", {"required_fields": ["p", "q"]}, {"present_fields": ["q", "p", "r"], "review_scores": [5, 4]}, 0.95, True), ("rubric", {"required_fields": ["p"] * 2 + [str(i) for i in range(999_999)]}, {"present_fields": ["p"] + [str(i) for i in range(599_998)], "review_scores": [5]}, 0.8, False),
+    ]
+    rows = [{"task_id": str(i), "category": c, "reference": r, "prediction": p, "scoring": "exact"} for i, (c, r, p, _, _) in enumerate(tasks)]
+    (tmp_path / "set.json").write_text(json.dumps({"dataset_id": "e", "tasks": rows}))
+    out = {r.task_id: (r.score, r.passed) for r in evals.score_tasks(files.read_eval(spark, str(tmp_path / "set.json"))).collect()}
+    assert out == {str(i): t[3:] for i, t in enumerate(tasks)}
 
 
 def test_layout_quality(spark):
@@ -240,20 +302,31 @@ def test_sources(spark, tmp_path):
     works = records.read_openalex(spark, str(tmp_path / "oa.json"), "q")
     a, b = works.orderBy("source_id").collect()
     assert (a.stable_id, a.title, a.abstract, a.citation_count, a.authors, a.venue) == ("10.1/a", "T", "a b", 0, ["X"], "V") and (b.stable_id, b.title, b.authors) == ("W2", "Untitled", [])
-    assert [(r.url, r.pdf_url) for r in records.explode_locations(works).orderBy("pos").collect()] == [("https://r/1", "https://r/1.pdf"), ("https://s/2", None)]
+    assert [(r.url, r.pdf_url) for r in records.explode_locations(works).orderBy("pos").collect()] == [("https://r/1.pdf", "https://r/1.pdf"), ("https://r/1", None), ("https://s/2", None)]
+    assert a.open_access_url == "https://r/1.pdf" and [(r.name, r.orcid) for r in a.author_records] == [("X", None)] and (a.source_records[0].source, a.source_records[0].id) == ("openalex", "W1")
     (tmp_path / "cr.json").write_text('{"DOI": "10.2/B", "title": ["A", "B"], "container-title": ["X &amp; Y"], "author": [{"given": "G", "family": "F"}, {}], "published-online": {"date-parts": [[2019, 1]]}}\n{"title": ["No Doi"]}\n')
     a, b = records.read_crossref(spark, str(tmp_path / "cr.json")).orderBy("stable_id").collect()
     assert (a.stable_id, a.title, a.year, a.authors, a.venue) == ("10.2/b", "A B", 2019, ["G F"], "X & Y") and b.stable_id == "crossref:no doi:None"
-    (tmp_path / "ax.xml").write_text('<feed><entry><id>http://arxiv.org/abs/2401.7v2</id><title>A\n  b</title><summary> s </summary><published>2024-01-02T00:00:00Z</published><author><name>N  M</name></author><link href="http://arxiv.org/pdf/2401.7v2" title="pdf" rel="related"/></entry><entry><id>x/1999.1</id><title>old</title><published>1999-01-01</published></entry></feed>')
+    (tmp_path / "ax.xml").write_text('<feed><entry><id>http://arxiv.org/abs/2401.7v2</id><title>A\n  b</title><arxiv:doi>10.7/X</arxiv:doi><summary> s </summary><published>2024-01-02T00:00:00Z</published><author><name>N  M</name></author><link href="http://arxiv.org/pdf/2401.7v2" title="pdf" rel="related"/></entry><entry><id>x/1999.1</id><title>old</title><published>1999-01-01</published></entry></feed>')
     (a,) = records.read_arxiv(spark, str(tmp_path / "ax.xml"), 2000, 2030).collect()
-    assert (a.stable_id, a.title, a.year, a.authors, a.open_access_url) == ("arxiv:2401.7", "A b", 2024, ["N M"], "http://arxiv.org/pdf/2401.7v2")
+    assert (a.stable_id, a.title, a.year, a.authors, a.open_access_url) == ("10.7/X", "A b", 2024, ["N M"], "http://arxiv.org/pdf/2401.7v2") and (a.doi, a.arxiv_id) == ("10.7/X", "2401.7")
     (tmp_path / "tool.json").write_text('{"result": {"papers": [{"id": "2401.9v1", "title": "T", "published": "2024"}, {"id": " "}]}}\n')
     assert [r.stable_id for r in records.read_arxiv_tool(spark, str(tmp_path / "tool.json"), "q").collect()] == ["arxiv:2401.9"]
+    own = {"papers": [{"stable_id": "arxiv:2401.8", "title": "Own", "year": 2020, "authors": [{"name": "Z"}], "open_access_url": "https://o"}]}
+    answers = [[{"type": "text", "text": "hello"}, {"type": "text", "text": json.dumps({"papers": [{"paper_id": "x/2402.1v3/", "title": "", "authors": ["A", {"name": "B"}], "pdf_url": "https://p"}]})}], json.dumps(json.dumps({"deep": {"content": {"papers": [{"id": "1"}]}}})), {"structuredContent": own}, {"status": "error"}]
+    (tmp_path / "shapes.json").write_text("\n".join(json.dumps(a) for a in answers) + "\nno json\n")
+    found = records.read_arxiv_tool(spark, str(tmp_path / "shapes.json"), "q").collect()
+    assert sorted((r.stable_id, r.title, r.authors, r.year, r.open_access_url) for r in found if r.stable_id) == [("arxiv:1", "Untitled", [], None, None), ("arxiv:2401.8", "Own", ["Z"], 2020, "https://o"), ("arxiv:2402.1", "Untitled", ["A", "B"], None, "https://p")]
+    assert sorted(r._corrupt for r in found if r._corrupt) == ["no json", '{"status": "error"}']
     ids = spark.createDataFrame([("W1",), ("https://doi.org/10.2/b",), ("none",)], "id string")
     found = records.lookup_metadata(ids, works, records.read_crossref(spark, str(tmp_path / "cr.json")))
     assert {r.id: r.provenance for r in found.collect()} == {"W1": "primary", "https://doi.org/10.2/b": "secondary", "none": "not_found"}
-    with pytest.raises(RuntimeError):
-        records.union_sources({"a": None})
+    with pytest.raises(RuntimeError), pytest.warns(UserWarning):
+        records.union_sources(spark, {"a": lambda: spark.read.json(str(tmp_path / "none"))})
+    (tmp_path / "bad.json").write_text('{"DOI": "10.3/C", "title": ["C"]}\n{"DOI": "10.3/D", "ti\n')
+    with pytest.warns(UserWarning, match="broken"):
+        papers, status = records.union_sources(spark, {"crossref": lambda: records.read_crossref(spark, str(tmp_path / "bad.json")), "broken": lambda: spark.read.schema("stable_id string").parquet(str(tmp_path / "bad.json"))})
+    assert [r.stable_id for r in papers.collect()] == ["10.3/c"] and {(r.source, r.ok, r.papers, r.corrupt, r.error is None) for r in status.collect()} == {("crossref", True, 1, 1, True), ("broken", False, 0, 0, False)}
 
 
 def test_scan_is_pushed(spark, tmp_path, capsys):
@@ -354,7 +427,86 @@ def test_ledger_rules(spark):
     inputs = spark.createDataFrame([(1, "s", k, "h1") for k in "abcd"], "project_id int, run_scope string, item_key string, input_hash string")
     out = {r.item_key: (r.decision, r.attempts) for r in ledger.plan_work(inputs, have).collect()}
     assert out == {"a": ("reuse", 1), "b": ("run", 3), "c": ("conflict", 1), "d": ("run", 1)}
-    assert {r.item_key: r.decision for r in ledger.plan_work(inputs, have, True).collect()}["c"] == "reset"
+    again = have.withColumn("attempts", F.when(F.col("item_key") == "c", 4).otherwise(F.col("attempts")))
+    assert {r.item_key: (r.decision, r.attempts) for r in ledger.plan_work(inputs, again, True).collect()}["c"] == ("reset", 5)
+
+
+def test_budget_windows_begin_with_first_usage(spark):
+    usage = spark.createDataFrame([(p, i, "text", 10, f"2024-01-01 10:{m}:00") for p, i, m in ((1, 1, "30"), (1, 2, "45"), (2, 3, "00"), (3, 4, "00"), (4, 5, "59"))], "project_id long, id long, kind string, tokens long, created_at string")
+    windows = spark.createDataFrame([(1, 0, 0, None, False, False), (2, 0, 0, "2024-01-01T10:50:00", False, False), (3, 0, 0, "soon", False, False), (9, 0, 0, "", False, True)], "project_id long, base_tokens long, base_vision long, since string, gate_open boolean, paused boolean")
+    out = {r.project_id: (r.minutes_used, r.state) for r in metrics.budget_state(usage, windows, 1000, 10, 20.0, "2024-01-01 11:00:00").collect()}
+    assert out == {1: (30.0, "exceeded"), 2: (10.0, "within"), 3: (0.0, "within"), 4: (1.0, "within"), 9: (0.0, "user_paused")}
+
+
+def test_mention_numbers_and_warnings(spark):
+    rows = spark.createDataFrame([(1, "figure", 1, i * 3, f"s{i}") for i in range(12)], "doc_id long, kind string, fig_ord long, mention_no long, snippet string")
+    assert sorted((r.mention_index, r.mention_no) for r in mentions.number_mentions(rows).collect()) == [(i + 1, i * 3) for i in range(8)]
+    unmatched = spark.createDataFrame([(1, str(9 - i), f"Fig. {9 - i}", 1, 10 + i) for i in range(8)], "doc_id long, key string, label string, page int, first_hit long")
+    pages = spark.createDataFrame([(1, 1, " \u00a0\n" * 40 + "few words"), (1, 2, "x" * 40)], "doc_id long, page int, text string")
+    figures = spark.createDataFrame([(1, 1), (1, 2)], "doc_id long, page int")
+    out = mentions.layout_warnings(unmatched, pages, figures).collect()
+    assert sorted(r.label for r in out if r.warning == "unmatched") == [f"Fig. {n}" for n in range(4, 10)] and [r.page for r in out if r.warning == "text_light"] == [1]
+
+
+def test_abstracts_are_kept_as_they_came(spark):
+    papers = spark.createDataFrame([(1, 1, "a", " ", None), (2, 1, "b", "old", 1999), (3, 1, "c", None, None)], "ord long, request_id long, arxiv_id string, abstract string, year int")
+    meta = spark.createDataFrame([("a", " new\n", 2001), ("b", "x", 2002), ("c", " \u00a0", 2003)], "arxiv_id string, abstract string, year int")
+    assert {r.ord: (r.abstract, r.year) for r in retrieve.enrich_abstracts(papers, meta).collect()} == {1: (" new\n", 2001), 2: ("old", 1999), 3: (None, 2003)}
+
+
+def test_tables_are_found_again_by_page_and_label(spark):
+    tables = spark.createDataFrame([(1, 1, "t1", "Table 1", "cap", "p", 0), (1, 1, "t2", "Table 1", "other", "p", 1), (1, 2, "t3", None, "c3", "p", 0), (1, 3, "t4", "Table 4", None, "p", 0)], "doc_id long, page int, table_id string, label string, caption string, path string, ord int")
+    figures = spark.createDataFrame([], "doc_id long, page int, figure_id string, label string, caption string, path string, sha256 string")
+    made = evidence.table_evidence(tables).withColumn("source_path", F.lit("moved"))
+    out = {r.locator.split(":")[2]: r.reason for r in evidence.verify_visuals(made, figures, tables).collect()}
+    assert out == {"t1": None, "t2": "hash differs", "t3": "table missing", "t4": None}
+
+
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.range(200).selectExpr("id", "concat('v', id) AS v", "0 AS at")
+    assert len(resolve.upsert_into(path, rows, ["id"], "at", 16)) == 16
+    times = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    before = times()
+    change = spark.createDataFrame([(5, "new", 1), (5, "newest", 2), (1000, None, 1), (6, "v6", 0)], "id long, v string, at int")
+    touched = resolve.upsert_into(path, change, ["id"], "at", 16)
+    after = times()
+    assert 1 <= len(touched) <= 2 and all(f"_part={f.split('_part=')[1].split('/')[0]}" in {f"_part={p}" for p in touched} for f in before.keys() ^ after.keys()) and all(after[f] == before[f] for f in before.keys() & after.keys())
+    out = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert len(out) == 201 and (out[5], out[1000], out[6], out[7]) == ("newest", None, "v6", "v7")
+    latest = change.where("v IS NULL OR v <> 'new'")
+    assert resolve.upsert_into(path, latest, ["id"], "at", 16) == [] and times() == after
+
+
+def test_constraints(spark):
+    rows = spark.createDataFrame([(1, "a", "queued"), (1, "a", "running"), (2, None, "odd"), (2, None, None), (3, "b", "done")], "k int, ref string, status string")
+    parents = spark.createDataFrame([("b",), ("c",)], "name string")
+    C = ledger.Constraint
+    rules = [C("u", "unique", "t", ("k", "ref")), C("r", "reference", "t", ("ref",), "p", ("name",)), C("s", "allowed", "t", ("status",), values=("queued", "running", "done")), C("o", "at_most_one", "t", ("k",), active="status IN ('queued', 'running')")]
+    out = {(r.rule, r.key): r.n_rows for r in ledger.audit_constraints({"t": rows, "p": parents}, rules).collect()}
+    assert out == {("u", "1|a"): 2, ("r", "a"): 2, ("s", "odd"): 1, ("o", "1"): 2}
+    with pytest.raises(ValueError):
+        ledger.audit_constraints({"t": rows}, [C("x", "other", "t", ("k",))])
+
+
+def test_captions_of_a_kind(spark):
+    blocks = spark.createDataFrame([(1, 1, 0, 10.0, 20.0, "Table 1 rows"), (1, 1, 1, 60.0, 70.0, "Figure 2. far")], "doc_id long, page int, ord int, y0 double, y1 double, text string")
+    regions = spark.createDataFrame([(1, 1, 0, 22.0, 40.0)], "doc_id long, page int, region_id int, y0 double, y1 double")
+    from citegrid.operators import layout
+
+    assert [layout.nearest_caption(regions, blocks, kind).first().caption for kind in ("figure", "table")] == ["Figure 2. far", "Table 1 rows"]
+
+
+def test_query_names_are_not_taken_twice():
+    from citegrid.plans import registry
+
+    registry.queries()
+
+    def k02_final_rank(t):
+        return t("papers")
+
+    with pytest.raises(ValueError):
+        registry.query()(k02_final_rank)
 
 
 def test_partitions_do_not_matter(spark, sf_dir):
