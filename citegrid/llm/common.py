@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +33,27 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives the memory that it no longer needs back to the machine when its task ends.
+
+    A worker lives on for the tasks of later stages; what its allocators keep (some 100 MB after large texts) would add up
+    with what other workers and the executor hold.
+    """
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library has no such call
+
+    return wrapped

@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, releasing, written
 from .text_kernels import mix
+from .url_filter import BROADCAST_BLOCKS, bloom_blocks, possible
 
 SIMILARITY, RUN = 0.8, 3
 #: Target recall, places a table samples, and the chance that a place agrees at the largest distance.
@@ -386,7 +387,11 @@ def _doc_runs(rows: DataFrame) -> DataFrame:
 def _routed(rows: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
     """Matches of rows (row_id, text) with items beyond one block: each row goes to the blocks that it shares a rare run with."""
     items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), "items")
-    hits = written(_doc_runs(rows).join(_item_runs(items), "run").select("row_id", "block").distinct(), "routes")
+    rare = written(_item_runs(items), "rare-runs")
+    probes, (blooms, size) = _doc_runs(rows).withColumnRenamed("run", "key"), bloom_blocks(rare.select(F.col("run").alias("key")).distinct(), rare.count())
+    if size <= BROADCAST_BLOCKS:  # a document's runs are told apart where they are made, and only those that an item may have are shuffled
+        probes = possible(probes, blooms, size)
+    hits = written(probes.withColumnRenamed("key", "run").join(rare, "run").select("row_id", "block").distinct(), "routes")
     parts = hits.groupBy("block").agg(F.expr(f"cast(ceil(count(1) / {PART_ROWS}) as int)").alias("parts"))
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part")
     asked = rows.join(hits.join(parts, "block").select("row_id", "block", part), "row_id").select("row_id", "text", "block", "part")
@@ -417,7 +422,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 ids = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(_arrays([(ids[m[0]], *m[1:]) for m in _found(built(), part.column(1).to_pylist())]), names=_names(_SCHEMA))
 
-    return slim.mapInArrow(run, _SCHEMA)
+    return slim.mapInArrow(releasing(run), _SCHEMA)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -440,4 +445,4 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 keep[[m[0] for m in _found(built(), part.column(text_col).to_pylist())]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import releasing, written
 from .simhash import components, dealt, gathered, joined, links, majority, shingle_hashes, tile_columns
 from .text_kernels import mix
 
@@ -81,7 +81,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             for ids, _, sets, digests in _hashed(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(sets)], names=_names(_SETS))
 
-    return docs.mapInArrow(run, _SETS)
+    return docs.mapInArrow(releasing(run), _SETS)
 
 
 def minima(own: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def marks(docs: DataFrame) -> DataFrame:
                 sketches = pa.array([sketch_of(low) for low in lows], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists([bands_of(low) for low in lows]), sketches], names=_names(_MARKS))
 
-    return docs.mapInArrow(run, _MARKS)
+    return docs.mapInArrow(releasing(run), _MARKS)
 
 
 def _stars(root: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def families(nodes: DataFrame) -> DataFrame:
             a, b = (np.concatenate([f[j] for f in found]) if found else np.empty(0, dtype=np.int64) for j in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    linked = gathered(members, ["key"], payload).mapInArrow(run, "a long, b long").distinct()
+    linked = gathered(members, ["key"], payload).mapInArrow(releasing(run), "a long, b long").distinct()
     return components(linked).select(F.col("root").alias("family"), "id").join(nodes.select("id", "comp"), "id")
 
 

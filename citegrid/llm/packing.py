@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import releasing, written
 
 #: Tokens of a sequence; a rest of r tokens stays whole if at most r / SLACK tokens of its class's share stay unused.
 CAPACITY, SLACK = 1024, 16
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 [pa.array(x, pa.int32() if j in (5, 6) else pa.int64()) for j, x in enumerate(out)], names=[x.split()[0] for x in _PIECES.split(", ")]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(run), _PIECES)
 
 
 def _merge_rests(fills: dict[int, int], capacity: int) -> dict[int, tuple[int, int]]:

@@ -22,10 +22,12 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, releasing, written
 
 #: Labelled rows that training reads at most; toxic rows a term must stand in; folds.
 TRAIN_ROWS, SUPPORT, FOLDS = 20_000, 4, 4
@@ -136,7 +138,7 @@ def with_features(docs: DataFrame, lexicons: list[Lexicon], text_col: str = "tex
                 made = pa.array(rows, pa.list_(pa.field("element", pa.float64(), nullable=False)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], names=[*kept, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -180,7 +182,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
 
     size = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = lambda i, y: F.count_if((F.col("fold") == i) & (F.col("toxic") == y))
-    counts = rows.select("text", F.col("toxic").cast("int"), "fold").mapInArrow(run, "term string, toxic int, fold int").groupBy("term")
+    counts = rows.select("text", F.col("toxic").cast("int"), "fold").mapInArrow(releasing(run), "term string, toxic int, fold int").groupBy("term")
     counts = counts.agg(*[of(i, y).alias(f"n{i}{y}") for i in range(FOLDS) for y in (0, 1)])
     marks = []
     for left in (*range(FOLDS), None):
@@ -214,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = written(made.select((F.col("fold") % 2).alias("half"), F.col("toxic").cast("double").alias("label"), "_features").coalesce(6), "features").withColumn("_vector", array_to_vector("_features"))
     boosted = GBTClassifier(featuresCol="_vector", labelCol="label", predictionCol="_prediction", maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=3, seed=seed)
     boosted = boosted.setProbabilityCol("_probability").setRawPredictionCol("_rawPrediction")
-    trees = [boosted.fit(made.where(F.col("half") == h)) for h in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:  # rounds are short jobs of few tasks: both halves run at once
+        trees = list(pool.map(inheritable_thread_target(lambda h: boosted.copy().fit(made.where(F.col("half") == h))), (0, 1)))
     judged = [t.transform(made.where(F.col("half") != h)).select("label", vector_to_array("_probability")[1].alias("_raw")) for h, t in enumerate(trees)]
     # Equal scores are one row with their number as its weight, so that no task gets all rows of a frequent score.
     grouped = judged[0].unionByName(judged[1]).groupBy("_raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("_weight"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import releasing, written
 
 #: Parts of a vector, entries of a codebook, rounds, factor of the integers.
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
@@ -131,7 +131,7 @@ def assign(points: np.ndarray, tree: Tree, book: Book) -> tuple[list[tuple[int,
         node, other = node[order], other[order]
         level += 1
     first = np.flatnonzero(np.diff(node, prepend=-1))
-    for i, j in zip(first.tolist(), np.append(first[1:], len(node)).tolist(), strict=True):
+    for i, j in pairwise([*first.tolist(), len(node)]):
         own = slice(tree.start[node[i]], tree.end[node[i]])
         near = np.sort(np.concatenate([book.order[above.start[o] : above.end[o]] for o in other[i:j]]))
         left.append(np.arange(own.start, own.stop))
@@ -199,7 +199,7 @@ def blocks(rows: DataFrame, width: int, parts: int, block: int = BLOCK, leaf: in
                 lists = [pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(c)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([made], kind)], names=schema.names)
 
-    return written(rows.select("id", "label", "vector").mapInArrow(run, schema), "vector-blocks")
+    return written(rows.select("id", "label", "vector").mapInArrow(releasing(run), schema), "vector-blocks")
 
 
 class _Read:
@@ -242,7 +242,7 @@ def next_codebooks(made: DataFrame, codebooks: np.ndarray, leaf: int = LEAF) ->
         columns = [*[pa.array(k, pa.int32()) for k in keys], sums, pa.array(np.repeat(count[part, entry], shape[2]), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SUMS.split(", ")])
 
-    sums = made.select("trees").mapInArrow(run, _SUMS).groupBy("part", "entry", "component").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = made.select("trees").mapInArrow(releasing(run), _SUMS).groupBy("part", "entry", "component").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     out = codebooks.copy()
     for r in sums.collect():  # a row for each component of the codebooks at most
         out[r["part"], r["entry"], r["component"]] = int(r["total"]) // r["n"]
@@ -267,7 +267,7 @@ def coded(made: DataFrame, codebooks: np.ndarray, leaf: int = LEAF) -> DataFrame
                 code = [digits[i : i + step] for i in range(0, len(digits), step)]
                 yield pa.RecordBatch.from_arrays([ids, labels, pa.array(code, pa.string()), pa.array([min(e, LONG_MAX) for e in error.tolist()], pa.int64())], names=schema.names)
 
-    return made.mapInArrow(run, schema)
+    return made.mapInArrow(releasing(run), schema)
 
 
 def product_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
@@ -282,7 +282,7 @@ def product_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     kept = kept.where(F.size("vector") == width)
     starts = [r["vector"] for r in first.where(F.size("vector") == width).take(entries)]
     made = blocks(kept if starts else kept.where("false"), width, parts)
-    whole = integers(pa.array(starts, pa.list_(pa.float64())), width).reshape(len(starts), parts, -1)
+    whole = integers(pa.array(starts, pa.list_(pa.float64())), width).reshape(len(starts), parts, width // parts)
     codebooks = np.ascontiguousarray(whole.transpose(1, 0, 2))
     for _ in range(rounds if starts else 0):
         codebooks = next_codebooks(made, codebooks)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import partitions, scratch, written
 
 #: Payload bytes after which a writer starts a new file; gzip level; date of the archives written here.
-FILE_BYTES, LEVEL, DATE = 16 << 20, 1, "19970101000000"
+FILE_BYTES, MAX_TASKS, LEVEL, DATE = 1 << 30, 4096, 1, "19970101000000"
 #: Timestamp of a record without a usable date in a file without one.
 UNDATED = "1970-01-01T00:00:00Z"
 ARC_FIELDS = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -320,8 +320,8 @@ def convert(index: DataFrame, arc_folder: str, warc_folder: str, min_bytes: int
         files.close()
         return pa.table({"file": pa.array(list(counts), pa.string()), "records": pa.array(list(counts.values()), pa.int64())})
 
-    # A set number of partitions: by size Spark would put this small plan into one task, which would convert every file.
-    count = max(1, index.agg(F.count_distinct("file")).first()[0])
+    # A set number of partitions: by size Spark would put this small plan into one task. Beyond it a task converts several files.
+    count = max(1, min(MAX_TASKS, index.agg(F.count_distinct("file")).first()[0]))
     return written(plan.repartition(count, "file").groupBy("file").applyInArrow(run, "file string, records long"), "warc-files")
 
 
