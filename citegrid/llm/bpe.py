@@ -283,14 +283,6 @@ def id_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
-def id_list(ids: Column) -> Column:
-    """Packed ids as an array of integers."""
-    digits = F.hex(ids)
-    number = lambda i: F.concat(*[F.substring(digits, i * 8 + 7 - 2 * k, F.lit(2)) for k in range(4)])
-    some = F.sequence(F.lit(0).cast("long"), id_count(ids) - 1)
-    return F.when(id_count(ids) > 0, F.transform(some, lambda i: F.conv(number(i.cast("int")), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
-
-
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     rows = decode(encode(docs.select("doc_id", "text"), tokenizer).select("doc_id", "ids"), tokenizer)

@@ -43,7 +43,7 @@ WIDE, LIMIT, LONG_MAX = 1 << 28, 1 << 62, (1 << 63) - 1
 
 def is_wide(values: np.ndarray) -> bool:
     """Whether squares of differences may not fit 64 bits."""
-    return bool(len(values)) and max(-int(values.min()), int(values.max())) > WIDE
+    return bool(values.size) and max(-int(values.min()), int(values.max())) > WIDE
 
 
 class Tree(NamedTuple):
