@@ -32,9 +32,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def normalize_title(c: Column, unicode: str = "lower") -> Column:
-    """Lower case, everything but letters, digits and underscores a space, collapsed; 'nfkc' folds in Python."""
-    folded = nfkc_casefold(c) if unicode == "nfkc" else F.lower(c)
+def normalize_title(c: Column, unicode: str = "nfkc") -> Column:
+    """Compatibility forms and case folded, everything but letters, digits and underscores a space, collapsed; 'lower' only
+    lowers case.
+
+    ASCII texts, for which both are the same, are not sent to the worker that folds.
+    """
+    ascii_only = c.rlike(r"^\p{ASCII}*$")
+    folded = F.coalesce(nfkc_casefold(F.when(~ascii_only, c)), F.lower(c)) if unicode == "nfkc" else F.lower(c)
     return collapse(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s]", " "))
 
 

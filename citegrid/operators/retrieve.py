@@ -35,7 +35,8 @@ def _terms(values: Sequence[str]) -> list[str]:
 
 
 def search_text() -> Column:
-    return T.normalize_title(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
+    """Title and abstract as phrases are looked for in them: whole texts, so case is lowered where they lie."""
+    return T.normalize_title(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))), "lower")
 
 
 def concept_filter(papers: DataFrame, groups: Sequence[Sequence[str]], excluded: Sequence[str], literal_terms: int = LITERAL_TERMS) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import layout as L
 from ..functions import text as T
 from ..operators import layout, metrics, retrieve, review
 from ..sources import files
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from .layout_queries import BLOCKS, COUNT, HEADINGS, LOW, READ, TYPE, WIDTH, blocks, sections
 from .registry import query
 from .search_queries import host, within
@@ -19,16 +19,37 @@ from .search_queries import host, within
 NAMES = "(SELECT c_nationkey AS nation, string_agg(CASE WHEN c_nationkey % 5 = 0 THEN lower(c_name) ELSE c_name END, chr(10) ORDER BY c_name) || chr(10) AS body FROM customer GROUP BY 1)"
 
 
-@query(f"SELECT CAST(nation AS INT) AS nation, octet_length(encode(body)) AS length, sha256(body) AS sha256, CASE WHEN nation % 5 = 0 THEN 'not a pdf' END AS reason FROM {NAMES}")
+@query(f"SELECT CAST(nation AS INT) AS nation, octet_length(encode(body)) AS length, sha256(body) AS sha256, CASE WHEN nation % 5 = 0 THEN 'not a pdf' END AS reason, CASE WHEN nation % 5 > 0 THEN nation % 2 = 1 END AS is_new FROM {NAMES}")
 def s08_land_binaries(t):
-    """Files of customers' names, one a nation; those in lower case lack the magic bytes."""
+    """Files of customers' names, one a nation; those in lower case lack the magic bytes, even nations were landed before."""
     nation = F.col("c_nationkey")
     lines = t("customer").select(nation.alias("nation"), F.when(nation % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("value"))
     path = scratch(lines.sparkSession, "binaries")
     lines.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
-    good, bad = files.land_binaries(lines.sparkSession, path, magic="Customer", suffix=".txt")
-    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
-    return both.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "length", "sha256", "reason")
+    first, bad = files.land_binaries(lines.sparkSession, path, magic="Customer", suffix=".txt")
+    nation_of = F.regexp_extract("path", r"nation=(\d+)", 1).cast("int")
+    known = first.where(nation_of % 2 == 0).select(F.concat(F.lit("earlier/"), F.regexp_extract("path", r"nation=\d+", 0)).alias("path"), "sha256")
+    good, _ = files.land_binaries(lines.sparkSession, path, magic="Customer", suffix=".txt", known=known)
+    new = F.col("is_new") & ~F.startswith("path", F.lit("earlier/"))  # what is not new has the earlier path
+    both = good.withColumn("reason", F.lit(None).cast("string")).withColumn("is_new", new).unionByName(bad, allowMissingColumns=True)
+    return both.select(nation_of.alias("nation"), "length", "sha256", "reason", "is_new")
+
+
+@query("SELECT ord, title, year FROM {papers} WHERE year BETWEEN 2005 AND 2010")
+def x04_landed_papers(t):
+    """Papers through a Python data source: a partition a file, the range of years pushed into it."""
+    papers = t("papers").select("ord", "stable_id", "title", "year", "citation_count")
+    spark, path = papers.sparkSession, scratch(papers.sparkSession, "landed-papers")
+    papers.repartitionByRange(4, "year").write.parquet(path)
+    name = files.register_source(spark, files.LandedPapers)
+    pushed = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(pushed, "false")
+    spark.conf.set(pushed, "true")
+    try:
+        read = spark.read.format(name).option("path", path).load().where("year >= 2005 AND year <= 2010")
+        return written(read.select("ord", "title", "year"), "read")  # read while the setting holds
+    finally:
+        spark.conf.set(pushed, before)
 
 
 @query("SELECT id, project_id, tokens FROM {usage}")

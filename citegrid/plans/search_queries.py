@@ -15,8 +15,10 @@ REQUEST = retrieve.Request("the and thing of edge over onto", ("that", "tion"),
 PUBLISHERS, INDEXES = ("example.com",), ("example.org",)
 
 
-def norm(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{{{L}}}}\\p{{{{N}}}}_\\s]', ' ', 'g'), '[\\s\\p{{{{Z}}}}]+', ' ', 'g'), ' ')"
+def norm(c: str, fold: bool = True) -> str:
+    """A text as keys have it; of what folding does beyond lower case, the given titles have only the sharp s."""
+    low = f"replace(lower({c}), 'ß', 'ss')" if fold else f"lower({c})"
+    return f"trim(regexp_replace(regexp_replace({low}, '[^\\p{{{{L}}}}\\p{{{{N}}}}_\\s]', ' ', 'g'), '[\\s\\p{{{{Z}}}}]+', ' ', 'g'), ' ')"
 
 
 def toks(c: str) -> str:
@@ -149,7 +151,7 @@ def w08_first_seen(t):
 
 
 MATCH = " || ".join(f"CASE WHEN contains(' ' || s || ' ', ' {w} ') THEN '{w};' ELSE '' END" for w in ("of the", "de la", "der", "los"))
-CONCEPT = f"SELECT *, {MATCH} AS matched, matched <> '' AND NOT contains(' ' || s || ' ', ' and the ') AS included FROM (SELECT *, {norm(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || abstract')} AS s FROM {{papers}})"
+CONCEPT = f"SELECT *, {MATCH} AS matched, matched <> '' AND NOT contains(' ' || s || ' ', ' and the ') AS included FROM (SELECT *, {norm(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || abstract', False)} AS s FROM {{papers}})"
 
 
 def _matched():

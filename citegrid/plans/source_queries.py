@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,24 +304,33 @@ def stream_of(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def stream_of_parts(parts: list[DataFrame], label: str) -> DataFrame:
-    """A stream that gives the parts one after the other, a micro-batch each: files land in this order, with times of their own."""
-    path = scratch(parts[0].sparkSession, label)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str) -> None:
+    """Run a stream until its files are used up: each micro-batch writes its own folder, in complete mode the last one stays."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """What the stream gives, as a table: each micro-batch writes its own folder, in complete mode the last one stays."""
+    """What the stream gives, as a table."""
     spark = stream.sparkSession
     out = scratch(spark, label)
+    run_to_end(stream, out, scratch(spark, label), mode)
+    return spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/batch=*")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch={number}'}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, label)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/batch=*")
+def drained_in_parts(parts: list[DataFrame], of: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What a stream of the parts gives, one after the other: each lands in as many files as Spark writes, and the stream goes on
+    from where it ended before."""
+    spark = parts[0].sparkSession
+    path, out, checkpoint = (scratch(spark, label) for _ in range(3))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        stream = of(spark.readStream.schema(part.schema).parquet(path))
+        run_to_end(stream, out, checkpoint, "append")
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
 @query("SELECT project_id % 50 AS key FROM {traces} GROUP BY 1")
@@ -345,7 +356,7 @@ def t02_sliding_windows(t):
     marker = last.select(F.lit(1).cast("long").alias("id"), F.lit(-1).cast("long").alias("project_id"), F.lit(True).alias("success"), F.lit(0).cast("long").alias("latency_ms"), F.col("m").alias("created_at"))
     closed = rows.where(late).join(F.broadcast(last), F.col("created_at") < F.date_trunc("day", F.col("m")) - F.expr("interval 2 days")).select(*rows.columns)
     parts = [rows.where(~late).unionByName(marker), marker, closed]  # a watermark drops late rows from the next batch but one
-    out = drained(live.windowed_trace_metrics(stream_of_parts(parts, "traces"), "1 day", "12 hours", "10 minutes"), "windows")
+    out = drained_in_parts(parts, lambda stream: live.windowed_trace_metrics(stream, "1 day", "12 hours", "10 minutes"), "windows")
     return out.where("project_id >= 0").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "project_id", "total", "failed")
 
 
@@ -359,15 +370,35 @@ def t03_budget_gate(t):
     cuts = [None, *rows.select(F.expr("percentile_approx(unix_micros(created_at), array(0.25, 0.5, 0.75))").alias("c")).first()["c"], None]
     micros = F.unix_micros("created_at")
     parts = [rows.where((F.lit(a is None) | (micros > (a or 0))) & (F.lit(b is None) | (micros <= (b or 0)))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    with rocksdb(spark):
+        return drained_in_parts(parts, lambda stream: live.budget_gate(stream, 100000, 6), "gates").select("project_id", "id", "reason", "tokens", "vision")
+
+
+@contextmanager
+def rocksdb(spark):
+    """The state store that stateful processors need, for the streams within."""
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return drained(live.budget_gate(stream_of_parts(parts, "usage"), 100000, 6), "gates").select("project_id", "id", "reason", "tokens", "vision")
+        yield
     finally:
         spark.conf.set(store, before)
 
 
+@query("""WITH b AS (SELECT project_id, time_bucket(INTERVAL '1 hour', created_at) AS start, sum(CASE WHEN id % 97 > 0 THEN tokens ELSE 0 END) AS tk, count_if(id % 97 > 0 AND kind = 'vision') AS vn, count_if(id % 97 = 0) AS acks FROM {usage} GROUP BY ALL),
+s AS (SELECT *, coalesce(sum(CASE WHEN acks > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM b WHERE start + INTERVAL '1 hour' <= (SELECT max(created_at) FROM {usage}) - INTERVAL '10 minutes'),
+r AS (SELECT *, sum(tk) OVER w AS t, sum(vn) OVER w AS v FROM s WINDOW w AS (PARTITION BY project_id, stretch ORDER BY start ROWS UNBOUNDED PRECEDING))
+SELECT project_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, CASE WHEN t >= 100000 THEN 'tokens' ELSE 'vision' END AS reason, CAST(t AS BIGINT) AS tokens, CAST(v AS BIGINT) AS vision FROM r WHERE t >= 100000 OR v >= 6 QUALIFY row_number() OVER (PARTITION BY project_id, stretch ORDER BY start) = 1""")
+def t03_window_gate(t):
+    """The whole table as one stream of as many files as Spark writes."""
+    kind = F.when(F.col("id") % 97 == 0, "ack").otherwise(F.col("kind")).alias("kind")
+    rows = t("usage").select("project_id", kind, "tokens", F.col("created_at").cast("timestamp").alias("created_at"))
+    with rocksdb(rows.sparkSession):
+        out = drained(live.window_gate(stream_of(rows, "usage"), 100000, 6), "gates")
+    return out.select("project_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "reason", "tokens", "vision")
+
+
 @query("SELECT project_id, item_key, status, attempts FROM {work_items} QUALIFY row_number() OVER (PARTITION BY project_id, item_key ORDER BY updated_at DESC, ord DESC) = 1")
 def t04_live_blocks(t):
     rows = t("work_items").select("project_id", "item_key", "status", "attempts", "updated_at", "ord")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 PARSED = (
@@ -29,16 +29,22 @@ def read_parsed(spark: SparkSession, path: str, multi_line: bool = True) -> dict
     return {c: docs.select("document_id", F.posexplode(c).alias("ord", "r")).select("document_id", "ord", "r.*") for c in CHILDREN}
 
 
-def land_binaries(spark: SparkSession, path: str, max_bytes: int = 50 << 20, magic: str = "%PDF-", suffix: str = ".pdf") -> tuple[DataFrame, DataFrame]:
-    """Files that may enter (path, length, sha256; one a content), and the others with the reason.
+def land_binaries(spark: SparkSession, path: str, max_bytes: int = 50 << 20, magic: str = "%PDF-", suffix: str = ".pdf", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files that may enter (path, length, sha256, is_new; one a content), and the others with the reason.
 
-    Only length and hash leave the scan; contents are never shuffled. Spark's file scan leaves empty files out.
+    A content that `known` (path, sha256) has gives that earlier entry instead, and is not new. Only length and hash leave the
+    scan; contents are never shuffled. Spark's file scan leaves empty files out.
     """
     files = spark.read.format("binaryFile").load(path)
     begins = F.decode(F.substring("content", 1, len(magic)), "ISO-8859-1") == magic
     reason = F.when(~F.endswith(F.lower("path"), F.lit(suffix)), "suffix").when(F.col("length") > max_bytes, "too large").when(~begins, "not a pdf")
     slim = files.select("path", "length", F.sha2("content", 256).alias("sha256"), reason.alias("reason"))
     good = slim.where("reason IS NULL").groupBy("sha256").agg(F.min("path").alias("path"), F.min_by("length", "path").alias("length"))
+    if known is None:
+        good = good.withColumn("is_new", F.lit(True))
+    else:
+        had = known.groupBy("sha256").agg(F.min("path").alias("_had"))
+        good = good.join(had, "sha256", "left").withColumn("is_new", F.col("_had").isNull()).withColumn("path", F.coalesce("_had", "path")).drop("_had")
     return good, slim.where("reason IS NOT NULL")
 
 
@@ -87,6 +93,57 @@ def judge_batch(df: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], sc
     return df.mapInPandas(run, f"{schema}, {error_column} string")
 
 
+class LandedPapers(DataSource):
+    """A reader for register_source to start from: Parquet files of papers wherever pyarrow's file systems reach.
+
+    Options: path, a folder's URI. Each file is a partition; comparisons of the year are pushed down to the files' statistics
+    and rows, and only the columns of the schema are read; rows come as Arrow batches.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "landed_papers"
+
+    def schema(self) -> str:
+        return "ord long, stable_id string, title string, year int, citation_count int"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PapersReader(self.options["path"], [f.name for f in schema])
+
+
+class _PapersReader(DataSourceReader):
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns, self.bounds = path, columns, []
+
+    def pushFilters(self, filters):  # noqa: N802  Spark's name
+        for f in filters:
+            op = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}.get(type(f))
+            if op and f.attribute == ("year",):
+                self.bounds.append((op, f.value))
+            else:
+                yield f  # Spark applies what is not taken over
+
+    def partitions(self) -> list[InputPartition]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.path)
+        return [InputPartition(f) for f in sorted(ds.dataset(folder, filesystem=store, format="parquet").files)]
+
+    def read(self, partition: InputPartition):
+        import operator
+
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        test = None
+        for op, value in self.bounds:
+            one = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}[op](ds.field("year"), value)
+            test = one if test is None else test & one
+        store, _ = fs.FileSystem.from_uri(self.path)
+        yield from ds.dataset(partition.value, filesystem=store, format="parquet").to_batches(columns=self.columns, filter=test)
+
+
 def register_source(spark: SparkSession, reader: type[DataSource]) -> str:
     """Make a Python data source available to spark.read.format(name); gives the name."""
     if not issubclass(reader, DataSource):

@@ -68,6 +68,53 @@ def budget_gate(stream: DataFrame, tokens: int, vision: int) -> DataFrame:
     return stream.groupBy("project_id").transformWithStateInPandas(BudgetGate(tokens, vision), schema, "Append", "None")
 
 
+class WindowGate(StatefulProcessor):
+    """Per project: tokens and vision calls since the last acknowledged window; one event when a limit is reached.
+
+    Rows are sums of closed windows (start, tokens, vision, acks), a few a project; they come in the order of their windows over
+    micro-batches, and are put into it within one.
+    """
+
+    def __init__(self, tokens: int, vision: int):
+        self.limits = tokens, vision
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("window_budget", "tokens long, vision long, open boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        used, seen, is_open = self.state.get() if self.state.exists() else (0, 0, False)
+        events = []
+        for start, tokens, vision, acks in pd.concat(rows)[["start", "tokens", "vision", "acks"]].sort_values("start").itertuples(index=False):
+            used, seen = used + int(tokens), seen + int(vision)
+            over = "tokens" if used >= self.limits[0] else "vision" if seen >= self.limits[1] else None
+            if over and not is_open:
+                events.append((key[0], start, over, used, seen))
+                is_open = True
+            if acks:
+                used, seen, is_open = 0, 0, False
+        self.state.update((used, seen, is_open))
+        yield pd.DataFrame(events, columns=["project_id", "start", "reason", "tokens", "vision"])
+
+    def close(self) -> None:
+        pass
+
+
+def window_gate(stream: DataFrame, tokens: int, vision: int, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Gate events of (project_id, created_at, kind, tokens) by windows of time; needs the RocksDB state store.
+
+    Usage is summed by project and window first, combined before the shuffle, and a window is judged once, when the watermark
+    has closed it: so neither the split into micro-batches nor their order within the delay changes an event, and a project
+    with very many rows costs the gate one row a window. An acknowledgement (kind ack) takes effect at the end of its window.
+    """
+    ack = F.col("kind") == "ack"
+    sums = stream.withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("w"), "project_id").agg(
+        F.coalesce(F.sum(F.when(~ack, F.col("tokens"))), F.lit(0)).alias("tokens"), F.count_if(F.col("kind") == "vision").alias("vision"), F.count_if(ack).alias("acks"),
+    )
+    closed = sums.select("project_id", F.col("w.start").alias("start"), "tokens", "vision", "acks")
+    schema = "project_id long, start timestamp, reason string, tokens long, vision long"
+    return closed.groupBy("project_id").transformWithStateInPandas(WindowGate(tokens, vision), schema, "Append", "None")
+
+
 def live_upsert(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch to the log at target; read_live gives the current rows."""
 

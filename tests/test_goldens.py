@@ -574,3 +574,47 @@ def test_budget_gate(spark, tmp_path):
     want = [(7, 2, "tokens", 30, 0), (7, 9, "tokens", 30, 0), (8, 51, "vision", 2, 2), (8, 54, "tokens", 40, 1)]
     for out in (whole, parts):
         assert sorted(map(tuple, out)) == want
+
+
+def test_window_gate_does_not_depend_on_batches(spark, tmp_path):
+    hour = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
+    usage = [(7, "text", 10, hour(h, m)) for h in range(8) for m in (5, 50)] + [(7, "ack", 99, hour(3, 10)), (8, "vision", 1, hour(0, 1)), (8, "vision", 1, hour(2, 1)), (8, "text", 60, hour(2, 30)), (8, "ack", 0, hour(2, 59)), (8, "text", 50, hour(5, 0)), (9, "text", 500, hour(9, 30)), (9, "text", 1, hour(10, 0))]
+    rows = spark.createDataFrame(usage, "project_id long, kind string, tokens long, at string").select("project_id", "kind", "tokens", F.to_timestamp("at").alias("created_at"))
+    want = {(7, 2, "tokens", 60, 0), (7, 6, "tokens", 60, 0), (8, 2, "tokens", 62, 2), (8, 5, "tokens", 50, 0)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for label, cuts in (("one", ["true"]), ("four", [f"hour(created_at) BETWEEN {a} AND {b}" for a, b in ((0, 1), (2, 2), (3, 6), (7, 23))])):
+            path = str(tmp_path / label)
+            for i, cut in enumerate(cuts):
+                rows.where(cut).repartition(2).write.mode("append").parquet(path)
+                stream = live.window_gate(spark.readStream.schema(rows.schema).parquet(path), 50, 9)
+                write = lambda batch, n, label=label: batch.write.mode("overwrite").parquet(f"{tmp_path}/{label}-out/batch={n}")
+                stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/{label}-check").trigger(availableNow=True).start().awaitTermination(120)
+            got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/{label}-out/batch=*")
+            assert {(r.project_id, r.start.hour, r.reason, r.tokens, r.vision) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_landed_papers_are_read_in_parts(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS ord", "'s' AS stable_id", "'t' AS title", "cast(2000 + id % 20 AS int) AS year", "1 AS citation_count")
+    rows.repartitionByRange(4, "year").write.parquet(str(tmp_path / "papers"))
+    name = files.register_source(spark, files.LandedPapers)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format(name).option("path", f"file://{tmp_path}/papers").load().where("year >= 2005 AND year < 2008 AND ord > 10")
+        assert df.rdd.getNumPartitions() == 4 and sorted(r.ord for r in df.collect()) == [i for i in range(11, 100) if 2005 <= 2000 + i % 20 < 2008]
+        left = df._jdf.queryExecution().executedPlan().toString().split("Filter")[1].split("\n")[0]
+        assert "> 10" in left and "2005" not in left and "2008" not in left
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_landed_contents_give_their_earlier_entry(spark, tmp_path):
+    for name, data in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2")):
+        (tmp_path / name).write_bytes(data)
+    first, _ = files.land_binaries(spark, str(tmp_path))
+    assert all(r.is_new for r in first.collect())
+    known = first.where("path LIKE '%a.pdf'").select(F.lit("old/a.pdf").alias("path"), "sha256")
+    again, _ = files.land_binaries(spark, str(tmp_path), known=known)
+    assert {(r.path[-9:], r.is_new) for r in again.collect()} == {("old/a.pdf", False), (f"{tmp_path}/b.pdf"[-9:], True)}
