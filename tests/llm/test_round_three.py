@@ -103,8 +103,8 @@ def test_vector_codes_odd(spark):
     assert vector_codes.compressed_vectors(spark.createDataFrame([(None, [0.0] * 4, 1), (1, [], 1), (2, [1.0] * 3, 1)], schema)).count() == 0
     rows = [(5, [1.0, 2.0, 3.0, 4.0], None), (5, [1.0, 2.0, 3.0, 4.0], None), (5, [0.0] * 4, 1), (None, [9.0] * 4, None), (8, [1.0] * 8, 1)]
     out = sorted(((r.vec_id or 0, r.code, r.error, r.label_error) for r in vector_codes.compressed_vectors(spark.createDataFrame(rows, schema)).collect()))
-    # The entries are 0 (once) and 1, 2, 3, 4 (twice); 9 is nearest to the larger ones, which are then means of 1 (2, ..) and 9.
-    assert [(i, c) for i, c, _, _ in out] == [(0, "01010101"), (5, "00000000"), (5, "01010101"), (5, "01010101")] and out[1][2:] == (0, 0) and len({r[3] for r in out if r[1] != "00000000"}) == 1
+    # The entries begin as 0 and twice 1, 2, 3, 4, of which the first gets all; with 9 its mean moves away, and the second keeps the pair.
+    assert out == [(0, "01010101", 0, 0), (5, "00000000", 0, 0), (5, "02020202", 0, 0), (5, "02020202", 0, 0)]
 
 
 # periodic runs
@@ -297,3 +297,72 @@ def test_bpe_odd(spark, odd, empty, library):  # noqa: F811
         from public_tokenizers import path as place
 
         bpe.Model(place("byte_bpe_50k.json"))
+
+
+# toxicity, word by word
+
+
+def plain_word(word):
+    """What a word is: without edges and case, and with the signs that stand for letters."""
+    import re
+    import string
+
+    edge = lambda x: re.sub(r"^\W+|\W+$", "", x)
+    low = edge(word.lower())
+    plain = edge("".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}.get(c, "" if c in "*-_." else c) for c in word.lower()))
+    signs = set(string.digits) | set("@$*!_.")
+    hidden = any(i and word[i - 1].isalpha() and (j := next((j for j in range(i, len(word)) if word[j] not in signs), len(word))) < len(word) and word[j].isalpha() for i in range(len(word)) if word[i] in signs)
+    drawn = any(low[i].isalnum() | (low[i] == "_") and low[i : i + 4] == low[i] * 4 for i in range(len(low) - 3))
+    return low, plain, hidden or drawn
+
+
+def plain_features(text, words, stems):
+    from citegrid.llm import toxicity as X
+
+    n, rows = len(text.split()), []
+    for w in text.split():
+        low, plain, odd_word = plain_word(w)
+        rows.append((low in X.INSULTS or plain in X.INSULTS, low in words or plain in words, any(low[:k] in stems for k in (4, 5, 6)), low in X.SECOND_PERSON, len(low) > 1 and w.isupper(), w[-1] in "!?", odd_word, any(c in ".,;:!?" for c in w)))
+    if not n:
+        return [0.0] * len(X.NAMES)
+    total = [sum(r[i] for r in rows) for i in range(8)]
+    near = sum(any(r[:3]) and any(rows[j][3] for j in range(max(0, i - X.NEAR), min(n, i + X.NEAR + 1))) for i, r in enumerate(rows))
+    log = math.log1p
+    return [total[0] / n, total[1] / n, total[2] / n, log(total[1]), log(total[2]), total[3] / n, near / n, total[4] / n, total[5] / n, total[6] / n, log(n), total[7] / n]
+
+
+def test_toxicity_features_are_the_plain_ones(spark, sf_dir):
+    from citegrid.llm import toxicity
+
+    texts = ["", "You IDIOT, go!", "st*pid yoooou 1d10t ... u.s a_b !!", "DU Trottel? " * 30, "é3é x1 1x a1b a.b. you"] + [r.text for r in table(spark, sf_dir, "documents").limit(60).collect()]
+    words, stems = frozenset(["erst", "thean", "idiot"]), frozenset(["tion", "troll", "ander"])
+    codes = toxicity._Codes(words, stems)
+    for text in texts:
+        assert toxicity.features_of(text, codes) == pytest.approx(plain_features(text, words, stems), abs=1e-12)
+
+
+def test_toxicity_terms_are_the_plain_ones(spark):
+    """Terms of each fold's lexicon, counted row by row over texts of few words."""
+    from citegrid.llm import toxicity
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        toxic = int(i % 6 == 0)
+        text = " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "tempor", "zzz" if toxic else "sit", "grumpf" if toxic and rng.random() < 0.7 else "elit", f"rare{i}"]) for _ in range(14))
+        rows.append((text, toxic, i % 4))
+    found = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    for left, lexicon in zip((0, 1, 2, 3, None), found, strict=True):
+        used, terms = [r for r in rows if r[2] != left], {}
+        for text, toxic, _ in used:
+            for term in {("w", w) for w in text.split() if len(w) > 2} | {("s", w[:n]) for w in text.split() for n in (4, 5, 6) if len(w) > n}:
+                terms.setdefault(term, [0, 0])[toxic] += 1
+        ones = sum(r[1] for r in used)
+        share = ones / len(used)
+        kept = set()
+        for term, (other, toxic) in terms.items():
+            lift = ((toxic + 0.1) / (ones + 1)) / ((other + 0.1) / (len(used) - ones + 1))
+            chance = (toxic + other) * share
+            if toxic >= toxicity.SUPPORT and lift >= toxicity.LIFT and toxic - chance >= toxicity.DEVIATIONS * math.sqrt(chance * (1 - share) + 0.25):
+                kept.add(term)
+        assert kept and (set(lexicon[0]), set(lexicon[1])) == ({t for k, t in kept if k == "w"}, {t for k, t in kept if k == "s"})
