@@ -145,7 +145,7 @@ def f16_head_mentions(t):
     return mentions.head_mentions(t("mention_pages"))
 
 
-@query()
+@query("""SELECT doc_id, page, hit_ord, CAST(0 AS INT) AS pos, 'figure' AS kind, regexp_extract(text, 'Fig\\. (\\d+)', 1) AS key, text AS snippet FROM {mention_pages} UNION ALL SELECT doc_id, page, hit_ord, 1, 'table', regexp_extract(text, 'Table (\\d+)', 1), text FROM {mention_pages}""")
 def x02_mention_hits(t):
     return mentions.mention_hits(t("mention_pages"))
 

@@ -279,9 +279,9 @@ def j13_resolve_crops(t):
     return evidence.resolve_crops(rows, figures, tables).select("evidence_id", "crop", "caption")
 
 
-@query()
+@query(f"SELECT ord, {norm('title')} AS norm_title FROM {{papers}}")
 def x01_nfkc_casefold(t):
-    return t("papers").select("ord", T.normalize_title(F.col("title"), "nfkc").alias("norm_title"))
+    return t("papers").select("ord", T.normalize_title(F.col("title")).alias("norm_title"))
 
 
 @query("SELECT doc_id, length(text) / 10.0 AS score FROM documents")
