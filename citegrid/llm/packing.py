@@ -11,7 +11,8 @@ Ids are those of `Tokenizer.from_file(path).encode(text, add_special_tokens=Fals
 `<|endoftext|>`) inside a text is that token's id.
 
 Edge cases: a null or empty text is the single end token; a long text is encoded and cut like any other, with memory for
-itself and its ids; repeated rows and equal ids are packed each; an empty table gives no rows; further columns,
+itself and its ids; repeated rows and equal ids are packed each; pieces of one length are ranked as their tasks read them, so
+that which bin of a class each gets is not fixed by its content; an empty table gives no rows; further columns,
 whatever their names, are ignored.
 """
 

@@ -7,7 +7,8 @@ run costs, never which documents stay.
 
 Edge cases: a null text has no words; documents of fewer than 20 words fail the base rule; a very long text is read piece by
 piece and its words are known by hashes of 8 bytes, so that no list of its words is held; repeated rows are judged each; an
-empty table gives no rows (and rules in the order given); further columns, whatever their names, are ignored.
+empty table gives no rows (and rules in the order given); of rules with equal rejection per cost the cheaper comes first, then the
+one given first; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 Lists hold exact canonical URLs and host-and-path rules. Both are keys; each URL is expanded to the few keys that
 could match it, the filter drops keys that no list holds, and the join removes false positives.
 
-Edge cases: a null URL or one without `://` has an empty host and path and is allowed; a repeated page is judged as
-often as it comes; empty lists allow everything; an empty table gives no rows; further columns are ignored.
+Edge cases: a null URL or one without `://` has an empty host and path and is allowed; a very long URL gives one key for each
+length of a rule's path and label of its host; of rules of equal length that fit, the one that is later in the alphabet decides; a
+repeated page is judged as often as it comes; empty lists allow everything; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
