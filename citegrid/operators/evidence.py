@@ -175,8 +175,10 @@ def evidence_pool(text: DataFrame, visual: DataFrame) -> DataFrame:
 
 
 def resolve_crops(evidence: DataFrame, figures: DataFrame, tables: DataFrame) -> DataFrame:
-    """Picture and caption of visual evidence: figures by path, tables by page and label."""
-    figure = evidence.where("evidence_type = 'figure'").join(figures.select("doc_id", F.col("path").alias("source_path"), F.col("caption").alias("_caption")), ["doc_id", "source_path"], "left").withColumn("crop", F.col("source_path"))
+    """Picture and caption of visual evidence: figures by path, tables by page and label; the first by ord where several have one."""
+    order = F.col("ord") if "ord" in figures.columns else F.coalesce("caption", F.lit(""))
+    named = figures.groupBy("doc_id", F.col("path").alias("source_path")).agg(F.min_by(F.struct("caption"), order).alias("_c"))
+    figure = evidence.where("evidence_type = 'figure'").join(named, ["doc_id", "source_path"], "left").withColumn("crop", F.col("source_path")).withColumn("_caption", F.col("_c.caption")).drop("_c")
     first = tables.where("crop IS NOT NULL").groupBy("doc_id", "page", "label").agg(F.min_by(F.struct("crop", "caption"), "ord").alias("_t"))
     table = evidence.where("evidence_type = 'table'").join(first, ["doc_id", "page", "label"], "left").withColumn("crop", F.col("_t.crop")).withColumn("_caption", F.col("_t.caption")).drop("_t")
     return figure.unionByName(table).withColumn("caption", F.coalesce("_caption", "excerpt")).drop("_caption")

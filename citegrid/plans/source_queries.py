@@ -205,9 +205,14 @@ def f04_reconstruct_abstract(t):
     return rows.select("doc_id", F.sha2(T.reconstruct_abstract(F.col("index")).cast("binary"), 256).alias("abstract_hash"))
 
 
-@query("SELECT doc_id, substr(trim(regexp_replace(substr(text, 41, 400), '[\\s\\p{{Z}}]+', ' ', 'g'), ' '), 1, 400) AS snippet FROM documents")
+@query("""SELECT doc_id, start, substr(trim(regexp_replace(substr(text, greatest(0, start - 160) + 1, start + 240 - greatest(0, start - 160)), '[\\s\\p{{Z}}\\x1C-\\x1F\\x85]+', ' ', 'g'), ' '), 1, 400) AS snippet
+FROM (SELECT doc_id, text, unnest(list_distinct([0, 100, CAST(length(text) // 2 AS INT), CAST(greatest(0, length(text) - 1) AS INT)])) AS start FROM documents)""")
 def f15_mention_snippet(t):
-    return t("documents").select("doc_id", T.mention_snippet(F.col("text"), F.lit(200)).alias("snippet"))
+    """Around the first character, the hundredth, the middle and the last one of each text."""
+    n = F.char_length("text")
+    places = F.array_distinct(F.array(F.lit(0), F.lit(100), F.floor(n / 2).cast("int"), F.greatest(F.lit(0), n - 1)))
+    rows = t("documents").select("doc_id", "text", F.explode(places).alias("start"))
+    return rows.select("doc_id", "start", T.mention_snippet(F.col("text"), F.col("start")).alias("snippet"))
 
 
 NUMBERED = "CASE WHEN ord % 7 = 0 THEN '- ' || ord || ' -' WHEN ord % 7 = 1 THEN ' XIV ' WHEN ord % 7 = 2 THEN 'page ' || ord ELSE text END"
@@ -274,7 +279,7 @@ def a32_layout_quality(t):
 @query("SELECT evidence_id, CASE evidence_type WHEN 'figure' THEN 'path' || evidence_id ELSE CASE WHEN page % 2 = 0 THEN 'crop' || page END END AS crop, CASE evidence_type WHEN 'figure' THEN 'cap' || evidence_id ELSE CASE WHEN page % 2 = 0 THEN 'tab' || page ELSE claim END END AS caption FROM {evidence} WHERE evidence_type <> 'text'")
 def j13_resolve_crops(t):
     rows = t("evidence").select("evidence_id", "evidence_type", "page", F.col("paper_id").alias("doc_id"), F.lit("Table 1").alias("label"), F.concat(F.lit("path"), "evidence_id").alias("source_path"), F.col("claim").alias("excerpt"))
-    figures = rows.where("evidence_type = 'figure'").select("doc_id", F.col("source_path").alias("path"), F.concat(F.lit("cap"), "evidence_id").alias("caption"))
+    figures = rows.where("evidence_type = 'figure'").select("doc_id", F.col("source_path").alias("path"), F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.concat(F.lit(c), "evidence_id").alias("caption")) for i, c in ((1, "a later "), (0, "cap"))])).alias("f")).select("doc_id", "path", "f.*")
     tables = rows.where("page % 2 = 0").select("doc_id", "page", "label", F.concat(F.lit("crop"), "page").alias("crop"), F.concat(F.lit("tab"), "page").alias("caption"), F.lit(0).alias("ord")).distinct()
     return evidence.resolve_crops(rows, figures, tables).select("evidence_id", "crop", "caption")
 
@@ -333,10 +338,16 @@ def drained_in_parts(parts: list[DataFrame], of: Callable[[DataFrame], DataFrame
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
-@query("SELECT project_id % 50 AS key FROM {traces} GROUP BY 1")
+@query("SELECT project_id % 50 AS key, (epoch_us(created_at) // 1000000 - 1704067200) // 691200 AS part FROM {traces} GROUP BY ALL")
 def t01_dedup_requests(t):
-    rows = t("traces").select((F.col("project_id") % 50).alias("key"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    return drained(live.dedup_requests(stream_of(rows, "requests"), key="key"), "deduplicated").select("key")
+    """Requests of spans of eight days, each drawn together into its first day: within a span a request stands once, and a
+    span later it is forgotten."""
+    second = F.unix_seconds(F.col("created_at").cast("timestamp")) - 1704067200
+    part = F.floor(second / 691200)
+    rows = t("traces").select((F.col("project_id") % 50).alias("key"), part.alias("part"), F.timestamp_seconds(1704067200 + part * 691200 + F.floor(second % 691200 / 8)).alias("ts"))
+    last = rows.agg(F.max("part")).first()[0]
+    parts = [rows.where(F.col("part") == i) for i in range(int(last) + 1)]
+    return drained_in_parts(parts, lambda stream: live.dedup_requests(stream, key="key"), "deduplicated").select("key", "part")
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', created_at), '%Y-%m-%d %H:%M:%S') AS start, project_id, count(*) AS total, count_if(NOT success) AS failed, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM {traces} GROUP BY ALL")
