@@ -265,15 +265,19 @@ def a28_score_tasks(t):
     return evals.score_tasks(rows.select("conv_id", "turn", category.alias("category"), reference.alias("reference"), prediction.alias("prediction"))).select("conv_id", "turn", "score", "passed")
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS label_found, doc_id % 3 = 0 AS mentions_found, doc_id % 6 = 0 AS all_pass FROM documents")
+@query("""WITH f AS (SELECT doc_id, list(DISTINCT label) AS labels, min(CASE WHEN label = 'Fig. 3' THEN page END) AS fp, max(caption) AS body FROM {figures} GROUP BY 1),
+m AS (SELECT doc_id, list(DISTINCT page) AS pages, list(DISTINCT CASE WHEN contains(text, 'Fig. 9 ') THEN page END) AS mp, count(DISTINCT page) AS n, list(DISTINCT CASE page % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'experiment' ELSE 'other' END) AS types FROM {mention_pages} GROUP BY 1),
+q AS (SELECT doc_id, list_contains(labels, 'Fig. 3') AS label_found, coalesce(fp = 1 + doc_id % 6, false) AS page_right, list_contains(mp, 4) AS mentions_found, NOT contains(body, 'blue') AS header_absent, n >= 6 AS page_numbers, NOT list_contains(pages, 1 + doc_id % 12) AS references_excluded, list_contains(types, 'method') AS sections_typed FROM f JOIN m USING (doc_id))
+SELECT *, label_found AND page_right AND mentions_found AND header_absent AND page_numbers AND references_excluded AND sections_typed AS all_pass FROM (SELECT doc_id, coalesce(label_found, false) AS label_found, page_right, coalesce(mentions_found, false) AS mentions_found, header_absent, page_numbers, references_excluded, sections_typed FROM q)""")
 def a32_layout_quality(t):
-    d = F.col("doc_id")
-    rows = t("documents").select(
-        "doc_id", F.array(F.when(d % 2 == 0, "Fig. 1").otherwise("Fig. 2")).alias("figure_labels"), F.lit("Fig. 1").alias("gold_label"), F.lit(1).alias("figure_page"), F.lit(1).alias("gold_page"), F.array(F.lit(2)).alias("gold_mention_pages"),
-        F.array(F.when(d % 3 == 0, 2).otherwise(3)).alias("mention_pages"), F.lit("HEAD").alias("gold_header"), F.lit("body").alias("body_text"), F.lit(4).alias("n_page_numbers"), F.lit(4).alias("n_pages"), F.lit(4).alias("gold_references_page"),
-        F.array(F.lit(1)).alias("evidence_pages"), F.array(F.lit("method")).alias("gold_section_types"), F.array(F.lit("method")).alias("section_types"),
-    )
-    return evals.layout_quality(rows).select("doc_id", "label_found", "mentions_found", "all_pass")
+    """Documents' figures and mentions against what each should have."""
+    d, lit = F.col("doc_id"), F.lit
+    figures = t("figures").groupBy("doc_id").agg(F.collect_set("label").alias("figure_labels"), F.min(F.when(F.col("label") == "Fig. 3", F.col("page"))).alias("figure_page"), F.max("caption").alias("body_text"))
+    types = F.when(F.col("page") % 3 == 0, "method").when(F.col("page") % 3 == 1, "experiment").otherwise("other")
+    pages = t("mention_pages").groupBy("doc_id").agg(F.collect_set("page").alias("evidence_pages"), F.collect_set(F.when(F.contains("text", lit("Fig. 9 ")), F.col("page"))).alias("mention_pages"), F.count_distinct("page").alias("n_page_numbers"), F.collect_set(types).alias("section_types"))
+    gold = {"gold_label": lit("Fig. 3"), "gold_page": 1 + d % 6, "gold_mention_pages": F.array(lit(4)), "gold_header": lit("blue"), "n_pages": lit(6), "gold_references_page": (1 + d % 12).cast("int"), "gold_section_types": F.array(lit("method"))}
+    flags = ("label_found", "page_right", "mentions_found", "header_absent", "page_numbers", "references_excluded", "sections_typed", "all_pass")
+    return evals.layout_quality(figures.join(pages, "doc_id").withColumns(gold)).select("doc_id", *flags)
 
 
 @query("SELECT evidence_id, CASE evidence_type WHEN 'figure' THEN 'path' || evidence_id ELSE CASE WHEN page % 2 = 0 THEN 'crop' || page END END AS crop, CASE evidence_type WHEN 'figure' THEN 'cap' || evidence_id ELSE CASE WHEN page % 2 = 0 THEN 'tab' || page ELSE claim END END AS caption FROM {evidence} WHERE evidence_type <> 'text'")
