@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from array import array
 from collections.abc import Iterator
 from itertools import pairwise
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .text_kernels import pieces
 
 #: Chunks whose ids a worker keeps, rows and bytes handed on at once, symbols of a word whose tree has a row of a matrix.
-CACHED, GROUP_ROWS, GROUP_BYTES, SHORT = 250_000, 1024, 1 << 19, 65
+CACHED, GROUP_ROWS, GROUP_BYTES, SHORT = 400_000, 1024, 1 << 19, 65
 _NONE = 1 << 62
 _MODELS: dict[tuple[str, type], Tokens] = {}
 
@@ -185,6 +186,9 @@ class Model(Tokens):
         self.words = rules.pre_tokenizer.pre_tokenize_str if rules.pre_tokenizer else lambda x: [(w, None) for w in x.split()]
         if [w for w, _ in self.words(self.normalize("ab \n cd"))] != [w for x in ("ab", "cd") for w, _ in self.words(x)]:
             raise ValueError("only for tokenizers that drop white space: chunks between it are encoded one by one")
+        # A text with every pair of ASCII letters shows whether letters alone are one word, in lower case.
+        letters = "".join(a + b for a in string.ascii_letters for b in string.ascii_letters)
+        self.plain = self.normalize(letters) == letters.lower() and [w for w, _ in self.words(letters.lower())] == [letters.lower()]
         self.known: dict[bytes, bytes] = dict(self.packed)
         self.older: dict[bytes, bytes] = {}
 
@@ -195,7 +199,9 @@ class Model(Tokens):
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that are not known: normalized in one call, and split into words in one call but for those with a space."""
-        texts = self.normalize(b" ".join(chunks).decode()).split(" ")
+        alone = [c for c in chunks if c.isalpha()] if self.plain else []
+        chunks = [c for c in chunks if not c.isalpha()] if self.plain else chunks
+        texts = self.normalize(b" ".join(chunks).decode()).split(" ") if chunks else []
         if len(texts) != len(chunks):  # white space beyond ASCII
             texts = [self.normalize(c.decode()) for c in chunks]
         split: list[list[str]] = [[w for w, _ in self.words(t)] if " " in t else [] for t in texts]
@@ -206,10 +212,11 @@ class Model(Tokens):
         own = np.searchsorted(starts, np.array([span[0] for _, span in found], dtype=np.int64), side="right") - 1
         for (word, _), k in zip(found, own.tolist(), strict=True):
             split[owners[k]].append(word)
-        words = list(dict.fromkeys([w for ws in split for w in ws]))
+        lower = [c.decode().lower() for c in alone]
+        words = list(dict.fromkeys([*lower, *[w for ws in split for w in ws]]))
         ids = dict(zip(words, merged_words([self._symbols(w) for w in words], self.pairs), strict=True))
-        for i, chunk in enumerate(chunks):
-            self.known[chunk] = b"".join([ids[w] for w in split[i]])
+        self.known.update(zip(alone, [ids[w] for w in lower], strict=True))
+        self.known.update(zip(chunks, [b"".join([ids[w] for w in ws]) for ws in split], strict=True))
 
     def _flush(self, units: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
         """Encode the chunks of units (text, its chunks or one added token) and append them to their texts."""
