@@ -38,11 +38,9 @@ BLANK = "[ \\t\\n\\r\\f\\x0B]+"
 WORDS = f"list_filter(regexp_split_to_array(text, '{BLANK}'), lambda w: w <> '')"
 
 
-def indexed(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, index: a map of each word of a text to its places."""
-    words = F.filter(F.split(text, BLANK), lambda w: w != "")
-    places = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places"))
-    return places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+def indexed(text: str):
+    """A map of each word of a text to its places; null where it has none."""
+    return T.inverted_index(F.filter(F.split(text, BLANK), lambda w: w != ""))
 
 
 @query(f"""SELECT '10.5/a' || doc_id AS stable_id, 'W' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source || ' in ' || lang ELSE coalesce(nullif({HEAD}, ''), 'Untitled') END AS title, sha256(nullif(array_to_string({WORDS}, ' '), '')) AS abstract_hash,
@@ -51,9 +49,9 @@ def s01_read_openalex(t):
     d, n, none = F.col("doc_id"), F.col("n_chars"), F.lit(None).cast("string")
     author = lambda c, orcid: F.struct(F.struct(c.alias("display_name"), orcid.alias("orcid")).alias("author"))
     best = F.when(d % 3 < 2, F.struct(F.concat(F.lit("https://oa.example/"), d).alias("landing_page_url"), F.when(d % 3 == 0, F.concat(F.lit("https://oa.example/"), d, F.lit(".pdf"))).otherwise("").alias("pdf_url")))
-    works = t("documents").join(indexed(t("documents"), "text"), "doc_id", "left").select(
+    works = t("documents").select(
         F.concat(F.lit("https://openalex.org/W"), d).alias("id"), F.concat(F.lit("https://doi.org/10.5/A"), d).alias("doi"), F.when(d % 3 > 0, F.concat("source", F.lit(" in "), "lang")).otherwise("").alias("display_name"), head_line().alias("title"),
-        (1990 + n % 35).alias("publication_year"), (n - 900).alias("cited_by_count"), F.col("index").alias("abstract_inverted_index"), best.alias("best_oa_location"),
+        (1990 + n % 35).alias("publication_year"), (n - 900).alias("cited_by_count"), indexed("text").alias("abstract_inverted_index"), best.alias("best_oa_location"),
         F.array(author(F.col("lang"), F.concat(F.lit("o:"), d)), author(F.lit(""), none), author(F.col("source"), none)).alias("authorships"), F.struct(F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
     )
     out = records.read_openalex(works.sparkSession, landed(works, "works"))
@@ -200,8 +198,7 @@ def f03_bare_doi(t):
 
 @query(f"SELECT doc_id, sha256(nullif(array_to_string({WORDS}, ' '), '')) AS abstract_hash FROM documents")
 def f04_reconstruct_abstract(t):
-    docs = t("documents")
-    rows = docs.select("doc_id").join(indexed(docs, "text"), "doc_id", "left")
+    rows = t("documents").select("doc_id", indexed("text").alias("index"))
     return rows.select("doc_id", F.sha2(T.reconstruct_abstract(F.col("index")).cast("binary"), 256).alias("abstract_hash"))
 
 

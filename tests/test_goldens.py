@@ -13,6 +13,7 @@ from citegrid.functions import access as A
 from citegrid.functions import layout as L
 from citegrid.functions import text as T
 from citegrid.operators import access, evals, evidence, ledger, mentions, metrics, resolve, retrieve, review
+from citegrid.plans import source_queries
 from citegrid.sources import files, records
 from citegrid.sources.scratch import shared_dir
 from citegrid.streaming import live
@@ -618,3 +619,17 @@ def test_landed_contents_give_their_earlier_entry(spark, tmp_path):
     known = first.where("path LIKE '%a.pdf'").select(F.lit("old/a.pdf").alias("path"), "sha256")
     again, _ = files.land_binaries(spark, str(tmp_path), known=known)
     assert {(r.path[-9:], r.is_new) for r in again.collect()} == {("old/a.pdf", False), (f"{tmp_path}/b.pdf"[-9:], True)}
+
+
+def shuffles(df):
+    """Exchanges of a query's plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_inverted_index_within_the_row(spark):
+    texts = ["b a b", "", None, "one", "x " * 3000 + "y x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "b a b")], "doc_id int, text string")
+    out = rows.select("doc_id", source_queries.indexed("text").alias("index"))
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r["index"] for r in got] == [{"a": [1], "b": [0, 2]}] * 2 + [None, None, {"one": [0]}, {"x": [*range(3000), 3001], "y": [3000]}]
+    assert shuffles(out) == 0
