@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import core_key, strip_marker, visual_key
-from ..functions.text import strip
+from ..functions.text import schema_of, strip
 
 #: How figures and tables are referred to, and how a compound reference goes on.
 FIGURE_REF = r"\b(?:fig(?:ures?|s)?\.?)\s*(S?\d+(?:\(?[a-z]\)?)?)\b"
@@ -42,6 +46,13 @@ def _references(text: str) -> list[tuple[str, str, int]]:
     return found + [("table", m[1], m.start()) for m in _TABLE.finditer(text)]
 
 
+def _hits(text: str) -> list[tuple[str, str, int, str]]:
+    """(kind, key, place, snippet) of every reference of a text."""
+    found = _references(text)
+    around = {at: " ".join(text[max(0, at - 160) : at + 240].split())[:400] for at in {at for _, _, at in found}}
+    return [(kind, key.translate(_NO_BRACKETS).strip().lower(), at, around[at]) for kind, key, at in found]
+
+
 def find_mentions(text: Column) -> Column:
     """array<struct<kind, key, start, snippet>> with compound references and places, as an Arrow-backed UDF.
 
@@ -50,19 +61,31 @@ def find_mentions(text: Column) -> Column:
 
     @F.pandas_udf(_HIT)
     def run(values: pd.Series) -> pd.Series:
-        filled = values.fillna("")
-        return pd.Series([
-            [(kind, key.translate(_NO_BRACKETS).strip().lower(), at, " ".join(x[max(0, at - 160) : at + 240].split())[:400]) for kind, key, at in _references(x)]
-            for x in filled
-        ], index=values.index, dtype=object)
+        return pd.Series([_hits(x) for x in values.fillna("")], index=values.index, dtype=object)
 
     return run(text)
 
 
 def mention_hits(pages: DataFrame) -> DataFrame:
-    """doc_id, page, hit_ord, pos, kind, key, snippet of every reference."""
-    found = pages.select("doc_id", "page", "hit_ord", F.posexplode(find_mentions(F.col("text"))).alias("pos", "h"))
-    return found.select("doc_id", "page", "hit_ord", "pos", "h.kind", "h.key", "h.snippet")
+    """doc_id, page, hit_ord, pos, kind, key, snippet of every reference.
+
+    One pass over Arrow batches that gives flat columns; a text that stands several times in a batch is searched once.
+    """
+    keys = ["doc_id", "page", "hit_ord"]
+    made = {"pos": pa.int32(), "kind": pa.string(), "key": pa.string(), "snippet": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keys)).dictionary_encode()
+            found = [_hits(text) for text in texts.dictionary.to_pylist()]
+            rows = [(pos, kind, key, snippet) for hits in found for pos, (kind, key, _, snippet) in enumerate(hits)]
+            if rows:
+                flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), made.values(), strict=True)], names=list(made))
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), flat).take(texts.indices)
+                of = pc.list_parent_indices(lists)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(of) for j in range(len(keys))), *lists.flatten().flatten()], names=[*keys, *made])
+
+    return pages.select(*keys, "text").mapInArrow(run, schema_of(pages, keys) + "pos int, kind string, key string, snippet string")
 
 
 def link_mentions(hits: DataFrame, visuals: DataFrame) -> DataFrame:
@@ -107,7 +130,8 @@ def greedy_attach(hits: DataFrame, visuals: DataFrame, cap: int = 6) -> DataFram
 
     The choice depends on what came before, but only among equal numbers: a document is parted by kind and leading number
     of the key. Of hits with one key and snippet, only as many count as there are visuals, since each takes one of them or
-    finds none open from then on; the others are dropped before they are grouped.
+    finds none open from then on; the others are dropped before. Spark sorts each part, visuals first; then one pass runs
+    over the sorted rows and holds the visuals of one part at a time.
     """
     keyed = visuals.withColumn("key", visual_key(F.col("label"))).where("key IS NOT NULL").select("doc_id", "kind", "fig_ord", "key", "caption")
     number = F.coalesce(core_key(F.col("key")), F.col("key"))
@@ -116,26 +140,42 @@ def greedy_attach(hits: DataFrame, visuals: DataFrame, cap: int = 6) -> DataFram
     have = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_visuals"))
     again = F.row_number().over(Window.partitionBy(*by, "key", "snippet").orderBy("hit_ord", "pos"))
     useful = numbered.join(have, by).withColumn("_again", again).where(F.col("_again") <= F.col("_visuals")).select(*by, "key", "hit_ord", "pos", "page", "snippet")
-
-    def run(of, hit: pd.DataFrame, visual: pd.DataFrame) -> pd.DataFrame:
-        shelf = visual.sort_values("fig_ord").reset_index(drop=True)
-        captions = shelf["caption"].fillna("").str.split().str.join(" ")
-        taken: list[dict[str, int]] = [{} for _ in captions]  # by visual: snippet to its number
-        by_key = {k: list(g) for k, g in shelf.groupby("key").groups.items()}  # visuals that are not full, by key
-        rows = []
-        for key, page, snippet in hit.sort_values(["hit_ord", "pos"])[["key", "page", "snippet"]].itertuples(index=False):
-            names = {key, of[2]}
-            free = heapq.merge(*[by_key.get(n, []) for n in names])
-            place = next((v for v in free if snippet not in taken[v] and captions[v] != snippet), None)
-            if place is None:
-                continue
-            taken[place][snippet] = len(taken[place]) + 1
-            rows.append((of[0], of[1], shelf["fig_ord"][place], page, snippet, len(taken[place])))
-            if len(taken[place]) == cap:
-                by_key[shelf["key"][place]].remove(place)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _ATTACHED.split(", ")])
-
-    return useful.groupBy(*by).cogroup(keyed.groupBy(*by)).applyInPandas(run, _ATTACHED)
+    shelf = keyed.select(*by, "key", F.lit(False).alias("is_hit"), F.col("fig_ord").alias("at"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("page"), F.coalesce("caption", F.lit("")).alias("text"))
+    rows = shelf.unionByName(useful.select(*by, "key", F.lit(True).alias("is_hit"), F.col("hit_ord").alias("at"), "pos", "page", F.col("snippet").alias("text")))
+    return rows.repartition(*by).sortWithinPartitions(*by, "is_hit", "at", "pos").mapInArrow(_attach(cap), _ATTACHED)
+
+
+def _attach(cap: int):
+    """Batches of rows sorted by part, visuals before hits, to the hits' visuals."""
+    names = [c.split()[0] for c in _ATTACHED.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shelf, by_key = None, [], {}  # by visual: number, caption and the snippets it took; visuals that are not full, by key
+        for batch in batches:
+            out = []
+            for doc, kind, number, key, is_hit, at, _, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, kind, number) != part:
+                    part, shelf, by_key = (doc, kind, number), [], {}
+                if not is_hit:
+                    by_key.setdefault(key, []).append(len(shelf))
+                    shelf.append((at, " ".join(text.split()), {}))
+                    continue
+                free = heapq.merge(*[by_key.get(n, []) for n in {key, number}])
+                place = next((v for v in free if text not in shelf[v][2] and shelf[v][1] != text), None)
+                if place is None:
+                    continue
+                fig, _, taken = shelf[place]
+                taken[text] = len(taken) + 1
+                out.append((doc, kind, fig, page, text, len(taken)))
+                if len(taken) == cap:
+                    for open_ones in by_key.values():
+                        if place in open_ones:
+                            open_ones.remove(place)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return run
 
 
 def top_mentions(mentions: DataFrame, n: int = 4, distinct: bool = True) -> DataFrame:

@@ -633,3 +633,24 @@ def test_inverted_index_within_the_row(spark):
     got = sorted(out.collect(), key=lambda r: r.doc_id)
     assert [r["index"] for r in got] == [{"a": [1], "b": [0, 2]}] * 2 + [None, None, {"one": [0]}, {"x": [*range(3000), 3001], "y": [3000]}]
     assert shuffles(out) == 0
+
+
+def test_greedy_attach_calls_no_group(spark):
+    """Parts are passed over as sorted rows, over batches too, and never called one by one."""
+    hits = spark.range(5000).select(F.floor(F.col("id") / 5).alias("doc_id"), F.lit("figure").alias("kind"), F.lit("1").alias("key"), F.col("id").alias("hit_ord"), F.lit(0).alias("pos"), F.lit(1).alias("page"), F.concat(F.lit("s"), F.col("id") % 5).alias("snippet"))
+    figs = spark.range(2000).select(F.floor(F.col("id") / 2).alias("doc_id"), F.lit("figure").alias("kind"), F.col("id").alias("fig_ord"), F.lit("Fig. 1").alias("label"), F.lit(" s0 ").alias("caption"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = mentions.greedy_attach(hits, figs, cap=2)
+        rows = sorted((r.doc_id, r.fig_ord - 2 * r.doc_id, r.snippet, r.mention_no) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows == [(d, *r) for d in range(1000) for r in ((0, "s1", 1), (0, "s2", 2), (1, "s3", 1), (1, "s4", 2))]
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+
+
+def test_mention_hits_are_flat(spark):
+    pages = spark.createDataFrame([(1, 1, 1, "see fig. 2, 3 and Table 4"), (1, 1, 2, None), (1, 2, 3, "no such"), (2, 1, 4, "Fıg 7")], "doc_id long, page int, hit_ord long, text string")
+    out = mentions.mention_hits(pages)
+    assert sorted((r.hit_ord, r.pos, r.kind, r.key, r.snippet[:3]) for r in out.collect()) == [(1, 0, "figure", "2", "see"), (1, 1, "figure", "3", "see"), (1, 2, "table", "4", "see"), (4, 0, "figure", "7", "Fıg")]
+    assert "Generate" not in out._jdf.queryExecution().toString()
