@@ -34,9 +34,12 @@ class BudgetGate(StatefulProcessor):
 
     Rows: kind usage (tokens, vision) advances, kind ack starts anew and closes the gate. Rows of a micro-batch are taken
     in the order of their time and id, so micro-batches must come in that order too. A project's rows of one micro-batch are
-    held at once, as columns; the stream's reader bounds them (maxFilesPerTrigger), whatever a project has in all.
+    held at once; the stream's reader bounds them (maxFilesPerTrigger), whatever a project has in all. Most projects have a few
+    rows in a micro-batch, so they are gone through as plain values: frames would cost a project more than its rows.
     """
 
+    columns = ("created_at", "id", "kind", "tokens")
+
     def __init__(self, tokens: int, vision: int):
         self.limits = tokens, vision
 
@@ -45,18 +48,19 @@ class BudgetGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         used, seen, is_open = self.state.get() if self.state.exists() else (0, 0, False)
-        batch = pd.concat(rows).sort_values(["created_at", "id"], ignore_index=True)
-        ack = (batch["kind"] == "ack").to_numpy()
-        stretch = ack.cumsum()  # rows between two acknowledgements run on from the state or from nothing
-        tokens = batch["tokens"].where(~ack, 0).astype("int64").groupby(stretch).cumsum() + (stretch == 0) * used
-        vision = (batch["kind"] == "vision").astype("int64").groupby(stretch).cumsum() + (stretch == 0) * seen
-        over = (tokens >= self.limits[0]) | (vision >= self.limits[1])
-        first = batch.index[over & ~ack].to_series().groupby(stretch[over & ~ack]).min()
-        events = first[~((first.index == 0) & is_open)].to_numpy()
-        last = stretch[-1]
-        self.state.update((int(tokens.iloc[-1]), int(vision.iloc[-1]), bool(last in first.index or (last == 0 and is_open))))
-        rows = [(key[0], int(batch["id"][e]), "tokens" if tokens[e] >= self.limits[0] else "vision", int(tokens[e]), int(vision[e])) for e in events]
-        yield pd.DataFrame(rows, columns=["project_id", "id", "reason", "tokens", "vision"])
+        columns = [[v for part in parts for v in part] for parts in zip(*([part[c].to_numpy().tolist() for c in self.columns] for part in rows), strict=True)]
+        events = []
+        for _, i, kind, tokens in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
+            if kind == "ack":
+                used, seen, is_open = 0, 0, False
+                continue
+            used, seen = used + int(tokens), seen + (kind == "vision")
+            if not is_open and (used >= self.limits[0] or seen >= self.limits[1]):
+                events.append((key[0], i, "tokens" if used >= self.limits[0] else "vision", used, seen))
+                is_open = True
+        self.state.update((used, seen, is_open))
+        if events:
+            yield pd.DataFrame(events, columns=["project_id", "id", "reason", "tokens", "vision"])
 
     def close(self) -> None:
         pass

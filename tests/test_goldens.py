@@ -654,3 +654,15 @@ def test_mention_hits_are_flat(spark):
     out = mentions.mention_hits(pages)
     assert sorted((r.hit_ord, r.pos, r.kind, r.key, r.snippet[:3]) for r in out.collect()) == [(1, 0, "figure", "2", "see"), (1, 1, "figure", "3", "see"), (1, 2, "table", "4", "see"), (4, 0, "figure", "7", "Fıg")]
     assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_budget_gate_yields_no_empty_frames():
+    """A project without an event costs its rows only; rows are put in order over all frames of a micro-batch."""
+    at = pd.Timestamp("2024-01-01")
+    state = type("State", (), {"kept": None, "exists": lambda self: self.kept is not None, "get": lambda self: self.kept, "update": lambda self, v: setattr(self, "kept", v)})()
+    gate = live.BudgetGate(30, 2)
+    gate.state = state
+    frame = lambda *rows: pd.DataFrame([(at + pd.Timedelta(seconds=i), i, kind, n) for i, kind, n in rows], columns=["created_at", "id", "kind", "tokens"])
+    assert list(gate.handleInputRows((7,), iter([frame((2, "text", 10)), frame((1, "vision", 10))]), None)) == [] and state.kept == (20, 1, False)
+    (out,) = gate.handleInputRows((7,), iter([frame((5, "ack", 0), (6, "text", 31)), frame((4, "text", 1), (3, "vision", 0))]), None)
+    assert out.values.tolist() == [[7, 3, "vision", 20, 2], [7, 6, "tokens", 31, 0]] and state.kept == (31, 0, True)
