@@ -23,6 +23,16 @@ KEYWORDS = {
 }
 
 
+def pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of at most limit bytes, or of one row, so that what is made of them is small at any time."""
+    if batch.nbytes <= limit or batch.num_rows <= 1:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half), limit)
+        yield from pieces(batch.slice(half), limit)
+
+
 def chunks(pages: DataFrame, size: int = 950, overlap: int = 140, key: Sequence[str] = ("doc_id", "page")) -> DataFrame:
     """key, chunk_no, span_start, span_end, excerpt, sha256 of each chunk of the rows' text; blank texts give none.
 
@@ -34,7 +44,7 @@ def chunks(pages: DataFrame, size: int = 950, overlap: int = 140, key: Sequence[
     names = [*key, *[x.split()[0] for x in made.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rows, of = [], []
             for i, text in enumerate(batch.column(len(key))):
                 cut = T.chunk_spans(text.as_py() or "", size, overlap)

@@ -666,3 +666,11 @@ def test_budget_gate_yields_no_empty_frames():
     assert list(gate.handleInputRows((7,), iter([frame((2, "text", 10)), frame((1, "vision", 10))]), None)) == [] and state.kept == (20, 1, False)
     (out,) = gate.handleInputRows((7,), iter([frame((5, "ack", 0), (6, "text", 31)), frame((4, "text", 1), (3, "vision", 0))]), None)
     assert out.values.tolist() == [[7, 3, "vision", 20, 2], [7, 6, "tokens", 31, 0]] and state.kept == (31, 0, True)
+
+
+def test_batches_are_cut_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(9)), "text": ["x" * 100] * 8 + ["y" * 5000]})
+    cut = list(evidence.pieces(batch, 500))
+    assert [i for c in cut for i in c.column(0).to_pylist()] == list(range(9)) and all(c.nbytes <= 500 or c.num_rows == 1 for c in cut)
