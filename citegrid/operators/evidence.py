@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.layout import section_type
+from ..sources.batches import pieces
 
 #: For each part of an analysis, the section types it prefers and the words it looks for.
 SECTION_PREFERENCES = {"problem": ("abstract", "background"), "method": ("method",), "experiment": ("experiment",), "critical": ("discussion", "experiment")}
@@ -23,16 +24,6 @@ KEYWORDS = {
 }
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch's rows in slices of at most limit bytes, or of one row, so that what is made of them is small at any time."""
-    if batch.nbytes <= limit or batch.num_rows <= 1:
-        yield batch
-    else:
-        half = batch.num_rows // 2
-        yield from pieces(batch.slice(0, half), limit)
-        yield from pieces(batch.slice(half), limit)
-
-
 def chunks(pages: DataFrame, size: int = 950, overlap: int = 140, key: Sequence[str] = ("doc_id", "page")) -> DataFrame:
     """key, chunk_no, span_start, span_end, excerpt, sha256 of each chunk of the rows' text; blank texts give none.
 

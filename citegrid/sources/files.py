@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .batches import batch_of, frame_of, pieces
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 PARSED = (
@@ -69,9 +75,12 @@ def judge_batch(df: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], sc
     """Rows that a user's model gives for batches of df; of a batch that fails each row is judged alone.
 
     A row that fails alone gives one row with the error, and the columns that schema and df share, so that what is lost
-    does not depend on how rows fall into batches.
+    does not depend on how rows fall into batches. A batch is a piece of 4 MB, or one row, of what Spark sends (up to 64 MB),
+    as mapInPandas would show it: only the piece stands as Python values.
     """
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    whole_schema = f"{schema}, {error_column} string"
+    to, zone = to_arrow_schema(StructType.fromDDL(whole_schema)), df.sparkSession.conf.get("spark.sql.session.timeZone")
+    names = to.names[:-1]
 
     def failed(row: pd.DataFrame, error: Exception) -> pd.DataFrame:
         return row.reindex(columns=names).assign(**{error_column: f"{type(error).__name__}: {error}"})
@@ -86,11 +95,14 @@ def judge_batch(df: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], sc
                 for i in range(len(part)):
                     yield from judged(part.iloc[[i]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from judged(batch)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for piece in pieces(whole):
+                yield from (batch_of(frame, to, zone) for frame in judged(frame_of(piece)))
+            del whole, piece
+            gc.collect()  # frames that stand in circles keep the batch whose buffers they share
 
-    return df.mapInPandas(run, f"{schema}, {error_column} string")
+    return df.mapInArrow(run, whole_schema)
 
 
 class LandedPapers(DataSource):

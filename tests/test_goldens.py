@@ -1,5 +1,6 @@
 """Worked examples and properties that SQL twins do not cover."""
 
+import decimal
 import itertools
 import json
 import random
@@ -367,6 +368,18 @@ def test_judge_batch(spark):
     assert [(r.id, r.score, (r.judge_error or "")[:14]) for r in out] == [(1, 1.0, ""), (2, None, "AssertionError")]
 
 
+def test_judge_sees_small_pieces(spark):
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 400000) AS x", "TIMESTAMP '2024-01-01 05:00:00' AS at", "map('k', id) AS m", "cast(null AS string) AS gone")
+
+    def judge(p):
+        assert p["at"].dt.tz is None and p.m.iloc[0] == {"k": p.id.iloc[0]}
+        return pd.DataFrame({"id": p.id, "seen": p.x.str.len().sum(), "at": p["at"], "gone": p.gone, "price": p.id.map(decimal.Decimal)})
+
+    out = files.judge_batch(rows, judge, "id long, seen long, at timestamp, gone string, price decimal(10, 2)").collect()
+    assert sorted(r.id for r in out) == list(range(40)) and all(r.judge_error is None and r.gone is None and r.price == r.id and r["at"].hour == 5 for r in out)
+    assert max(r.seen for r in out) <= 4 << 20
+
+
 def test_python_source(spark):
     from pyspark.sql.datasource import DataSource, DataSourceReader
 
