@@ -178,6 +178,19 @@ def _attach(cap: int):
     return run
 
 
+def on_page(mentions: DataFrame, visuals: DataFrame, n: int, distinct: bool = True) -> DataFrame:
+    """visuals (doc_id, kind, page, fig_ord) with those mentions (doc_id, page, mention_no, snippet) of their page that can be among
+    their first n, distinct: by snippets.
+
+    These are the page's own first n, so mentions are combined and ranked by page before they meet its visuals; a visual with
+    several pages has more, to be ranked again.
+    """
+    keys = ["doc_id", "page"]
+    rows = mentions.groupBy(*keys, "snippet").agg(F.min("mention_no").alias("mention_no")) if distinct else mentions.select(*keys, "snippet", "mention_no")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("mention_no"))
+    return rows.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n").join(visuals.select(*keys, "kind", "fig_ord"), keys)
+
+
 def top_mentions(mentions: DataFrame, n: int = 4, distinct: bool = True) -> DataFrame:
     rows = mentions.groupBy("doc_id", "kind", "fig_ord", "snippet").agg(F.min("mention_no").alias("mention_no")) if distinct else mentions
     rank = F.row_number().over(Window.partitionBy("doc_id", "kind", "fig_ord").orderBy("mention_no"))

@@ -368,6 +368,21 @@ def test_judge_batch(spark):
     assert [(r.id, r.score, (r.judge_error or "")[:14]) for r in out] == [(1, 1.0, ""), (2, None, "AssertionError")]
 
 
+def test_mentions_meet_visuals_ranked(spark):
+    dice = random.Random(5)
+    hits = list(dict.fromkeys((dice.randrange(3), dice.randrange(3), dice.randrange(900)) for _ in range(300)))
+    hits = [(d, p, n, f"s{n % 7}") for d, p, n in hits]
+    figs = [(d, "figure", p, f) for d in range(3) for f in range(4) for p in {f % 3, (f * d) % 3}]  # some with two pages, one row twice
+    figs.append(figs[0])
+    rows = spark.createDataFrame(hits, "doc_id long, page int, mention_no long, snippet string")
+    visuals = spark.createDataFrame(figs, "doc_id long, kind string, page int, fig_ord long")
+    joined = rows.join(visuals, ["doc_id", "page"])
+    as_rows = lambda df: sorted((r.doc_id, r.fig_ord, r.mention_no, r[-1]) for r in df.collect())
+    assert as_rows(mentions.top_mentions(mentions.on_page(rows, visuals, 4), 4)) == as_rows(mentions.top_mentions(joined, 4))
+    assert as_rows(mentions.number_mentions(mentions.on_page(rows, visuals, 8, False))) == as_rows(mentions.number_mentions(joined))
+    assert max(Counter((r.doc_id, r.page) for r in mentions.on_page(rows, visuals.dropDuplicates(["doc_id", "page"]), 4).collect()).values()) <= 4
+
+
 def test_judge_sees_small_pieces(spark):
     rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 400000) AS x", "TIMESTAMP '2024-01-01 05:00:00' AS at", "map('k', id) AS m", "cast(null AS string) AS gone")
 
