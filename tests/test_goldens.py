@@ -383,6 +383,16 @@ def test_mentions_meet_visuals_ranked(spark):
     assert max(Counter((r.doc_id, r.page) for r in mentions.on_page(rows, visuals.dropDuplicates(["doc_id", "page"]), 4).collect()).values()) <= 4
 
 
+def test_role_collapses_once(spark):
+    rows = spark.createDataFrame([("  Fig. 1\n\u00a0shows ", 1), ("\x1c\u2028 7 ", 2), (" ", 3), ("\n", 4), ("a b", 5), ("a  b\tc\x85", 6), (None, 7)], "text string, i int")
+    old = F.regexp_replace(F.regexp_replace("text", f"{T.SPACE}+", " "), "^ | $", "")
+    assert rows.where(~F.equal_null(T.collapse(F.col("text")), old)).count() == 0
+    role = L.block_role(F.col("text"), F.lit(300.0), F.lit(330.0), F.lit(9.0), F.lit(800.0), F.lit(9.0))
+    kept = rows.withColumn("role", role).where(~F.col("role").isin("header", "footer"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") <= 2 * 2  # once where rows are filtered, once where the role is shown
+    assert {r.i: r.role for r in kept.collect()} == {1: "caption"} | dict.fromkeys(range(2, 8), "body")
+
+
 def test_judge_sees_small_pieces(spark):
     rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 400000) AS x", "TIMESTAMP '2024-01-01 05:00:00' AS at", "map('k', id) AS m", "cast(null AS string) AS gone")
 
