@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger, metrics, resolve
+from ..sources.scratch import written
 from .registry import query
 
 LEDGER = "SELECT * FROM {work_items} QUALIFY row_number() OVER (PARTITION BY project_id, run_scope, item_key ORDER BY updated_at DESC, ord DESC) = 1"
@@ -31,7 +32,7 @@ def l01_plan_replaced(t):
 @query(f"""WITH l AS ({LEDGER}), r AS (SELECT project_id, run_scope, item_key, 'completed' AS status, attempts + 1 AS attempts FROM l WHERE status = 'running')
 SELECT project_id, run_scope, item_key, coalesce(r.status, l.status) AS status, coalesce(r.attempts, l.attempts) AS attempts FROM l LEFT JOIN r USING (project_id, run_scope, item_key)""")
 def l02_finish_work(t):
-    have = items(t)
+    have = written(items(t), "ledger")  # made once, and its sorts are not held beside those of the upsert
     done = have.where("status = 'running'").withColumn("status", F.lit("completed")).withColumn("attempts", F.col("attempts") + 1)
     return ledger.finish_work(have, done).select(*ledger.ITEM, "status", "attempts")
 

@@ -14,7 +14,7 @@ from citegrid.functions import access as A
 from citegrid.functions import layout as L
 from citegrid.functions import text as T
 from citegrid.operators import access, evals, evidence, ledger, mentions, metrics, resolve, retrieve, review
-from citegrid.plans import source_queries
+from citegrid.plans import registry, source_queries
 from citegrid.sources import files, records
 from citegrid.sources.scratch import shared_dir
 from citegrid.streaming import live
@@ -393,6 +393,11 @@ def test_role_collapses_once(spark):
     assert {r.i: r.role for r in kept.collect()} == {1: "caption"} | dict.fromkeys(range(2, 8), "body")
 
 
+def test_finish_work_sorts_once_a_task(spark, sf_dir):
+    plan = registry.queries()["l02_finish_work"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") == 1  # one before the shuffle, one after
+
+
 def test_judge_sees_small_pieces(spark):
     rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 400000) AS x", "TIMESTAMP '2024-01-01 05:00:00' AS at", "map('k', id) AS m", "cast(null AS string) AS gone")
 
