@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .resolve import latest_per_key, upsert
 
 ITEM = ("project_id", "run_scope", "item_key")
@@ -116,23 +117,49 @@ def progress_board(progress: DataFrame, selections: DataFrame, papers: DataFrame
 PART_FIELDS = {"problem": ("core_problem", "relevance_to_topic"), "method": ("methods", "mechanisms"), "experiment": ("experimental_setup", "main_results"), "critical": ("limitations",), "overview": ("overview",)}
 
 
+#: Titles of this many bytes at most are broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def with_titles(rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """rows with the _title of their paper, null where it is unknown.
+
+    Many rows may have one paper, so they are not dealt out by it: the titles of their papers alone are written, measured and
+    broadcast, and only beyond BROADCAST_BYTES joined by a shuffle.
+    """
+    asked = rows.select("paper_id").distinct()
+    titles = written(papers.select("paper_id", F.col("title").alias("_title")).join(asked, "paper_id", "left_semi"), "titles")
+    size = titles.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_title"), F.lit(0)) + 16), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(titles) if size <= BROADCAST_BYTES else titles, "paper_id", "left")
+
+
 def analysis_blocks(selections: DataFrame, sections: DataFrame, board: DataFrame, papers: DataFrame, notes: DataFrame) -> DataFrame:
     """One row per selected paper (project_id, paper_id) and part: paper_title, status, content, note.
 
     sections: project_id, paper_id, part, status, content (map of field to text), updated_at, ord; the latest of each
     part counts, the first where times are equal, if it is completed. A part with content is completed; without, its status
     is that of the progress board (project_id, paper_id, part, status, ord), else queued. notes: what was asked for a part.
+
+    Sections and board are one table, cut to what a block shows and put together once by paper, with a column for each part;
+    papers become a row a part only after the joins.
     """
-    rows = selections.select("project_id", "paper_id").withColumn("part", F.explode(F.array(*map(F.lit, PART_FIELDS))))
-    key = ["project_id", "paper_id", "part"]
-    latest = sections.groupBy(*key).agg(F.max_by(F.struct("status", "content"), F.struct("updated_at", -F.col("ord"))).alias("_s"))
+    paper, parts = ["project_id", "paper_id"], [*PART_FIELDS]
+    known = lambda df: df.dropna(subset=paper).where(F.col("part").isin(parts))
     fields = F.create_map(*[x for part, names in PART_FIELDS.items() for x in (F.lit(part), F.array(*map(F.lit, names)))])
-    shown = F.map_filter(F.col("_s.content"), lambda k, v: F.array_contains(fields[F.col("part")], k) & (F.coalesce(v, F.lit("")) != ""))
-    content = F.when((F.col("_s.status") == "completed") & (F.size(shown) > 0), shown)
-    state = board.groupBy(*key).agg(F.max_by("status", "ord").alias("_board"))
-    out = rows.join(latest, key, "left").join(state, key, "left").join(notes.select(*key, "note"), key, "left").join(papers.select("paper_id", F.col("title").alias("_title")), "paper_id", "left")
-    out = out.withColumn("content", content).withColumn("status", F.when(F.col("content").isNotNull(), "completed").otherwise(F.coalesce("_board", F.lit("queued"))))
-    return out.select(*key, F.coalesce("_title", F.lit("untitled")).alias("paper_title"), "status", "content", "note")
+    shown = F.map_filter("content", lambda k, v: F.array_contains(fields[F.col("part")], k) & (F.coalesce(v, F.lit("")) != ""))
+    content = F.when((F.col("status") == "completed") & (F.size(shown) > 0), shown)
+    told = known(sections).select(*paper, "part", content.alias("content"), F.struct("updated_at", -F.col("ord")).alias("_at"))
+    stands = known(board).select(*paper, "part", F.col("status").alias("_board"), F.col("ord").alias("_ord"))
+    of = lambda part, order: F.when(F.col("part") == part, F.col(order))  # noqa: E731  rows without an order are passed over
+    latest = [x for i, p in enumerate(parts) for x in (F.max_by("content", of(p, "_at")).alias(f"_content{i}"), F.max_by("_board", of(p, "_ord")).alias(f"_board{i}"))]
+    found = told.unionByName(stands, allowMissingColumns=True).groupBy(*paper).agg(*latest)
+    asked = known(notes).groupBy(*paper).agg(F.collect_list(F.struct("part", "note")).alias("_asked"))
+    out = with_titles(selections.select(*paper).join(asked, paper, "left").join(found, paper, "left"), papers)
+    blocks = F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"_content{i}").alias("content"), F.col(f"_board{i}").alias("_board")) for i, p in enumerate(parts)])
+    out = out.select(*paper, "_title", "_asked", F.explode(blocks).alias("_b")).select(*paper, "_title", "_asked", "_b.*")
+    mine = F.transform(F.filter("_asked", lambda n: n["part"] == F.col("part")), lambda n: n["note"])
+    status = F.when(F.col("content").isNotNull(), "completed").otherwise(F.coalesce("_board", F.lit("queued")))
+    return out.select(*paper, "part", F.coalesce("_title", F.lit("untitled")).alias("paper_title"), status.alias("status"), "content", F.explode_outer(mine).alias("note"))
 
 
 def missing_documents(papers: DataFrame, acquisitions: DataFrame) -> DataFrame:

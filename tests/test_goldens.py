@@ -270,6 +270,56 @@ def test_analysis_blocks_and_backfill(spark):
     assert {r.id: r.source for r in ledger.backfill_sources(reviews).collect()} == {1: "auto_visual_verifier", 2: "auto_consistency", 3: "human", 4: "human", 5: "human"}
 
 
+def block_tables(spark, n=400):
+    """Random rows with nulls, ties of time, unknown parts and papers, papers selected twice and parts asked twice; paper 0 is everyone's."""
+    rng = random.Random(9)
+    part = lambda: rng.choice([*ledger.PART_FIELDS, "other", None])
+    paper = lambda: (rng.choice([1, 2, 3, None]), rng.choice([0, 0, 0, 7, 8, None]))
+    field = lambda: {rng.choice(["methods", "mechanisms", "overview", "limitations"]): rng.choice(["x", "y", "", None]) for _ in range(rng.randrange(3))}
+    selected = [paper() for _ in range(30)]
+    sections = [(*paper(), part(), rng.choice(["completed", "failed", None]), rng.choice([field(), None]), rng.choice([1, 2, None]), i) for i in range(n)]
+    board = [(*paper(), part(), rng.choice(["running", "failed", None]), rng.choice([i, None])) for i in range(n // 4)]
+    notes = [(*paper(), part(), rng.choice(["ask", None])) for _ in range(20)]
+    papers = [(0, "T"), (7, None), (9, "unselected"), (None, "none")]
+    at = "project_id long, paper_id long, part string"
+    schemas = ["project_id long, paper_id long", f"{at}, status string, content map<string,string>, updated_at int, ord int", f"{at}, status string, ord int", "paper_id long, title string", f"{at}, note string"]
+    rows = [selected, sections, board, papers, notes]
+    return rows, [spark.createDataFrame(r, s) for r, s in zip(rows, schemas, strict=True)]
+
+
+def plain_blocks(selected, sections, board, papers, notes):
+    for project, paper in selected:
+        for part, names in ledger.PART_FIELDS.items():
+            key = None not in (project, paper) and (project, paper, part)
+            mine = [r for r in sections if r[:3] == key]
+            last = max(mine, key=lambda r: (r[5] is not None, r[5] or 0, -r[6]), default=None)
+            content = {k: v for k, v in (last[4] or {}).items() if k in names and v} if last and last[3] == "completed" else {}
+            stands = max((r for r in board if r[:3] == key and r[4] is not None), key=lambda r: r[4], default=(None,) * 5)[3]
+            title = next((t for p, t in papers if p == paper and paper is not None), None) or "untitled"
+            for note in [r[3] for r in notes if r[:3] == key] or [None]:
+                yield project, paper, part, title, "completed" if content else stands or "queued", content or None, note
+
+
+@pytest.mark.parametrize("most", [ledger.BROADCAST_BYTES, 0])
+def test_analysis_blocks_of_odd_rows(spark, monkeypatch, most):
+    """As a plain version has it, whether titles are broadcast or not."""
+    monkeypatch.setattr(ledger, "BROADCAST_BYTES", most)
+    rows, tables = block_tables(spark)
+    out = [tuple(r) for r in ledger.analysis_blocks(*tables).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, plain_blocks(*rows)))
+
+
+def test_analysis_blocks_are_not_dealt_out_by_paper(spark):
+    """Where Spark itself broadcasts nothing, all rows of a much selected paper went to one task for its title."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ledger.analysis_blocks(*block_tables(spark)[1])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "hashpartitioning(project_id" in plan and "hashpartitioning(paper_id" not in plan
+
+
 def test_task_scores(spark, tmp_path):
     """One task of each category as an evaluation file has it, and scores at the bound, which pass by their full value."""
     claims = lambda *c: {"claims": [{"evidence_ids": e, "source_valid": v} for e, v in c]}
