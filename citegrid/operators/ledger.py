@@ -108,9 +108,12 @@ def current_papers(papers: DataFrame, results: DataFrame, revisions: DataFrame)
 
 
 def progress_board(progress: DataFrame, selections: DataFrame, papers: DataFrame) -> DataFrame:
-    """Progress rows of selected papers, and those of whole projects, with titles."""
-    chosen = progress.join(selections.select("project_id", "paper_id"), ["project_id", "paper_id"], "left_semi").unionByName(progress.where("paper_id IS NULL"))
-    return chosen.join(papers.select("paper_id", "title"), "paper_id", "left")
+    """Progress rows of selected papers, and those of whole projects, with titles.
+
+    Rows of whole projects have no paper: they have no title either, and would all meet in one task if they were joined.
+    """
+    chosen = progress.join(selections.select("project_id", "paper_id"), ["project_id", "paper_id"], "left_semi").join(papers.select("paper_id", "title"), "paper_id", "left")
+    return chosen.unionByName(progress.where("paper_id IS NULL").withColumn("title", F.lit(None).cast(papers.schema["title"].dataType)))
 
 
 #: Fields of a section's result that a block of each part shows.

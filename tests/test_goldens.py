@@ -320,6 +320,24 @@ def test_analysis_blocks_are_not_dealt_out_by_paper(spark):
     assert "hashpartitioning(project_id" in plan and "hashpartitioning(paper_id" not in plan
 
 
+def test_progress_board_of_whole_projects(spark):
+    """Rows without a paper stay where they are; a join by paper would put all of them into one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    progress = spark.range(1000).select("id", (F.col("id") % 9).alias("project_id"), F.when(F.col("id") % 100 == 0, F.col("id")).alias("paper_id")).repartition(8)
+    selected = spark.createDataFrame([(i % 9, i) for i in (0, 100, 200)], "project_id long, paper_id long")
+    papers = spark.createDataFrame([(0, "zero"), (100, None), (None, "none"), (300, "unselected")], "paper_id long, title string")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tasks = ledger.progress_board(progress, selected, papers).select("id", "paper_id", "title").rdd.map(tuple).glom().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = [(0, 0, "zero"), (100, 100, None), (200, 200, None), *[(i, None, None) for i in range(1000) if i % 100]]
+    assert sorted((r for t in tasks for r in t), key=str) == sorted(want, key=str) and max(map(len, tasks)) < 200
+
+
 def test_task_scores(spark, tmp_path):
     """One task of each category as an evaluation file has it, and scores at the bound, which pass by their full value."""
     claims = lambda *c: {"claims": [{"evidence_ids": e, "source_valid": v} for e, v in c]}
